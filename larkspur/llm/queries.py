@@ -11,6 +11,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BPE = "byte_bpe_50k.json"
+
+
+def _tokenizer_path(name: str = BPE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer_path())
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.tokens import length_histogram
+
+    return length_histogram(_table(spark, sf_dir, "documents"), _tokenizer_path())
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -26,6 +47,12 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.toxicity import fit, score
 
