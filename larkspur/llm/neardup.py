@@ -11,12 +11,12 @@
 4. A list's members are linked with its first member (a star, never all pairs).  The
    similarity estimated from the union of the two sketches filters, the full sets of the
    survivors decide.
-5. Components of the confirmed links.  Where a list still holds several components, the
-   members outside its largest one are compared with the members of other components, so
+5. Components of the confirmed links.  Where a list still holds several components, its
+   members are compared across components by an exact prefix join of their full sets, so
    that links a star misses are found as well; components again.
 
-Sketch statements 3 and 4 hold with probability above 1 - 1e-9 a pair for full sketches
-and always for sets of at most ``k`` shingles.
+What 3 and 4 say of sketches holds with probability above 1 - 1e-9 a pair, and always for
+sets of at most ``k`` shingles.
 
 Defined results: null, empty and wordless texts have no shingles and no links; fewer words
 than a shingle make one shingle of the whole sequence; repeated ids are united into one
@@ -32,7 +32,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm import common as C
 from larkspur.llm.components import components
@@ -155,14 +155,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = C.materialize(reps, "classes")
     lists = C.materialize(inverted_lists(reps, percent, k), "lists")
 
+    # the texts of listed documents, read once more and kept apart: all that follows reads only these
+    texts = C.materialize(base.join(lists.select("id").distinct(), "id"), "listed-texts")
     lead = lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a")
     pairs = C.materialize(lists.join(lead, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
-    edges = C.materialize(confirm(estimated(pairs, reps, percent, k), base, width, percent), "links")
-    comps = components(edges, "a", "b")
+    edges = C.materialize(confirm(estimated(pairs, reps, percent, k), texts, width, percent), "links")
+    comps = C.materialize(components(edges, "a", "b"), "components")
 
-    more = C.materialize(estimated(_across(lists, comps, percent).join(pairs, ["a", "b"], "left_anti"), reps, percent, k), "cross-pairs")
+    more = C.materialize(_across(lists, texts, comps, width, percent), "cross-pairs")
     if not more.isEmpty():
-        found = C.materialize(confirm(more, base, width, percent), "links")
+        found = C.materialize(confirm(estimated(more, reps, percent, k), texts, width, percent), "links")
         if not found.isEmpty():
             comps = components(edges.union(found), "a", "b")
 
@@ -172,14 +174,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
-def _across(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different components, one of them outside the list's largest component."""
-    held = lists.join(comps.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("comp"))
-    mains = held.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("v", F.col("m.comp").alias("main"))
-    held = held.join(mains, "v")
-    minor = held.where("comp <> main").select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    pairs = minor.join(held, "v").where(f"cx <> comp and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
-    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+def _across(lists: DataFrame, texts: DataFrame, comps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Every pair in different components that could still be a link.
+
+    Only documents of lists with several components take part.  Their full sets are put in
+    order from the rarest shingle to the commonest; a link between x and a set y that is
+    not larger shares one of the first n - ceil(t n) + 1 shingles of x with the first
+    n - ceil(2 t n / (1 + t)) + 1 of y, and the places of the shared shingle bound the
+    overlap.  Copies with too many shingles of their own meet nobody, so a large family
+    of texts that are nearly but not quite alike enough makes no pairs.
+    """
+    comp = comps.withColumnRenamed("node", "id")
+    held = lists.join(comp, "id", "left").select("v", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = held.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
+    rest = C.materialize(held.join(mixed, "v").select("id", "comp").distinct(), "unsettled")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in C.chunks(batch, "text"):
+                sets = list(_sets(data, offs, width))
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("comp").slice(a, b - a), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "comp", "s"])
+
+    kind = dict(texts.dtypes)["id"]
+    sets = C.materialize(texts.join(rest, "id").select("id", "comp", "text").mapInArrow(run, f"id {kind}, comp {kind}, s array<long>"), "full-sets")
+    posts = sets.select("id", "comp", F.size("s").cast("long").alias("n"), F.explode("s").alias("v"))
+    common = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    mine = posts.join(common, "v").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
+    mine = mine.withColumn("own", F.expr("n - size(s)"))  # shingles that nobody else has come first
+    mine = mine.withColumn("probe", F.expr(f"cast(n - ceil({percent} * n / 100) + 1 - own as int)")).withColumn("index", F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1 - own"))
+    places = mine.where("probe > 0").select("id", "comp", "n", "own", "index", F.posexplode(F.expr("slice(s, 1, probe).v")).alias("pos", "v"))
+    places = C.materialize(places.select("v", "id", "comp", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), (F.col("pos") < F.col("index")).alias("indexed")), "prefixes")
+    mixed = places.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
+    places = places.join(mixed, "v")
+    x = places.select("v", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    y = places.where("indexed").select("v", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"))
+    fits = f"cx <> cy and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {percent} * nx and {100 + percent} * least(lx, ly) >= {percent} * (nx + ny)"
+    return x.join(y, "v").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
