@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_parsing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.fingerprint import edited_neighbours
+
+    return edited_neighbours(_table(spark, sf_dir, "documents"))
+
+
 BPE = "byte_bpe_50k.json"
 
 
@@ -47,6 +53,12 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.pii import personal_data
 
