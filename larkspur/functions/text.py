@@ -12,7 +12,6 @@ from larkspur.schemas import CHUNK_TYPE_ALIASES, CHUNK_TYPES
 CODE_MARKERS = (
     "fn ", "let ", "const ", "var ", "def ", "class ", "import ", "from ", "return ", "if (", "if(", "for (", "for(", "while (", "while(", "switch (", "case ", "pub ", "impl ", "struct ", "enum ", "trait ", "use ", "mod ", "async ", "await ", "self.", "this.", "=> ", "->", "::", "!=", "==", "&&", "||", "();", "){", ") {", "});", "//", "/*", "#include", "#define",
 )
-CAMEL = r"([A-Z]+(?=[A-Z][a-z])|[A-Z]?[^A-Z\s]+|[A-Z]+)"
 SEPARATORS = r"[\s_.,;:!?'\"(){}\[\]<>=+\-*/\\|&^%$#@~`]+"
 
 
@@ -22,8 +21,10 @@ def words(text: Column) -> Column:
 
 
 def camel_parts(word: Column) -> Column:
-    """Parts of a camel-case identifier; an acronym run stays whole up to the last capital before a lower-case letter."""
-    return F.regexp_extract_all(word, F.lit(CAMEL), F.lit(1))
+    """Parts of a camel-case identifier: a new one begins at a capital after a small letter or digit, and at the last capital of a run before a small letter."""
+    marked = F.regexp_replace(word, r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1~$2")
+    marked = F.regexp_replace(marked, r"([\p{Ll}\p{N}])(\p{Lu})", "$1~$2")
+    return F.filter(F.split(marked, "~"), lambda x: x != "")
 
 
 def code_tokens(text: Column) -> Column:

@@ -34,7 +34,7 @@ def is_code_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PIECES = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s_.,;:!?''\"(){}\\[\\]<>=+\\-*/\\\\|&^%$#@~`]+'), lambda x: x <> '')"
-_PARTS = f"flatten(list_transform({_PIECES}, lambda w: list_filter(string_split(regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g'), '([^A-Z' || chr(1) || '])([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda y: y <> '')))"
+_PARTS = f"flatten(list_transform({_PIECES}, lambda w: list_filter(string_split(regexp_replace(regexp_replace(w, '(\\p{{Lu}}+)(\\p{{Lu}}\\p{{Ll}})', '\\1~\\2', 'g'), '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1~\\2', 'g'), '~'), lambda y: y <> '')))"
 
 
 @query(
