@@ -86,13 +86,13 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("string")
-def _stem_column(words: pd.Series) -> pd.Series:
+def _stem_series(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))
 
 
 def stems(tokens: DataFrame, col: str = "term") -> DataFrame:
     """Add ``stem`` to rows with a word in ``col``; words with other characters than a-z stay as they are."""
     vocabulary = tokens.select(col).where(F.col(col).isNotNull()).distinct()
-    known = vocabulary.withColumn("stem", F.when(F.col(col).rlike("^[a-z']+$"), _stem_column(F.col(col))).otherwise(F.col(col)))
+    stemmed = F.pandas_udf(_stem_series, "string")
+    known = vocabulary.withColumn("stem", F.when(F.col(col).rlike("^[a-z']+$"), stemmed(F.col(col))).otherwise(F.col(col)))
     return tokens.join(known, col, "left")

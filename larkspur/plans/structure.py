@@ -90,12 +90,12 @@ def attribute_calls(spark: SparkSession, d: str) -> DataFrame:
     return C.attribute_calls(calls, S.symbols(spark, d))
 
 
-@query("reindex_file", f"{S.sql('symbols')} SELECT file, count(*) AS n FROM (SELECT file FROM symbols WHERE file NOT IN ('f1.py', 'f2.py') UNION ALL SELECT file FROM symbols WHERE file IN ('f1.py', 'f2.py') AND kind = 'class') GROUP BY file")
+@query("reindex_file", f"{S.sql('symbols')} SELECT file, count(*) AS n FROM (SELECT file FROM symbols WHERE file NOT IN ('f1.py', 'f2.py') UNION ALL SELECT file FROM symbols WHERE file IN ('f1.py', 'f2.py') AND kind <> 'class') GROUP BY file")
 def reindex_file(spark: SparkSession, d: str) -> DataFrame:
     from larkspur.operators.maintenance import replace_groups
 
     s = S.symbols(spark, d)
-    fresh = s.where("file in ('f1.py', 'f2.py') and kind = 'class'")
+    fresh = s.where("file in ('f1.py', 'f2.py') and kind <> 'class'")
     return replace_groups(s, fresh, ("file",)).groupBy("file").agg(F.count("*").alias("n"))
 
 
