@@ -78,6 +78,14 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting (np.unique hashes first, which is slower on these)."""
+    a = np.sort(a)
+    new = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=new[1:])
+    return a[new]
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string column as (bytes, row offsets); nulls become empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -3,7 +3,7 @@
 A text's bytes are parsed into phrases again and again.  At each level runs of one symbol
 become one symbol; deterministic coin tossing reduces each symbol to a label from its lowest
 bit that differs from its left neighbour, three times over; phrases begin at local maxima of
-the labels; and a phrase's name is the hash of its symbols.  Cuts depend on a few symbols
+the labels; and a phrase's name is the hash of what it stands for.  Cuts depend on a few symbols
 around them only, so equal substrings get equal names inside, whatever stands before them.
 
 The fingerprint is the bottom-k sketch of the names from level ``FLOOR`` up (of all names,
@@ -30,7 +30,6 @@ FLOOR = 2
 EMPTY = "-"
 SHORT = 128
 _LOWEST = np.array([8, *((i & -i).bit_length() - 1 for i in range(1, 256))], np.uint8)
-_BYTE = C.mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _labels(lab: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
@@ -55,37 +54,46 @@ def _tossed(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _labels((k << 1) | ((x & low) != 0), first, 3)
 
 
-def parse(x: np.ndarray, first: np.ndarray, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """One level: the names of the phrases and the flags of each text's first phrase.
+def _cuts(symbols: np.ndarray, first: np.ndarray, bottom: bool) -> np.ndarray:
+    """Where phrases begin: each text's first symbol, and local maxima of the labels but for its last symbol."""
+    lab = _labels(symbols, first, 4) if bottom else _tossed(symbols, first)
+    cut = first.copy()
+    cut[1:-1] |= (lab[1:-1] > lab[:-2]) & (lab[1:-1] > lab[2:]) & ~first[2:]
+    return np.flatnonzero(cut)
+
+
+def parse(symbols: np.ndarray, starts: np.ndarray | None, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One level: the byte offsets where phrases begin, and the flags of each text's first phrase.
 
-    ``code`` are 8-bit symbols to toss coins on in place of the 64-bit names, at the bottom.
+    ``symbols`` are bytes at the bottom (``starts`` None), names above; runs of one symbol
+    are one symbol, at the bottom marked by a flipped top bit.
     """
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | first[1:]
+    new = np.ones(len(symbols), bool)
+    np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
+    new[1:] |= first[1:]
     at = np.flatnonzero(new)
-    if len(at) < len(x):
-        length = np.diff(np.append(at, len(x)))
-        x, first = x[at], first[at]
+    bottom = starts is None
+    if len(at) < len(symbols):
+        length = np.diff(np.append(at, len(symbols)))
+        symbols, first = symbols[at], first[at]
         many = np.flatnonzero(length > 1)
-        x[many] = C.mix(x[many] ^ (length[many].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
-        if code is not None:
-            code = code[at]
-            code[many] ^= np.uint8(0x80)
-    lab = _tossed(x, first) if code is None else _labels(code, first, 4)
-    cut = first.copy()
-    cut[1:-1] |= (lab[1:-1] > lab[:-2]) & (lab[1:-1] > lab[2:]) & ~first[2:]  # a text's last symbol begins no phrase
-    at = np.flatnonzero(cut)
-    length = np.diff(np.append(at, len(x)))
-    place = np.arange(len(x)) - np.repeat(at, length)
-    p, _ = C.powers(int(length.max()) + 1)
-    names = C.mix(np.add.reduceat(x * p[place], at) + length.astype(np.uint64))
-    one = np.flatnonzero(length == 1)
-    names[one] = x[at[one]]
-    return names, first[at]
+        if bottom:
+            symbols[many] ^= np.uint8(0x80)
+        else:
+            symbols[many] = C.mix(symbols[many] ^ (length[many].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+        starts = at if bottom else starts[at]
+    elif bottom:
+        starts = at
+    cut = _cuts(symbols, first, bottom)
+    return starts[cut], first[cut]
 
 
 def sketches(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """The fingerprint of each row as sorted 32-bit values (empty for an empty row)."""
+    """The fingerprint of each row as sorted 32-bit values (empty for an empty row).
+
+    A phrase is named by the hash of the bytes it stands for, which its symbols' names
+    determine and which prefix sums give for any phrase in one step.
+    """
     n = len(offs) - 1
     full = np.flatnonzero(np.diff(offs) > 0)
     out = [np.zeros(0, np.uint32)] * n
@@ -95,20 +103,24 @@ def sketches(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     short = np.diff(offs)[full] < SHORT
     first = np.zeros(len(data), bool)
     first[offs[full]] = True
-    x, code, level, keys = _BYTE[data], data.copy(), 0, []
+    sums = C.prefix_hash(data)
+    x, starts, level, keys = data.copy(), None, 0, []
 
     def keep(rows: np.ndarray, values: np.ndarray) -> None:
         keys.append((rows.astype(np.uint64) << np.uint64(32)) | (C.mix(values) >> np.uint64(32)))
 
     while len(row):
-        x, first = parse(x, first, code)
-        code, level = None, level + 1
+        starts, first = parse(x, starts, first)
+        level += 1
         at = np.flatnonzero(first)
+        ends = np.append(starts[1:], 0)
+        ends[np.append(at[1:], len(starts)) - 1] = offs[row + 1]
+        x = C.span_hash(sums, starts, ends)
         count = np.diff(np.append(at, len(x)))
         done = count == 1
         keep(row[done], x[at[done]])  # the name of a whole text, once
         live = np.repeat(~done, count)
-        x, first, row, short, count = x[live], first[live], row[~done], short[~done], count[~done]
+        x, starts, first, row, short, count = x[live], starts[live], first[live], row[~done], short[~done], count[~done]
         if level >= FLOOR:
             keep(np.repeat(row, count), x + np.uint64(level))
         elif short.any():  # a short text has few long phrases; its shorter ones count as well
@@ -123,7 +135,7 @@ def sketches(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         again = np.flatnonzero(nth)
         mixed = C.mix((key[again] & np.uint64(0xFFFFFFFF)) * np.uint64(0x9FB21C651E98DF25) + nth[again].astype(np.uint64)) >> np.uint64(32)
         key[again] = (key[again] & np.uint64(0xFFFFFFFF00000000)) | mixed
-        key = np.unique(key)
+        key = C.distinct(key)
     cut = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
     for r in full:
         out[r] = key[cut[r] : min(cut[r + 1], cut[r] + K)].astype(np.uint32)

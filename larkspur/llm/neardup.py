@@ -62,7 +62,7 @@ def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.ndarray
     for i in range(len(offs) - 1):
         a, b = int(first[i]), int(first[i + 1])
         if b - a >= width:
-            yield np.unique(grams[a : b - width + 1])
+            yield C.distinct(grams[a : b - width + 1])
         elif b > a:
             yield (C.shingle_hash(words[a:b], b - a) ^ np.uint64(b - a)) >> np.uint64(1)
         else:

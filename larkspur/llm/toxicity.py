@@ -82,7 +82,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             parts = list(_features(data, offs))
             row = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             bucket = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            key = np.unique((row << BITS) | bucket)
+            key = C.distinct((row << BITS) | bucket)
             cut = np.searchsorted(key, np.arange(len(offs)) << BITS)
             values = pa.array((key & ((1 << BITS) - 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), values)], ["toxic", "keys"])
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, holdout: int = 5) -> DataFrame:
                 for row, bucket in _features(data, offs):
                     live = table[bucket] != 0
                     hits.append((row[live] << BITS) | bucket[live])
-                key = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+                key = C.distinct(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
                 out[a:b] = np.bincount(key >> BITS, weights=table[key & ((1 << BITS) - 1)], minlength=b - a)
             p = 1 / (1 + np.exp(-np.clip(out + bias, -30, 30))) if fitted else out
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
@@ -209,7 +209,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **par
                 for row, bucket in _features(data, offs):
                     live = table[bucket] != 0
                     hits.append((row[live] << BITS) | bucket[live])
-                key = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+                key = C.distinct(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
                 keep[a:b] = np.bincount(key >> BITS, weights=table[key & ((1 << BITS) - 1)], minlength=b - a) < cut
             yield batch.filter(pa.array(keep))
 
