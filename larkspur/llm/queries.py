@@ -89,4 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; tests hold the others against brute force."""
+    from larkspur.llm import sql
+
+    return {"op5_decontamination": sql.DECONTAMINATION, "op7_minhash_neardup": sql.NEAR_DUPLICATES}
