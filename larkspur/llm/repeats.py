@@ -186,12 +186,13 @@ def repeat_windows(rows: DataFrame, size: int = SIZE) -> DataFrame:
     """(id, h, lo, n): runs of windows that start at least twice in the corpus."""
     kind = dict(rows.dtypes)["id"]
     every = C.materialize(fragments(rows, size), "fragments")
-    shared = every.groupBy("g").agg(F.count("*").alias("t")).where("t > 1").select("g")
+    # the counted side of each join is written first: a join of two plain exchanges can be split where one anchor is very common
+    shared = C.materialize(every.groupBy("g").agg(F.count("*").alias("t")).where("t > 1").select("g"), "shared-anchors")
     every = C.materialize(every.join(shared, "g"), "shared-fragments")
     bodies = every.groupBy("g", "f").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "lo")).alias("one"))
     bodies = C.materialize(bodies, "bodies")
-    several = bodies.groupBy("g").agg(F.count("*").alias("bodies"))
-    bodies = bodies.join(several, "g").where("c > 1 or bodies > 1")
+    several = C.materialize(bodies.groupBy("g").agg(F.count("*").alias("bodies")).where("bodies > 1"), "several-bodies")
+    bodies = bodies.join(several, "g", "left").withColumn("bodies", F.coalesce("bodies", F.lit(1))).where("c > 1 or bodies > 1")
     marked = every.join(bodies, ["g", "f"]).select("id", "h", "lo", "a", "n", (F.col("c") > 1).alias("twice"), F.expr("bodies > 1 and (c = 1 or one = struct(id, h, lo))").alias("need"))
     marked = C.materialize(marked, "marked")
 
