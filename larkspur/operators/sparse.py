@@ -6,6 +6,10 @@ work is the postings of the query's terms, and no pair without a common term is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.text import words
@@ -19,6 +23,11 @@ def sentences(chunks: DataFrame) -> DataFrame:
     return lines.where(F.trim("text") != "").withColumn("sentence_idx", F.col("sentence_idx").cast("bigint"))
 
 
+def whole(chunks: DataFrame) -> DataFrame:
+    """Chunks as documents of one sentence each."""
+    return chunks.select("tenant_id", "chunk_id", F.lit(0).cast("bigint").alias("sentence_idx"), "text")
+
+
 def index(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """Postings (tenant_id, chunk_id, sentence_idx, term, tf, dl) of sentence rows with ``text``."""
     keyed = docs.select("tenant_id", "chunk_id", "sentence_idx", (words(F.col("text")) if tokens is None else tokens).alias("tokens"))
@@ -65,6 +74,115 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), tie: tup
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+MAX_QUERY_TERMS = 1 << 21
+
+
+def _blocks(queries: DataFrame, cells: int) -> Iterator[tuple[list, dict[str, int], list[np.ndarray]]]:
+    """Queries in blocks whose (terms x queries) stay below ``cells``: ids, term numbers, each query's term numbers."""
+    ids, vocab, rows = [], {}, []
+    for r in queries.select("query_id", F.array_sort(F.array_distinct(words(F.col("query")))).alias("t")).orderBy("query_id").toLocalIterator():
+        if ids and (len(vocab) + len(r.t)) * (len(ids) + 1) > cells:
+            yield ids, vocab, rows
+            ids, vocab, rows = [], {}, []
+        ids.append(r.query_id)
+        rows.append(np.array([vocab.setdefault(t, len(vocab)) for t in r.t], np.int64))
+    if ids:
+        yield ids, vocab, rows
+
+
+def _best(k: int, shared, tie: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each task keeps ``k`` rows of each query and tenant, whatever it reads."""
+        ids, matrix = shared.value
+        best: dict[tuple[int, str], list[tuple]] = {}
+        kind = [None] * len(tie)
+        for batch in batches:
+            kind = [batch.column(c).type for c in tie]
+            parts = batch.column("parts")
+            n = len(parts)
+            if not n:
+                continue
+            flat = parts.flatten()
+            row = np.repeat(np.arange(n), np.diff(parts.offsets.to_numpy()))
+            term, weight = flat.field("t").to_numpy(), flat.field("w").to_numpy()
+            tenants = np.array(batch.column("tenant_id").to_pylist(), dtype=object)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in tie), strict=True))
+            for a in range(0, n, 1024):
+                use = (row >= a) & (row < a + 1024)
+                dense = np.zeros((min(1024, n - a), matrix.shape[0]))
+                np.add.at(dense, (row[use] - a, term[use]), weight[use])
+                score = np.round(dense @ matrix, 9)
+                groups = tenants[a : a + 1024]
+                for t in set(groups.tolist()):
+                    mine = np.flatnonzero(groups == t)
+                    for q in range(len(ids)):
+                        s = score[mine, q]
+                        held = best.get((q, t), ())
+                        floor = held[-1][0] if len(held) == k else 0.0
+                        pick = np.flatnonzero((s > 0) & (s >= -floor))
+                        if len(pick) > k:
+                            pick = pick[s[pick] >= np.partition(s[pick], -k)[-k]]
+                        if len(pick):
+                            best[q, t] = sorted([*held, *((-s[i], keys[a + mine[i]]) for i in pick)])[:k]
+        rows = [(ids[q], t, -s, *key) for (q, t), found in best.items() for s, key in found]
+        cols = list(zip(*rows, strict=True)) or [()] * (3 + len(tie))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), *(pa.array(c, t) for c, t in zip(cols[3:], kind, strict=True))] if rows else [], ["query_id", "tenant_id", "score", *tie] if rows else [])
+
+    def steady(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (b for b in run(batches) if b.num_rows)
+
+    return steady
+
+
+def _top_of(weighted: DataFrame, queries: DataFrame, k: int, tie: tuple[str, ...]) -> DataFrame:
+    """The ``k`` best rows of each query and tenant of (tenant_id, tie…, term, w): score = sum of w over the query's terms.
+
+    A block of queries is one matrix of terms by queries, sent to every task; a task adds up
+    its rows and multiplies, so the work between machines is one row a sentence and k rows a
+    query, tenant and task, not one a query and sentence.
+    """
+    spark = weighted.sparkSession
+    ddl = f"query_id bigint, tenant_id string, score double, {', '.join(f'{c} {t}' for c, t in weighted.dtypes if c in tie)}"
+    out = None
+    for ids, vocab, rows in _blocks(queries, MAX_QUERY_TERMS):
+        matrix = np.zeros((max(1, len(vocab)), len(ids)))
+        for q, terms in enumerate(rows):
+            matrix[terms, q] = 1.0
+        shared = spark.sparkContext.broadcast((ids, matrix))
+        numbered = spark.createDataFrame(list(vocab.items()) or [("", 0)], "term string, t int")
+        docs = weighted.join(F.broadcast(numbered), "term").groupBy("tenant_id", *tie).agg(F.collect_list(F.struct("t", "w")).alias("parts"))
+        part = docs.mapInArrow(_best(k, shared, tuple(c for c, _ in weighted.dtypes if c in tie)), ddl)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], ddl)
+    w = Window.partitionBy("query_id", "tenant_id").orderBy(F.desc("score"), *tie)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def weighted(postings: DataFrame, global_stats: bool = False) -> DataFrame:
+    """(tenant_id, chunk_id, sentence_idx, term, w): each posting's share of a BM25 score."""
+    hits = postings.join(document_frequency(postings, global_stats), ["tenant_id", "term"]).join(collection(postings, global_stats), "tenant_id")
+    tf, dl = F.col("tf"), F.col("dl")
+    w = idf(F.col("n_docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    return hits.select("tenant_id", "chunk_id", "sentence_idx", "term", w.alias("w"))
+
+
+def bm25_top(postings: DataFrame, queries: DataFrame, k: int, global_stats: bool = False) -> DataFrame:
+    """``top(bm25(…), k)`` of each query and tenant for many queries (bigint ``query_id``) in one pass over the postings."""
+    return top_weighted(weighted(postings, global_stats), queries, k)
+
+
+def top_weighted(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best sentences of each query and tenant from weighted postings."""
+    return _top_of(hits, queries, k, ("chunk_id", "sentence_idx"))
+
+
+def overlap_top(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` chunks of each query and tenant with the most different terms of the query."""
+    terms = postings.select("tenant_id", "chunk_id", "term").distinct().withColumn("w", F.lit(1.0))
+    return _top_of(terms, queries, k, ("chunk_id",))
+
+
 def parse_query(text: str) -> dict[str, list[str]]:
     """Bare terms (any), ``+must``, ``-not`` and ``"phrases"``; other syntax falls back to its terms.
 

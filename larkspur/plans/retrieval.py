@@ -110,8 +110,7 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
-    scored = sparse.bm25(_postings(spark, d), sparse.query_terms(S.queries(spark, d)))
-    return sparse.top(scored, k, by=("query_id", "tenant_id"))
+    return sparse.bm25_top(_postings(spark, d), S.queries(spark, d), k)
 
 
 @query("bm25_index", f"{S.sql('live')}, {_SENT}, {_POST} SELECT tenant_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY ALL")
@@ -124,7 +123,7 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     return sparse.collection(_postings(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
 
 
-@query("bm25_topk", f"{_BM25} SELECT query_id, tenant_id, chunk_id, sentence_idx, round(score, 6) AS score, rank FROM (SELECT *, {_TOPQ} AS rank FROM scored) WHERE rank <= 10")
+@query("bm25_topk", f"{_BM25} SELECT query_id, tenant_id, chunk_id, sentence_idx, round(round(score, 9), 6) AS score, rank FROM (SELECT *, {_TOPQ} AS rank FROM scored) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d, 10).select("query_id", "tenant_id", "chunk_id", "sentence_idx", F.round("score", 6).alias("score"), "rank")
 
@@ -196,9 +195,8 @@ _ORDER = "row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY round(sco
 
 
 def _lists(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    postings, terms = _postings(spark, d), sparse.query_terms(S.queries(spark, d))
-    hits = postings.join(terms, "term").groupBy("query_id", "tenant_id", "chunk_id").agg(F.countDistinct("term").cast("double").alias("score"))
-    return sparse.top(hits, k, by=("query_id", "tenant_id"), tie=("chunk_id",)), sparse.top(sparse.bm25(postings, terms), k, by=("query_id", "tenant_id"))
+    postings, asked = _postings(spark, d), S.queries(spark, d)
+    return sparse.overlap_top(postings, asked, k), sparse.bm25_top(postings, asked, k)
 
 
 @query("rrf_fuse", f"{_ALL} SELECT query_id, tenant_id, chunk_id, round(score, 6) AS score, dense_rank, sparse_rank FROM fused")
@@ -279,14 +277,17 @@ def search_filters(spark: SparkSession, d: str) -> DataFrame:
     return search.filters(S.live(spark, d), "en", ("doc", "code"), start=S.EPOCH + 100 * S.HOUR, end=S.EPOCH + 700 * S.HOUR).select("tenant_id", "chunk_id")
 
 
-@query("search", f"{_BM25}, pool AS (SELECT * FROM (SELECT query_id, s.tenant_id, s.chunk_id, max(score) AS score FROM scored s GROUP BY ALL)), r AS (SELECT p.*, l.hash, row_number() OVER (PARTITION BY query_id ORDER BY round(p.score, 9) DESC, p.chunk_id) AS rank FROM pool p JOIN live l ON p.tenant_id = l.tenant_id AND p.chunk_id = l.chunk_id WHERE l.project_id = 'en') SELECT query_id, chunk_id, rank, round(score, 6) AS score, chunk_id || ':' || substr(hash, 1, 12) AS citation_id, FALSE AS repaired FROM r WHERE rank <= 20")
+_WHOLE = _BM25.replace(_SENT, "sent AS (SELECT tenant_id, chunk_id, 0 AS sentence_idx, text FROM live)")
+
+
+@query("search", f"{_WHOLE}, r AS (SELECT s.query_id, s.chunk_id, s.score, l.hash, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, s.chunk_id) AS rank FROM scored s JOIN live l ON s.tenant_id = l.tenant_id AND s.chunk_id = l.chunk_id WHERE l.project_id = 'en') SELECT query_id, chunk_id, rank, round(round(score, 9), 6) AS score, chunk_id || ':' || substr(hash, 1, 12) AS citation_id, FALSE AS repaired FROM r WHERE rank <= 20")
 def search_query(spark: SparkSession, d: str) -> DataFrame:
     chunks = S.chunks(spark, d)
-    postings = _postings(spark, d)
+    weights = sparse.weighted(sparse.index(sparse.whole(S.live(spark, d))))
 
     def run(queries: DataFrame, pool: DataFrame) -> DataFrame:
-        best = sparse.bm25(postings, sparse.query_terms(queries)).groupBy("query_id", "tenant_id", "chunk_id").agg(F.max("score").alias("score"))
-        return sparse.top(best.join(pool.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_semi"), 100, tie=("chunk_id",))
+        hits = weights.join(pool.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_semi")
+        return sparse.top(sparse.top_weighted(hits, queries, 100).drop("rank"), 100, tie=("chunk_id",))
 
     found = search.search(S.queries(spark, d), chunks, run, 20, project="en")
     cited = search.cite(found.join(S.live(spark, d), ["tenant_id", "chunk_id"]))
