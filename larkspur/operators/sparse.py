@@ -94,7 +94,9 @@ def _best(k: int, shared, tie: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each task keeps ``k`` rows of each query and tenant, whatever it reads."""
         ids, matrix = shared.value
-        best: dict[tuple[int, str], list[tuple]] = {}
+        best: dict[tuple[int, int], list[tuple]] = {}
+        names: dict[str, int] = {}
+        floor = np.zeros((0, len(ids)))  # by tenant and query: the k-th best score so far
         kind = [None] * len(tie)
         for batch in batches:
             kind = [batch.column(c).type for c in tie]
@@ -105,26 +107,29 @@ def _best(k: int, shared, tie: tuple[str, ...]):
             flat = parts.flatten()
             row = np.repeat(np.arange(n), np.diff(parts.offsets.to_numpy()))
             term, weight = flat.field("t").to_numpy(), flat.field("w").to_numpy()
-            tenants = np.array(batch.column("tenant_id").to_pylist(), dtype=object)
-            keys = list(zip(*(batch.column(c).to_pylist() for c in tie), strict=True))
+            tenant = np.array([names.setdefault(t, len(names)) for t in batch.column("tenant_id").to_pylist()])
+            floor = np.vstack([floor, np.zeros((len(names) - len(floor), len(ids)))])
+            keys = [batch.column(c) for c in tie]
             for a in range(0, n, 1024):
-                use = (row >= a) & (row < a + 1024)
+                lo, hi = np.searchsorted(row, (a, a + 1024))
                 dense = np.zeros((min(1024, n - a), matrix.shape[0]))
-                np.add.at(dense, (row[use] - a, term[use]), weight[use])
+                np.add.at(dense, (row[lo:hi] - a, term[lo:hi]), weight[lo:hi])
                 score = np.round(dense @ matrix, 9)
-                groups = tenants[a : a + 1024]
-                for t in set(groups.tolist()):
-                    mine = np.flatnonzero(groups == t)
-                    for q in range(len(ids)):
-                        s = score[mine, q]
-                        held = best.get((q, t), ())
-                        floor = held[-1][0] if len(held) == k else 0.0
-                        pick = np.flatnonzero((s > 0) & (s >= -floor))
-                        if len(pick) > k:
-                            pick = pick[s[pick] >= np.partition(s[pick], -k)[-k]]
-                        if len(pick):
-                            best[q, t] = sorted([*held, *((-s[i], keys[a + mine[i]]) for i in pick)])[:k]
-        rows = [(ids[q], t, -s, *key) for (q, t), found in best.items() for s, key in found]
+                at, q = np.nonzero((score > 0) & (score >= floor[tenant[a : a + 1024]]))
+                group = tenant[a + at] * len(ids) + q
+                order = np.lexsort((-score[at, q], group))
+                at, q, group = at[order], q[order], group[order]
+                cuts = np.flatnonzero(np.diff(group, prepend=-1))
+                for x, y in zip(cuts, np.append(cuts[1:], len(group)), strict=True):
+                    s = score[at[x:y], q[x]]
+                    end = int(np.searchsorted(-s, -s[k - 1], "right")) if len(s) > k else len(s)  # ties of the k-th stay
+                    place = (int(group[x]) // len(ids), int(q[x]))
+                    new = [(-float(v), tuple(c[int(a + i)].as_py() for c in keys)) for v, i in zip(s[:end], at[x : x + end], strict=True)]
+                    best[place] = sorted([*best.get(place, ()), *new])[:k]
+                    if len(best[place]) == k:
+                        floor[place] = -best[place][-1][0]
+        tenants = list(names)
+        rows = [(ids[q], tenants[t], -s, *key) for (t, q), found in best.items() for s, key in found]
         cols = list(zip(*rows, strict=True)) or [()] * (3 + len(tie))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), *(pa.array(c, t) for c, t in zip(cols[3:], kind, strict=True))] if rows else [], ["query_id", "tenant_id", "score", *tie] if rows else [])
 
