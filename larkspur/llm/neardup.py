@@ -140,7 +140,8 @@ def inverted_lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
     """(v, id, n): each document under the rarest of its retained values, as many as a link needs."""
     least = -(-percent // (100 - percent))  # smaller sets have no link to a different set
     posts = reps.where(F.col("n") >= least).select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    common = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # counts are written before they are joined back: a join of two plain exchanges can be split at a common value
+    common = C.materialize(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
     mine = posts.join(common, "v").groupBy("id", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
     take = F.expr(f"m - least({least_overlap(k, percent)}, cast(ceil({percent} * n / 100) as int)) + 1 - (m - size(s))")
     return mine.withColumn("take", take).where("take > 0").select(F.explode(F.expr("slice(s, 1, take).v")).alias("v"), "id", "n")
@@ -157,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the texts of listed documents, read once more and kept apart: all that follows reads only these
     texts = C.materialize(base.join(lists.select("id").distinct(), "id"), "listed-texts")
-    lead = lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a")
+    lead = C.materialize(lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a"), "leaders")
     pairs = C.materialize(lists.join(lead, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
     edges = C.materialize(confirm(estimated(pairs, reps, percent, k), texts, width, percent), "links")
     comps = C.materialize(components(edges, "a", "b"), "components")
@@ -174,6 +175,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Values (v) whose rows lie in several components."""
+    return rows.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
+
+
 def _across(lists: DataFrame, texts: DataFrame, comps: DataFrame, width: int, percent: int) -> DataFrame:
     """Every pair in different components that could still be a link.
 
@@ -186,7 +192,7 @@ def _across(lists: DataFrame, texts: DataFrame, comps: DataFrame, width: int, pe
     """
     comp = comps.withColumnRenamed("node", "id")
     held = lists.join(comp, "id", "left").select("v", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = held.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
+    mixed = C.materialize(_mixed(held), "mixed-values")
     rest = C.materialize(held.join(mixed, "v").select("id", "comp").distinct(), "unsettled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +205,13 @@ def _across(lists: DataFrame, texts: DataFrame, comps: DataFrame, width: int, pe
     kind = dict(texts.dtypes)["id"]
     sets = C.materialize(texts.join(rest, "id").select("id", "comp", "text").mapInArrow(run, f"id {kind}, comp {kind}, s array<long>"), "full-sets")
     posts = sets.select("id", "comp", F.size("s").cast("long").alias("n"), F.explode("s").alias("v"))
-    common = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    common = C.materialize(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     mine = posts.join(common, "v").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
     mine = mine.withColumn("own", F.expr("n - size(s)"))  # shingles that nobody else has come first
     mine = mine.withColumn("probe", F.expr(f"cast(n - ceil({percent} * n / 100) + 1 - own as int)")).withColumn("index", F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1 - own"))
     places = mine.where("probe > 0").select("id", "comp", "n", "own", "index", F.posexplode(F.expr("slice(s, 1, probe).v")).alias("pos", "v"))
     places = C.materialize(places.select("v", "id", "comp", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), (F.col("pos") < F.col("index")).alias("indexed")), "prefixes")
-    mixed = places.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
-    places = places.join(mixed, "v")
+    places = C.materialize(places.join(C.materialize(_mixed(places), "mixed-shingles"), "v"), "mixed-prefixes")
     x = places.select("v", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
     y = places.where("indexed").select("v", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"))
     fits = f"cx <> cy and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {percent} * nx and {100 + percent} * least(lx, ly) >= {percent} * (nx + ny)"
