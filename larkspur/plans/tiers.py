@@ -207,3 +207,22 @@ def tiered_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = S.tool_traces(spark, d).select((F.col("tool_name") == "view").alias("cache_hit"), (F.col("tool_name") == "click").alias("hot_hit"), F.col("duration_ms").alias("total_ms"))
     out = M.tiered_metrics(rows)
     return out.select("n_queries", *(F.round(c, 6).alias(c) for c in ("cache_hit_rate", "hot_hit_rate", "avg_ms")))
+
+
+@query("tier_label", f"{S.sql('tool_traces')} SELECT trace_id, CASE WHEN tool_name = 'view' THEN 'cache' WHEN tool_name = 'signup' THEN 'hybrid' WHEN tool_name = 'click' THEN 'hot' ELSE 'warm' END AS source_tier FROM tool_traces")
+def tier_label(spark: SparkSession, d: str) -> DataFrame:
+    from larkspur.operators.search import tier_label as label
+
+    t = F.col("tool_name")
+    return label(S.tool_traces(spark, d).select("trace_id", (t == "view").alias("cache_hit"), t.isin("click", "signup").alias("hot"), t.isin("signup", "purchase").alias("warm"))).select("trace_id", "source_tier")
+
+
+@query("tiered_lookup", f"{S.sql('vectors')}, {_MERGE_SQL}, {_ENTRIES}, asked AS (SELECT vec_id AS query_id, tenant_id, NULL AS project_id, embedding FROM vectors WHERE vec_id % 50 = 0), {_LOOKUP} SELECT query_id, result_id, source_tier FROM (SELECT h.query_id, unnest(e.result_ids) AS result_id, 'cache' AS source_tier FROM hits h JOIN entries e USING (entry_id) WHERE h.n = 1 UNION ALL SELECT query_id, CAST(chunk_id AS VARCHAR), tier FROM r WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM hits WHERE n = 1))")
+def tiered_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The whole tiered path: a cache hit gives its stored results, every other query hot and warm ones merged."""
+    entries = _entries(spark, d)
+    asked = S.vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "tenant_id", F.lit(None).cast("string").alias("project_id"), "embedding")
+    found = T.cache_lookup(asked, entries, NOW)
+    cached = found.join(entries.select("entry_id", "result_ids"), "entry_id").select("query_id", F.explode("result_ids").alias("result_id"), F.lit("cache").alias("source_tier"))
+    rest = T.merge(*_tiers(spark, d), k=10).join(found.select("query_id"), "query_id", "left_anti")
+    return cached.unionByName(rest.select("query_id", F.col("chunk_id").cast("string").alias("result_id"), F.col("tier").alias("source_tier")))
