@@ -39,7 +39,7 @@ from larkspur.llm.components import components
 
 K = 64
 RISK = 1e-9
-BLOCK = 2000
+BLOCK = 256
 
 
 @lru_cache(maxsize=64)
