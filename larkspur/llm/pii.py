@@ -7,8 +7,9 @@ become ASCII, zero-width characters vanish, spelled digits become digits, and di
 it came from, so what the same detectors find there is mapped back to source characters.
 Found spans that touch a base span of any kind are dropped: base spans stay as they are.
 
-Only texts with a trigger (a character of another script, a run of spelled digits, a
-disguised sign) go through the transducers; the triggers are found with byte kernels.
+Only texts with a trigger (a character of another script, three spelled digits, an @, a
+boxed or spelled sign) go through the transducers.  The triggers are found with byte kernels
+and leave out only texts that no transducer would change.
 
 Kinds, in order: email, ip, card, phone.  Offsets are code points, ends exclusive.
 Defined results: null and empty texts have no spans; repeated rows are judged one by one.
@@ -274,7 +275,22 @@ def _hashes(words: tuple[str, ...]) -> np.ndarray:
     return np.unique(C.span_hash(C.prefix_hash(data), offs[:-1], offs[1:]))
 
 
-_BRACKETS = np.frombuffer(b"[({<", np.uint8)
+_BRACKETS = np.zeros(256, bool)
+_BRACKETS[[ord(ch) for ch in "[({<"]] = True
+#: \s below U+0250 (also both bytes of U+0085 and U+00A0)
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33), 0xC2, 0x85, 0xA0]] = True
+_ODD_PAIRS = np.array([0xC2AD, 0xC4B0, 0xC4B1, 0xC5BF], np.uint16)
+
+
+def _boxed(data: np.ndarray) -> np.ndarray:
+    """Positions of the first bytes behind opening brackets and white space."""
+    box = np.flatnonzero(_BRACKETS[data])
+    if not len(box):
+        return box
+    solid = np.flatnonzero(~_BLANK[data])
+    k = np.searchsorted(solid, box, "right")
+    return solid[k[k < len(solid)]]
 
 
 def _rows_with(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -282,29 +298,45 @@ def _rows_with(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] > total[offs[:-1]]
 
 
+def _lower(data: np.ndarray) -> np.ndarray:
+    """Lower-cased bytes of texts below U+0250; U+0080 to U+00BF, multiplication and division sign become spaces."""
+    low = C.LOWER[data]
+    lead = np.flatnonzero((data[:-1] == 0xC2) | (data[:-1] == 0xC3))
+    after = data[lead + 1]
+    sign = (data[lead] == 0xC2) | (after == 0x97) | (after == 0xB7)
+    low[lead[sign]] = low[lead[sign] + 1] = 32
+    capital = ~sign & (after >= 0x80) & (after <= 0x9E)
+    low[lead[capital] + 1] += 32
+    return low
+
+
 def triggers(data: np.ndarray, offs: np.ndarray, ats: np.ndarray, dots: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row: may it hold a base span, and does it need the transducers."""
+    """Of each row: may it hold a base span, and may a transducer change it."""
     base = _rows_with((data == 64) | ((data >= 48) & (data <= 57)), offs)
-    # lead bytes from U+0250 on, zero-width and look-alike signs included; C2 AD is the soft hyphen
-    odd = (data >= 0xC9) | ((data == 0xAD) & (np.append(0, data[:-1]) == 0xC2))
+    # lead bytes from U+0250 on, look-alikes included; below it the soft hyphen (C2 AD) and what folds or matches without case as i or s (C4 B0, C4 B1, C5 BF)
+    odd = (data == 64) | (data >= 0xC9)
+    lead = np.flatnonzero((data[:-1] == 0xC2) | (data[:-1] == 0xC4) | (data[:-1] == 0xC5))
+    pair = data[lead].astype(np.uint16) << np.uint16(8) | data[lead + 1]
+    odd[lead[np.isin(pair, _ODD_PAIRS)]] = True
     deep = _rows_with(odd, offs)
-    at = np.flatnonzero(data == 64)
-    if len(at):
-        near = np.zeros(len(data), bool)
-        spaced = (data[np.maximum(at - 1, 0)] == 32) | (data[np.minimum(at + 1, len(data) - 1)] == 32)
-        near[at[spaced]] = True
-        deep |= _rows_with(near, offs)
-    low = C.LOWER[data]
+    low = _lower(data)
     starts, ends, first = C.word_spans(low, offs, C.ALNUM)
     short = np.flatnonzero(ends - starts <= 8)
     if len(short):
         h = C.span_hash(C.prefix_hash(low), starts[short], ends[short])
         row = np.searchsorted(first, short, "right") - 1
         deep[row[np.isin(h, dots)]] = True
-        at = short[np.isin(h, ats)]  # a bare at needs a spelled dot as well; a boxed one stands behind a bracket
-        before = [data[np.maximum(starts[at] - j, 0)] for j in (1, 2)]
-        boxed = np.isin(before[0], _BRACKETS) | (before[0] == 32) & np.isin(before[1], _BRACKETS)
-        deep[np.searchsorted(first, at[boxed], "right") - 1] = True
+        is_at = np.isin(h, ats)
+        # a boxed at stands behind a bracket; a bare one needs a dot as well, spelled (seen above) or boxed
+        boxed = _boxed(data)
+        deep[row[is_at & np.isin(starts[short], boxed)]] = True
+        dot = boxed[data[boxed] == 46]
+        if len(dot):
+            has_at = np.zeros(len(offs) - 1, bool)
+            has_at[row[is_at]] = True
+            has_dot = np.zeros(len(data), bool)
+            has_dot[dot] = True
+            deep |= has_at & _rows_with(has_dot, offs)
         deep |= np.bincount(row[np.isin(h, spelled)], minlength=len(offs) - 1) >= 3
     return base, deep
 
@@ -315,7 +347,7 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 
 def find(batch: pa.RecordBatch, name: str) -> Iterator[tuple[str, list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(text, base spans, added spans) of every row; the text is empty where no span is possible."""
-    ats, dots, spelled = _hashes(_AT_WORDS), _hashes(_DOT_WORDS), _hashes(tuple(SPELLED))
+    ats, dots, spelled = _hashes(_AT_WORDS), _hashes(_DOT_WORDS), _hashes((*SPELLED, "double", "triple"))
     col = batch.column(name)
     for a, _, data, offs in C.chunks(batch, name):
         base, deep = triggers(data, offs, ats, dots, spelled)

@@ -469,6 +469,37 @@ def test_disguises(text, want):
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.added_spans(text, b)] == want
 
 
+def through_find(rows):
+    """(base, added) spans of texts, as the queries find them."""
+    import pyarrow as pa
+
+    return [(base, added) for _, base, added in pii.find(pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["text"]), "text")]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("john[@]example.com", "john[@]example.com"), ("x john(@)example.com y", "john(@)example.com"), ("john@example[.]com", "john@example[.]com"), ("john at example [.] com", "john at example [.] com"),
+        ("john@\nexample.com", "john@\nexample.com"), ("john\t@example.com", "john\t@example.com"), ("john\xa0[\n at\xa0] example [\t.]com", "john\xa0[\n at\xa0] example [\t.]com"), ("JOHN ÄT EXAMPLE ( . ) COM", "JOHN ÄT EXAMPLE ( . ) COM"),
+        ("jane@maıl.com", "jane@maıl.com"), ("«plus one double 5 triple 2 3456»", "plus one double 5 triple 2 3456"),
+    ],
+)
+def test_disguises_through_find(text, want):
+    base, added = through_find(["plain before (", text, ". plain after"])[1]
+    assert want in [text[s:e] for _, s, e in added]
+
+
+def test_triggers_leave_out_nothing():
+    rnd = random.Random(12)
+    parts = [*pii.SPELLED, *pii._AT_WORDS, *pii._DOT_WORDS, "plus", "double", "triple", *"[]{}()<>@@..+-, \n\t\xa0\x85\x1c¿«»×÷µ_", " ", " ", " ", "\xad", "ıſİK", "a", "bob", "x.com", "example", "12", "7", "ÄÉü", *pii.HOMOGLYPHS]
+    rows = []
+    for _ in range(20000):
+        few = rnd.sample(parts, 6)
+        rows.append("".join(x.upper() if rnd.random() < 0.2 else x for x in (rnd.choice(few if rnd.random() < 0.8 else "@[. ].a5") for _ in range(rnd.randrange(1, 24)))))
+    for t, (base, added) in zip(rows, through_find(rows), strict=True):
+        assert base == pii.base_spans(t) and added == pii.added_spans(t, base), t
+
+
 def test_pii_hard(spark, hard, empty):
     assert pii.personal_data(hard).count() == len(HARD) and pii.personal_data(empty).isEmpty()
     rows = spark.createDataFrame([(1, "x a@b.co y +1 (974) 555-3436", 28), (2, None, None), (3, "a [at] b [dot] co!", 18), (4, "clean", 5)], "doc_id bigint, text string, n_chars bigint")
