@@ -5,7 +5,8 @@ transducers writes a normalised text next to the source: homoglyphs and full-wid
 become ASCII, zero-width characters vanish, spelled digits become digits, and disguised
 ``at`` and ``dot`` become their signs.  Every normalised character keeps the source range
 it came from, so what the same detectors find there is mapped back to source characters.
-Found spans that touch a base span of any kind are dropped: base spans stay as they are.
+Base spans stay as they are.  Found spans inside a base span of any kind are dropped; those
+that reach beyond one are reported next to it.
 
 Only texts with a trigger (a character of another script, three spelled digits, an @, a
 boxed or spelled sign) go through the transducers.  The triggers are found with byte kernels
@@ -248,7 +249,7 @@ def signs_from_words(m: Mapped) -> Mapped:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that only the normalised text shows, in source offsets, none touching a base span."""
+    """Spans that only the normalised text shows, in source offsets: none inside a base span, nor inside a longer one of its kind."""
     folded = fold_glyphs(Mapped(text))
     found: dict[tuple[int, int, int], None] = {}
     for variant in (folded, signs_from_words(folded), digits_from_words(folded), signs_from_words(digits_from_words(folded))):
@@ -260,11 +261,13 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
                 continue
             found.setdefault((k, a, b))
     out: list[tuple[int, int, int]] = []
-    taken = sorted((s, e) for _, s, e in base)
-    for k, s, e in sorted(found, key=lambda x: (-(x[2] - x[1]), x)):
-        if all(e <= a or b <= s for a, b in taken):
-            out.append((k, s, e))
-            taken.append((s, e))
+    covered, reach = 0, [0] * len(KINDS)  # ends of what began so far: base spans, and added spans by kind
+    for s, e, more, k in sorted([(s, -e, 0, k) for k, s, e in base] + [(s, -e, 1, k) for k, s, e in found]):
+        if not more:
+            covered = max(covered, -e)
+        elif -e > max(covered, reach[k]):
+            out.append((k, s, -e))
+            reach[k] = -e
     return out
 
 

@@ -489,6 +489,32 @@ def test_disguises_through_find(text, want):
     assert want in [text[s:e] for _, s, e in added]
 
 
+@pytest.mark.parametrize(
+    "text,spans,redacted",
+    [
+        ("to jаne@example.com now", [("email", "ne@example.com"), ("email", "jаne@example.com")], "to [EMAIL] now"),
+        ("to john@example.cоm now", [("email", "john@example.c"), ("email", "john@example.cоm")], "to [EMAIL] now"),
+        ("jıll@a.co", [("email", "ll@a.co"), ("email", "jıll@a.co")], "[EMAIL]"),
+        ("john@mail.example [dot] com, +44 20 7946 09 five eight one", [("email", "john@mail.example"), ("email", "john@mail.example [dot] com"), ("phone", "+44 20 7946 09"), ("phone", "+44 20 7946 09 five eight one")], "[EMAIL], [PHONE]"),
+        ("a@b.co and \xadc@d.co", [("email", "a@b.co"), ("email", "c@d.co")], "[EMAIL] and \xad[EMAIL]"),
+    ],
+)
+def test_added_spans_reach_beyond_base_spans(spark, text, spans, redacted):
+    [(base, added)] = through_find([text])
+    assert base == pii.base_spans(text)
+    assert sorted((pii.KINDS[k], text[s:e]) for k, s, e in base + added) == sorted(spans)
+    assert pii.redact(spark.createDataFrame([(1, text)], DOCS)).first().text == redacted
+
+
+def test_added_spans_are_never_inside_others():
+    rnd = random.Random(13)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["jа", "@", "a.co", " [dot] ", " one", " two", " five", "+1 555 23", "４", "-", ".", " at ", "1.2.3", "\xad"]) for _ in range(rnd.randrange(2, 16)))
+        base = pii.base_spans(t)
+        added = pii.added_spans(t, base)
+        assert not [x for x in added if any(a <= x[1] and x[2] <= b for _, a, b in base) or any(y != x and y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] for y in added)], t
+
+
 def test_triggers_leave_out_nothing():
     rnd = random.Random(12)
     parts = [*pii.SPELLED, *pii._AT_WORDS, *pii._DOT_WORDS, "plus", "double", "triple", *"[]{}()<>@@..+-, \n\t\xa0\x85\x1c¿«»×÷µ_", " ", " ", " ", "\xad", "ıſİK", "a", "bob", "x.com", "example", "12", "7", "ÄÉü", *pii.HOMOGLYPHS]
