@@ -9,6 +9,11 @@ threshold; elsewhere the clusters are, with the headings that lead into them.  L
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden
 elements and reader comments are never content.
 
+A class, id or role marks such a region by the first or last word of one of its names, reader
+comments by any word; what a name has, or is with or without, marks nothing.  Outside an article, an element that only
+its name marks and that holds an article or main element is a part of the layout and counts
+as unmarked: then the page is read again without that mark.
+
 Character references are decoded, white space inside a line becomes one space, lines are
 trimmed and joined by an empty line.  Defined results: null, empty and text-free pages give
 the empty text; unclosed and stray tags are tolerated; repeated rows are taken one by one.
@@ -37,10 +42,29 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 MARKS = frozenset(
     "ad ads advert advertisement adverts adsense advertising banner sponsor sponsored promo promotion promoted nav navbar navigation navigationbar menu menubar breadcrumb breadcrumbs pager pagination sidebar aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies discussion related recommended recommendations widget search complementary contentinfo dialog skip hidden outbrain taboola paywall".split()
 )
+#: Of these, the marks of reader comments, which may hold article elements of their own.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CONTENT_WORDS = frozenset(("article", "content", "post", "entry", "main", "story", "body"))
+#: What follows these words of a name says what an element has or lacks.
+_TRAITS = frozenset(("has", "have", "with", "without", "no", "not"))
+#: Names that begin so are of wrappers, whatever their last word.
+_LAYOUT = frozenset(("layout", "grid", "columns", "row", "template", "container", "wrapper", "wrap"))
+
+
+def marks(value: str) -> set[str]:
+    """The words of MARKS by which a class, id or role names its element as boilerplate."""
+    found, last = set(), ""
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        words = words[: next((i for i, w in enumerate(words) if w in _TRAITS), len(words))]
+        if words:
+            last = words[-1]
+            if words[0] not in _LAYOUT:
+                found.update(MARKS.intersection((words[0], last)), COMMENTS.intersection(words))
+    return set() if last in _CONTENT_WORDS else found
 
 
 @dataclass
@@ -61,11 +85,15 @@ class Line:
 class Lines(HTMLParser):
     """Collects the lines of a page; boilerplate regions leave none."""
 
-    def __init__(self):
+    def __init__(self, layout: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, int]] = []  # open element and what it opened: 1 boilerplate, 2 article, 4 link
-        self.off = self.inside = self.link = 0
+        self.stack: list[tuple[str, int]] = []  # open element and what it opened: 1 boilerplate, 2 article or main, 4 link, 8 boilerplate by name only, 16 article
+        self.off = self.inside = self.link = self.articles = 0
+        self.layout = layout  # numbers of the elements whose marks do not count
+        self.named = 0
+        self.open_named: list[tuple[int, bool]] = []  # number of each open element of bit 8, and whether it holds comments
+        self.holders: set[int] = set()  # of these, the ones that hold an article or main element
         self.had_article = False
         self._clear()
 
@@ -85,16 +113,27 @@ class Lines(HTMLParser):
         kind = 4 if tag == "a" else 0
         if tag in BOILERPLATE or tag == "header" and not self.inside:
             return kind | 1
+        main = tag == "main" or any(n == "role" and v == "main" for n, v in attrs)
+        article = tag == "article" or any(n == "itemprop" and v == "articleBody" for n, v in attrs)
+        named: set[str] = set()
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
                 return kind | 1
             if value and name in ("class", "id", "role") and tag not in ("body", "html"):
-                words = [w.lower() for w in _WORDS.findall(value)]
-                if MARKS.intersection(words) and not (tag in ("article", "main") or _CONTENT_WORDS.intersection(words[-1:])):
-                    return kind | 1
-        if tag in ("article", "main") or any(n == "role" and v == "main" or n == "itemprop" and v == "articleBody" for n, v in attrs):
-            kind |= 2
+                named |= marks(value)
+        if named and not main and not article:
+            self.named += 1
+            if self.named in self.layout:
+                return kind
+            if self.articles:
+                return kind | 1
+            self.open_named.append((self.named, bool(named & COMMENTS)))
+            return kind | 9
+        if main or article:
+            kind |= 2 | article << 4
             self.had_article = True
+            if self.off == len(self.open_named) and (main or not named and not any(c for _, c in self.open_named)):
+                self.holders.update(i for i, _ in self.open_named)
         return kind
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -115,7 +154,8 @@ class Lines(HTMLParser):
         if kind:
             self.off += kind & 1
             self.inside += kind >> 1 & 1
-            self.link += kind >> 2
+            self.link += kind >> 2 & 1
+            self.articles += kind >> 4
 
     def _close_open(self, tag: str) -> None:
         """Close an element of the same name that is still open in the current container."""
@@ -133,7 +173,10 @@ class Lines(HTMLParser):
             if kind:
                 self.off -= kind & 1
                 self.inside -= kind >> 1 & 1
-                self.link -= kind >> 2
+                self.link -= kind >> 2 & 1
+                self.articles -= kind >> 4
+                if kind & 8:
+                    self.open_named.pop()
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -190,6 +233,10 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
+    if parser.holders:
+        parser = Lines(frozenset(parser.holders))
+        parser.feed(html)
+        parser.close()
     parser.flush()
     marked = parser.had_article and any(x.article for x in parser.lines)
     return "\n\n".join(select(parser.lines, marked))

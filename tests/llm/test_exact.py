@@ -416,6 +416,30 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+LONG = "Long text of the page, with words enough. " * 6
+
+
+@pytest.mark.parametrize("name", ["class='content has-sidebar'", "class='layout-with-sidebar'", "class='main-content no-comments'", "id='page-with-nav'", "class='hasSidebar'", "class='page__body--no-banner wide'", "class='layout-sidebar'", "id='pageWithoutAds'"])
+def test_layout_wrappers_are_read(name):
+    body = f"<div {name}><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class='site-header'>no</div><div class='sidebar-left'>no</div><div class='main-nav no-js'>no</div><div class='post-comments-list'>no</div></div>"
+    assert html.main_text(body) == f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<div class='sidebar-layout'>no<article><p>yes</p></article>no</div>", "yes"),
+        ("<div id='ad'><div class='nav'><main>yes</main></div><nav>no</nav></div><div class='nav'>no</div>", "yes"),
+        ("<main><div class='sidebar-grid'>and<article>yes</article></div><div class='sidebar'>no</div></main>", "and\n\nyes"),
+        ("<div class='comments'><div role='main' class='related'>yes</div></div>", "yes"),
+        ("<article>yes<div class='related'><article>no</article></div></article><div id='comments'><article id='c1'>no</article></div><div class='widget'><article class='comment'>no</article></div>", "yes"),
+        ("<article>yes</article><nav class='sidebar'><article>no</article></nav><div class='sidebar' hidden><article>no</article></div><footer><div class='menu'><article>no</article></div></footer>", "yes"),
+    ],
+)
+def test_elements_that_hold_an_article_are_read(page, want):
+    assert html.main_text(page) == want
+
+
 def test_pages_hard(spark):
     p = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t")], "page_id bigint, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html.extract(p).collect()) == [("", 0), ("x", 1), ("x", 1)]
