@@ -20,7 +20,7 @@ shuffled twice, to cut out those fragments and to remove the spans.
 
 Texts are UTF-8 bytes.  Defined results: null is the empty text; texts shorter than ``size``
 stay whole; repeated rows are each other's copies; rows with equal ids but different texts
-are told apart by a hash of the text; null ids are allowed.
+are told apart by a 64-bit hash of the text; null ids are allowed.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ CROWD = 8192
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.expr(f"cast(xxhash64(coalesce({text_col}, '')) & 65535 as int)").alias("h"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def fragments(rows: DataFrame, size: int) -> DataFrame:
@@ -62,7 +62,7 @@ def fragments(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("h").take(take), *cols], ["id", "h", "g", "f", "lo", "a", "n"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, h int, g long, f long, lo int, a short, n short")
+    return rows.mapInArrow(run, f"id {kind}, h long, g long, f long, lo int, a short, n short")
 
 
 def halves(content: bytes, n: int, u: int, v: int, size: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -84,8 +84,8 @@ def _key(shared: bytes, tag: int) -> int:
     return int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=str(tag).encode()).digest(), "little", signed=True)
 
 
-SHARD = "key long, id {kind}, h int, start int, n short, u short, v short, content binary"
-_SHARD_TYPES = (pa.int64(), None, pa.int32(), pa.int32(), pa.int16(), pa.int16(), pa.int16(), pa.binary())
+SHARD = "key long, id {kind}, h long, start int, n short, u short, v short, content binary"
+_SHARD_TYPES = (pa.int64(), None, pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int16(), pa.binary())
 
 
 def _shard_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -166,7 +166,7 @@ def _sorted_shards(size: int):
 
         def done(found: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*found, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "h", "lo", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "h", "lo", "n"])
 
         for batch in batches:
             kind = batch.column("id").type
@@ -211,7 +211,7 @@ def repeat_windows(rows: DataFrame, size: int = SIZE) -> DataFrame:
     for r in ready[1:]:
         dealt = dealt.unionByName(r)
     dealt = dealt.repartition(4 * C.width(rows.sparkSession), "key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(_sorted_shards(size), f"id {kind}, h int, lo int, n int")
+    found = dealt.mapInArrow(_sorted_shards(size), f"id {kind}, h long, lo int, n int")
     return marked.where("twice").select("id", "h", "lo", F.col("n").cast("int").alias("n")).unionByName(found)
 
 

@@ -222,6 +222,17 @@ def test_repeats_hard(spark, hard, empty, monkeypatch, crowd):
     assert repeats.removal(empty).isEmpty()
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_repeats_of_many_rows_with_one_id(spark, key):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    rows = [(key, word(rnd.randrange(200, 300))) for _ in range(1500)]
+    rows += [(i, t[:200] + word(10)) for i, (_, t) in enumerate(rows[::2], 100)]
+    rows += rows[1:30:2]
+    got = sorted((tuple(r) for r in repeats.removal(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
+    assert got == brute_repeats([(k, t.encode()) for k, t in rows], 200)
+
+
 def test_repeats_are_cut_out(spark):
     t = "x" + "".join(chr(97 + i * i % 26) for i in range(250))
     got = {r.doc_id: r.text for r in repeats.remove_repeats(spark.createDataFrame([(1, t + "tail"), (2, "head" + t), (3, "alone")], DOCS)).collect()}
