@@ -3,14 +3,19 @@
 ``Encoder`` gives the ids that the ``tokenizers`` library gives for a byte-level BPE file.
 That library makes about 3 MB of text a second and core, so plain texts take a second path
 with the same ranks: the file's vocabulary loaded into a faster BPE.  Texts with an added
-token of the file, or with characters beyond Latin-1 (where Unicode tables of the two
-libraries could differ), go through ``tokenizers`` itself.  Tests compare both paths.
+token of the file, with characters beyond Latin-1 (where Unicode tables of the two
+libraries could differ) or with a run of white space that the faster one has no stack for,
+go through ``tokenizers`` itself.  Tests compare both paths.
+
+Long texts are encoded in pieces of about ``PIECE`` characters, cut where the split pattern
+always parts words, so memory follows the piece and not the text; ids stay the same.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +26,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 #: Fixed value: the split pattern of byte-level BPE files whose pre-tokenizer has use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+PIECE = 1 << 16
+LONG_RUN = 1 << 14
+_BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
+#: No alternative of PATTERN reaches over these places: before white space, and between a full-width stop and a letter.
+_CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=[、。，！？])(?=[\u4e00-\u9fa5\u3041-\u3096\uac00-\ud7a3])")
+
 
 def _byte_of() -> dict[str, int]:
     """The printable character that byte-level vocabularies write for each byte."""
@@ -37,14 +48,16 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.fast = self._fast(spec)
+        added = spec.get("added_tokens", [])
+        self.added = [t["content"] for t in added]
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = not (spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("dropout"))
+        self.cuts = plain and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in added)
+        self.fast = self._fast(spec) if plain and not model.get("ignore_merges") else None
 
     def _fast(self, spec: dict):
         """The same BPE in the faster library, if the file is one that it can stand for."""
-        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges"):
-            return None
+        model = spec["model"]
         try:
             import tiktoken
         except ImportError:
@@ -59,9 +72,20 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Token ids without special tokens, as unsigned 32-bit numbers."""
+        if len(text) <= PIECE or not self.cuts:
+            return self._ids(text)
+        parts, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + PIECE)
+            end = cut.start() if cut else len(text)
+            parts.append(self._ids(text[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def _ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fast is not None and _latin(text) and not any(a in text for a in self.added):
+        if self.fast is not None and _latin(text) and not any(a in text for a in self.added) and not (len(text) > LONG_RUN and _BLANKS.search(text)):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
