@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +78,7 @@ def ips(text: str) -> list[tuple[int, int]]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
                 out.append((at, end))
             at = end + 1
     return out
@@ -129,9 +130,11 @@ _OPEN, _CLOSE = r"[\[\(\{<]\s*", r"\s*[\]\)\}>]"
 _LABEL = r"[A-Za-z0-9-]+"
 _AT_WORDS = ("at", "ät", "arroba", "arobase")
 _DOT_WORDS = ("dot", "punto", "punkt", "point")
-_AT_BOXED = re.compile(rf"\s*{_OPEN}(?:{_AT}|@){_CLOSE}\s*|\s+@\s*|\s*@\s+", re.I)
-_AT_BARE = re.compile(rf"\s+{_AT}\s+(?={_LABEL}(?:\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*|\s+{_DOT}\s+){_LABEL})", re.I)
-_DOT_ANY = re.compile(rf"\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*|\s+{_DOT}\s+", re.I)
+#: a match takes the white space before it whole, so that long runs are read once
+_BEFORE = r"(?:(?<!\s)\s+)"
+_AT_BOXED = re.compile(rf"{_BEFORE}?{_OPEN}(?:{_AT}|@){_CLOSE}\s*|{_BEFORE}@\s*|{_BEFORE}?@\s+", re.I)
+_AT_BARE = re.compile(rf"{_BEFORE}{_AT}\s+(?={_LABEL}(?:\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*|\s+{_DOT}\s+){_LABEL})", re.I)
+_DOT_ANY = re.compile(rf"\s*{_OPEN}(?:{_DOT}|\.){_CLOSE}\s*|\s+{_DOT}\s+", re.I)  # only matched at a given place
 _DOT_WIDE = re.compile(r"\s+\.\s+|\s+\.(?=[A-Za-z0-9])")
 _SPELL = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|{_SPELL}|double|triple)(?!\w)|\+|[0-9]+)(?:[\s.,()-]*(?:(?<!\w)(?:{_SPELL}|double|triple|{_DOT})(?!\w)|[0-9]+))+", re.I)
@@ -141,20 +144,20 @@ _TOKEN = re.compile(rf"(?<!\w)(?:plus|{_SPELL}|double|triple|{_DOT})(?!\w)|\+|[0
 class Mapped:
     """A text whose every character knows the source range [start, end) it stands for."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, starts: array | None = None, ends: array | None = None):
         self.text = text
-        self.starts = list(range(len(text))) if starts is None else starts
-        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
+        self.starts = array("q", range(len(text))) if starts is None else starts
+        self.ends = array("q", range(1, len(text) + 1)) if ends is None else ends
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
         """Replace ranges of this text; the new characters of an edit share its whole source range."""
         if not edits:
             return self
-        parts, starts, ends, at = [], [], [], 0
+        parts, starts, ends, at = [], array("q"), array("q"), 0
         for s, e, new in edits:
             parts += [self.text[at:s], new]
-            starts += self.starts[at:s] + [self.starts[s]] * len(new)
-            ends += self.ends[at:s] + [self.ends[e - 1]] * len(new)
+            starts += self.starts[at:s] + array("q", [self.starts[s]]) * len(new)
+            ends += self.ends[at:s] + array("q", [self.ends[e - 1]]) * len(new)
             at = e
         parts.append(self.text[at:])
         return Mapped("".join(parts), starts + self.starts[at:], ends + self.ends[at:])
