@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
@@ -37,12 +38,57 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class Tables:
+    """The tables of one run, in a folder of its own below the shared root.
+
+    Written tables cut lineage and outlive lost executors.  A run drops the tables that
+    nothing reads any more; those its result still reads stay until ``drop_since`` or the end
+    of the driver, which removes what is left.
+    """
+
+    runs: list[Tables] = []
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_root(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
+        if not Tables.runs:
+            atexit.register(drop_since, 0)
+        Tables.runs.append(self)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back; a name may be written again."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str, keep: int = 0) -> None:
+        """Remove the tables of these names but the last ``keep`` of each."""
+        for name in names:
+            held = self.paths.get(name, [])
+            for path in held[: len(held) - keep]:
+                _remove(self.spark, path)
+            self.paths[name] = held[len(held) - keep :]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+
+
+def drop_since(mark: int) -> None:
+    """Remove everything that runs begun since ``mark = len(Tables.runs)`` have written; their results must have been read."""
+    for run in Tables.runs[mark:]:
+        try:
+            _remove(run.spark, run.root)
+        except (Py4JError, OSError):  # the driver's JVM is gone at exit
+            return
+    del Tables.runs[mark:]
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write one table of its own run."""
+    return Tables(df.sparkSession, name).write(df, name)
 
 
 def width(spark: SparkSession) -> int:

@@ -3,7 +3,7 @@
 1. One pass over the texts hashes every word shingle and keeps, for each document, the
    number of distinct shingles, a 128-bit key of the whole set, and the ``k`` smallest
    hashes (its sketch).  Texts themselves are not shuffled here.
-2. Documents with equal sets form one class; only the smallest id of a class goes on.
+2. Documents with equal sets form one class; only one row of a class goes on, under a number.
 3. Inverted lists of the retained values: two sets as alike as asked share at least
    ``overlap(n)`` sketch values, so they share one of the ``k - overlap + 1`` rarest of
    each.  Only those are listed, which leaves words and passages that stand everywhere out
@@ -19,8 +19,9 @@ What 3 and 4 say of sketches holds with probability above 1 - 1e-9 a pair, and a
 sets of at most ``k`` shingles.
 
 Defined results: null, empty and wordless texts have no shingles and no links; fewer words
-than a shingle make one shingle of the whole sequence; repeated ids are united into one
-row; a null id is dropped from the linking and keeps to itself.  Only id and text are read.
+than a shingle make one shingle of the whole sequence; repeated rows, rows with equal ids and
+different texts and rows with null ids are linked one by one, each by its own text.  Only id
+and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.llm import common as C
 from larkspur.llm.components import components
@@ -69,8 +70,17 @@ def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.ndarray
             yield np.zeros(0, np.uint64)
 
 
-def signatures(docs: DataFrame, width: int, k: int = K) -> DataFrame:
-    """(id, n, key, sketch) of each row; sketch holds the k smallest hashes in order."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): ``h`` tells rows with equal ids apart by their text."""
+    return docs.select(F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def signatures(rows: DataFrame, width: int, k: int = K) -> DataFrame:
+    """(id, h, n, key, sketch) of each row; sketch holds the k smallest hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,10 +92,10 @@ def signatures(docs: DataFrame, width: int, k: int = K) -> DataFrame:
                     sketch.append(s[:k].view(np.int64))
             cut = np.concatenate([[0], np.cumsum([len(s) for s in sketch])]).astype(np.int32)
             values = np.concatenate(sketch) if sketch else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(values))], ["id", "n", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(values))], ["id", "h", "n", "key", "sketch"])
 
-    kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n long, key binary, sketch array<long>")
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(run, f"id {kind}, h long, n long, key binary, sketch array<long>")
 
 
 def _checker(width: int, percent: int):
@@ -136,43 +146,68 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFr
     return both.where(F.col("both") >= need).select("a", "b")
 
 
-def inverted_lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
+def inverted_lists(reps: DataFrame, percent: int, k: int, t: C.Tables) -> DataFrame:
     """(v, id, n): each document under the rarest of its retained values, as many as a link needs."""
     least = -(-percent // (100 - percent))  # smaller sets have no link to a different set
     posts = reps.where(F.col("n") >= least).select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     # counts are written before they are joined back: a join of two plain exchanges can be split at a common value
-    common = C.materialize(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
+    common = t.write(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
     mine = posts.join(common, "v").groupBy("id", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
     take = F.expr(f"m - least({least_overlap(k, percent)}, cast(ceil({percent} * n / 100) as int)) + 1 - (m - size(s))")
     return mine.withColumn("take", take).where("take > 0").select(F.explode(F.expr("slice(s, 1, take).v")).alias("v"), "id", "n")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every id of ``docs``."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sigs = C.materialize(signatures(base, width, k), "signatures")
-    linked = sigs.where("n > 0 and id is not null")
-    reps = linked.groupBy("key").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("key", "r.*")
-    reps = C.materialize(reps, "classes")
-    lists = C.materialize(inverted_lists(reps, percent, k), "lists")
+def _repeated(sigs: DataFrame) -> DataFrame:
+    """(id, h) of the rows that stand in the table more than once, id and text."""
+    return sigs.groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1").select("id", "h")
 
-    # the texts of listed documents, read once more and kept apart: all that follows reads only these
-    texts = C.materialize(base.join(lists.select("id").distinct(), "id"), "listed-texts")
-    lead = C.materialize(lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a"), "leaders")
-    pairs = C.materialize(lists.join(lead, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
-    edges = C.materialize(confirm(estimated(pairs, reps, percent, k), texts, width, percent), "links")
-    comps = C.materialize(components(edges, "a", "b"), "components")
 
-    more = C.materialize(_across(lists, texts, comps, width, percent), "cross-pairs")
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, classes (key, none, id, h, n, sketch, node) and components (node, component) of the linked ones."""
+    t = C.Tables(docs.sparkSession, "near-duplicates")
+    base = _rows(docs, id_col, text_col)
+    sigs = t.write(signatures(base, width, k), "signatures")
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n", "sketch")).alias("r")
+    classes = sigs.where("n > 0").groupBy("key").agg(one).select("key", "r.*")
+    # written before anything reads them, so the numbers stay whatever is computed again
+    classes = t.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = classes.select(F.col("node").alias("id"), "n", "sketch")
+    lists = t.write(inverted_lists(reps, percent, k, t), "lists")
+
+    # the texts of listed documents, read once more and kept apart: all that follows reads only these
+    listed = lists.select(F.col("id").alias("node")).distinct().join(classes.select("node", F.col("id").alias("rid"), F.col("h").alias("rh")), "node")
+    texts = base.join(listed, F.expr("id <=> rid and h = rh")).select(F.col("node").alias("id"), "text")
+    if not _repeated(sigs).isEmpty():  # one of each text that stands there again under its id
+        texts = texts.groupBy("id").agg(F.first("text").alias("text"))
+    texts = t.write(texts, "listed-texts")
+    lead = t.write(lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a"), "leaders")
+    pairs = t.write(lists.join(lead, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
+    edges = t.write(confirm(estimated(pairs, reps, percent, k), texts, width, percent), "links")
+    t.drop("shared-values", "leaders", "star-pairs")
+    comps = components(edges, "a", "b")
+
+    more = _across(lists, texts, comps, width, percent, t)
     if not more.isEmpty():
-        found = C.materialize(confirm(estimated(more, reps, percent, k), texts, width, percent), "links")
+        found = t.write(confirm(estimated(more, reps, percent, k), texts, width, percent), "links")
         if not found.isEmpty():
             comps = components(edges.union(found), "a", "b")
+    t.drop("lists", "listed-texts", "cross-pairs", "links")
+    return sigs, classes, comps
+
 
-    root = reps.select("key", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("root"))
-    out = sigs.select("id", "n", F.when(F.expr("n > 0 and id is not null"), F.col("key")).alias("key")).join(root, "key", "left")
-    out = out.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("root", "id")).alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
+
+    ``component_id`` is the smallest id reachable by links (null where only null ids are),
+    ``kept`` whether it is the row's own.
+    """
+    sigs, classes, comps = _linked(docs, id_col, text_col, width, percent, k)
+    smallest = comps.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("smallest"))
+    linked = comps.join(smallest, "component").select("node", "smallest")
+    root = classes.select("key", "node", "id").join(linked, "node", "left").select("key", F.coalesce("smallest", "id").alias("root"))
+    out = sigs.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(root, "key", "left")
+    component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -180,7 +215,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
 
 
-def _across(lists: DataFrame, texts: DataFrame, comps: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(lists: DataFrame, texts: DataFrame, comps: DataFrame, width: int, percent: int, t: C.Tables) -> DataFrame:
     """Every pair in different components that could still be a link.
 
     Only documents of lists with several components take part.  Their full sets are put in
@@ -192,8 +227,8 @@ def _across(lists: DataFrame, texts: DataFrame, comps: DataFrame, width: int, pe
     """
     comp = comps.withColumnRenamed("node", "id")
     held = lists.join(comp, "id", "left").select("v", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = C.materialize(_mixed(held), "mixed-values")
-    rest = C.materialize(held.join(mixed, "v").select("id", "comp").distinct(), "unsettled")
+    mixed = t.write(_mixed(held), "mixed-values")
+    rest = t.write(held.join(mixed, "v").select("id", "comp").distinct(), "unsettled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,22 +238,44 @@ def _across(lists: DataFrame, texts: DataFrame, comps: DataFrame, width: int, pe
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("comp").slice(a, b - a), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "comp", "s"])
 
     kind = dict(texts.dtypes)["id"]
-    sets = C.materialize(texts.join(rest, "id").select("id", "comp", "text").mapInArrow(run, f"id {kind}, comp {kind}, s array<long>"), "full-sets")
+    sets = t.write(texts.join(rest, "id").select("id", "comp", "text").mapInArrow(run, f"id {kind}, comp {kind}, s array<long>"), "full-sets")
     posts = sets.select("id", "comp", F.size("s").cast("long").alias("n"), F.explode("s").alias("v"))
-    common = C.materialize(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
+    common = t.write(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     mine = posts.join(common, "v").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
     mine = mine.withColumn("own", F.expr("n - size(s)"))  # shingles that nobody else has come first
     mine = mine.withColumn("probe", F.expr(f"cast(n - ceil({percent} * n / 100) + 1 - own as int)")).withColumn("index", F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1 - own"))
     places = mine.where("probe > 0").select("id", "comp", "n", "own", "index", F.posexplode(F.expr("slice(s, 1, probe).v")).alias("pos", "v"))
-    places = C.materialize(places.select("v", "id", "comp", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), (F.col("pos") < F.col("index")).alias("indexed")), "prefixes")
-    places = C.materialize(places.join(C.materialize(_mixed(places), "mixed-shingles"), "v"), "mixed-prefixes")
+    places = t.write(places.select("v", "id", "comp", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), (F.col("pos") < F.col("index")).alias("indexed")), "prefixes")
+    places = t.write(places.join(t.write(_mixed(places), "mixed-shingles"), "v"), "mixed-prefixes")
     x = places.select("v", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
     y = places.where("indexed").select("v", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"))
     fits = f"cx <> cy and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {percent} * nx and {100 + percent} * least(lx, ly) >= {percent} * (nx + ny)"
-    return x.join(y, "v").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = t.write(x.join(y, "v").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cross-pairs")
+    t.drop("mixed-values", "unsettled", "full-sets", "shared-shingles", "prefixes", "mixed-shingles", "mixed-prefixes")
+    return pairs
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` with one document of each near-duplicate group (the smallest id); rows with null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(F.col(id_col).alias("_gone_id"))
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    """Rows of ``docs``, all columns, with one row of each near-duplicate group.
+
+    The row with the smallest id stays (null ids last), of equal ids the one with the smaller
+    hash of its text, of rows equal in both any one.  Rows without words are in no group and
+    stay.  A row is dropped by its id and its text, so another text under its id is safe.
+    """
+    sigs, classes, comps = _linked(docs, id_col, text_col, width, percent, K)
+    first = F.struct("none", "id", "h")
+    best = comps.join(classes.select("node", first.alias("own")), "node").groupBy("component").agg(F.min("own").alias("best"))
+    linked = comps.join(best, "component").select("node", "best")
+    stays = classes.select("key", "node", first.alias("own")).join(linked, "node", "left").select("key", F.coalesce("best", "own").alias("best"))
+    judged = sigs.where("n > 0").join(stays, "key").select("id", "h", F.expr("id <=> best.id and h = best.h").alias("stays"))
+    t = C.Tables(docs.sparkSession, "keep-first")
+    gone = t.write(judged.where("not stays").select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct(), "gone")
+    again = t.write(_repeated(judged.where("stays")).withColumnsRenamed({"id": "_again_id", "h": "_again_h"}), "again")
+    h = _text_hash(docs[text_col])
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (h == gone["_gone_h"]), "left_anti")
+    if again.isEmpty():
+        return out
+    same = docs[id_col].eqNullSafe(again["_again_id"]) & (h == again["_again_h"])
+    whole = F.struct(*(docs[c] for c in docs.columns))
+    once = out.join(again, same, "left_semi").groupBy(docs[id_col], h).agg(F.first(whole).alias("row")).select("row.*")
+    return out.join(again, same, "left_anti").unionByName(once)

@@ -389,10 +389,33 @@ def test_near_duplicates_hard(hard, empty):
     assert got[1] == (0, 1, True) and got[2] == (0, 2, True) and got[8][0] == 0 and got[4] == (1, 3, False) and got[6][1:] == (6, True)
     assert got[None][1] is None
     left = neardup.keep_first(hard)
-    assert left.columns == hard.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 5, 6, 6, 7, 8]
+    assert left.columns == hard.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
     assert neardup.near_duplicates(empty).isEmpty()
 
 
+def test_near_duplicates_row_by_row(spark):
+    """Equal ids with different texts, null ids and repeated rows: each row is judged by its own text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (2, c), (None, c), (None, "alone in the world"), (None, "alone in the world"), (3, ""), (3, ""), (4, "just here once"), (4, "just here once")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n bigint")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(1, 26, 1, True), (1, 26, 1, True), (2, 26, 1, False), (2, 26, 2, True), (None, 26, 2, False), (None, 1, None, True), (None, 1, None, True), (3, 0, 3, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True)], key=repr)
+    left = sorted(((r.doc_id, r.text) for r in neardup.keep_first(docs).collect()), key=repr)
+    assert left == sorted([(1, a), (1, b), (2, c), (None, "alone in the world"), (3, ""), (3, ""), (4, "just here once")], key=repr)
+
+
+def test_tables_are_removed(spark):
+    from pathlib import Path
+
+    mark = len(C.Tables.runs)
+    out = neardup.near_duplicates(table(spark))
+    out.count()
+    run = next(t for t in C.Tables.runs[mark:] if "near-duplicates" in t.root)
+    assert {p.name.rsplit("-", 1)[0] for p in Path(run.root).iterdir()} == {"signatures", "classes"}
+    C.drop_since(mark)
+    assert not Path(run.root).exists() and len(C.Tables.runs) == mark
+
+
 def test_components_of_long_chains(spark):
     rows = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (200, 200), (102, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(rows, "a bigint, b bigint"), "a", "b").collect()}
