@@ -1,13 +1,16 @@
 """Main text of web pages from parser events and smoothed text-to-tag ratios.
 
 The standard library's streaming parser turns a page into lines, one for each block
-element.  A line's ratio is its characters outside links over its tags.  The ratios,
-smoothed along the page with a Gaussian kernel, are split at a threshold of mean and
-deviation; neighbouring lines above it form clusters.  Where a page marks its article, the
-lines inside are the content, less those whose text is mostly links and lies below the
-threshold; elsewhere the clusters are, with the headings that lead into them.  Lines inside
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden
-elements and reader comments are never content.
+element.  A line's ratio is its characters outside links over its tags; what the markup says
+of the line is added in units of the page's mean ratio (an article, a paragraph or heading, a
+list item or cell) or takes it away (links, but for an article's paragraphs; outside the article,
+where the page marks one).
+Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+hidden elements and reader comments count as empty: they are the valleys.  The ratios are
+smoothed along the page with a Gaussian kernel and cut at a threshold of mean and deviation;
+neighbouring lines above it form clusters, less the lines at their ends that only the
+smoothing has lifted.  The clusters are the content, without valleys and link lists; where no
+article is marked, a heading stays only with what follows it.
 
 A class, id or role marks such a region by the first or last word of one of its names, reader
 comments by any word; what a name has, or is with or without, marks nothing.  Outside an article, an element that only
@@ -31,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SIGMA = 1.0
+#: What markup adds to a line's ratio, in mean ratios; above 1 a line passes the threshold among its like.
+ARTICLE, PARAGRAPH, ITEM = 3.0, 2.0, 1.5
 
 #: Elements by what they do to lines and regions.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -38,6 +43,8 @@ BOILERPLATE = frozenset("nav aside footer form dialog button select option texta
 RAW = frozenset(("script", "style"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+PARAGRAPHS = HEADINGS | {"p", "pre", "blockquote", "figcaption"}
+ITEMS = frozenset(("li", "dt", "dd", "td", "th"))
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert advertisement adverts adsense advertising banner sponsor sponsored promo promotion promoted nav navbar navigation navigationbar menu menubar breadcrumb breadcrumbs pager pagination sidebar aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies discussion related recommended recommendations widget search complementary contentinfo dialog skip hidden outbrain taboola paywall".split()
@@ -69,21 +76,25 @@ def marks(value: str) -> set[str]:
 
 @dataclass
 class Line:
-    """One block of text as the parser met it."""
+    """One block of text as the parser met it; boilerplate has no text."""
 
     text: str
     tags: int
     linked: int
     article: bool
-    heading: bool
+    element: str
 
     @property
     def ratio(self) -> float:
         return max(0, len(self.text) - self.linked) / max(1, self.tags)
 
+    @property
+    def links(self) -> bool:
+        return self.linked > 0.6 * len(self.text)
+
 
 class Lines(HTMLParser):
-    """Collects the lines of a page; boilerplate regions leave none."""
+    """Collects the lines of a page; boilerplate regions leave empty ones."""
 
     def __init__(self, layout: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
@@ -100,13 +111,17 @@ class Lines(HTMLParser):
     def _clear(self) -> None:
         self.parts: list[str] = []
         self.tags = self.linked = 0
-        self.heading = False
+        self.element = ""
+        self.valley = False
 
     def flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append(Line(text, self.tags, min(self.linked, len(text)), self.inside > 0, self.heading))
+                self.lines.append(Line(text, self.tags, min(self.linked, len(text)), self.inside > 0, self.element))
+                self.valley = False
+        if self.valley:
+            self.lines.append(Line("", self.tags, 0, False, ""))
         self._clear()
 
     def _kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -143,8 +158,7 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
-            if tag in HEADINGS:
-                self.heading = True
+            self.element = tag
         if tag in VOID:
             return
         if tag in ("p", "li", "td", "tr", "dd", "dt", "option"):  # their end tags may be left out
@@ -191,10 +205,14 @@ class Lines(HTMLParser):
                 return  # a stray end tag of an inline element closes no block
 
     def handle_data(self, data: str) -> None:
-        if not self.off and not (self.stack and self.stack[-1][0] in RAW):
-            self.parts.append(data)
-            if self.link:
-                self.linked += len(data)
+        if self.stack and self.stack[-1][0] in RAW:
+            return
+        if self.off:
+            self.valley = self.valley or not data.isspace()
+            return
+        self.parts.append(data)
+        if self.link:
+            self.linked += len(data)
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -205,24 +223,41 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
+def values(lines: list[Line], marked: bool) -> np.ndarray:
+    """The ratio of every line with what its markup adds; 0 for valleys and for what is outside a marked article."""
+    own = np.array([x.ratio if x.text and (x.article or not marked) else 0.0 for x in lines])
+    live = [x.text != "" and (x.article or not marked) and not (x.links and not (x.article and x.element in PARAGRAPHS)) for x in lines]
+    mean = own[live].mean() if any(live) else 0.0
+    gain = [(ARTICLE if x.article else PARAGRAPH if x.element in PARAGRAPHS else ITEM if x.element in ITEMS else 0.0) if ok else 0.0 for x, ok in zip(lines, live, strict=True)]
+    return own + mean * np.array(gain)
+
+
+def clusters(value: np.ndarray, smoothed: np.ndarray) -> list[tuple[int, int]]:
+    """Runs [a, b) of lines whose smoothed value passes the threshold, less low lines at their ends."""
+    threshold = 0.5 * min(smoothed.mean(), max(smoothed.max() - smoothed.std(), 0.0))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], smoothed > threshold, [False]]).astype(np.int8)))
+    out = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        high = np.flatnonzero(value[a:b] > threshold / 2)
+        if len(high):
+            out.append((a + int(high[0]), a + int(high[-1]) + 1))
+    return out
+
+
 def select(lines: list[Line], marked: bool) -> list[str]:
     """Texts of the content lines, in page order."""
     if not lines:
         return []
-    ratio = np.array([x.ratio for x in lines])
-    smoothed = smooth(ratio)
-    threshold = min(smoothed.mean(), max(smoothed.max() - smoothed.std(), 0.0)) * 0.5
-    above = smoothed > threshold
-    keep = []
-    for i, x in enumerate(lines):
-        links = x.linked > 0.6 * len(x.text)
-        if marked:
-            keep.append(x.article and not (links and ratio[i] <= threshold))
-        else:
-            keep.append(bool(above[i]) and not links)
+    value = values(lines, marked)
+    keep = [False] * len(lines)
+    for a, b in clusters(value, smooth(value)):
+        for i in range(a, b):
+            x = lines[i]
+            keep[i] = x.text != "" and (x.article or not marked) and not (x.links and (x.element in ITEMS or not marked))
     if not marked:
         for i in range(len(lines) - 2, -1, -1):  # headings lead into what follows
-            keep[i] = keep[i] or lines[i].heading and keep[i + 1]
+            if lines[i].text and lines[i].element in HEADINGS:
+                keep[i] = keep[i + 1]
     return [x.text for x, k in zip(lines, keep, strict=True) if k]
 
 

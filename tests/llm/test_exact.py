@@ -474,6 +474,33 @@ def test_elements_that_hold_an_article_are_read(page, want):
     assert html.main_text(page) == want
 
 
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Section {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # no marks at all: articles in divs, short paragraphs, menus above, between and below
+        (f"<div>{MENU}</div><div><h1>Title</h1><p>{LONG}</p><p>Yes.</p><p>No.</p>{MENU}<p>{LONG}</p><p>The end.</p></div><div>{MENU}</div>", ["Title", LONG, "Yes.", "No.", LONG, "The end."]),
+        (f"<table><tr><td>{MENU}</td><td><p>{LONG}</p>" + "<p>Short.</p>" * 12 + f"<p>{LONG}</p></td></tr></table>", [LONG, *["Short."] * 12, LONG]),
+        (f"<div>{LONG}</div><div>{LONG}<br>{LONG}</div><div><a href='x'>Next</a> | <a href='y'>Back to the list of all pages</a></div>", [LONG, f"{LONG.strip()} {LONG}"]),
+        (f"<div><p>{LONG}</p><ul><li>One thing</li><li>Another</li><li>A third</li><li>A fourth</li><li>A fifth</li></ul><h2>Read on</h2>{MENU}</div>", [LONG, "One thing", "Another", "A third", "A fourth", "A fifth"]),
+        (f"<article><p>{LONG}</p><p><a href='x'>A paragraph that is a link</a></p>{MENU}<p>{LONG}</p></article><div>{LONG}</div>", [LONG, "A paragraph that is a link", LONG]),
+    ],
+)
+def test_clusters_of_ratios_are_the_content(page, want, monkeypatch):
+    assert html.main_text(page) == "\n\n".join(x.strip() for x in want)
+    monkeypatch.setattr(html, "smooth", lambda v, sigma=1.0: np.zeros(len(v)))
+    assert html.main_text(page) == ""
+
+
+def test_smoothing_lifts_what_stands_among_long_lines(monkeypatch):
+    page = f"<div>{LONG * 3}</div><div>Short.</div><div>{LONG * 3}</div>" + "<div>Sign up now</div>" * 6
+    assert html.main_text(page) == f"{(LONG * 3).strip()}\n\nShort.\n\n{(LONG * 3).strip()}"
+    monkeypatch.setattr(html, "smooth", lambda v, sigma=1.0: v)
+    assert "Short." not in html.main_text(page)
+
+
 def test_pages_hard(spark):
     p = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t")], "page_id bigint, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html.extract(p).collect()) == [("", 0), ("x", 1), ("x", 1)]
