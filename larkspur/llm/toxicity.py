@@ -2,13 +2,17 @@
 
 A logistic model over hashed word and word-stem presence features.  Every training text
 that names an identity group gets a counterfactual with the term swapped for another
-group; the squared change of the score is added to the loss, so a neutral mention cannot
-push a score up.  Fitting uses at most ``max_rows`` labelled rows (chosen by hash of the
-id); scoring reads every whole text and sends it through vectorised byte kernels.
+group, and every training text one with a term put in; the squared change of the score is
+added to the loss, so a neutral mention cannot push a score up, whether or not the labelled
+texts name groups.  The loss is convex and the steps are searched, so it falls and the weights
+stay finite at any strength of the penalty.
+
+Fitting uses at most ``max_rows`` labelled texts of at most ``max_bytes`` together, first by
+hash of the id; scoring reads every whole text and sends it through vectorised byte kernels.
 
 Defined results: null and empty texts score the model's intercept; an empty label table
 gives score 0 for all; rows with null id are scored and not held out; ids that repeat are
-scored row by row.  Only the id and the text column are read, so other columns never clash.
+scored row by row; a labelled text that repeats under its id counts once in the fit.  Only the id and the text column are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from larkspur.llm import common as C
 
@@ -44,6 +48,7 @@ class Model:
     weights: np.ndarray
     bias: float
     fitted: bool
+    losses: tuple[float, ...] = ()
 
     def table(self) -> np.ndarray:
         out = np.zeros(1 << BITS, np.float32)
@@ -85,24 +90,37 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             key = C.distinct((row << BITS) | bucket)
             cut = np.searchsorted(key, np.arange(len(offs)) << BITS)
             values = pa.array((key & ((1 << BITS) - 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), values)], ["toxic", "keys"])
-
+            kept = [batch.column(c).slice(a, b - a) for c in ("id", "h", "toxic")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), values)], ["id", "h", "toxic", "keys"])
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, counterfactual: float = 2.0, l1: float = 1.5e-4, epochs: int = 60, holdout: int = 5) -> Model:
-    """Fit on at most ``max_rows`` labelled rows whose crc32(id) mod ``holdout`` is not 0.
 
-    The sample is bounded by that parameter, so what reaches the driver is bounded too.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, holdout: int) -> DataFrame:
+    """(id, h, toxic, text) of the labelled texts to fit on, each text of an id once."""
     rows = (
         labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("id").isNotNull() & F.col("toxic").isNotNull())
         .where(F.expr(C.crc32_mod("id", holdout)) != 0)
+        .distinct()
         .orderBy(F.xxhash64("id"), "toxic")
         .limit(max_rows)
     )
-    text = docs.select(F.col("doc_id").alias("id"), F.col("text"))
-    sample = text.join(F.broadcast(rows), "id").select("text", "toxic")
-    got = sample.mapInArrow(_sample_features, "toxic int, keys array<int>").toArrow().combine_chunks()
+    text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
+    known = text.join(F.broadcast(rows), "id").groupBy("id", "h", "toxic").agg(F.max(F.octet_length("text")).alias("bytes"))
+    order = Window.orderBy(F.xxhash64("id"), "h", "toxic")  # over max_rows numbers, no texts
+    first = known.orderBy(F.xxhash64("id"), "h", "toxic").limit(max_rows).withColumn("upto", F.sum(F.coalesce("bytes", F.lit(0))).over(order))
+    first = first.where(F.col("upto") <= max_bytes).select("id", "h", "toxic")
+    return text.join(F.broadcast(first), ["id", "h"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_bytes: int = 48 << 20, counterfactual: float = 2.0, l1: float = 1.5e-4, epochs: int = 60, holdout: int = 5) -> Model:
+    """Fit on at most ``max_rows`` labelled texts, ``max_bytes`` together, whose crc32(id) mod ``holdout`` is not 0.
+
+    The sample is bounded by these parameters, so what reaches the driver is bounded too.
+    """
+    sample = _sample(docs, labels, max_rows, max_bytes, holdout)
+    kind = dict(sample.dtypes)["id"]
+    found = sample.mapInArrow(_sample_features, f"id {kind}, h long, toxic int, keys array<int>")
+    got = found.dropDuplicates(["id", "h", "toxic"]).select("toxic", "keys").toArrow().combine_chunks()
     if not got.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, False)
     keys = got["keys"].combine_chunks() if isinstance(got["keys"], pa.ChunkedArray) else got["keys"]
@@ -111,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, counterfactu
 
 
 def _train(row: np.ndarray, key: np.ndarray, y: np.ndarray, counterfactual: float, l1: float, epochs: int) -> Model:
-    """Proximal gradient descent with momentum on logistic loss + counterfactual penalty + L1."""
+    """Accelerated proximal descent on logistic loss + counterfactual penalty + L1, steps by backtracking."""
     n = len(y)
     df = np.bincount(key, minlength=1 << BITS)
     pos = np.bincount(key, weights=y[row], minlength=1 << BITS)
@@ -124,45 +142,68 @@ def _train(row: np.ndarray, key: np.ndarray, y: np.ndarray, counterfactual: floa
     use = at[key] >= 0
     row, col = row[use], at[key[use]]
     d = len(keep)
-    pairs = _swaps(row, col, keep, at, n)
-    w, b, v, vb = np.zeros(d), float(np.log((base + 1e-6) / (1 - base + 1e-6))), np.zeros(d), 0.0
-    scale = 1.0 / np.sqrt(np.maximum(np.bincount(col, minlength=d), 1) / n)  # diagonal preconditioner
-    step = 0.5
-    for t in range(epochs):
-        m = t / (t + 3)
+    changes = _changes(row, col, at, n) if counterfactual > 0 else []
+    curve = np.sqrt(np.maximum(np.bincount(col, minlength=d), 1) / n) / 2
+    for out, back, share in changes:  # (sum out - sum back) ** 2 <= size * sum of squares
+        curve[np.concatenate([out, back])] += 2 * counterfactual * share * (len(out) + len(back))
+
+    def loss(w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        f = np.bincount(row, weights=w[col], minlength=n) + b
+        penalty = sum(share * (w[out].sum() - w[back].sum()) ** 2 for out, back, share in changes)
+        return float(np.mean(np.logaddexp(0, f) - y * f) + counterfactual * penalty), f
+
+    w, b, v, vb, tight, momentum = np.zeros(d), float(np.log((base + 1e-6) / (1 - base + 1e-6))), np.zeros(d), 0.0, 1.0, 0
+    losses = [loss(w, b)[0]]
+    for _ in range(epochs):
+        m = momentum / (momentum + 3)
         wl, bl = w + m * v, b + m * vb
-        f = np.bincount(row, weights=wl[col], minlength=n) + bl
-        r = (1 / (1 + np.exp(-np.clip(f, -30, 30))) - y) / n
-        g = np.bincount(col, weights=r[row], minlength=d)
-        for out, back, times in pairs:  # a swap changes the score by the weights that leave minus those that enter
-            diff = wl[out].sum() - wl[back].sum()
-            g[out] += 2 * counterfactual * diff * times / n
-            g[back] -= 2 * counterfactual * diff * times / n
-        new = wl - step * scale * g * 4
-        new = np.sign(new) * np.maximum(np.abs(new) - step * scale * l1 * 4, 0)
-        nb = bl - step * r.sum() * 4
-        v, vb, w, b = new - w, nb - b, new, nb
-        if not np.isfinite(w).all():
-            raise FloatingPointError("the toxicity model diverged")
+        here, f = loss(wl, bl)
+        r = (1 / (1 + np.exp(-np.clip(f, -500, 500))) - y) / n
+        g, gb = np.bincount(col, weights=r[row], minlength=d), r.sum()
+        for out, back, share in changes:
+            diff = 2 * counterfactual * share * (wl[out].sum() - wl[back].sum())
+            g[out] += diff
+            g[back] -= diff
+        while True:
+            new = wl - g / (curve * tight)
+            new = np.sign(new) * np.maximum(np.abs(new) - l1 / (curve * tight), 0)
+            nb = bl - gb / (0.5 * tight)
+            step, sb = new - wl, nb - bl
+            there = loss(new, nb)[0]
+            if there <= here + g @ step + gb * sb + tight / 2 * ((curve * step) @ step + 0.5 * sb * sb) + 1e-12:
+                break
+            tight *= 2
+        total = there + l1 * np.abs(new).sum()
+        if total > losses[-1] and momentum:  # start the momentum again rather than climb
+            v, vb, momentum = np.zeros(d), 0.0, 0
+            continue
+        v, vb, w, b, momentum = new - w, nb - b, new, nb, momentum + 1
+        losses.append(total)
     live = np.abs(w) > 1e-4
-    return Model(keep[live], w[live].astype(np.float32), float(b), True)
+    return Model(keep[live], w[live].astype(np.float32), float(b), True, tuple(losses))
+
 
+def _changes(row: np.ndarray, col: np.ndarray, at: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """What the counterfactuals change: features that leave, features that enter, and for which share of the labelled texts.
 
-def _swaps(row: np.ndarray, col: np.ndarray, keep: np.ndarray, at: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """For each identity term: the features that leave and that enter when the next term of its group takes its place, and how many labelled texts hold it."""
+    A text that holds an identity term swaps it for the next of its group.  Each text also gets
+    one term put in, every term an equal share of the texts.
+    """
     out = []
-    full = [[term_buckets(t) for t in g] for g in IDENTITY_GROUPS]
-    for group in full:
+    groups = [[term_buckets(t) for t in g] for g in IDENTITY_GROUPS]
+    terms = sum(map(len, groups))
+    for group in groups:
         for i, own in enumerate(group):
-            mine = at[own]
-            if (mine < 0).all():
+            mine = at[own][at[own] >= 0]
+            if not len(mine):
                 continue
-            mine = mine[mine >= 0]
-            holders = np.bincount(row[np.isin(col, mine)], minlength=n)
+            out.append((np.zeros(0, np.int64), mine, 1 / terms))
             theirs = at[group[(i + 1) % len(group)]]
             theirs = theirs[theirs >= 0]
-            if times := int((holders == len(mine)).sum()):
-                out.append((np.setdiff1d(mine, theirs), np.setdiff1d(theirs, mine), times))
+            holders = np.bincount(row[np.isin(col, mine)], minlength=n)
+            leave, enter = np.setdiff1d(mine, theirs), np.setdiff1d(theirs, mine)
+            if (times := int((holders == len(mine)).sum())) and len(leave) + len(enter):
+                out.append((leave, enter, times / n))
     return out
 
 
@@ -193,7 +234,7 @@ def score(docs: DataFrame, model: Model, holdout: int = 5) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **params) -> DataFrame:
-    """Rows of ``docs`` whose score stays below ``threshold``, with all their columns."""
+    """Rows of ``docs`` whose score stays below ``threshold``, with all their columns; without labels, all rows."""
     model = fit(docs, labels, **params)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.keys, model.weights, model.bias, model.fitted))

@@ -646,12 +646,38 @@ def test_identity_terms_do_not_carry_the_score(spark):
     docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, toxic int")
     probe = spark.createDataFrame([(1, "muslims word1 word2"), (2, "christians word1 word2"), (3, "idiot word1 word2")], DOCS)
 
-    def gap(strength):
+    gaps = []
+    for strength in (0.0, 0.02, 0.2, 2.0, 20.0, 100.0):
+        model = toxicity.fit(docs, marks, counterfactual=strength)
+        assert np.isfinite(model.weights).all() and np.abs(model.weights).max() < 10 and all(b <= a for a, b in zip(model.losses, model.losses[1:], strict=False)) and len(model.losses) > 30
+        s = {r.doc_id: np.log(r.score / (1 - r.score)) for r in toxicity.score(probe, model).collect()}
+        gaps.append(s[1] - s[2])
+        assert strength < 2 or s[3] > s[1] and s[3] - s[2] > 1
+    assert all(b < a for a, b in zip(gaps, gaps[1:], strict=False)) and gaps[1] > 0.05 * gaps[0] and gaps[-1] < 0.01 * gaps[0]
+
+
+def test_neutral_mentions_of_groups(spark):
+    """A neutral mention must not raise a score, also where a term shares its stem with words of toxic texts and no labelled text names it."""
+    rnd = random.Random(12)
+    noise = [f"word{i}" for i in range(50)]
+    rows = [(i, " ".join([rnd.choice(noise) for _ in range(12)] + (["idiot", "blackguard"] if i % 3 == 0 else []))) for i in range(900)]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    probe = spark.createDataFrame([(1, "black word1 word2"), (2, "word1 word2"), (3, "idiot word1 word2"), (4, "blackguard idiot")], DOCS)
+    lift = {}
+    for strength in (0.0, 20.0):
         s = {r.doc_id: np.log(r.score / (1 - r.score)) for r in toxicity.score(probe, toxicity.fit(docs, marks, counterfactual=strength)).collect()}
-        return s[1] - s[2], s[3]
-
-    free, held = gap(0.0), gap(20.0)
-    assert held[0] < free[0] / 2 and held[1] > held[0]
+        lift[strength] = s[1] - s[2]
+        assert s[3] - s[2] > 1 and s[4] > 0
+    assert lift[20.0] < lift[0.0] / 3 or abs(lift[0.0]) < 0.01
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(60)] + [(1, "again")] * 50, DOCS)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id bigint, toxic int")
+    every = toxicity._sample(docs, marks, 1000, 1 << 20, 5).select("id", "h", "toxic").distinct().count()
+    assert every == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60)) + (zlib.crc32(b"1") % 5 != 0)
+    assert toxicity._sample(docs, marks, 7, 1 << 20, 5).select("id", "h", "toxic").distinct().count() == 7
+    assert 3 <= toxicity._sample(docs, marks, 1000, 2500, 5).select("id", "h", "toxic").distinct().count() <= 7
 
 
 def test_toxicity_hard(spark, hard, empty):
