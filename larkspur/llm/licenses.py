@@ -4,11 +4,11 @@ Templates are dealt to classes by length: class c holds those of c/2 < words <=
 class the words of a text are taken in windows of 2 c words, c apart, so a window holds any
 occurrence of a template of the class whole.  Only shingles that stand in a template of the
 class can be shared with one, so a window is reduced to those before it is hashed, and most
-windows vanish.  A window with a template of the class at the asked containment t then has a
-MinHash similarity of at least t / 4 to it (at most four templates of the class fit in), and
-``BANDS`` bands of one row retrieve it with probability 1 - (1 - t / 4) ** BANDS, above
-1 - 1e-9 at t = 0.8.  The candidates are confirmed by |window & template| / |template| >= t
-on the sets themselves.
+windows vanish.  A window has at most 2 c - 4 shingles and the class only as many as its
+templates have, so one that holds a share t of a template of n shingles has a similarity of at
+least s = t n / (n - t n + min(2 c - 4, all of the class)) to it.  The class takes as many bands
+of one row as retrieve its least s with probability 1 - (1 - s) ** bands, above 1 - RISK.
+The candidates are confirmed by |window & template| / |template| >= t on the sets themselves.
 
 Words are those of ``larkspur.llm.common.ALNUM`` after lower-casing A-Z, shingles five words.
 Defined results: null, empty and license-free texts give no rows; a template of fewer words
@@ -18,6 +18,7 @@ than a shingle is refused; repeated rows are scanned one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from larkspur.llm import common as C
 
 WIDTH = 5
 PERCENT = 80
-BANDS = 96
+RISK = 1e-9
 
 #: Notices by which works name their license.
 TEMPLATES = {
@@ -60,16 +61,26 @@ def _shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Class:
     """Templates of one length class: their shingles, vocabulary and band buckets."""
 
-    def __init__(self, words: int, sets: list[tuple[str, np.ndarray]]):
+    def __init__(self, words: int, sets: list[tuple[str, np.ndarray]], percent: int):
         self.words, self.names, self.sets = words, [n for n, _ in sets], [s for _, s in sets]
         self.vocab = np.unique(np.concatenate(self.sets))
-        self.seeds = C.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+        self.bands = self._bands(percent)
+        self.seeds = C.mix(np.arange(1, self.bands + 1, dtype=np.uint64))
         self.hashed = C.mix(self.vocab[:, None] ^ self.seeds[None, :])  # a row for each shingle of the class
-        self.buckets: list[dict[int, list[int]]] = [{} for _ in range(BANDS)]
+        self.buckets: list[dict[int, list[int]]] = [{} for _ in range(self.bands)]
         for t, s in enumerate(self.sets):
             for band, value in enumerate(self.hashed[np.searchsorted(self.vocab, s)].min(axis=0).tolist()):
                 self.buckets[band].setdefault(value, []).append(t)
 
+    def _bands(self, percent: int) -> int:
+        """Bands that miss no template at ``percent`` of containment but with probability RISK."""
+        most = min(2 * self.words - WIDTH + 1, len(self.vocab))
+        least = 1.0
+        for s in self.sets:
+            shared = -(-percent * len(s) // 100)
+            least = min(least, shared / max(len(s), len(s) - shared + most))
+        return 1 if least >= 1 else ceil(log(RISK) / log1p(-least))
+
     def scan(self, at: np.ndarray, number: np.ndarray, n_words: int, percent: int) -> Iterator[tuple[int, int, int]]:
         """(template, window start, shared shingles) over one text; ``at`` are the places of shingles of the class, ``number`` theirs in the vocabulary."""
         c = self.words
@@ -87,7 +98,14 @@ class Class:
                     yield t, k * c, shared
 
 
-def classes(templates: dict[str, str]) -> list[Class]:
+def read_templates(folder: str) -> dict[str, str]:
+    """Templates from the files of a folder, each named by its file: for whole license texts."""
+    from pathlib import Path
+
+    return {p.stem: p.read_text(encoding="utf-8", errors="replace") for p in sorted(Path(folder).iterdir()) if p.is_file()}
+
+
+def classes(templates: dict[str, str], percent: int = PERCENT) -> list[Class]:
     by: dict[int, list[tuple[str, np.ndarray]]] = {}
     for name, text in sorted(templates.items()):
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -96,7 +114,7 @@ def classes(templates: dict[str, str]) -> list[Class]:
         if n < WIDTH:
             raise ValueError(f"template {name} has fewer than {WIDTH} words")
         by.setdefault(max(8, 1 << (n - 1).bit_length()), []).append((name, np.unique(grams)))
-    return [Class(c, sets) for c, sets in sorted(by.items())]
+    return [Class(c, sets, percent) for c, sets in sorted(by.items())]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -109,7 +127,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(dict(TEMPLATES if templates is None else templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = classes(shared.value)
+        levels = classes(shared.value, percent)
         every = np.unique(np.concatenate([c.vocab for c in levels])) if levels else np.zeros(0, np.uint64)
         low_bits = np.zeros(1 << 20, bool)
         low_bits[(every & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
