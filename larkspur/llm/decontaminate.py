@@ -7,8 +7,10 @@ Hits on one diagonal (same distance between document and benchmark position) are
 into the longest verbatim match there.  Suffixes that cannot match, because their first
 two words stand nowhere in the benchmark, are left out of the array before sorting.
 
-The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of text, one pass
-over the documents a block, so what is broadcast stays bounded however long the benchmark.
+The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of text, one scan of
+the documents a block, so what is broadcast stays bounded however long the benchmark.  What
+the blocks find is united by id and hash of the text, so rows and results do not depend on
+their number.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  An item of fewer words
 than the window is one window by itself.  Defined results: null, empty and wordless texts
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.llm import common as C
 
@@ -46,22 +48,19 @@ class Suffixes:
         self.ids, self.window = np.array(ids, dtype=object), window
         self.vocab, number = np.unique(words, return_inverse=True)
         number = number.astype(np.int64) + 1
-        self.item, self.at, self.length, keys = [], [], [], []
-        pairs, single = set(), set()
-        for i in range(len(ids)):
-            w = number[first[i] : first[i + 1]]
-            m = min(len(w), window)
-            for s in range(len(w) - m + 1 if m else 0):
-                self.item.append(i)
-                self.at.append(s)
-                self.length.append(m)
-                keys.append(w[s : s + m])
-                pairs.add((int(w[s]) << 32) | int(w[s + 1])) if m > 1 else single.add(int(w[s]))
-        self.item, self.at, self.length = (np.array(x, np.int64) for x in (self.item, self.at, self.length))
-        self.pairs, self.single = np.array(sorted(pairs), np.int64), np.array(sorted(single), np.int64)
-        low, high = np.zeros((len(keys), window), ">u4"), np.full((len(keys), window), 0xFFFFFFFF, ">u4")
-        for i, k in enumerate(keys):
-            low[i, : len(k)] = high[i, : len(k)] = k
+        lens = np.diff(first)
+        size = np.minimum(lens, window)
+        count = np.where(size > 0, lens - size + 1, 0)
+        self.item = np.repeat(np.arange(len(ids)), count)
+        self.at = np.arange(len(self.item)) - np.repeat(np.cumsum(count) - count, count)
+        self.length = size[self.item]
+        start = first[self.item] + self.at
+        two = start[self.length > 1]
+        self.pairs, self.single = np.unique((number[two] << 32) | number[two + 1]), np.unique(number[start[self.length == 1]])
+        low, high = np.zeros((len(start), window), ">u4"), np.full((len(start), window), 0xFFFFFFFF, ">u4")
+        for j in range(window):
+            ok = self.length > j
+            low[ok, j] = high[ok, j] = number[start[ok] + j]
         self.low, self.high = self._fixed(low), self._fixed(high)
 
     def _fixed(self, rows: np.ndarray) -> np.ndarray:
@@ -120,18 +119,18 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
         yield Suffixes(ids, texts, window)
 
 
-HITS = "n_words long, starts array<long>, ends array<long>, items array<string>, longest long"
+HITS = "n_words long, starts array<long>, ends array<long>, items array<string>, longest long, longest_at long"
 
 
-def _hits(docs: DataFrame, block: Suffixes) -> DataFrame:
-    """(id, HITS): hit word ranges (joined, in order), items found and the longest match in words."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _hits(rows: DataFrame, block: Suffixes, every: bool) -> DataFrame:
+    """(id, h, HITS) of all rows, or of those with hits: hit word ranges (joined, in order), items found, length and place of the longest match."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
-            longest = np.zeros(batch.num_rows, np.int64)
+            longest, longest_at = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1, np.int64)
             starts: list[list[int]] = [[] for _ in range(batch.num_rows)]
             ends: list[list[int]] = [[] for _ in range(batch.num_rows)]
             items: list[list[str]] = [[] for _ in range(batch.num_rows)]
@@ -164,45 +163,73 @@ def _hits(docs: DataFrame, block: Suffixes) -> DataFrame:
                 new[1:] = (p[1:] != p[:-1] + 1) | (dg[1:] != dg[:-1]) | (it[1:] != it[:-1]) | (rw[1:] != rw[:-1])
                 group = np.flatnonzero(new)
                 size = np.diff(np.append(group, len(p))) - 1 + ln[group]
-                np.maximum.at(longest, a + rw[group], size)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(longest)],
-                ["id", "n_words", "starts", "ends", "items", "longest"],
+                best = np.lexsort((p[group], -size, rw[group]))
+                best = best[np.flatnonzero(np.diff(rw[group][best], prepend=-1))]
+                longest[a + rw[group][best]], longest_at[a + rw[group][best]] = size[best], p[group][best] - first[rw[group][best]]
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("h"), pa.array(n), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(longest), pa.array(longest_at)],
+                ["id", "h", "n_words", "starts", "ends", "items", "longest", "longest_at"],
             )
+            yield out if every else out.filter(pa.array(longest > 0))
+
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(run, f"id {kind}, h long, {HITS}")
+
+
+#: Runs [starts, ends) of an array, in order, to maximal ones.
+_JOINED = """aggregate(array_sort(runs), cast(array() as array<struct<starts: bigint, ends: bigint>>), (x, r) ->
+    if(size(x) > 0 and r.starts <= element_at(x, -1).ends,
+       concat(slice(x, 1, size(x) - 1), array(struct(element_at(x, -1).starts as starts, greatest(element_at(x, -1).ends, r.ends) as ends))),
+       concat(x, array(r))))"""
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+
 
-    kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, {HITS}")
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id_col, n_words, n_hit, n_items, items, longest, contaminated) for every row of ``docs``.
+    """(id_col, n_words, n_hit, n_items, items, runs, longest, longest_at, contaminated) for every row of ``docs``.
 
-    ``items`` holds the ids, as strings in order, of the items with a window in the row.
-    With several benchmark blocks the rows of one document are united by ``id_col``.
+    ``items`` holds the ids, as strings in order, of the items with a window in the row,
+    ``runs`` the hit word ranges, ``longest`` the words of the longest verbatim match of at
+    least a window and ``longest_at`` where the first such match starts (-1 without one).
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = [_hits(base, b) for b in _blocks(benchmark, item_col, item_text, window, block_bytes)]
-    if len(parts) == 1:
-        out = parts[0].withColumn("n_hit", F.expr("aggregate(zip_with(starts, ends, (s, e) -> e - s), 0L, (x, y) -> x + y)"))
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
-        out = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("runs"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
-        joined = "aggregate(array_sort(runs), struct(0L as n, 0L as upto), (x, r) -> struct(x.n + greatest(0L, r.ends - greatest(r.starts, x.upto)) as n, greatest(x.upto, r.ends) as upto)).n"
-        out = out.withColumn("n_hit", F.expr(joined))
-    out = out.withColumn("items", F.expr("array_sort(array_distinct(items))"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "longest", (F.col("n_hit") > 0).alias("contaminated"))
+    rows = _rows(docs, id_col, text_col)
+    parts = [_hits(rows, b, every=i == 0).withColumn("block", F.lit(i)) for i, b in enumerate(_blocks(benchmark, item_col, item_text, window, block_bytes))]
+    out = parts[0].withColumn("runs", F.arrays_zip("starts", "ends"))
+    if len(parts) > 1:
+        more = parts[1]
+        for p in parts[2:]:
+            more = more.union(p)
+        # one row for each block with hits in that text
+        more = more.dropDuplicates(["id", "h", "block"]).groupBy("id", "h").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("more_runs"), F.flatten(F.collect_list("items")).alias("more_items"), F.max(F.struct("longest", -F.col("longest_at"))).alias("best"))
+        more = more.withColumnsRenamed({"id": "more_id", "h": "more_h"})
+        out = out.join(more, F.expr("id <=> more_id and h = more_h"), "left")
+        out = out.withColumn("runs", F.expr("concat(runs, coalesce(more_runs, array()))")).withColumn("runs", F.expr(_JOINED)).withColumn("items", F.expr("concat(items, coalesce(more_items, array()))"))
+        best = F.greatest(F.struct("longest", (-F.col("longest_at")).alias("place")), F.expr("struct(best.longest as longest, best.col2 as place)"))
+        out = out.withColumn("best", F.when(F.col("best").isNull(), F.struct("longest", (-F.col("longest_at")).alias("place"))).otherwise(best))
+        out = out.withColumn("longest", F.col("best.longest")).withColumn("longest_at", -F.col("best.place"))
+    out = out.withColumn("items", F.expr("array_sort(array_distinct(items))")).withColumn("n_hit", F.expr("aggregate(runs, 0L, (x, r) -> x + r.ends - r.starts)"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "runs", "longest", "longest_at", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that hold no benchmark window."""
+    """Rows of ``docs``, with all their columns, that hold no benchmark window; repeated rows go or stay together."""
     text_col = params.get("text_col", "text")
     item_col, item_text = params.get("item_col", "item_id"), params.get("item_text", "text")
-    out = docs
-    for block in _blocks(benchmark, item_col, item_text, params.get("window", WINDOW), params.get("block_bytes", BLOCK_BYTES)):
-        out = _clean(out, block, text_col)
-    return out
+    blocks = _blocks(benchmark, item_col, item_text, params.get("window", WINDOW), params.get("block_bytes", BLOCK_BYTES))
+    out = _clean(docs, next(blocks), text_col)
+    gone = None
+    for block in blocks:
+        found = _hits(_rows(docs, id_col, text_col), block, every=False).select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"))
+        gone = found if gone is None else gone.union(found)
+    if gone is None:
+        return out
+    return out.join(gone.distinct(), out[id_col].eqNullSafe(F.col("_gone_id")) & (_text_hash(out[text_col]) == F.col("_gone_h")), "left_anti")
 
 
 def _clean(docs: DataFrame, block: Suffixes, text_col: str) -> DataFrame:

@@ -50,7 +50,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.decontaminate import contamination
 
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.col("longest").alias("longest_match"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.array_join(F.transform("runs", lambda r: F.concat(r["starts"], F.lit(":"), r["ends"])), ",").alias("hit_spans"), F.col("longest").alias("longest_match"), "longest_at")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,12 @@ bw AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_WORDS.f
 bwin AS (SELECT item_id, m, k, array_to_string(w[k:k + m - 1], ' ') AS s FROM bw, unnest(generate_series(1, len(w) - m + 1)) AS t(k)),
 dwin AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s FROM dw, (SELECT DISTINCT m FROM bwin), unnest(generate_series(1, len(w) - m + 1)) AS t(i)),
 hits AS (SELECT doc_id, item_id, m, i, i - k AS diagonal FROM dwin JOIN bwin USING (m, s)),
-pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, m FROM hits), unnest(generate_series(i, i + m - 1)) AS t(p) GROUP BY doc_id),
+places AS (SELECT DISTINCT doc_id, p FROM (SELECT DISTINCT doc_id, i, m FROM hits), unnest(generate_series(i, i + m - 1)) AS t(p)),
+spans AS (SELECT doc_id, count(*) AS n, min(p) - 1 AS s, max(p) AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM places) GROUP BY doc_id, g),
+pos AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_hit, string_agg(s || ':' || e, ',' ORDER BY s) AS hit_spans FROM spans GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
-runs AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) - 1 + max(m) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS g FROM hits) GROUP BY doc_id, item_id, diagonal, g) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+runs AS (SELECT doc_id, max(n) AS longest, arg_max(s, n * 100000000 - s) AS longest_at FROM (SELECT doc_id, count(*) - 1 + max(m) AS n, min(i) - 1 AS s FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS g FROM hits) GROUP BY doc_id, item_id, diagonal, g) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(hit_spans, '') AS hit_spans, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match, CAST(coalesce(longest_at, -1) AS BIGINT) AS longest_at
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN runs USING (doc_id)
 """
 

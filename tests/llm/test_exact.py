@@ -265,6 +265,45 @@ def brute_hits(docs, items, window=10):
     return sorted(out, key=repr)
 
 
+def test_decontamination_is_the_same_in_any_blocks(spark, hard):
+    """Null and repeated ids, with one block and with many."""
+    w = [f"w{i}" for i in range(30)]
+    docs = [(1, " ".join(w)), (1, " ".join(w[:4])), (1, " ".join(w)), (None, " ".join(w[5:])), (None, "x y"), (2, "a " + " ".join(w[2:14]) + " b " + " ".join(w[9:25])), (3, None)]
+    items = [(i, " ".join(w[i : i + 12])) for i in range(0, 18, 2)] + [(50, "x y")]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    for d in (spark.createDataFrame(docs, DOCS), hard):
+        one, many = (sorted((repr(r.asDict(True)) for r in decontaminate.contamination(d, b, block_bytes=n).collect())) for n in (1 << 24, 60))
+        assert one == many
+        left = [sorted(repr(r) for r in decontaminate.drop_contaminated(d, b, block_bytes=n).collect()) for n in (1 << 24, 60)]
+        assert left[0] == left[1]
+    got = decontaminate.contamination(spark.createDataFrame(docs, DOCS), b, block_bytes=60).where("doc_id = 2").first()
+    assert [tuple(r) for r in got.runs] == [(1, 13), (14, 30)] and (got.longest, got.longest_at) == (12, 1)
+
+
+def test_long_texts(spark):
+    """Texts of over 2 MiB through every operator that reads whole texts."""
+    n = 2_200_000
+    rows = [(1, "x" + " " * n + "b"), (2, "1" * n), (3, "a" * n), (4, "é" * (n // 2)), (5, "0" * 5000 + ".0.0.0 end"), (6, "word " * (n // 5)), (7, "\t" * n)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    items = spark.createDataFrame([(1, "word " * 10), (2, "b")], "item_id bigint, text string")
+    bpe = tokens.Encoder(Q._tokenizer_path())
+    total = {k: len(bpe.full.encode(t, add_special_tokens=False).ids) for k, t in rows}
+    packed = Counter()
+    for r in packing.pack_documents(docs, Q._tokenizer_path()).collect():
+        packed[r.doc_id] += r.length
+    assert packed == {k: v + 1 for k, v in total.items()}
+    assert sorted(r.length for r in tokens.length_histogram(docs, Q._tokenizer_path()).collect()) == sorted(set(total.values()))
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert len(got) == 7 and got[5].spans == "ip:0:5006"
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, items).collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: n // 5, 7: 0}
+    assert {r.doc_id: r.n_chars for r in fingerprint.edited_neighbours(docs).collect()} == {k: len(t) for k, t in rows}
+    assert {r.doc_id: (r.n_shingles, r.kept) for r in neardup.near_duplicates(docs, width=3, percent=85).collect()} == {1: (1, True), 2: (1, True), 3: (1, True), 4: (1, True), 5: (1, True), 6: (1, True), 7: (0, True)}
+    assert licenses.scan(docs).isEmpty() and toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(6, 1), (3, 0)], "doc_id bigint, toxic int"))).count() == 7
+    gone = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.removal(docs).collect()}
+    assert gone[1] == (n + 2, n) and gone[2] == (n, n) and gone[6] == (n, n) and gone[5][1] == 5000
+    assert [len(html.main_text(f"<p>{t}</p>")) for _, t in rows[1:4]] == [n, n, n // 2]
+
+
 @pytest.mark.parametrize("block", [1 << 24, 300])
 def test_op5(spark, block):
     docs, items = table(spark), table(spark, "benchmark")
@@ -337,6 +376,25 @@ def test_license_windows_against_brute_force(spark, hard, empty):
         licenses.classes({"x": "too short"})
 
 
+def test_license_bands_follow_the_least_similarity():
+    rnd = np.random.default_rng(4)
+    for c in licenses.classes(licenses.TEMPLATES):
+        for t, s in enumerate(c.sets):
+            shared = -(-80 * len(s) // 100)
+            others = np.setdiff1d(c.vocab, s)
+            window = np.concatenate([s[:shared], others[: max(0, 2 * c.words - 4 - shared)]])
+            j = shared / len(np.union1d(window, s))
+            assert (1 - j) ** c.bands <= 1.0001e-9
+            at = rnd.permutation(np.searchsorted(c.vocab, window))
+            found = {x for band, v in enumerate(c.hashed[at].min(axis=0).tolist()) for x in c.buckets[band].get(v, ())}
+            assert t in found
+
+
+def test_license_files(tmp_path):
+    (tmp_path / "X.txt").write_text("one two three four five six")
+    assert licenses.read_templates(str(tmp_path)) == {"X": "one two three four five six"}
+
+
 # --- near duplicates ----------------------------------------------------------------------------------------
 
 
