@@ -7,13 +7,16 @@ so the corpus is dealt into shards by content and each shard is suffix-sorted by
 1. Every window of ``size`` bytes names an anchor inside it (``larkspur.llm.anchors``), the
    windows of one anchor make a fragment.  Equal windows have equal anchors.  Anchors seen
    once are done: none of their windows repeats.
-2. Fragments that occur twice or more, byte for byte, repeat as a whole.
+2. Fragments that occur twice or more repeat as a whole; they are told by two 64-bit hashes, of
+   the anchor and of the whole fragment.
 3. What is left are different fragments around one anchor.  They are dealt to shards by the
    bytes around the anchor that all windows of a half share; shards of one member are done.
-   A shard still too large is split again by more of those bytes, so a passage that stands
-   in very many texts is spread by what stands next to it.
-4. Each shard's fragments are sorted by external induced suffix sorting
-   (``larkspur.llm.induced``).  Neighbours that share ``size`` bytes are the repeats.
+   A shard of more than ``CROWD`` members is split again by more of those bytes until they are
+   the window itself, so a passage that stands in very many texts is spread by what stands
+   next to it, and the members of a shard that still is a crowd hold one and the same window.
+4. The fragments of each shard are written to a file, of each that repeats two copies, and
+   sorted by external induced suffix sorting (``larkspur.llm.induced``).  Neighbours that share
+   ``size`` bytes are the repeats.
 
 Counting, joining and dealing carry numbers and the fragments of step 3 only; whole texts are
 shuffled twice, to cut out those fragments and to remove the spans.
@@ -26,6 +29,9 @@ are told apart by a 64-bit hash of the text; null ids are allowed.
 from __future__ import annotations
 
 import hashlib
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +40,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm import common as C
 from larkspur.llm.anchors import GRAM, anchors
-from larkspur.llm.induced import sort_suffixes
+from larkspur.llm.induced import MEMORY, sort_suffixes
 
 SIZE = 200
 SHARD_BYTES = 2 << 20
-CROWD = 8192
+CROWD = 1024
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,42 +133,67 @@ def _split_again(size: int):
     return run
 
 
-def _sorted_shards(size: int):
-    def repeats(rows: list[tuple]) -> list[tuple]:
+class Shard:
+    """Fragments of whole keys: their places, and their bytes in a file."""
+
+    def __init__(self, size: int):
+        self.size, self.folder = size, tempfile.mkdtemp(prefix="shard-")
+        self.file = open(os.path.join(self.folder, "text"), "wb")  # noqa: SIM115
+        self.members: list[tuple] = []  # id, h, first window, body
+        self.bodies: dict[bytes, int] = {}
+        self.times: list[int] = []
+        self.at: list[int] = []  # of each body, its place and its windows
+        self.windows: list[int] = []
+        self.held = self.written = 0
+
+    def add(self, key: int, id_: object, h: int, start: int, content: bytes) -> None:
+        name = hashlib.blake2b(content, digest_size=16, key=key.to_bytes(8, "little", signed=True)).digest()
+        body = self.bodies.setdefault(name, len(self.bodies))
+        if body == len(self.times):
+            self.times.append(0)
+            self.at.append(self.written)
+            self.windows.append(len(content) - self.size + 1)
+        self.times[body] += 1
+        if self.times[body] <= 2:  # a second copy, so that the sort meets the repeat
+            symbols = np.zeros(len(content) + 1, np.uint16)
+            symbols[:-1] = np.frombuffer(content, np.uint8)
+            symbols[:-1] += np.uint16(1)
+            symbols.tofile(self.file)
+            self.written += len(symbols)
+        self.members.append((id_, h, start, body))
+        self.held += len(content)
+
+    def repeats(self, memory: int) -> list[tuple]:
         """Runs (id, h, first window, windows) of windows of these fragments that occur twice."""
-        distinct: dict[tuple[int, bytes], int] = {}
-        which = [distinct.setdefault((r[0], r[5]), len(distinct)) for r in rows]
-        times = np.bincount(which, minlength=len(distinct))
-        bodies = [c for _, c in distinct]
-        offs = np.concatenate([[0], np.cumsum([len(b) + 1 for b in bodies])])
-        t = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
-        t[offs[1:] - 1] = 0
-        windows = np.array([len(b) - size + 1 for b in bodies])
-        step = np.zeros(len(t) + 1, np.int32)
-        np.add.at(step, offs[:-1], 1)
-        np.add.at(step, offs[:-1] + windows, -1)
-        starts = np.cumsum(step[:-1]) > 0
+        self.file.close()
+        out: list[tuple] = []
+        if self.written > self.windows[0] + self.size:  # else one window, once
+            out = self._found(np.asarray(np.memmap(self.file.name, np.uint16, "r")), memory)
+        shutil.rmtree(self.folder)
+        return out
+
+    def _found(self, t: np.ndarray, memory: int) -> list[tuple]:
         twice = np.zeros(len(t), bool)
-        if len(bodies) > 1 or windows[0] > 1:
-            for pos, lcp in sort_suffixes(t, size):
-                new = lcp < size
-                new[0] = True
-                group = np.cumsum(new) - 1
-                is_start = starts[pos]
-                count = np.bincount(group[is_start], minlength=group[-1] + 1)
-                twice[pos[is_start & (count[group] > 1)]] = True
+        ends = np.append(np.flatnonzero(t == 0), len(t))  # a window starts where ``size`` bytes fit before the fragment's end
+        for pos, lcp in sort_suffixes(t, self.size, memory):
+            new = lcp < self.size
+            new[0] = True
+            group = np.cumsum(new) - 1
+            whole = ends[np.searchsorted(ends, pos)] - pos >= self.size
+            count = np.bincount(group[whole], minlength=group[-1] + 1)
+            twice[pos[whole & (count[group] > 1)]] = True
         out = []
-        for r, d in zip(rows, which, strict=True):
-            if times[d] > 1:
-                out.append((r[1], r[2], r[3], int(windows[d])))
-                continue
-            hit = np.flatnonzero(np.diff(np.concatenate([[False], twice[offs[d] : offs[d] + windows[d]], [False]]).astype(np.int8)))
-            out += [(r[1], r[2], r[3] + int(s), int(e - s)) for s, e in zip(hit[::2], hit[1::2], strict=True)]
+        for id_, h, start, body in self.members:
+            a, n = self.at[body], self.windows[body]
+            hit = np.flatnonzero(np.diff(np.concatenate([[False], twice[a : a + n], [False]]).astype(np.int8)))
+            out += [(id_, h, start + int(s), int(e - s)) for s, e in zip(hit[::2], hit[1::2], strict=True)]
         return out
 
+
+def _sorted_shards(size: int, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; whole keys are gathered to shards."""
-        rows, held, kind = [], 0, None
+        shard, last, kind = None, None, None
 
         def done(found: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*found, strict=True)) or [()] * 4
@@ -170,14 +201,14 @@ def _sorted_shards(size: int):
 
         for batch in batches:
             kind = batch.column("id").type
-            for r in zip(*(batch.column(x).to_pylist() for x in ("key", "id", "h", "start", "n", "content")), strict=True):
-                if held > SHARD_BYTES and r[0] != rows[-1][0]:
-                    yield done(repeats(rows))
-                    rows, held = [], 0
-                rows.append(r)
-                held += len(r[5])
-        if rows:
-            yield done(repeats(rows))
+            for key, id_, h, start, content in zip(*(batch.column(x).to_pylist() for x in ("key", "id", "h", "start", "content")), strict=True):
+                if shard and shard.held > SHARD_BYTES and key != last:
+                    yield done(shard.repeats(memory))
+                    shard = None
+                shard, last = shard or Shard(size), key
+                shard.add(key, id_, h, start, content)
+        if shard:
+            yield done(shard.repeats(memory))
 
     return run
 
@@ -185,33 +216,36 @@ def _sorted_shards(size: int):
 def repeat_windows(rows: DataFrame, size: int = SIZE) -> DataFrame:
     """(id, h, lo, n): runs of windows that start at least twice in the corpus."""
     kind = dict(rows.dtypes)["id"]
-    every = C.materialize(fragments(rows, size), "fragments")
+    t = C.Tables(rows.sparkSession, "repeats")
+    every = t.write(fragments(rows, size), "fragments")
     # the counted side of each join is written first: a join of two plain exchanges can be split where one anchor is very common
-    shared = C.materialize(every.groupBy("g").agg(F.count("*").alias("t")).where("t > 1").select("g"), "shared-anchors")
-    every = C.materialize(every.join(shared, "g"), "shared-fragments")
+    shared = t.write(every.groupBy("g").agg(F.count("*").alias("t")).where("t > 1").select("g"), "shared-anchors")
+    every = t.write(every.join(shared, "g"), "shared-fragments")
+    t.drop("fragments", "shared-anchors")
     bodies = every.groupBy("g", "f").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "lo")).alias("one"))
-    bodies = C.materialize(bodies, "bodies")
-    several = C.materialize(bodies.groupBy("g").agg(F.count("*").alias("bodies")).where("bodies > 1"), "several-bodies")
+    bodies = t.write(bodies, "bodies")
+    several = t.write(bodies.groupBy("g").agg(F.count("*").alias("bodies")).where("bodies > 1"), "several-bodies")
     bodies = bodies.join(several, "g", "left").withColumn("bodies", F.coalesce("bodies", F.lit(1))).where("c > 1 or bodies > 1")
     marked = every.join(bodies, ["g", "f"]).select("id", "h", "lo", "a", "n", (F.col("c") > 1).alias("twice"), F.expr("bodies > 1 and (c = 1 or one = struct(id, h, lo))").alias("need"))
-    marked = C.materialize(marked, "marked")
+    marked = t.write(marked, "marked")
+    t.drop("shared-fragments", "bodies", "several-bodies")
 
     need = marked.where("need").groupBy("id", "h").agg(F.collect_list(F.struct("lo", "a", "n")).alias("need")).withColumnsRenamed({"id": "nid", "h": "nh"})
     texts = rows.join(need, F.expr("id <=> nid and h = nh")).select("id", "h", "text", "need")
-    shards = C.materialize(texts.mapInArrow(_cut_out(size), SHARD.format(kind=kind)), "shards")
-    ready = []
+    shards = t.write(texts.mapInArrow(_cut_out(size), SHARD.format(kind=kind)), "shards")
+    ready = None
     while True:
-        keys = C.materialize(shards.groupBy("key").agg(F.count("*").alias("rows"), F.max("u").alias("u"), F.max("n").alias("most")).where("rows > 1"), "keys")
-        crowded = keys.where(f"rows > {CROWD} and most > 1")
-        ready.append(shards.join(keys.where(f"rows <= {CROWD} or most <= 1").select("key"), "key"))
+        keys = t.write(shards.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.col("v") - F.col("u")).alias("shared")).where("rows > 1"), "keys")
+        crowd = f"rows > {CROWD} and shared < {size}"
+        part = shards.join(keys.where(f"not ({crowd})").select("key"), "key").select("key", "id", "h", "start", "content")
+        ready = part if ready is None else ready.unionByName(part)
+        crowded = keys.where(crowd).select("key")
         if crowded.isEmpty():
             break
-        shards = C.materialize(shards.join(crowded.select("key"), "key").select("key", "id", "h", "start", "n", "u", "v", "content").mapInArrow(_split_again(size), SHARD.format(kind=kind)), "shards")
-    dealt = ready[0]
-    for r in ready[1:]:
-        dealt = dealt.unionByName(r)
-    dealt = dealt.repartition(4 * C.width(rows.sparkSession), "key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(_sorted_shards(size), f"id {kind}, h long, lo int, n int")
+        shards = t.write(shards.join(crowded, "key").select("key", "id", "h", "start", "n", "u", "v", "content").mapInArrow(_split_again(size), SHARD.format(kind=kind)), "shards")
+    dealt = ready.repartition(4 * C.width(rows.sparkSession), "key").sortWithinPartitions("key")
+    found = t.write(dealt.mapInArrow(_sorted_shards(size, MEMORY), f"id {kind}, h long, lo int, n int"), "found")
+    t.drop("shards", "keys")
     return marked.where("twice").select("id", "h", "lo", F.col("n").cast("int").alias("n")).unionByName(found)
 
 

@@ -161,14 +161,16 @@ def test_op4_hard(hard, empty):
 # --- suffix sorting and repeats ---------------------------------------------------------------
 
 
-def test_induced_sorting_against_sorted():
+def test_induced_sorting_against_sorted(monkeypatch):
     rnd = random.Random(5)
+    levels, sort = [], induced._sorted
+    monkeypatch.setattr(induced, "_sorted", lambda *a: (levels.append(a[-1]), sort(*a))[1])
     for _ in range(150):
         depth, letters = rnd.choice([5, 12, 40]), rnd.choice([b"ab", b"abc", b"a", b"abcdefgh"])
         frags = [bytes(rnd.choice(letters) for _ in range(rnd.randrange(1, 30))) for _ in range(rnd.randrange(1, 6))]
         t = np.concatenate([np.append(np.frombuffer(f, np.uint8).astype(np.uint16) + 1, 0) for f in frags]).astype(np.uint16)
         pos, lcp = [], []
-        for p, v in induced.sort_suffixes(t, depth, memory=rnd.choice([3, 1 << 20])):  # with and without spilling
+        for p, v in induced.sort_suffixes(t, depth, memory=rnd.choice([3, 1 << 20])):  # with spilling and recursion, and without
             pos += p.tolist()
             lcp += v.tolist()
         assert sorted(pos) == list(range(len(t) - 1))
@@ -176,6 +178,22 @@ def test_induced_sorting_against_sorted():
             a, b = t[pos[j - 1] : pos[j - 1] + depth].tolist(), t[pos[j] : pos[j] + depth].tolist()
             same = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
             assert a >= b and same == lcp[j]
+    assert levels.count(False) > 10  # strings of names went through the same sort
+
+
+def test_sorting_with_memory_far_below_the_shard(monkeypatch, tmp_path):
+    """Queues spill, text and names lie in files, and nothing is left behind."""
+    monkeypatch.setattr(induced.tempfile, "tempdir", str(tmp_path))
+    rnd = random.Random(15)
+    word = [bytes(rnd.choice(b"abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(60)]
+    t = np.append(np.frombuffer(b" ".join(rnd.choice(word) for _ in range(6000)), np.uint8).astype(np.uint16) + 1, 0).astype(np.uint16)
+    runs, spill = [], induced.Queue._spill
+    monkeypatch.setattr(induced.Queue, "_spill", lambda q: (runs.append(q.held), spill(q))[1])
+    small, large = ([(p.tolist(), v.tolist()) for p, v in induced.sort_suffixes(t, 60, memory=m)] for m in (len(t) // 50, 1 << 20))
+    raw = t.tolist()
+    order = [p for ps, _ in small for p in ps]
+    assert [v for _, v in small] == [v for _, v in large] and len(runs) > 40 and len(order) == len(t) - 1
+    assert all(raw[a : a + 60] >= raw[b : b + 60] for a, b in zip(order, order[1:], strict=False)) and not list(tmp_path.iterdir())
 
 
 def test_every_window_has_one_anchor():
@@ -208,9 +226,10 @@ def test_op3(spark):
     assert got == brute_repeats([(k, t.encode()) for k, t in texts(spark).items()], 200)
 
 
-@pytest.mark.parametrize("crowd", [4, 8192])
-def test_repeats_hard(spark, hard, empty, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,memory", [(4, 1 << 20), (8192, 500)])
+def test_repeats_hard(spark, hard, empty, monkeypatch, crowd, memory):
     monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "MEMORY", memory)
     rnd = random.Random(7)
     common = "".join(rnd.choice("abcdef ") for _ in range(150))  # shorter than a window, in every text
     rows = [(i, "".join(rnd.choice("abcdef ") for _ in range(rnd.randrange(0, 300))) + common + "".join(rnd.choice("abcdef ") for _ in range(rnd.randrange(0, 300)))) for i in range(40)]
