@@ -44,7 +44,7 @@ from larkspur.llm.induced import MEMORY, sort_suffixes
 
 SIZE = 200
 SHARD_BYTES = 2 << 20
-CROWD = 1024
+CROWD = 8192
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
