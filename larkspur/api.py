@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur.functions.text import check_k, check_range, check_tenant
 from larkspur.operators import maintenance, search, structural, traces
@@ -27,8 +28,8 @@ QUERY_METRICS = "tenant_id string, query_id string, timestamp_ms bigint, total_m
 class Memory:
     """Memory, code and debug calls of one base folder."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.store = spark, ChunkStore(spark, base)
+    def __init__(self, spark: SparkSession, base: str, embedder: Callable[[Column], Column] | None = None):
+        self.spark, self.store = spark, ChunkStore(spark, base, embedder)
 
     def _table(self, name: str, schema: str, tenant: str) -> DataFrame:
         check_tenant(tenant)

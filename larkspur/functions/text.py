@@ -10,8 +10,16 @@ from larkspur.schemas import CHUNK_TYPE_ALIASES, CHUNK_TYPES
 
 #: Text fragments that mark a line as code, wherever they stand in it.
 CODE_MARKERS = (
-    "fn ", "let ", "const ", "var ", "def ", "class ", "import ", "from ", "return ", "if (", "if(", "for (", "for(", "while (", "while(", "switch (", "case ", "pub ", "impl ", "struct ", "enum ", "trait ", "use ", "mod ", "async ", "await ", "self.", "this.", "=> ", "->", "::", "!=", "==", "&&", "||", "();", "){", ") {", "});", "//", "/*", "#include", "#define",
+    "{", "}", "[", "]", ";",
+    "fn ", "func ", "def ", "async fn", "pub fn", "pub(crate)",
+    "let ", "const ", "var ", "mut ",
+    "=>", "->", "::", ".unwrap()", ".await",
+    "use ", "import ", "from ", "require(",
+    "if (", "for (", "while (", "match ", "switch (",
+    "//", "/*", "*/", "#[",
+    ": &", ": Vec<", ": String", ": i32", ": u32", "-> Result", "-> Option",
 )
+CODE_STARTS = ("function ", "async function ")
 SEPARATORS = r"[\s_.,;:!?'\"(){}\[\]<>=+\-*/\\|&^%$#@~`]+"
 
 
@@ -46,14 +54,16 @@ def code_tokens(text: Column) -> Column:
 
 
 def is_code_line(line: Column) -> Column:
-    """Does the line look like source code: a marker, an assignment or call when indented, or a closing bracket."""
+    """Does the line look like source code: a marker, an assignment or call when indented, or a bracket or comma at its end."""
+    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
     marked = F.lit(False)
     for m in CODE_MARKERS:
-        marked = marked | F.contains(line, F.lit(m))
-    trimmed = F.trim(line)
-    indented = line.rlike(r"^(    |\t)") & (F.contains(line, F.lit("=")) | F.contains(line, F.lit("(")) | F.contains(line, F.lit(".")))
-    closing = trimmed.rlike(r"[{};,)\]]$") & (~F.contains(trimmed, F.lit(" ")) | F.contains(trimmed, F.lit("()")))
-    return (trimmed != "") & (marked | trimmed.startswith("function ") | indented | closing)
+        marked = marked | F.contains(trimmed, F.lit(m))
+    for m in CODE_STARTS:
+        marked = marked | F.startswith(trimmed, F.lit(m))
+    indented = line.rlike(r"^(    |\t)") & trimmed.rlike(r"[=(.]")
+    closing = trimmed.rlike(r"[{};),]$") & (~F.contains(trimmed, F.lit(" ")) | (F.contains(trimmed, F.lit("(")) & F.contains(trimmed, F.lit(")"))))
+    return (trimmed != "") & (marked | indented | closing)
 
 
 def content_hash(text: Column) -> Column:
@@ -73,13 +83,23 @@ def adaptive_fetch_k(query: Column, k: Column, filtered: Column, most: int = 100
     return F.when(filtered, F.lit(most)).when(long, F.least(F.greatest(2 * k, F.lit(1)), F.lit(most))).otherwise(k)
 
 
+#: What varies in error messages, and what stands for it.
+SIGNATURE = ((r"0x[0-9a-fA-F]+", "0x..."), (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "<timestamp>"), (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"))
+SIGNATURE_BYTES = 200
+
+
 def normalize_signature(message: Column) -> Column:
-    """Error signature: hex numbers, timestamps and UUIDs replaced, cut to 200 bytes with an ellipsis."""
-    s = F.regexp_replace(message, r"0x[0-9a-fA-F]+", "0x...")
-    s = F.regexp_replace(s, r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?Z?", "<timestamp>")
-    s = F.regexp_replace(s, r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>")
-    # characters are dropped until the cut text has at most 197 bytes, so no character is cut apart
-    return F.when(F.octet_length(s) > 200, F.concat(F.left(s, F.lit(197) - (F.octet_length(F.left(s, F.lit(197))) - 197)), F.lit("..."))).otherwise(s)
+    """Error signature: hex numbers, timestamps and UUIDs replaced; over 200 bytes, as many whole characters as fit and an ellipsis."""
+    s = message
+    for pattern, to in SIGNATURE:
+        s = F.regexp_replace(s, pattern, to)
+    raw = F.encode(s, "UTF-8")
+    end = F.lit(SIGNATURE_BYTES)
+    for back in (2, 1, 0):  # the last place that no character reaches over
+        inside = F.hex(F.substring(raw, SIGNATURE_BYTES - back + 1, 1)).rlike("^[89AB]")
+        end = F.when(~inside, SIGNATURE_BYTES - back).otherwise(SIGNATURE_BYTES - 3 if back == 2 else end)
+    cut = F.decode(F.substring(raw, F.lit(1), end), "UTF-8")
+    return F.when(F.octet_length(s) > SIGNATURE_BYTES, F.concat(cut, F.lit("..."))).otherwise(s)
 
 
 def episode_of(tags: Column) -> Column:

@@ -11,9 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 MAX_QUERY_BYTES = 64 << 20
 
@@ -42,21 +42,23 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, list]]
         yield ids, np.vstack(rows), tenants
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", same_tenant: bool = False) -> DataFrame:
+def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", same_tenant: bool = False, each_tenant: bool = False) -> DataFrame:
     """(query_id, tenant_id, id_col, score, rank): the ``k`` nearest vectors of each query, by cosine.
 
-    With ``same_tenant`` a query sees only vectors of its tenant (equal ``tenant_id``).
+    With ``same_tenant`` a query sees only vectors of its tenant (equal ``tenant_id``), with
+    ``each_tenant`` it gets ``k`` vectors of every tenant, ranked by tenant.
     Vectors of another dimension than the queries raise an error; null vectors are skipped.
     """
     kinds = dict(vectors.dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, tenant_id string, {id_col} {kinds[id_col]}, score double"
+    types = (to_arrow_type(queries.schema["query_id"].dataType), pa.string(), to_arrow_type(vectors.schema[id_col].dataType), pa.float64())
     out = None
     for ids, matrix, tenants in _query_blocks(queries):
         shared = vectors.sparkSession.sparkContext.broadcast((ids, _unit(matrix), np.array(tenants, dtype=object)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q, qt = shared.value
-            best: dict[int, list[tuple]] = {i: [] for i in range(len(qid))}
+            best: dict[tuple, list[tuple]] = {}
             for batch in batches:
                 m = _matrix(batch.column("embedding"))
                 if not len(m):
@@ -66,21 +68,27 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                 score = q @ _unit(m).T
                 keys = batch.column(id_col).to_pylist()
                 tenant = np.array(batch.column("tenant_id").to_pylist(), dtype=object)
-                for i in range(len(qid)):
-                    pick = np.flatnonzero(tenant == qt[i]) if same_tenant else np.arange(len(keys))
+                if same_tenant or each_tenant:
+                    rows_of = {t: np.flatnonzero(tenant == t) for t in set(tenant.tolist())}
+                    groups = [(i, t) for i in range(len(qid)) for t in ((qt[i],) if same_tenant else rows_of) if t in rows_of]
+                else:
+                    rows_of = {None: np.arange(len(keys))}
+                    groups = [(i, None) for i in range(len(qid))]
+                for i, t in groups:
+                    pick = rows_of[t]
                     s = np.round(score[i, pick], 9)
                     if len(pick) > k:  # everything as good as the k-th, so that ties are settled by id below
                         pick, s = pick[s >= np.partition(s, -k)[-k]], s[s >= np.partition(s, -k)[-k]]
-                    best[i] = sorted(best[i] + [(-float(x), keys[j], tenant[j]) for x, j in zip(s, pick, strict=True)], key=lambda x: x[:2])[:k]
-            rows = [(qid[i], t, key, -s) for i, found in best.items() for s, key, t in found]
+                    best[i, t] = sorted(best.get((i, t), []) + [(-float(x), keys[j], tenant[j]) for x, j in zip(s, pick, strict=True)], key=lambda x: x[:2])[:k]
+            rows = [(qid[i], t, key, -s) for (i, _), found in best.items() for s, key, t in found]
             if rows:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["query_id", "tenant_id", id_col, "score"]), preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["query_id", "tenant_id", id_col, "score"])
 
         part = vectors.where("embedding is not null").select(id_col, "tenant_id", "embedding").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    w = Window.partitionBy("query_id", *(["tenant_id"] if each_tenant else [])).orderBy(F.desc("score"), id_col)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larkspur.functions.text import CODE_MARKERS, chunk_type, content_hash, valid_episode, valid_tenant
+from larkspur.functions.text import CODE_MARKERS, CODE_STARTS, chunk_type, content_hash, valid_episode, valid_tenant
 
 MAX_BYTES, OVERLAP_BYTES, MIN_BYTES = 1200, 200, 400
 SPLIT_FROM = 1000
@@ -20,11 +20,11 @@ def _is_code(line: str) -> bool:
     s = line.strip()
     if not s:
         return False
-    if any(m in line for m in CODE_MARKERS) or s.startswith("function "):
+    if any(m in s for m in CODE_MARKERS) or s.startswith(CODE_STARTS):
         return True
-    if line.startswith(("    ", "\t")) and any(ch in line for ch in "=(."):
+    if line.startswith(("    ", "\t")) and any(ch in s for ch in "=(."):
         return True
-    return s[-1] in "{};,)]" and (" " not in s or "()" in s)
+    return s[-1] in "{};)," and (" " not in s or "(" in s and ")" in s)
 
 
 def sentences(text: str) -> list[tuple[str, int, bool]]:

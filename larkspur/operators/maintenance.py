@@ -64,13 +64,21 @@ def latency_stats(metrics: DataFrame, last: int = 1000, by: str = "tool_name", v
 
 
 def suite_percentiles(metrics: DataFrame, by: str, value: str) -> DataFrame:
-    """p50/p90/p99 by the other rule: sorted[floor(n p)], the index at most the last."""
-    s = F.sort_array(F.collect_list(F.col(value)))
+    """p50/p90/p99 by the other rule: sorted[floor(n p)], the index at most the last.
+
+    Equal values are counted before the shuffle, and the places come from running counts.
+    """
+    counts = metrics.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(by).orderBy(value)
+    upto = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    total = counts.groupBy(by).agg(F.sum("_c").alias("_n"))
+    rows = upto.join(total, by)
 
     def at(p: float) -> Column:
-        return F.element_at(s, (F.least(F.floor(F.size(s) * p), F.size(s) - 1) + 1).cast("int"))
+        place = F.least(F.floor(F.col("_n") * p), F.col("_n") - 1)
+        return F.min(F.when(F.col("_upto") > place, F.col(value)))
 
-    return metrics.groupBy(by).agg(*(at(p / 100).alias(f"p{p}") for p in (50, 90, 99)))
+    return rows.groupBy(by).agg(*(at(p / 100).alias(f"p{p}") for p in (50, 90, 99)))
 
 
 def recent(metrics: DataFrame, n: int = 10, by: str = "tool_name", order: tuple[str, ...] = ("timestamp_ms", "trace_id")) -> DataFrame:

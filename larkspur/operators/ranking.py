@@ -78,15 +78,27 @@ def _vectors(table: pa.Table) -> list[np.ndarray | None]:
     return out
 
 
+def _by_dimension(vectors: list[np.ndarray | None]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each dimension; only these are compared."""
+    sizes: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None:
+            sizes.setdefault(len(v), []).append(i)
+    return {n: (np.array(rows), np.vstack([vectors[i] for i in rows])) for n, rows in sizes.items()}
+
+
 def _similarity_dedup(table: pa.Table) -> pa.Table:
     table = table.sort_by([("score", "descending"), ("chunk_id", "ascending")])
-    kept: list[int] = []
-    vectors = _vectors(table)
-    for i, v in enumerate(vectors):
-        others = [vectors[j] for j in kept if vectors[j] is not None and v is not None and len(vectors[j]) == len(v)]
-        if v is None or not others or float((np.vstack(others) @ v).max()) <= SIMILAR:
-            kept.append(i)
-    return table.take(pa.array(kept, pa.int64()))
+    keep = np.ones(table.num_rows, bool)
+    for rows, matrix in _by_dimension(_vectors(table)).values():
+        held = 0
+        for i, v in zip(rows, matrix.copy(), strict=True):  # the kept vectors move to the front of the matrix
+            if held and float((matrix[:held] @ v).max()) > SIMILAR:
+                keep[i] = False
+            else:
+                matrix[held] = v
+                held += 1
+    return table.filter(pa.array(keep))
 
 
 def similarity_dedup(ranked: DataFrame) -> DataFrame:
@@ -103,24 +115,22 @@ def _mmr(k: int):
         score = table["score"].to_numpy().astype(np.float64)
         spread = score.max() - score.min()
         relevance = (score - score.min()) / spread if spread > 0 else np.ones(len(score))
-        vectors, kinds = _vectors(table), table["chunk_type"].to_pylist()
+        groups = _by_dimension(_vectors(table))
+        group_of = {int(i): (n, j) for n, (rows, _) in groups.items() for j, i in enumerate(rows)}
+        kinds = np.array(table["chunk_type"].to_pylist(), dtype=object)
+        near, seen, free = np.full(len(score), -np.inf), np.zeros(len(score)), np.ones(len(score), bool)
         chosen: list[int] = []
-        left = list(range(len(score)))
-        while left and len(chosen) < k:
-            def gain(i: int) -> float:
-                if not chosen:
-                    return LAMBDA * relevance[i] + (1 - LAMBDA)
-                near = [float(vectors[i] @ vectors[j]) for j in chosen if vectors[i] is not None and vectors[j] is not None and len(vectors[i]) == len(vectors[j])]
-                if near:
-                    diversity = 1 - max(near)
-                else:
-                    seen = sum(kinds[j] == kinds[i] for j in chosen)
-                    diversity = 1.0 if not seen else 0.5 / seen
-                return LAMBDA * relevance[i] + (1 - LAMBDA) * diversity
-
-            best = max(left, key=lambda i: (gain(i), -i))
+        while len(chosen) < min(k, len(score)):
+            other = np.where(seen > 0, 0.5 / np.maximum(seen, 1), 1.0)
+            gain = LAMBDA * relevance + (1 - LAMBDA) * np.where(near > -np.inf, 1 - near, other)
+            best = int(np.where(free, gain, -np.inf).argmax())
             chosen.append(best)
-            left.remove(best)
+            free[best] = False
+            seen += kinds == kinds[best]
+            if best in group_of:
+                n, j = group_of[best]
+                rows, matrix = groups[n]
+                near[rows] = np.maximum(near[rows], matrix @ matrix[j])
         out = table.take(pa.array(chosen, pa.int64()))
         return out.append_column("mmr_rank", pa.array(range(1, len(chosen) + 1), pa.int32()))
 

@@ -4,38 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Explicit prefixes, then question shapes in order of precedence (pattern, target group, confidence).
+#: Explicit prefixes, then question shapes (pattern, group of the target or 0) by intent in order of precedence.
 PREFIXES = {"def:": "definition", "callers:": "callers", "refs:": "references", "imports:": "imports", "errors:": "errors", "tools:": "tool_calls", "file:": "file"}
-_NAME = r"`?([A-Za-z_][A-Za-z0-9_:.]*)`?"
-SHAPES = [
-    ("definition", rf"^(?:where is|where's|find definition of|show definition of|definition of|go to definition of|what is the definition of) (?:the )?(?:function |method |class |struct |type )?{_NAME}(?: defined| declared| implemented)?\??$", 1, 0.9),
-    ("callers", rf"^(?:who calls|what calls|callers of|find callers of|find all callers of|which functions call|show callers of) (?:the )?(?:function |method )?{_NAME}\??$", 1, 0.9),
-    ("references", rf"^(?:where is {_NAME} used|find references to {_NAME}|references to {_NAME}|usages of {_NAME}|find usages of {_NAME})\??$", 0, 0.9),
-    ("imports", rf"^(?:who imports|what imports|which files import|files importing|find imports of|what files import) (?:the )?(?:module )?{_NAME}\??$", 1, 0.9),
-    ("file", r"^(?:show file|open file|symbols in|what is in|list symbols in|functions in) ([\w./-]+\.[a-z]+)\??$", 1, 0.9),
-    ("errors", r"^(?:find errors|show errors|errors in|errors from|stack traces|recent errors|what errors)\b ?(.*)$", 1, 0.9),
-    ("errors", r"\b(?:error|exception|panic|traceback|crash)(?:s|es)?\b", 0, 0.8),
-    ("tool_calls", r"^(?:tool calls|show tool calls|find tool calls|recent tool calls|calls to tool)\b ?(.*)$", 1, 0.9),
-    ("tool_calls", r"\btool (?:call|trace|use)s?\b", 0, 0.8),
-]
+SHAPES = {
+    "definition": [(r"where is (\w+) defined", 1), (r"definition of (\w+)", 1), (r"find (?:class|function|type|struct|enum) (\w+)", 1), (r"what is (\w+)", 1), (r"show (?:me )?(\w+) (?:definition|source)", 1), (r"where is (\w+)\?", 1), (r"go to (\w+)", 1)],
+    "callers": [(r"who calls (\w+)", 1), (r"callers of (\w+)", 1), (r"what calls (\w+)", 1), (r"(\w+) is called by", 1), (r"find callers (?:of )?(\w+)", 1), (r"who uses (\w+)", 1)],
+    "references": [(r"references to (\w+)", 1), (r"usages of (\w+)", 1), (r"where is (\w+) used", 1), (r"find all (?:uses|usages|references) (?:of )?(\w+)", 1), (r"find (\w+) references", 1)],
+    "imports": [(r"who imports (\w+)", 1), (r"files (?:that )?import (\w+)", 1), (r"(\w+) importers", 1), (r"where is (\w+) imported", 1)],
+    "file": [(r"symbols in (.+\.(?:rs|py|ts|js|go|java|cpp|c|h))", 1), (r"what's in (.+\.(?:rs|py|ts|js|go|java|cpp|c|h))", 1), (r"outline of (.+\.(?:rs|py|ts|js|go|java|cpp|c|h))", 1)],
+    "errors": [(r"errors? (?:in|from|about) (\w+)", 1), (r"stack traces? (?:for|with) (\w+)", 1), (r"exceptions? (?:in|from) (\w+)", 1), (r"what went wrong", 0), (r"recent errors", 0), (r"show errors", 0)],
+    "tool_calls": [(r"(?:tool )?calls to (\w+)", 1), (r"when did (?:we|I) (?:call|use) (\w+)", 1), (r"history of (\w+) calls", 1), (r"recent tool calls", 0), (r"tool history", 0)],
+}
 STRUCTURAL = ("definition", "callers", "references", "imports", "file")
 
 
 def route(query: Column) -> Column:
-    """Struct (intent, target, confidence): the first prefix or shape that fits, else semantic search of the whole query."""
+    """Struct (intent, target, confidence): the first prefix or shape that fits, else semantic search of the whole query.
+
+    A prefix is certain (1.0), a shape with a target 0.9, one without 0.8; errors and tool calls
+    may have a null target.
+    """
     q = F.trim(query)
-    low = F.lower(q)
-    semantic = F.struct(F.lit("semantic").alias("intent"), q.alias("target"), F.lit(1.0).alias("confidence"))
-    out = semantic
-    for intent, pattern, group, confidence in reversed(SHAPES):
-        p = f"(?i){pattern}"
-        if group:
-            target = F.regexp_extract(q, p, group)
-        else:
-            target = F.coalesce(*(F.nullif(F.regexp_extract(q, p, g), F.lit("")) for g in range(1, pattern.count("`?(") + 1)), q) if "`?(" in pattern else q
-        out = F.when(q.rlike(p), F.struct(F.lit(intent).alias("intent"), target.alias("target"), F.lit(confidence).alias("confidence"))).otherwise(out)
+
+    def routed(intent: str, target: Column, confidence: float) -> Column:
+        return F.struct(F.lit(intent).alias("intent"), target.alias("target"), F.lit(confidence).alias("confidence"))
+
+    out = routed("semantic", q, 1.0)
+    for intent, pattern, group in reversed([(i, f"(?iU){p}", g) for i, shapes in SHAPES.items() for p, g in shapes]):
+        target = F.trim(F.regexp_extract(q, pattern, group)) if group else F.lit(None).cast("string")
+        out = F.when(q.rlike(pattern), routed(intent, target, 0.9 if group else 0.8)).otherwise(out)
     for prefix, intent in PREFIXES.items():
-        out = F.when(low.startswith(prefix), F.struct(F.lit(intent).alias("intent"), F.trim(F.substring(q, len(prefix) + 1, 1 << 20)).alias("target"), F.lit(1.0).alias("confidence"))).otherwise(out)
+        rest = F.trim(F.substring(q, len(prefix) + 1, 1 << 20))
+        out = F.when(F.startswith(q, F.lit(prefix)), routed(intent, F.nullif(rest, F.lit("")) if intent in ("errors", "tool_calls") else rest, 1.0)).otherwise(out)
     return out
 
 

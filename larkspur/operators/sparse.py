@@ -6,7 +6,9 @@ work is the postings of the query's terms, and no pair without a common term is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from larkspur.functions.text import words
 
 K1, B = 1.2, 0.75
+#: Scores are added up as whole numbers of this size, so they do not depend on the order of adding.
+UNITS = 1_000_000_000
 
 
 def sentences(chunks: DataFrame) -> DataFrame:
@@ -60,12 +64,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).distinct()
 
 
+def _units(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
+    """A posting's share of a BM25 score, in whole units."""
+    return F.round(idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)) * UNITS).cast("bigint")
+
+
 def bm25(postings: DataFrame, terms: DataFrame, global_stats: bool = False) -> DataFrame:
     """(query_id, tenant_id, chunk_id, sentence_idx, score) of every sentence with a term of the query."""
-    hits = postings.join(terms, "term").join(document_frequency(postings, global_stats), ["tenant_id", "term"]).join(collection(postings, global_stats), "tenant_id")
-    tf, dl = F.col("tf"), F.col("dl")
-    part = idf(F.col("n_docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return hits.groupBy("query_id", "tenant_id", "chunk_id", "sentence_idx").agg(F.sum(part).alias("score"))
+    hits = weighted(postings.join(terms.select("term").distinct(), "term", "left_semi"), global_stats, postings).join(terms, "term")
+    return hits.groupBy("query_id", "tenant_id", "chunk_id", "sentence_idx").agg((F.sum("w") / UNITS).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), tie: tuple[str, ...] = ("chunk_id", "sentence_idx")) -> DataFrame:
@@ -114,7 +121,7 @@ def _best(k: int, shared, tie: tuple[str, ...]):
                 lo, hi = np.searchsorted(row, (a, a + 1024))
                 dense = np.zeros((min(1024, n - a), matrix.shape[0]))
                 np.add.at(dense, (row[lo:hi] - a, term[lo:hi]), weight[lo:hi])
-                score = np.round(dense @ matrix, 9)
+                score = dense @ matrix  # whole numbers below 2**53: exact in any order
                 at, q = np.nonzero((score > 0) & (score >= floor[tenant[a : a + 1024]]))
                 group = tenant[a + at] * len(ids) + q
                 order = np.lexsort((-score[at, q], group))
@@ -129,7 +136,7 @@ def _best(k: int, shared, tie: tuple[str, ...]):
                     if len(best[place]) == k:
                         floor[place] = -best[place][-1][0]
         tenants = list(names)
-        rows = [(ids[q], tenants[t], -s, *key) for (t, q), found in best.items() for s, key in found]
+        rows = [(ids[q], tenants[t], -s / UNITS, *key) for (t, q), found in best.items() for s, key in found]
         cols = list(zip(*rows, strict=True)) or [()] * (3 + len(tie))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), *(pa.array(c, t) for c, t in zip(cols[3:], kind, strict=True))] if rows else [], ["query_id", "tenant_id", "score", *tie] if rows else [])
 
@@ -140,7 +147,7 @@ def _best(k: int, shared, tie: tuple[str, ...]):
 
 
 def _top_of(weighted: DataFrame, queries: DataFrame, k: int, tie: tuple[str, ...]) -> DataFrame:
-    """The ``k`` best rows of each query and tenant of (tenant_id, tie…, term, w): score = sum of w over the query's terms.
+    """The ``k`` best rows of each query and tenant of (tenant_id, tie…, term, w): score = sum of w (in units) over the query's terms.
 
     A block of queries is one matrix of terms by queries, sent to every task; a task adds up
     its rows and multiplies, so the work between machines is one row a sentence and k rows a
@@ -164,11 +171,11 @@ def _top_of(weighted: DataFrame, queries: DataFrame, k: int, tie: tuple[str, ...
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def weighted(postings: DataFrame, global_stats: bool = False) -> DataFrame:
-    """(tenant_id, chunk_id, sentence_idx, term, w): each posting's share of a BM25 score."""
-    hits = postings.join(document_frequency(postings, global_stats), ["tenant_id", "term"]).join(collection(postings, global_stats), "tenant_id")
-    tf, dl = F.col("tf"), F.col("dl")
-    w = idf(F.col("n_docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+def weighted(postings: DataFrame, global_stats: bool = False, whole: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, chunk_id, sentence_idx, term, w): each posting's units of a BM25 score, by the statistics of ``whole`` (the postings themselves)."""
+    whole = postings if whole is None else whole
+    hits = postings.join(document_frequency(whole, global_stats), ["tenant_id", "term"]).join(collection(whole, global_stats), "tenant_id")
+    w = _units(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return hits.select("tenant_id", "chunk_id", "sentence_idx", "term", w.alias("w"))
 
 
@@ -182,47 +189,120 @@ def top_weighted(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _top_of(hits, queries, k, ("chunk_id", "sentence_idx"))
 
 
-def overlap_top(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` chunks of each query and tenant with the most different terms of the query."""
-    terms = postings.select("tenant_id", "chunk_id", "term").distinct().withColumn("w", F.lit(1.0))
-    return _top_of(terms, queries, k, ("chunk_id",))
+@dataclass
+class Clause:
+    """A parsed query: leaves are phrases (words joined by spaces), inner nodes are clauses."""
 
+    must: list[str | Clause] = field(default_factory=list)
+    should: list[str | Clause] = field(default_factory=list)
+    never: list[str | Clause] = field(default_factory=list)
+    boosts: dict[str, float] = field(default_factory=dict)
 
-def parse_query(text: str) -> dict[str, list[str]]:
-    """Bare terms (any), ``+must``, ``-not`` and ``"phrases"``; other syntax falls back to its terms.
+    def terms(self) -> dict[str, float]:
+        """Words that may score, with their boost."""
+        out: dict[str, float] = {}
+        for x in (*self.must, *self.should):
+            for t, b in (x.terms().items() if isinstance(x, Clause) else ((t, self.boosts.get(x, 1.0)) for t in x.split())):
+                out[t] = max(b, out.get(t, 0.0))
+        return out
 
-    Raises ValueError for a query without any positive part.
-    """
-    import re
-
-    out: dict[str, list[str]] = {"any": [], "must": [], "not": [], "phrases": []}
-    for m in re.finditer(r'([+-]?)"([^"]*)"|([+-]?)(\S+)', text):
-        sign, phrase = m.group(1) or m.group(3) or "", m.group(2)
-        terms = [t for t in re.split(r"[\W_]+", (phrase if phrase is not None else m.group(4)).lower()) if t]
-        if phrase is not None and len(terms) > 1 and sign != "-":
-            out["phrases"].append(" ".join(terms))
-            out["must" if sign == "+" else "any"] += terms
-        elif m.group(4) not in ("AND", "OR", "NOT"):
-            out[{"+": "must", "-": "not"}.get(sign, "any")] += terms
-    if not (out["any"] or out["must"]):
-        raise ValueError(f"query {text!r} has no term to search for")
-    return out
+
+_TOKEN = re.compile(r'"([^"]*)"(?:~\d+)?(?:\^([0-9.]+))?|([()])|([+-])(?=[^\s)])|([^\s()"^]+)(?:\^([0-9.]+))?')
 
 
-def search_parsed(docs: DataFrame, parsed: dict[str, list[str]]) -> DataFrame:
-    """Sentence rows that satisfy a parsed query: every must and phrase, none of not, and any of the rest."""
+def parse_query(text: str) -> Clause:
+    """Words (any of them), ``"phrases"``, ``AND``, ``OR``, ``NOT``, ``+must``, ``-not``, parentheses and ``^boosts``.
+
+    A text that is no such query is read as its words alone.  Raises ValueError for a query
+    without any positive part.
+    """
+    try:
+        found = _parse(text)
+    except SyntaxError:
+        found = Clause(should=re.findall(r"[^\W_]+", text.lower()))
+    if not found.terms():
+        raise ValueError(f"query {text!r} has no term to search for")
+    return found
+
+
+def _parse(text: str) -> Clause:
+    if text.count('"') % 2:
+        raise SyntaxError("open quote")
+    tokens = list(_TOKEN.finditer(text))
+    if re.sub(r"\s+", "", "".join(m.group() for m in tokens)) != re.sub(r"\s+", "", text):
+        raise SyntaxError("unknown sign")
+    clause, at = _clause(tokens, 0, 0)
+    if at < len(tokens):
+        raise SyntaxError("closing parenthesis")
+    return clause
+
+
+def _clause(tokens: list[re.Match], at: int, depth: int) -> tuple[Clause, int]:
+    """The clause from token ``at`` to its closing parenthesis or the end."""
+    chains: list[list[tuple[str, str | Clause]]] = []
+    boosts: dict[str, float] = {}
+    sign, joined = "", False
+    while at < len(tokens):
+        phrase, phrase_boost, bracket, mark, word, word_boost = tokens[at].groups()
+        at += 1
+        if bracket == ")":
+            if not depth:
+                raise SyntaxError("closing parenthesis")
+            depth = -1
+            break
+        if mark or word == "NOT":
+            sign = mark or "-"
+            continue
+        if word in ("AND", "OR"):
+            joined = word == "AND" and bool(chains)
+            continue
+        if bracket:
+            leaf, at = _clause(tokens, at, 1)
+        else:
+            leaf = " ".join(t for t in re.split(r"[\W_]+", (phrase if phrase is not None else word).lower()) if t)
+            if boost := phrase_boost or word_boost:
+                boosts[leaf] = float(boost)
+        if leaf:
+            if joined:
+                chains[-1].append((sign, leaf))
+            else:
+                chains.append([(sign, leaf)])
+        sign, joined = "", False
+    if depth > 0:
+        raise SyntaxError("open parenthesis")
+    out = Clause(boosts=boosts)
+    for chain in chains:
+        if len(chain) == 1:
+            {"+": out.must, "-": out.never, "": out.should}[chain[0][0]].append(chain[0][1])
+        else:
+            both = Clause([x for s, x in chain if s != "-"], [], [x for s, x in chain if s == "-"], boosts)
+            if len(chains) == 1:
+                return both, at
+            out.should.append(both)
+    return out, at
+
+
+def search_parsed(docs: DataFrame, parsed: Clause) -> DataFrame:
+    """Sentence rows that satisfy a parsed query: all of must, none of never and, without must, any of should."""
     toks = words(F.col("text"))
-    cond = F.lit(True)
-    for t in parsed["must"]:
-        cond = cond & F.array_contains(toks, t)
-    for t in parsed["not"]:
-        cond = cond & ~F.array_contains(toks, t)
     joined = F.concat(F.lit(" "), F.concat_ws(" ", toks), F.lit(" "))
-    for p in parsed["phrases"]:
-        cond = cond & F.contains(joined, F.lit(f" {p} "))
-    if parsed["any"] and not parsed["must"]:
-        cond = cond & F.arrays_overlap(toks, F.array(*map(F.lit, parsed["any"])))
-    return docs.where(cond)
+
+    def holds(x: str | Clause) -> Column:
+        if isinstance(x, str):
+            return F.contains(joined, F.lit(f" {x} "))
+        out = F.lit(True)
+        for y in x.must:
+            out = out & holds(y)
+        for y in x.never:
+            out = out & ~holds(y)
+        if x.should and not x.must:
+            some = F.lit(False)
+            for y in x.should:
+                some = some | holds(y)
+            out = out & some
+        return out
+
+    return docs.where(holds(parsed))
 
 
 def delete(postings: DataFrame, tombstones: DataFrame) -> DataFrame:

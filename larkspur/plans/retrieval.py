@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larkspur.functions import text as T, times, vectors as V
 from larkspur.operators import dense, ranking, search, sparse
@@ -11,7 +11,19 @@ from larkspur.sources import bindings as S
 
 NOW = S.EPOCH + 400 * S.HOUR
 WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-CODE = " OR ".join(f"contains(line, '{m}')" for m in T.CODE_MARKERS)
+CODE = " OR ".join(f"contains(t, '{m}')" for m in T.CODE_MARKERS)
+
+
+def _six(score: str) -> str:
+    """SQL (for both engines but for the division of whole numbers) of a score in whole units, to six decimals, halves up."""
+    return f"((CAST(round({score} * 1e9) AS BIGINT) + 500) {{div}} 1000) / 1e6"
+
+
+def _score() -> Column:
+    return F.expr(_six("score").format(div="div")).alias("score")
+
+
+SIX = _six("score").format(div="//")
 
 
 @query("content_hash", "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
@@ -24,9 +36,10 @@ LINES = "lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10
 
 @query(
     "is_code_line",
-    f"""WITH {LINES} SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN trim(line) <> '' AND (({CODE}) OR starts_with(trim(line), 'function ')
-        OR (regexp_matches(line, '^(    |\\t)') AND (contains(line, '=') OR contains(line, '(') OR contains(line, '.')))
-        OR (regexp_matches(trim(line), '[{{}};,)\\]]$') AND (NOT contains(trim(line), ' ') OR contains(trim(line), '()')))) THEN 1 ELSE 0 END) AS BIGINT) AS n_code FROM lines GROUP BY doc_id""",
+    f"""WITH {LINES}, cut AS (SELECT doc_id, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM lines)
+        SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN t <> '' AND (({CODE}) OR regexp_matches(t, '^(async )?function ')
+        OR (regexp_matches(line, '^(    |\\t)') AND regexp_matches(t, '[=(.]'))
+        OR (t[-1] IN ('{{', '}}', ';', ')', ',') AND (NOT contains(t, ' ') OR (contains(t, '(') AND contains(t, ')'))))) THEN 1 ELSE 0 END) AS BIGINT) AS n_code FROM cut GROUP BY doc_id""",
 )
 def is_code_line(spark: SparkSession, d: str) -> DataFrame:
     lines = S.table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
@@ -100,7 +113,7 @@ def parse_iso(spark: SparkSession, d: str) -> DataFrame:
 _SENT = "sent AS (SELECT tenant_id, chunk_id, i - 1 AS sentence_idx, line AS text FROM (SELECT tenant_id, chunk_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM live) WHERE trim(line) <> '')"
 _POST = f"tok AS (SELECT tenant_id, chunk_id, sentence_idx, {WORDS.format('text')} AS tokens FROM sent), post AS (SELECT tenant_id, chunk_id, sentence_idx, term, count(*) AS tf, CAST(max(dl) AS BIGINT) AS dl FROM (SELECT tenant_id, chunk_id, sentence_idx, len(tokens) AS dl, unnest(tokens) AS term FROM tok) GROUP BY ALL)"
 _COLL = "coll AS (SELECT tenant_id, count(*) AS n_docs, avg(dl) AS avgdl FROM (SELECT DISTINCT tenant_id, chunk_id, sentence_idx, dl FROM post) GROUP BY tenant_id)"
-_SCORED = f"df AS (SELECT tenant_id, term, count(*) AS df FROM post GROUP BY ALL), qt AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS term FROM queries), scored AS (SELECT query_id, tenant_id, chunk_id, sentence_idx, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM post JOIN qt USING (term) JOIN df USING (tenant_id, term) JOIN coll USING (tenant_id) GROUP BY ALL)"
+_SCORED = f"df AS (SELECT tenant_id, term, count(*) AS df FROM post GROUP BY ALL), qt AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS term FROM queries), scored AS (SELECT query_id, tenant_id, chunk_id, sentence_idx, sum(CAST(round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * 1e9) AS BIGINT)) / 1e9 AS score FROM post JOIN qt USING (term) JOIN df USING (tenant_id, term) JOIN coll USING (tenant_id) GROUP BY ALL)"
 _BM25 = f"{S.sql('live', 'queries')}, {_SENT}, {_POST}, {_COLL}, {_SCORED}"
 _TOPQ = "row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY round(score, 9) DESC, chunk_id, sentence_idx)"
 
@@ -123,9 +136,9 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     return sparse.collection(_postings(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
 
 
-@query("bm25_topk", f"{_BM25} SELECT query_id, tenant_id, chunk_id, sentence_idx, round(round(score, 9), 6) AS score, rank FROM (SELECT *, {_TOPQ} AS rank FROM scored) WHERE rank <= 10")
+@query("bm25_topk", f"{_BM25} SELECT query_id, tenant_id, chunk_id, sentence_idx, {SIX} AS score, rank FROM (SELECT *, {_TOPQ} AS rank FROM scored) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _lexical(spark, d, 10).select("query_id", "tenant_id", "chunk_id", "sentence_idx", F.round("score", 6).alias("score"), "rank")
+    return _lexical(spark, d, 10).select("query_id", "tenant_id", "chunk_id", "sentence_idx", _score(), "rank")
 
 
 @query("doc_count", f"{S.sql('live')}, {_SENT} SELECT tenant_id, count(*) AS n_sentences, count(DISTINCT chunk_id) AS n_chunks FROM sent GROUP BY tenant_id")
@@ -144,10 +157,13 @@ def substring_search(spark: SparkSession, d: str) -> DataFrame:
     return sparse.substring(S.live(spark, d), "Thor").select("tenant_id", "chunk_id", "score")
 
 
-@query("parsed_search", f"{S.sql('live')}, {_SENT}, tok AS (SELECT *, {WORDS.format('text')} AS tokens FROM sent) SELECT tenant_id, chunk_id, sentence_idx FROM tok WHERE list_contains(tokens, 'the') AND NOT list_contains(tokens, 'of') AND contains(' ' || array_to_string(tokens, ' ') || ' ', ' and the ') AND list_contains(tokens, 'and')")
+_HAS = "contains(' ' || array_to_string(tokens, ' ') || ' ', ' {0} ')"
+
+
+@query("parsed_search", f"{S.sql('live')}, {_SENT}, tok AS (SELECT *, {WORDS.format('text')} AS tokens FROM sent) SELECT tenant_id, chunk_id, sentence_idx FROM tok WHERE ({_HAS.format('and the')} OR ({_HAS.format('is')} AND {_HAS.format('in')} AND NOT {_HAS.format('to')})) AND NOT {_HAS.format('of')}")
 def parsed_search(spark: SparkSession, d: str) -> DataFrame:
     rows = sparse.sentences(S.live(spark, d))
-    return sparse.search_parsed(rows, sparse.parse_query('+the -of +"and the"')).select("tenant_id", "chunk_id", "sentence_idx")
+    return sparse.search_parsed(rows, sparse.parse_query('"and the"^2 (is AND in NOT to OR +is AND +in AND -to) NOT of')).select("tenant_id", "chunk_id", "sentence_idx")
 
 
 # --- dense -------------------------------------------------------------------------------
@@ -185,18 +201,23 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- fusion, ranking, packing --------------------------------------------------------------
-# Two lexical channels stand for dense and sparse lists of one query: sentences (several rows
-# a chunk) and whole chunks by the number of different query terms in them.
+# Dense list: chunks and queries have the vector of their number, where the vector table has it; sparse list: sentences, several a chunk.
 
-_CHUNKTOP = f"hits AS (SELECT query_id, tenant_id, chunk_id, count(DISTINCT term) AS n FROM post JOIN qt USING (term) GROUP BY ALL), dlist AS (SELECT query_id, tenant_id, chunk_id, CAST(n AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY n DESC, chunk_id) AS rank FROM hits) WHERE rank <= 20), slist AS (SELECT query_id, tenant_id, chunk_id, score, rank FROM (SELECT *, {_TOPQ} AS rank FROM scored) WHERE rank <= 20)"
+_VECTORS = f"dv AS (SELECT l.tenant_id, l.chunk_id, CAST(v.embedding AS DOUBLE[]) AS embedding FROM live l JOIN embeddings v ON CAST(v.vec_id AS VARCHAR) = l.chunk_id), qv AS (SELECT q.query_id, CAST(v.embedding AS DOUBLE[]) AS embedding FROM queries q JOIN embeddings v ON v.vec_id = q.query_id), near AS (SELECT query_id, tenant_id, chunk_id, round({_PAIR}(qv.embedding, dv.embedding), 9) AS score FROM qv, dv)"
+_CHANNELS = f"{_VECTORS}, dlist AS (SELECT query_id, tenant_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY score DESC, chunk_id) AS rank FROM near) WHERE rank <= 20), slist AS (SELECT query_id, tenant_id, chunk_id, score, rank FROM (SELECT *, {_TOPQ} AS rank FROM scored) WHERE rank <= 20)"
 _FUSED = f"fused AS (SELECT query_id, tenant_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, max(CASE WHEN l = 'dense' THEN rank END) AS dense_rank, max(CASE WHEN l = 'sparse' THEN rank END) AS sparse_rank FROM (SELECT query_id, tenant_id, chunk_id, rank, 'dense' AS l FROM dlist UNION ALL SELECT query_id, tenant_id, chunk_id, rank, 'sparse' FROM slist) GROUP BY query_id, tenant_id, chunk_id)"
-_ALL = f"{_BM25}, {_CHUNKTOP}, {_FUSED}"
+_ALL = f"{_BM25}, {_CHANNELS}, {_FUSED}"
 _ORDER = "row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY round(score, 12) DESC, chunk_id)"
 
 
 def _lists(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    postings, asked = _postings(spark, d), S.queries(spark, d)
-    return sparse.overlap_top(postings, asked, k), sparse.bm25_top(postings, asked, k)
+    """The dense and the sparse list of every query and tenant."""
+    asked = S.queries(spark, d)
+    vectors = S.table(spark, d, "embeddings").select("vec_id", "embedding")
+    chunks = S.live(spark, d).select("tenant_id", "chunk_id").join(vectors.withColumn("vec_id", F.col("vec_id").cast("string")), F.col("chunk_id") == F.col("vec_id"))
+    questions = asked.select("query_id").join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", F.lit(None).cast("string").alias("tenant_id"), "embedding")
+    near = dense.topk(chunks, questions, k, "chunk_id", each_tenant=True)
+    return near, sparse.bm25_top(_postings(spark, d), asked, k)
 
 
 @query("rrf_fuse", f"{_ALL} SELECT query_id, tenant_id, chunk_id, round(score, 6) AS score, dense_rank, sparse_rank FROM fused")
@@ -209,7 +230,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(*_lists(spark, d), k=10).select("query_id", "tenant_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("tiered_search", f"{_BM25}, {_CHUNKTOP.replace('rank <= 20), slist', 'rank <= 10), slist')}, {_FUSED} SELECT query_id, tenant_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_ORDER} AS rank FROM fused) WHERE rank <= 10")
+@query("tiered_search", f"{_BM25}, {_CHANNELS.replace('rank <= 20), slist', 'rank <= 10), slist')}, {_FUSED}, any_words AS (SELECT DISTINCT query_id, tenant_id FROM slist), both_lists AS (SELECT query_id, tenant_id, chunk_id, score FROM fused SEMI JOIN any_words USING (query_id, tenant_id) UNION ALL SELECT query_id, tenant_id, chunk_id, score FROM dlist ANTI JOIN any_words USING (query_id, tenant_id)) SELECT query_id, tenant_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_ORDER} AS rank FROM both_lists) WHERE rank <= 10")
 def tiered_search(spark: SparkSession, d: str) -> DataFrame:
     return search.tiered(*_lists(spark, d), k=10).select("query_id", "tenant_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -280,7 +301,7 @@ def search_filters(spark: SparkSession, d: str) -> DataFrame:
 _WHOLE = _BM25.replace(_SENT, "sent AS (SELECT tenant_id, chunk_id, 0 AS sentence_idx, text FROM live)")
 
 
-@query("search", f"{_WHOLE}, r AS (SELECT s.query_id, s.chunk_id, s.score, l.hash, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, s.chunk_id) AS rank FROM scored s JOIN live l ON s.tenant_id = l.tenant_id AND s.chunk_id = l.chunk_id WHERE l.project_id = 'en') SELECT query_id, chunk_id, rank, round(round(score, 9), 6) AS score, chunk_id || ':' || substr(hash, 1, 12) AS citation_id, FALSE AS repaired FROM r WHERE rank <= 20")
+@query("search", f"{_WHOLE}, r AS (SELECT s.query_id, s.chunk_id, s.score, l.hash, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, s.chunk_id) AS rank FROM scored s JOIN live l ON s.tenant_id = l.tenant_id AND s.chunk_id = l.chunk_id WHERE l.project_id = 'en') SELECT query_id, chunk_id, rank, {SIX} AS score, chunk_id || ':' || substr(hash, 1, 12) AS citation_id, FALSE AS repaired FROM r WHERE rank <= 20")
 def search_query(spark: SparkSession, d: str) -> DataFrame:
     chunks = S.chunks(spark, d)
     weights = sparse.weighted(sparse.index(sparse.whole(S.live(spark, d))))
@@ -291,7 +312,7 @@ def search_query(spark: SparkSession, d: str) -> DataFrame:
 
     found = search.search(S.queries(spark, d), chunks, run, 20, project="en")
     cited = search.cite(found.join(S.live(spark, d), ["tenant_id", "chunk_id"]))
-    return cited.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), F.col("citation.citation_id").alias("citation_id"), "repaired")
+    return cited.select("query_id", "chunk_id", "rank", _score(), F.col("citation.citation_id").alias("citation_id"), "repaired")
 
 
 @query("adaptive_fetch_k", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 100 WHEN len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) >= 6 OR strlen(text) >= 80 THEN least(greatest(2 * 15, 1), 100) ELSE 15 END AS fetch_k FROM benchmark")

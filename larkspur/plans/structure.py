@@ -35,12 +35,22 @@ def stem_words(spark: SparkSession, d: str) -> DataFrame:
     return stem.stems(terms)
 
 
-@query("add_batch", "SELECT tenant_id, count(*) AS n_rows FROM (SELECT source AS tenant_id, text FROM documents WHERE strlen(text) <= 1000 GROUP BY ALL) GROUP BY tenant_id")
+@query(
+    "add_batch",
+    "WITH d AS (SELECT DISTINCT source AS tenant_id, coalesce(text, '') AS text FROM documents) SELECT tenant_id, count(*) AS n_texts, CAST(sum(CASE WHEN strlen(text) <= 1200 THEN 1 ELSE 0 END) AS BIGINT) AS n_whole, CAST(sum(CASE WHEN strlen(text) > 1000 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, FALSE AS too_long, FALSE AS lost_words FROM d GROUP BY tenant_id",
+)
 def add_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the texts that stay whole; equal texts of a tenant get one id, so a rerun adds nothing."""
-    docs = S.table(spark, d, "documents").where(F.octet_length("text") <= ingest.SPLIT_FROM)
-    rows = docs.select(F.col("source").alias("tenant_id"), F.col("lang").alias("project_id"), F.lit("doc").alias("chunk_type"), F.lit(None).cast("string").alias("episode_id"), F.array().cast("array<string>").alias("tags"), "text", F.lit(0).cast("bigint").alias("timestamp_created"))
-    return ingest.prepare(rows).groupBy("tenant_id").agg(F.countDistinct("chunk_id").alias("n_rows"))
+    """All texts as chunk rows, checked by tenant: equal texts get one id, short texts stay whole, long ones are split without losing a word."""
+    docs = S.table(spark, d, "documents")
+    rows = docs.select(F.col("source").alias("tenant_id"), F.col("lang").alias("project_id"), F.lit("doc").alias("chunk_type"), F.lit(None).cast("string").alias("episode_id"), F.array().cast("array<string>").alias("tags"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("bigint").alias("timestamp_created"))
+    rows = rows.dropDuplicates(["tenant_id", "text"])
+    pieces = ingest.prepare(rows)
+    letters = lambda c: F.regexp_replace(c, r"\\s+", "")
+    made = pieces.groupBy("tenant_id").agg(F.max(F.octet_length("text") > ingest.MAX_BYTES + ingest.MIN_BYTES + ingest.OVERLAP_BYTES).alias("too_long"), F.sum(F.length(letters(F.col("text")))).alias("kept"))
+    short = rows.where(F.octet_length("text") <= ingest.MAX_BYTES).select("tenant_id", F.sha2("text", 256).alias("hash"))
+    whole = short.join(pieces.select("tenant_id", "hash").distinct(), ["tenant_id", "hash"], "left_semi").groupBy("tenant_id").agg(F.count("*").alias("n_whole"))
+    given = rows.groupBy("tenant_id").agg(F.count("*").alias("n_texts"), F.sum(F.when(F.octet_length("text") > ingest.SPLIT_FROM, 1).otherwise(0)).alias("n_long"), F.sum(F.length(letters(F.col("text")))).alias("had"))
+    return given.join(made, "tenant_id").join(whole, "tenant_id", "left").select("tenant_id", "n_texts", F.coalesce("n_whole", F.lit(0)).alias("n_whole"), "n_long", "too_long", (F.col("kept") < F.col("had")).alias("lost_words"))
 
 
 # --- code structure ----------------------------------------------------------------------------
@@ -227,31 +237,45 @@ def error_summary(spark: SparkSession, d: str) -> DataFrame:
 # --- routing ---------------------------------------------------------------------------------------
 
 
+#: Questions about one name ({0}) with the intent, target and confidence that are right for them.
+_GOLDEN = [
+    ("Where is sym_{0} defined?", "definition", "sym_{0}", 0.9), ("find definition of sym_{0}", "definition", "sym_{0}", 0.9), ("what is sym_{0}", "definition", "sym_{0}", 0.9), ("where is sym_{0}?", "definition", "sym_{0}", 0.9),
+    ("who calls sym_{0}", "callers", "sym_{0}", 0.9), ("show callers of sym_{0}", "callers", "sym_{0}", 0.9), ("who uses sym_{0}", "callers", "sym_{0}", 0.9),
+    ("find all usages of sym_{0}", "references", "sym_{0}", 0.9), ("where is sym_{0} used", "references", "sym_{0}", 0.9), ("FIND sym_{0} references", "references", "sym_{0}", 0.9),
+    ("m{0} importers", "imports", "m{0}", 0.9), ("files that import m{0}", "imports", "m{0}", 0.9), ("outline of src/f{0}.py please", "file", "src/f{0}.py", 0.9),
+    ("any errors in sym_{0} today", "errors", "sym_{0}", 0.9), ("recent errors near {0}", "errors", None, 0.8), ("when did we use tool_{0}", "tool_calls", "tool_{0}", 0.9), ("tool history {0}", "tool_calls", None, 0.8),
+    ("def: sym_{0}", "definition", "sym_{0}", 1.0), ("refs:sym_{0}", "references", "sym_{0}", 1.0), ("how does the greeting {0} work", "semantic", "how does the greeting {0} work", 1.0), ("explain configuration {0}", "semantic", "explain configuration {0}", 1.0),
+]
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """A question of one of seven shapes for each supplier."""
-    s = S.table(spark, d, "supplier")
-    n = F.col("s_suppkey").cast("string")
-    shapes = F.array(F.concat(F.lit("Where is sym_"), n, F.lit(" defined?")), F.concat(F.lit("who calls sym_"), n), F.concat(F.lit("find references to sym_"), n), F.concat(F.lit("what imports m"), n), F.concat(F.lit("show tool calls today "), n), F.concat(F.lit("a plain question about "), n), F.concat(F.lit("def: sym_"), n))
-    return s.select(F.col("s_suppkey").alias("query_id"), F.element_at(shapes, (F.col("s_suppkey") % 7 + 1).cast("int")).alias("query"))
+    """A question of each golden shape in turn for every customer."""
+    s = S.table(spark, d, "customer")
+    shapes = F.array(*(F.replace(F.lit(q), F.lit("{0}"), F.col("c_custkey").cast("string")) for q, *_ in _GOLDEN))
+    return s.select(F.col("c_custkey").alias("query_id"), F.element_at(shapes, (F.col("c_custkey") % len(_GOLDEN) + 1).cast("int")).alias("query"))
+
+
+def _golden(i: int) -> str:
+    texts = ", ".join("NULL" if g[i] is None else "'" + g[i] + "'" for g in _GOLDEN)
+    return f"replace([{texts}][c_custkey % {len(_GOLDEN)} + 1], '{{0}}', CAST(c_custkey AS VARCHAR))"
 
 
-_Q = "q AS (SELECT s_suppkey AS query_id, ['Where is sym_' || s_suppkey || ' defined?', 'who calls sym_' || s_suppkey, 'find references to sym_' || s_suppkey, 'what imports m' || s_suppkey, 'show tool calls today ' || s_suppkey, 'a plain question about ' || s_suppkey, 'def: sym_' || s_suppkey][s_suppkey % 7 + 1] AS query FROM supplier)"
-_ROUTE = "routed AS (SELECT query_id, CASE WHEN starts_with(lower(query), 'def:') OR regexp_matches(query, '(?i)^where is \\w+ defined') THEN 'definition' WHEN regexp_matches(query, '(?i)^who calls \\w+$') THEN 'callers' WHEN regexp_matches(query, '(?i)^find references to \\w+$') THEN 'references' WHEN regexp_matches(query, '(?i)^what imports \\w+$') THEN 'imports' WHEN regexp_matches(query, '(?i)^show tool calls') THEN 'tool_calls' ELSE 'semantic' END AS intent, CASE WHEN regexp_matches(query, '(?i)^show tool calls') THEN regexp_extract(query, '(?i)^show tool calls (.*)$', 1) WHEN contains(query, 'plain') THEN query ELSE regexp_extract(query, '((?:sym_|m)\\d+)', 1) END AS target, CASE WHEN starts_with(lower(query), 'def:') OR contains(query, 'plain') THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence FROM q)"
+_ROUTE = f"routed AS (SELECT c_custkey AS query_id, {_golden(1)} AS intent, {_golden(2)} AS target, [{', '.join(str(g[3]) for g in _GOLDEN)}][c_custkey % {len(_GOLDEN)} + 1]::DOUBLE AS confidence FROM customer)"
 
 
-@query("route_query", f"WITH {_Q}, {_ROUTE} SELECT * FROM routed")
+@query("route_query", f"WITH {_ROUTE} SELECT * FROM routed")
 def route_query(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark, d).select("query_id", router.route(F.col("query")).alias("r")).select("query_id", "r.*")
 
 
-@query("routing_flags", f"WITH {_Q}, {_ROUTE} SELECT query_id, intent IN ('definition', 'callers', 'references', 'imports', 'file') AND confidence < 1 AS blend, intent IN ('definition', 'callers', 'references', 'imports', 'file') AS fallback FROM routed")
+@query("routing_flags", f"WITH {_ROUTE} SELECT query_id, intent IN ('definition', 'callers', 'references', 'imports', 'file') AND confidence < 1 AS blend, intent IN ('definition', 'callers', 'references', 'imports', 'file') AS fallback FROM routed")
 def routing_flags(spark: SparkSession, d: str) -> DataFrame:
     return router.flags(route_query(spark, d)).select("query_id", "blend", "fallback")
 
 
 @query(
     "search_with_routing",
-    f"{S.sql('symbols')}, {_Q}, {_ROUTE}, own AS (SELECT r.query_id, CAST(s.symbol_id AS VARCHAR) AS result_id, row_number() OVER (PARTITION BY r.query_id ORDER BY s.symbol_id) AS rank FROM routed r JOIN symbols s ON r.intent = 'definition' AND s.name = r.target), sem AS (SELECT r.query_id, 'n' || n_nationkey AS result_id, row_number() OVER (PARTITION BY r.query_id ORDER BY n_nationkey) AS rank FROM routed r, nation), want AS (SELECT r.query_id, CASE WHEN EXISTS (SELECT 1 FROM own o WHERE o.query_id = r.query_id) THEN CASE WHEN confidence < 1 THEN 5 ELSE 0 END ELSE 10 END AS take FROM routed r) SELECT query_id, result_id, rank, 'structural' AS source FROM own UNION ALL SELECT s.query_id, s.result_id, s.rank, 'semantic' FROM sem s JOIN want w USING (query_id) WHERE s.rank <= w.take",
+    f"{S.sql('symbols')}, {_ROUTE}, own AS (SELECT r.query_id, CAST(s.symbol_id AS VARCHAR) AS result_id, row_number() OVER (PARTITION BY r.query_id ORDER BY s.symbol_id) AS rank FROM routed r JOIN symbols s ON r.intent = 'definition' AND s.name = r.target), sem AS (SELECT r.query_id, 'n' || n_nationkey AS result_id, row_number() OVER (PARTITION BY r.query_id ORDER BY n_nationkey) AS rank FROM routed r, nation), want AS (SELECT r.query_id, CASE WHEN EXISTS (SELECT 1 FROM own o WHERE o.query_id = r.query_id) THEN CASE WHEN confidence < 1 THEN 5 ELSE 0 END ELSE 10 END AS take FROM routed r) SELECT query_id, result_id, rank, 'structural' AS source FROM own UNION ALL SELECT s.query_id, s.result_id, s.rank, 'semantic' FROM sem s JOIN want w USING (query_id) WHERE s.rank <= w.take",
 )
 def search_with_routing(spark: SparkSession, d: str) -> DataFrame:
     """Definitions for structural questions, nations in order as the stand-in semantic list."""
@@ -306,14 +330,14 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "paired_test",
-    "WITH d AS (SELECT o_orderkey, (o_totalprice % 100) / 100 AS x, (o_totalprice % 70) / 70 AS y FROM orders), s AS (SELECT count(*) AS n, avg(y - x) AS mean_diff, CAST(sum(CASE WHEN y - x > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN y - x < -1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS losses, CAST(sum(CASE WHEN abs(y - x) <= 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS ties, stddev_samp(y - x) AS sd FROM d) SELECT n, round(mean_diff, 6) AS mean_diff, wins, losses, ties, round(mean_diff / (sd / sqrt(n)), 5) AS t, round(mean_diff / sd, 6) AS cohens_d FROM s",
+    "WITH d AS (SELECT o_orderkey, (o_totalprice % 100) / 100 AS x, (o_totalprice % 70) / 70 AS y FROM orders), s AS (SELECT count(*) AS n, avg(y - x) AS mean_diff, CAST(sum(CASE WHEN y - x > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN y - x < -1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS losses, CAST(sum(CASE WHEN abs(y - x) <= 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS ties, stddev_samp(y - x) AS sd FROM d) SELECT n, round(mean_diff, 6) AS mean_diff, wins, losses, ties, round(mean_diff / (sd / sqrt(n)), 5) AS t, round(1 - (1 - ((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-z * z)), 6) AS p, round(mean_diff / sd, 6) AS cohens_d FROM (SELECT *, abs(mean_diff / (sd / sqrt(n))) / sqrt(2) AS z, 1 / (1 + 0.3275911 * abs(mean_diff / (sd / sqrt(n))) / sqrt(2)) AS u FROM s)",
 )
 def paired_test(spark: SparkSession, d: str) -> DataFrame:
     o = S.table(spark, d, "orders")
     a = o.select(F.col("o_orderkey").alias("query_id"), (F.col("o_totalprice") % 100 / 100).alias("value"))
     b = o.select(F.col("o_orderkey").alias("query_id"), (F.col("o_totalprice") % 70 / 70).alias("value"))
     r = E.paired(a, b)
-    return r.select("n", F.round("mean_diff", 6).alias("mean_diff"), "wins", "losses", "ties", F.round("t", 5).alias("t"), F.round("cohens_d", 6).alias("cohens_d"))
+    return r.select("n", F.round("mean_diff", 6).alias("mean_diff"), "wins", "losses", "ties", F.round("t", 5).alias("t"), F.round("p", 6).alias("p"), F.round("cohens_d", 6).alias("cohens_d"))
 
 
 @query("set_f1", "WITH a AS (SELECT o_custkey AS k, list(DISTINCT o_orderstatus) AS e, list(DISTINCT substr(o_orderpriority, 3, 1)) AS f FROM orders GROUP BY o_custkey), s AS (SELECT k, len(list_intersect(e, f)) AS b, len(e) AS ne, len(f) AS nf FROM a) SELECT k, round(b / nf, 6) AS precision, round(b / ne, 6) AS recall, CASE WHEN b > 0 THEN round(2 * (b / nf) * (b / ne) / (b / nf + b / ne), 6) ELSE 0.0 END::DOUBLE AS f1 FROM s")

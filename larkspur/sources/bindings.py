@@ -110,7 +110,7 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.concat(F.lit("f"), F.col("l_partkey") % 100, F.lit(".py")).alias("source_file"), F.concat(F.lit("m"), F.col("l_suppkey") % 20).alias("imported_module")).distinct()
 
 
-_HEX = "regexp_replace(regexp_replace(regexp_replace({0}, '0x[0-9a-fA-F]+', '0x...', 'g'), '\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?Z?', '<timestamp>', 'g'), '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}', '<uuid>', 'g')"
+_HEX = "regexp_replace(regexp_replace(regexp_replace({0}, '0x[0-9a-fA-F]+', '0x...', 'g'), '\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}:\\d{{2}}', '<timestamp>', 'g'), '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}', '<uuid>', 'g')"
 
 
 def sql_signature(text: str) -> str:

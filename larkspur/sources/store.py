@@ -1,4 +1,4 @@
-"""A chunk store over Parquet in one base folder: chunks, tombstones and a change log.
+"""A chunk store over Parquet in one base folder: chunks, with their vectors, and tombstones.
 
 Reads see ``chunks`` without the tombstoned rows; writes append; ``compact`` rewrites the
 chunks without deleted rows and few files a tenant, and clears the tombstones.  Files are
@@ -7,24 +7,28 @@ partitioned by tenant, so every read of one tenant prunes the others.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur import schemas
 from larkspur.functions.text import check_k, check_range, check_tenant
-from larkspur.operators import ingest, search, sparse
+from larkspur.operators import dense, ingest, search, sparse
 
 MAX_RECORDS = 10_000
-CHUNKS = "chunk_id string, tenant_id string, project_id string, timestamp_created bigint, chunk_type string, status string, text string, tags array<string>, hash string"
+CHUNKS = "chunk_id string, tenant_id string, project_id string, timestamp_created bigint, chunk_type string, status string, text string, tags array<string>, hash string, embedding array<float>"
 TOMBSTONES = "tenant_id string, chunk_id string, deleted_at bigint"
 
 
 class ChunkStore:
-    """Add, get, list, search, delete, statistics and compaction of chunks under ``base``."""
+    """Add, get, list, search, delete, statistics and compaction of chunks under ``base``.
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    ``embedder`` makes an ARRAY<FLOAT> column of a text column; with one, chunks keep their
+    vectors and searches fuse the nearest vectors with the BM25 list.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, embedder: Callable[[Column], Column] | None = None):
+        self.spark, self.base, self.embedder = spark, base.rstrip("/"), embedder
 
     # --- folders ---
 
@@ -39,10 +43,12 @@ class ChunkStore:
         return self._fs().exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name)))
 
     def _current(self) -> str:
-        """Name of the chunk folder that readers use; compaction moves on to a new one."""
-        if not self._exists("CURRENT"):
-            return "chunks-0"
-        return self.spark.read.text(self._path("CURRENT")).first()[0]
+        """Name of the chunk folder that readers use: the newest whole one; compaction moves on to a new one."""
+        jvm = self.spark.sparkContext._jvm
+        base = jvm.org.apache.hadoop.fs.Path(self.base)
+        names = [f.getPath().getName() for f in self._fs().listStatus(base)] if self._fs().exists(base) else []
+        whole = [int(n.split("-")[1]) for n in names if n.startswith("chunks-") and self._exists(f"{n}/_SUCCESS")]
+        return f"chunks-{max(whole, default=0)}"
 
     def chunks(self) -> DataFrame:
         """All stored chunks, deleted ones included."""
@@ -71,6 +77,8 @@ class ChunkStore:
         if bad:
             raise ValueError("invalid rows: " + ", ".join(f"{r['count']} by {r['reason']}" for r in sorted(bad)))
         ready = ingest.prepare(rows)
+        vector = self.embedder(F.col("text")) if self.embedder else F.lit(None)
+        ready = ready.withColumn("embedding", vector.cast("array<float>"))
         columns = [c.split()[0] for c in CHUNKS.split(", ")]
         ready.select(columns).write.mode("append").partitionBy("tenant_id").option("maxRecordsPerFile", MAX_RECORDS).parquet(self._path(self._current()))
         return ready.select("tenant_id", "chunk_id")
@@ -102,7 +110,10 @@ class ChunkStore:
         return self.live(tenant).orderBy(F.desc("timestamp_created"), "chunk_id").offset(offset).limit(limit)
 
     def search(self, tenant: str, text: str, k: int = 20, project: str | None = None, types: tuple[str, ...] = (), episode: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-        """BM25 over the sentences of the tenant's live chunks that pass the filters, with citations; repaired and tried again if empty."""
+        """The tenant's live chunks that pass the filters, with citations; repaired and tried again if empty.
+
+        Ranked by BM25 over sentences, with an embedder fused by rank with the nearest vectors.
+        """
         check_k(k)
         check_range(start, end)
         pool = self.live(tenant)
@@ -110,7 +121,13 @@ class ChunkStore:
         def run(queries: DataFrame, rows: DataFrame) -> DataFrame:
             scored = sparse.bm25(sparse.index(sparse.sentences(rows)), sparse.query_terms(queries))
             best = scored.groupBy("query_id", "tenant_id", "chunk_id").agg(F.max("score").alias("score"))
-            return sparse.top(best, 100, tie=("chunk_id",))
+            lexical = sparse.top(best, search.CHANNEL_K, tie=("chunk_id",))
+            if self.embedder is None:
+                return lexical
+            vectors = rows.where("embedding is not null").select("tenant_id", "chunk_id", "embedding")
+            asked = queries.select("query_id", F.lit(tenant).alias("tenant_id"), self.embedder(F.col("query")).cast("array<float>").alias("embedding"))
+            near = dense.topk(vectors, asked, search.CHANNEL_K, "chunk_id", same_tenant=True)
+            return search.hybrid(near, lexical, search.CHANNEL_K).select(lexical.columns)
 
         asked = self.spark.createDataFrame([(0, text)], "query_id int, query string")
         found = search.search(asked, pool, run, k, project=project, types=types, episode=episode, start=start, end=end)
@@ -137,18 +154,18 @@ class ChunkStore:
     def compact(self, files_a_tenant: int = 1) -> bool:
         """Rewrite without deleted rows and clear the tombstones; False where there is nothing to do.
 
-        The new folder is complete before readers are pointed to it.
+        The new folder is complete before readers see it; tombstones written meanwhile stay.
         """
-        if not self._exists(self._current()):
-            return False
-        name = f"chunks-{uuid.uuid4().hex}"
-        live = self.live()
-        live.repartition("tenant_id", (F.pmod(F.xxhash64("chunk_id"), F.lit(files_a_tenant)))).write.partitionBy("tenant_id").option("maxRecordsPerFile", MAX_RECORDS).parquet(self._path(name))
         old = self._current()
-        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(self._path("CURRENT"))
+        if not self._exists(old):
+            return False
         jvm = self.spark.sparkContext._jvm
-        for gone in (old, "tombstones"):
-            self._fs().delete(jvm.org.apache.hadoop.fs.Path(self._path(gone)), True)
+        marks = jvm.org.apache.hadoop.fs.Path(self._path("tombstones"))
+        seen = [f.getPath() for f in self._fs().listStatus(marks)] if self._exists("tombstones") else []
+        name = f"chunks-{int(old.split('-')[1]) + 1}"
+        self.live().repartition("tenant_id", (F.pmod(F.xxhash64("chunk_id"), F.lit(files_a_tenant)))).write.mode("overwrite").partitionBy("tenant_id").option("maxRecordsPerFile", MAX_RECORDS).parquet(self._path(name))
+        for path in (jvm.org.apache.hadoop.fs.Path(self._path(old)), *seen):
+            self._fs().delete(path, True)
         return True
 
 

