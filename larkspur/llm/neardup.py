@@ -8,9 +8,10 @@
    ``overlap(n)`` sketch values, so they share one of the ``k - overlap + 1`` rarest of
    each.  Only those are listed, which leaves words and passages that stand everywhere out
    of the lists without losing a link.
-4. A list's members are linked with its first member (a star, never all pairs).  The
-   similarity estimated from the union of the two sketches filters, the full sets of the
-   survivors decide.
+4. A list's members are linked with one of them (a star, never all pairs): the one whose
+   retained values stand in most documents on average, as those of a text do that the others
+   are edited copies of.  The similarity estimated from the union of the two sketches
+   filters, the full sets of the survivors decide.
 5. Components of the confirmed links.  Where a list still holds several components, its
    members are compared across components by an exact prefix join of their full sets, so
    that links a star misses are found as well; components again.
@@ -147,14 +148,18 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFr
 
 
 def inverted_lists(reps: DataFrame, percent: int, k: int, t: C.Tables) -> DataFrame:
-    """(v, id, n): each document under the rarest of its retained values, as many as a link needs."""
+    """(v, id, n, central): each document under the rarest of its retained values, as many as a link needs.
+
+    ``central`` is the mean number of documents that its retained values stand in.
+    """
     least = -(-percent // (100 - percent))  # smaller sets have no link to a different set
     posts = reps.where(F.col("n") >= least).select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     # counts are written before they are joined back: a join of two plain exchanges can be split at a common value
     common = t.write(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
     mine = posts.join(common, "v").groupBy("id", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
     take = F.expr(f"m - least({least_overlap(k, percent)}, cast(ceil({percent} * n / 100) as int)) + 1 - (m - size(s))")
-    return mine.withColumn("take", take).where("take > 0").select(F.explode(F.expr("slice(s, 1, take).v")).alias("v"), "id", "n")
+    central = F.expr("(m - size(s) + aggregate(s, 0L, (a, x) -> a + x.df)) / m")
+    return mine.withColumn("take", take).where("take > 0").select(F.explode(F.expr("slice(s, 1, take).v")).alias("v"), "id", "n", central.alias("central"))
 
 
 def _repeated(sigs: DataFrame) -> DataFrame:
@@ -180,7 +185,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     if not _repeated(sigs).isEmpty():  # one of each text that stands there again under its id
         texts = texts.groupBy("id").agg(F.first("text").alias("text"))
     texts = t.write(texts, "listed-texts")
-    lead = t.write(lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a"), "leaders")
+    first = F.min(F.struct(-F.col("central"), "id"))["id"]
+    lead = t.write(lists.groupBy("v").agg(first.alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a"), "leaders")
     pairs = t.write(lists.join(lead, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
     edges = t.write(confirm(estimated(pairs, reps, percent, k), texts, width, percent), "links")
     t.drop("shared-values", "leaders", "star-pairs")
