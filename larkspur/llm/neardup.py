@@ -120,14 +120,16 @@ def _checker(width: int, percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, t: C.Tables) -> DataFrame:
     """The candidate pairs (a, b) whose full shingle sets are as alike as asked.
 
     A leader's text is sent once for each block of about BLOCK partners, so a leader with
     very many partners is dealt over many tasks; a partner's text is sent once a pair.
     """
-    pairs = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "a")
-    pairs = pairs.withColumn("block", F.expr("cast(pmod(xxhash64(b), blocks) as int)"))
+    # both sides of the join are written, so that a leader's pairs can be split
+    pairs = t.write(pairs, "candidates")
+    crowded = t.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "crowded-leaders")
+    pairs = pairs.join(crowded, "a", "left").withColumn("block", F.expr("cast(pmod(xxhash64(b), coalesce(blocks, 1)) as int)"))
     roles = pairs.select("a", "block", F.lit(1).alias("role"), "b", F.col("b").alias("id"))
     roles = roles.union(pairs.select("a", "block").distinct().select("a", "block", F.lit(0), "a", "a"))
     kind = dict(docs.dtypes)["id"]
@@ -188,16 +190,16 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     first = F.min(F.struct(-F.col("central"), "id"))["id"]
     lead = t.write(lists.groupBy("v").agg(first.alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a"), "leaders")
     pairs = t.write(lists.join(lead, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
-    edges = t.write(confirm(estimated(pairs, reps, percent, k), texts, width, percent), "links")
+    edges = t.write(confirm(estimated(pairs, reps, percent, k), texts, width, percent, t), "links")
     t.drop("shared-values", "leaders", "star-pairs")
     comps = components(edges, "a", "b")
 
     more = _across(lists, texts, comps, width, percent, t)
     if not more.isEmpty():
-        found = t.write(confirm(estimated(more, reps, percent, k), texts, width, percent), "links")
+        found = t.write(confirm(estimated(more, reps, percent, k), texts, width, percent, t), "links")
         if not found.isEmpty():
             comps = components(edges.union(found), "a", "b")
-    t.drop("lists", "listed-texts", "cross-pairs", "links")
+    t.drop("lists", "listed-texts", "candidates", "crowded-leaders", "cross-pairs", "links")
     return sigs, classes, comps
 
 
