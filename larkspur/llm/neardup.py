@@ -8,10 +8,11 @@
    ``overlap(n)`` sketch values, so they share one of the ``k - overlap + 1`` rarest of
    each.  Only those are listed, which leaves words and passages that stand everywhere out
    of the lists without losing a link.
-4. A list's members are linked with one of them (a star, never all pairs): the one whose
-   retained values stand in most documents on average, as those of a text do that the others
-   are edited copies of.  The similarity estimated from the union of the two sketches
-   filters, the full sets of the survivors decide.
+4. A list's members are linked with at most two of them (stars, never all pairs): the one
+   with the smallest id, and the one whose retained values stand in most documents on
+   average; both are likely to be the text that the others are edited copies of.  The
+   similarity estimated from the union of the two sketches filters, the full sets of the
+   survivors decide.
 5. Components of the confirmed links.  Where a list still holds several components, its
    members are compared across components by an exact prefix join of their full sets, so
    that links a star misses are found as well; components again.
@@ -187,8 +188,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     if not _repeated(sigs).isEmpty():  # one of each text that stands there again under its id
         texts = texts.groupBy("id").agg(F.first("text").alias("text"))
     texts = t.write(texts, "listed-texts")
-    first = F.min(F.struct(-F.col("central"), "id"))["id"]
-    lead = t.write(lists.groupBy("v").agg(first.alias("a"), F.count("*").alias("c")).where("c > 1").select("v", "a"), "leaders")
+    named = lists.select("v", "id", "central").join(classes.select(F.col("node").alias("id"), F.struct("none", F.col("id").alias("rid"), "h").alias("own")), "id")
+    leads = F.array(F.min(F.struct("own", "id"))["id"], F.min(F.struct(-F.col("central"), "own", "id"))["id"]).alias("leads")
+    lead = named.groupBy("v").agg(leads, F.count("*").alias("c")).where("c > 1")
+    lead = t.write(lead.select("v", F.explode(F.array_distinct("leads")).alias("a")), "leaders")
     pairs = t.write(lists.join(lead, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star-pairs")
     edges = t.write(confirm(estimated(pairs, reps, percent, k), texts, width, percent, t), "links")
     t.drop("shared-values", "leaders", "star-pairs")
