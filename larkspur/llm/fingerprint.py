@@ -6,8 +6,8 @@ bit that differs from its left neighbour, three times over; phrases begin at loc
 the labels; and a phrase's name is the hash of what it stands for.  Cuts depend on a few symbols
 around them only, so equal substrings get equal names inside, whatever stands before them.
 
-The fingerprint is the bottom-k sketch of the names from level ``FLOOR`` up (of all names,
-for texts below ``SHORT`` bytes), with the name of the whole text; a name that stands there n times counts n times.  Likeness of two
+The fingerprint is the bottom-k sketch of the names from level ``FLOOR`` up, with the name of
+the whole text; a name that stands there n times counts n times.  Likeness of two
 fingerprints is the share of names in common (Dice) that the sketches estimate.
 
 Defined results: null and empty texts have the fingerprint ``EMPTY``; two empty texts are
@@ -28,7 +28,6 @@ from larkspur.llm import common as C
 K = 48
 FLOOR = 2
 EMPTY = "-"
-SHORT = 128
 _LOWEST = np.array([8, *((i & -i).bit_length() - 1 for i in range(1, 256))], np.uint8)
 
 
@@ -100,7 +99,6 @@ def sketches(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     if not len(full):
         return out
     row = full  # of each text that still has more than one symbol
-    short = np.diff(offs)[full] < SHORT
     first = np.zeros(len(data), bool)
     first[offs[full]] = True
     sums = C.prefix_hash(data)
@@ -120,12 +118,9 @@ def sketches(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         done = count == 1
         keep(row[done], x[at[done]])  # the name of a whole text, once
         live = np.repeat(~done, count)
-        x, starts, first, row, short, count = x[live], starts[live], first[live], row[~done], short[~done], count[~done]
+        x, starts, first, row, count = x[live], starts[live], first[live], row[~done], count[~done]
         if level >= FLOOR:
             keep(np.repeat(row, count), x + np.uint64(level))
-        elif short.any():  # a short text has few long phrases; its shorter ones count as well
-            use = np.repeat(short, count)
-            keep(np.repeat(row[short], count[short]), x[use] + np.uint64(level))
     key = np.sort(np.concatenate(keys))
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]

@@ -68,6 +68,18 @@ def test_fingerprint_of_equal_and_shifted_texts():
     assert fingerprint.likeness(fingerprint.text_of(a), fingerprint.text_of(c)) == fingerprint.likeness(a, c)
 
 
+def test_fingerprints_of_nearly_equal_texts_at_any_length():
+    rng = np.random.default_rng(5)
+    for n in (100, 126, 127, 128, 129, 160, 300):
+        near = []
+        for _ in range(40):
+            a = bytes(rng.integers(97, 123, n, np.uint8))
+            b = a[: n // 2] + b" xy" + a[n // 2 :]
+            x, y = fingerprint.sketches(np.frombuffer(a + b, np.uint8), np.array([0, n, 2 * n + 3]))
+            near.append(fingerprint.likeness(x, y))
+        assert np.mean(near) > 0.65
+
+
 def test_op1_hard(hard, empty, spark):
     out = fingerprint.edited_neighbours(hard).collect()
     assert len(out) == len(HARD) and all(0 <= r.near_edited <= 1 for r in out)
