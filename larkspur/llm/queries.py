@@ -84,6 +84,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor against every row of ``embeddings``; labels of ids divisible by 7 move on by one."""
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every whole text, as digests; a null text counts as empty."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.bpe import decode, encode
+
+    ranks = _tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks).drop("text"), *ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw 5 % of the documents of 20 words or more towards the texts of ``benchmark``."""
+    from larkspur.llm.importance import resample
+
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
