@@ -123,4 +123,4 @@ def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; tests hold the others against brute force."""
     from larkspur.llm import sql
 
-    return {"op5_decontamination": sql.DECONTAMINATION, "op7_minhash_neardup": sql.NEAR_DUPLICATES}
+    return {"op5_decontamination": sql.DECONTAMINATION, "op7_minhash_neardup": sql.NEAR_DUPLICATES, "op11_hard_negatives": sql.HARD_NEGATIVES, "op13_importance_resampling": sql.IMPORTANCE}
