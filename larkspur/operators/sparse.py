@@ -6,9 +6,7 @@ work is the postings of the query's terms, and no pair without a common term is
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -189,122 +187,6 @@ def top_weighted(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _top_of(hits, queries, k, ("chunk_id", "sentence_idx"))
 
 
-@dataclass
-class Clause:
-    """A parsed query: leaves are phrases (words joined by spaces), inner nodes are clauses."""
-
-    must: list[str | Clause] = field(default_factory=list)
-    should: list[str | Clause] = field(default_factory=list)
-    never: list[str | Clause] = field(default_factory=list)
-    boosts: dict[str, float] = field(default_factory=dict)
-
-    def terms(self) -> dict[str, float]:
-        """Words that may score, with their boost."""
-        out: dict[str, float] = {}
-        for x in (*self.must, *self.should):
-            for t, b in (x.terms().items() if isinstance(x, Clause) else ((t, self.boosts.get(x, 1.0)) for t in x.split())):
-                out[t] = max(b, out.get(t, 0.0))
-        return out
-
-
-_TOKEN = re.compile(r'"([^"]*)"(?:~\d+)?(?:\^([0-9.]+))?|([()])|([+-])(?=[^\s)])|([^\s()"^]+)(?:\^([0-9.]+))?')
-
-
-def parse_query(text: str) -> Clause:
-    """Words (any of them), ``"phrases"``, ``AND``, ``OR``, ``NOT``, ``+must``, ``-not``, parentheses and ``^boosts``.
-
-    A text that is no such query is read as its words alone.  Raises ValueError for a query
-    without any positive part.
-    """
-    try:
-        found = _parse(text)
-    except SyntaxError:
-        found = Clause(should=re.findall(r"[^\W_]+", text.lower()))
-    if not found.terms():
-        raise ValueError(f"query {text!r} has no term to search for")
-    return found
-
-
-def _parse(text: str) -> Clause:
-    if text.count('"') % 2:
-        raise SyntaxError("open quote")
-    tokens = list(_TOKEN.finditer(text))
-    if re.sub(r"\s+", "", "".join(m.group() for m in tokens)) != re.sub(r"\s+", "", text):
-        raise SyntaxError("unknown sign")
-    clause, at = _clause(tokens, 0, 0)
-    if at < len(tokens):
-        raise SyntaxError("closing parenthesis")
-    return clause
-
-
-def _clause(tokens: list[re.Match], at: int, depth: int) -> tuple[Clause, int]:
-    """The clause from token ``at`` to its closing parenthesis or the end."""
-    chains: list[list[tuple[str, str | Clause]]] = []
-    boosts: dict[str, float] = {}
-    sign, joined = "", False
-    while at < len(tokens):
-        phrase, phrase_boost, bracket, mark, word, word_boost = tokens[at].groups()
-        at += 1
-        if bracket == ")":
-            if not depth:
-                raise SyntaxError("closing parenthesis")
-            depth = -1
-            break
-        if mark or word == "NOT":
-            sign = mark or "-"
-            continue
-        if word in ("AND", "OR"):
-            joined = word == "AND" and bool(chains)
-            continue
-        if bracket:
-            leaf, at = _clause(tokens, at, 1)
-        else:
-            leaf = " ".join(t for t in re.split(r"[\W_]+", (phrase if phrase is not None else word).lower()) if t)
-            if boost := phrase_boost or word_boost:
-                boosts[leaf] = float(boost)
-        if leaf:
-            if joined:
-                chains[-1].append((sign, leaf))
-            else:
-                chains.append([(sign, leaf)])
-        sign, joined = "", False
-    if depth > 0:
-        raise SyntaxError("open parenthesis")
-    out = Clause(boosts=boosts)
-    for chain in chains:
-        if len(chain) == 1:
-            {"+": out.must, "-": out.never, "": out.should}[chain[0][0]].append(chain[0][1])
-        else:
-            both = Clause([x for s, x in chain if s != "-"], [], [x for s, x in chain if s == "-"], boosts)
-            if len(chains) == 1:
-                return both, at
-            out.should.append(both)
-    return out, at
-
-
-def search_parsed(docs: DataFrame, parsed: Clause) -> DataFrame:
-    """Sentence rows that satisfy a parsed query: all of must, none of never and, without must, any of should."""
-    toks = words(F.col("text"))
-    joined = F.concat(F.lit(" "), F.concat_ws(" ", toks), F.lit(" "))
-
-    def holds(x: str | Clause) -> Column:
-        if isinstance(x, str):
-            return F.contains(joined, F.lit(f" {x} "))
-        out = F.lit(True)
-        for y in x.must:
-            out = out & holds(y)
-        for y in x.never:
-            out = out & ~holds(y)
-        if x.should and not x.must:
-            some = F.lit(False)
-            for y in x.should:
-                some = some | holds(y)
-            out = out & some
-        return out
-
-    return docs.where(holds(parsed))
-
-
 def delete(postings: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Postings without those of tombstoned (tenant_id, chunk_id)."""
     return postings.join(tombstones.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_anti")

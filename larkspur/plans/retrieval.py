@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larkspur.functions import text as T, times, vectors as V
-from larkspur.operators import dense, ranking, search, sparse
+from larkspur.operators import dense, lexquery, ranking, search, sparse
 from larkspur.plans.registry import query
 from larkspur.sources import bindings as S
 
@@ -163,7 +163,7 @@ _HAS = "contains(' ' || array_to_string(tokens, ' ') || ' ', ' {0} ')"
 @query("parsed_search", f"{S.sql('live')}, {_SENT}, tok AS (SELECT *, {WORDS.format('text')} AS tokens FROM sent) SELECT tenant_id, chunk_id, sentence_idx FROM tok WHERE ({_HAS.format('and the')} OR ({_HAS.format('is')} AND {_HAS.format('in')} AND NOT {_HAS.format('to')})) AND NOT {_HAS.format('of')}")
 def parsed_search(spark: SparkSession, d: str) -> DataFrame:
     rows = sparse.sentences(S.live(spark, d))
-    return sparse.search_parsed(rows, sparse.parse_query('"and the"^2 (is AND in NOT to OR +is AND +in AND -to) NOT of')).select("tenant_id", "chunk_id", "sentence_idx")
+    return lexquery.matching(rows, '"and the"^2 (is AND in NOT to OR +is AND +in AND -to) NOT of').select("tenant_id", "chunk_id", "sentence_idx")
 
 
 # --- dense -------------------------------------------------------------------------------

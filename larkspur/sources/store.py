@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur import schemas
 from larkspur.functions.text import check_k, check_range, check_tenant
-from larkspur.operators import dense, ingest, search, sparse
+from larkspur.operators import dense, ingest, lexquery, search, sparse
 
 MAX_RECORDS = 10_000
 CHUNKS = "chunk_id string, tenant_id string, project_id string, timestamp_created bigint, chunk_type string, status string, text string, tags array<string>, hash string, embedding array<float>"
@@ -112,14 +112,15 @@ class ChunkStore:
     def search(self, tenant: str, text: str, k: int = 20, project: str | None = None, types: tuple[str, ...] = (), episode: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
         """The tenant's live chunks that pass the filters, with citations; repaired and tried again if empty.
 
-        Ranked by BM25 over sentences, with an embedder fused by rank with the nearest vectors.
+        ``text`` is in the query language of ``lexquery.parse``.  Ranked by BM25 over sentences,
+        with an embedder fused by rank with the nearest vectors.
         """
         check_k(k)
         check_range(start, end)
         pool = self.live(tenant)
 
         def run(queries: DataFrame, rows: DataFrame) -> DataFrame:
-            scored = sparse.bm25(sparse.index(sparse.sentences(rows)), sparse.query_terms(queries))
+            scored = lexquery.score(lexquery.positional(sparse.sentences(rows)), queries)
             best = scored.groupBy("query_id", "tenant_id", "chunk_id").agg(F.max("score").alias("score"))
             lexical = sparse.top(best, search.CHANNEL_K, tie=("chunk_id",))
             if self.embedder is None:

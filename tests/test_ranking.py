@@ -42,29 +42,6 @@ def test_pack_stages(spark):
     assert [x.chunk_id for x in packed.orderBy("rank").collect()] == ["a", "d"] and packed.agg(F.max("used_tokens")).first()[0] == 2
 
 
-SENTENCES = ["a b", "b c", "a c", "two words here", "words two", "a b c"]
-
-
-@pytest.mark.parametrize(
-    "query,want",
-    [
-        ("a", [0, 2, 5]), ("a b", [0, 1, 2, 5]), ("a AND b", [0, 5]), ("a NOT b", [2]), ("a -b", [2]), ("+a b", [0, 2, 5]), ("a AND b OR c", [0, 1, 2, 5]), ("(a OR c) AND b", [0, 1, 5]), ("b AND NOT c", [0]),
-        ('"two words"', [3]), ('"two words" c', [1, 2, 3, 5]), ('+"b c" a', [1, 5]), ("a^3 two", [0, 2, 3, 4, 5]), ("-(b OR c) a two", [3, 4]),
-        ('a "b', [0, 1, 2, 5]), ("(a b", [0, 1, 2, 5]), ("a AND", [0, 2, 5]), ("two-words", [3]), ("a ^^ b", [0, 1, 2, 5]),
-    ],
-)
-def test_query_grammar(spark, query, want):
-    docs = spark.createDataFrame(list(enumerate(SENTENCES)), "n int, text string")
-    assert sorted(r.n for r in sparse.search_parsed(docs, sparse.parse_query(query)).collect()) == want
-
-
-def test_query_terms_and_errors():
-    assert sparse.parse_query('a^2 "b c" -d').terms() == {"a": 2.0, "b": 1.0, "c": 1.0}
-    for bad in ("-only", "NOT x", "", "...", "-(a b)"):
-        with pytest.raises(ValueError):
-            sparse.parse_query(bad)
-
-
 def test_scores_do_not_depend_on_order(spark):
     rows = [("t", f"c{i}", 0, "alpha beta gamma delta epsilon zeta " * (1 + i % 3)) for i in range(40)]
     docs = spark.createDataFrame(rows, "tenant_id string, chunk_id string, sentence_idx bigint, text string")
