@@ -1,41 +1,22 @@
 """Code structure: extraction of symbols, calls and imports, and queries over their tables.
 
-Extraction reads one file at a time in Arrow batches: Python by its own syntax tree, other
-languages by line patterns over brace or indent blocks.  Lines are 1-based everywhere.
+Extraction reads one file at a time in Arrow batches (``functions.source``).  Lines are
+1-based everywhere.
 """
 
 from __future__ import annotations
 
-import ast
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from larkspur.functions.source import parse
+
 #: Languages by file extension, and kinds in order of preference for definitions.
 LANGUAGES = {"rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "go": "go", "java": "java", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "cpp"}
 KIND_ORDER = ("function", "method", "class", "interface", "type", "enum", "variable", "constant", "module")
 
-_ID = r"([A-Za-z_$][\w$]*)"
-#: Declarations of each language as (pattern, kind); the first group is the name.
-PATTERNS = {
-    "rust": [(rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+{_ID}", "function"), (rf"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+{_ID}", "class"), (rf"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+{_ID}", "enum"), (rf"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+{_ID}", "interface"), (rf"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+{_ID}", "type"), (rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+{_ID}\s*:", "constant"), (rf"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+{_ID}", "module")],
-    "typescript": [(rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_ID}", "function"), (rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_ID}", "class"), (rf"^\s*(?:export\s+)?interface\s+{_ID}", "interface"), (rf"^\s*(?:export\s+)?type\s+{_ID}\s*(?:<[^=]*>)?\s*=", "type"), (rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{_ID}", "enum"), (rf"^\s*(?:export\s+)?(?:const|let|var)\s+{_ID}[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>", "function"), (rf"^\s+(?:(?:public|private|protected|static|readonly|async)\s+)*(?!if|for|while|switch|catch|return|function|new\b){_ID}\s*\([^;]*\)\s*(?::\s*[^{{;]+)?\{{", "method")],
-    "go": [(rf"^func\s+\([^)]*\)\s*{_ID}", "method"), (rf"^func\s+{_ID}", "function"), (rf"^type\s+{_ID}\s+struct", "class"), (rf"^type\s+{_ID}\s+interface", "interface"), (rf"^type\s+{_ID}\s", "type"), (rf"^const\s+{_ID}", "constant"), (rf"^var\s+{_ID}", "variable")],
-    "java": [(rf"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*class\s+{_ID}", "class"), (rf"^\s*(?:(?:public|private|protected)\s+)*interface\s+{_ID}", "interface"), (rf"^\s*(?:(?:public|private|protected)\s+)*enum\s+{_ID}", "enum"), (rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]+\s+{_ID}\s*\([^;]*$", "method")],
-    "cpp": [(rf"^\s*(?:class|struct)\s+{_ID}\s*(?:final\s*)?(?::[^{{;]*)?\{{?\s*$", "class"), (rf"^\s*enum\s+(?:class\s+)?{_ID}", "enum"), (rf"^\s*namespace\s+{_ID}", "module"), (rf"^[\w:<>,*&~\s]+?[\s*&]~?(?:\w+::)*{_ID}\s*\([^;]*\)\s*(?:const)?\s*(?:noexcept)?\s*\{{?\s*$", "function")],
-}
-PATTERNS["javascript"] = PATTERNS["typescript"]
-IMPORTS = {
-    "rust": r"^\s*(?:pub\s+)?use\s+([^;]+);", "typescript": r"^\s*import\s+(?:.*?\s+from\s+)?['\"]([^'\"]+)['\"]|require\(\s*['\"]([^'\"]+)['\"]\s*\)",
-    "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$", "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", "cpp": r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]",
-}
-IMPORTS["javascript"] = IMPORTS["typescript"]
-_NO_CALL = frozenset("if for while switch return match catch fn func function def class sizeof new elif except with and or not in assert super self print! loop unsafe await async else".split())
-_CALL = re.compile(r"((?:[A-Za-z_$][\w$]*(?:::|\.))*)([A-Za-z_$][\w$]*)(!?)\s*\(")
-
-
 def language(path: Column) -> Column:
     """Language of a file by its extension, or null."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
@@ -45,119 +26,6 @@ def language(path: Column) -> Column:
     return out
 
 
-def _python(content: str) -> tuple[list[dict], list[dict], list[dict]]:
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return [], [], []
-    symbols, calls, imports = [], [], []
-
-    def visit(node: ast.AST, parent: str | None, in_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                is_class = isinstance(child, ast.ClassDef)
-                head = content.splitlines()[child.lineno - 1].strip()
-                symbols.append({"name": child.name, "kind": "class" if is_class else "method" if in_class else "function", "line_start": child.lineno, "col_start": child.col_offset, "line_end": child.end_lineno, "col_end": child.end_col_offset, "parent": parent, "signature": head.rstrip(":"), "docstring": ast.get_docstring(child), "visibility": "private" if child.name.startswith("_") else "public"})
-                visit(child, child.name, is_class)
-            else:
-                visit(child, parent, in_class)
-            if isinstance(child, ast.Call):
-                f = child.func
-                name = f.attr if isinstance(f, ast.Attribute) else f.id if isinstance(f, ast.Name) else None
-                if name:
-                    calls.append({"callee_name": name, "call_line": child.lineno, "call_col": child.col_offset + 1, "call_type": "method" if isinstance(f, ast.Attribute) else "direct"})
-            elif isinstance(child, ast.Import):
-                imports.extend({"imported_module": a.name, "import_line": child.lineno, "is_relative": False} for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                imports.append({"imported_module": "." * child.level + (child.module or ""), "import_line": child.lineno, "is_relative": child.level > 0})
-        if isinstance(node, ast.Module):
-            for child in node.body:
-                for target in getattr(child, "targets", []) if isinstance(child, ast.Assign) else []:
-                    if isinstance(target, ast.Name):
-                        symbols.append({"name": target.id, "kind": "constant" if target.id.isupper() else "variable", "line_start": child.lineno, "col_start": child.col_offset, "line_end": child.end_lineno, "col_end": child.end_col_offset, "parent": None, "signature": content.splitlines()[child.lineno - 1].strip(), "docstring": None, "visibility": "private" if target.id.startswith("_") else "public"})
-
-    visit(tree, None, False)
-    return symbols, calls, imports
-
-
-def _plain(line: str) -> str:
-    """The line without strings and line comments."""
-    return re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", '""', line).split("//")[0]
-
-
-def _block_end(lines: list[str], at: int) -> int:
-    """Index of the line that closes the braces opened from ``at`` on; ``at`` itself without braces."""
-    depth, opened = 0, False
-    for i in range(at, len(lines)):
-        for ch in _plain(lines[i]):
-            if ch == "{":
-                depth, opened = depth + 1, True
-            elif ch == "}":
-                depth -= 1
-        if opened and depth <= 0 or not opened and lines[i].rstrip().endswith(";"):
-            return i
-    return len(lines) - 1 if opened else at
-
-
-def _by_patterns(content: str, lang: str) -> tuple[list[dict], list[dict], list[dict]]:
-    lines = content.split("\n")
-    symbols, calls, imports = [], [], []
-    owners: list[tuple[int, str]] = []
-    impl = re.compile(r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?([A-Za-z_]\w*)")
-    in_block = False
-    for i, line in enumerate(lines):
-        owners = [(e, n) for e, n in owners if e >= i]
-        if line.strip().startswith(("//", "*", "/*", "#!")):
-            continue
-        if lang == "rust" and (m := impl.match(line)):
-            owners.append((_block_end(lines, i), m.group(1)))
-            continue
-        declared = None
-        for pattern, kind in PATTERNS.get(lang, ()):
-            m = re.match(pattern, line)
-            if m:
-                end = _block_end(lines, i)
-                parent = owners[-1][1] if owners else None
-                kind = "method" if kind == "function" and parent and lang in ("rust", "cpp") else kind
-                if kind == "method" and not parent and lang != "go":
-                    continue
-                above = []
-                for j in range(i - 1, -1, -1):
-                    text = lines[j].strip()
-                    if not text.startswith(("///", "//", "/**", "*", "*/")):
-                        break
-                    above.append(text.strip("/* ").strip())
-                public = {"go": m.group(1)[:1].isupper(), "rust": line.lstrip().startswith("pub")}.get(lang, not re.search(r"\b(private|protected)\b", line))
-                symbols.append({"name": m.group(1), "kind": kind, "line_start": i + 1, "col_start": m.start(1), "line_end": end + 1, "col_end": len(lines[end]), "parent": parent, "signature": line.strip().rstrip("{").strip(), "docstring": "\n".join(reversed(above)) or None, "visibility": "public" if public else "private"})
-                if kind in ("class", "interface", "module"):
-                    owners.append((end, m.group(1)))
-                declared = m.group(1)
-                break
-        if lang == "go":
-            in_block = line.startswith("import (") or in_block and not line.startswith(")")
-        if lang in IMPORTS and (lang != "go" or in_block or line.startswith("import")):
-            m = re.search(IMPORTS[lang], line)
-            if m:
-                module = next(g for g in m.groups() if g).strip()
-                module = re.sub(r"::\{.*$|\s+as\s+\w+$", "", module)
-                imports.append({"imported_module": module, "import_line": i + 1, "is_relative": module.startswith((".", "self::", "super::", "crate::"))})
-                continue
-        for m in _CALL.finditer(_plain(line)):
-            name = m.group(2)
-            if name in _NO_CALL or name == declared and not m.group(1):
-                continue
-            kind = "qualified" if "::" in m.group(1) else "method" if m.group(1) else "direct"
-            calls.append({"callee_name": name, "call_line": i + 1, "call_col": m.start(2) + 1, "call_type": kind})
-    return symbols, calls, imports
-
-
-def parse(content: str | None, lang: str | None) -> tuple[list[dict], list[dict], list[dict]]:
-    """(symbols, calls, imports) of one file; nothing for unknown languages and unreadable sources."""
-    if not content or not lang:
-        return [], [], []
-    return _python(content) if lang == "python" else _by_patterns(content, lang)
-
-
 _TABLES = {
     "symbols": (0, "name string, kind string, line_start int, col_start int, line_end int, col_end int, parent string, signature string, docstring string, visibility string"),
     "calls": (1, "callee_name string, call_line int, call_col int, call_type string"),

@@ -72,26 +72,61 @@ def detect_language(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "pages").select("page_id", C.language(F.concat(F.lit("src/a.b/file"), F.col("page_id").cast("string"), ext)).alias("language"))
 
 
+#: Files by language: extension, the lines above the members, a member, the line below them. {P}: part, {K}: module, {J}: member, {Q}: part it calls.
+_SOURCES = [
+    ("rs", "use m{K}::part;\n/* fn decoy() { no() } */\npub struct Box{P} { x: u8 }\nimpl Box{P} {", '    pub fn sym_{P}_{J}(&self) { let c = \'"\'; self.go_{J}(); sym_{Q}!("}"); }', "}"),
+    ("py", "import m{K}\n# def decoy(): no()\n\nclass Box{P}:", '    def sym_{P}_{J}(self): self.go_{J}(); sym_{Q}("}")', "    pass"),
+    ("go", 'import "m{K}"\n/* func decoy() { no() } */\ntype Box{P} struct { x int }\n// sym_0()', 'func (b *Box{P}) sym_{P}_{J}() { b.go_{J}(); sym_{Q}(`"}`) }', ""),
+    ("java", "import m{K}.Part;\n/* void decoy() { no(); } */\n// none\npublic class Box{P} {", '    void sym_{P}_{J}() { this.go_{J}(); new Sym_{Q}("}"); }', "}"),
+    ("cpp", "#include <m{K}>\n/* void decoy() { no(); } */\n#define NO(x) no(x)\nclass Box{P} {", '    void sym_{P}_{J}() { this->go_{J}(); ns::sym_{Q}("}"); }', "};"),
+    ("ts", "import { a } from './m{K}'\n/* function decoy() { no() } */\n// none\nexport class Box{P} {", '  sym_{P}_{J}(): void { this.go_{J}(); sym_{Q}(`}`) }', "}"),
+    ("js", "import './m{K}'\n/* function decoy() { no() } */\n// none\nclass Box{P} {", '  sym_{P}_{J}() { this.go_{J}(); sym_{Q}(/"}/) }', "}"),
+]
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    """One small Python file for each part, which calls the symbol of the part before."""
-    p = S.table(spark, d, "part")
-    body = F.concat(F.lit("import m"), F.col("p_size") % 20, F.lit("\n\n\ndef sym_"), F.col("p_partkey"), F.lit("(x):\n    return sym_"), F.col("p_partkey") - 1, F.lit("(x) + 1\n"))
-    return p.select(F.concat(F.lit("f"), F.col("p_partkey"), F.lit(".py")).alias("path"), body.alias("content"))
+    """A source file for each part, in one of seven languages: a class of up to four members, each with two calls, among decoys."""
+    p = S.table(spark, d, "part").withColumn("lang", (F.col("p_partkey") % len(_SOURCES) + 1).cast("int")).withColumn("m", (F.col("p_size") % 5).cast("int"))
+
+    def of(k: int):
+        text = F.element_at(F.array(*(F.lit(source[k]) for source in _SOURCES)), F.col("lang"))
+        return F.replace(F.replace(text, F.lit("{P}"), F.col("p_partkey").cast("string")), F.lit("{K}"), (F.col("p_size") % 20).cast("string"))
+
+    member = lambda j: F.replace(F.replace(of(2), F.lit("{J}"), j.cast("string")), F.lit("{Q}"), (F.col("p_partkey") - 1 - j).cast("string"))
+    members = F.when(F.col("m") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("m") - 1, F.lit(0))), member)).otherwise(F.array().cast("array<string>"))
+    content = F.array_join(F.concat(F.array(of(1)), members, F.array(of(3))), "\n")
+    return p.select(F.concat(F.lit("f"), "p_partkey", F.lit("."), of(0)).alias("path"), content.alias("content"))
+
 
+_FILES = f"""WITH files AS (
+    SELECT p_partkey AS p, p_size % 20 AS k, p_size % 5 AS m, p_partkey % 7 AS lang, 'f' || p_partkey || '.' || {[x[0] for x in _SOURCES]!r}[p_partkey % 7 + 1] AS path FROM part
+), members AS (SELECT files.*, j FROM files, unnest(range(m)) AS r(j))"""
 
-@query("extract_symbols", "SELECT 'f' || p_partkey || '.py' AS path, 'sym_' || p_partkey AS name, 'function' AS kind, 4::INTEGER AS line_start, 5::INTEGER AS line_end FROM part")
+
+@query(
+    "extract_symbols",
+    f"""{_FILES}
+    SELECT path, 'Box' || p AS name, 'class' AS kind, CAST(CASE WHEN lang IN (0, 2) THEN 3 ELSE 4 END AS INTEGER) AS line_start, CAST(CASE WHEN lang IN (0, 2) THEN 3 ELSE 5 + m END AS INTEGER) AS line_end, NULL AS parent FROM files
+    UNION ALL SELECT path, 'sym_' || p || '_' || j, 'method', CAST(5 + j AS INTEGER), CAST(5 + j AS INTEGER), 'Box' || p FROM members""",
+)
 def extract_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return C.extract(_files(spark, d), "symbols").select("path", "name", "kind", "line_start", "line_end")
+    return C.extract(_files(spark, d), "symbols").select("path", "name", "kind", "line_start", "line_end", "parent")
 
 
-@query("extract_calls", "SELECT 'f' || p_partkey || '.py' AS path, 'sym_' || (p_partkey - 1) AS callee_name, 5::INTEGER AS call_line, 'direct' AS call_type FROM part WHERE p_partkey > 0 UNION ALL SELECT 'f0.py', NULL, NULL, NULL FROM part WHERE FALSE")
+@query(
+    "extract_calls",
+    f"""{_FILES}
+    SELECT path, 'go_' || j AS callee_name, CAST(5 + j AS INTEGER) AS call_line, 'method' AS call_type FROM members
+    UNION ALL SELECT path, CASE WHEN lang = 3 THEN 'Sym_' ELSE 'sym_' END || (p - 1 - j), CAST(5 + j AS INTEGER), ['macro', 'direct', 'direct', 'constructor', 'qualified', 'direct', 'direct'][lang + 1] FROM members WHERE p - 1 - j >= 0""",
+)
 def extract_calls(spark: SparkSession, d: str) -> DataFrame:
-    return C.extract(_files(spark, d).where("path <> 'f0.py'"), "calls").select("path", "callee_name", "call_line", "call_type")
+    """All calls; a callee whose number would be negative is no name and drops out on both sides."""
+    return C.extract(_files(spark, d), "calls").select("path", "callee_name", "call_line", "call_type").where("callee_name not rlike '_$'")
 
 
-@query("extract_imports", "SELECT 'f' || p_partkey || '.py' AS path, 'm' || (p_size % 20) AS imported_module, 1::INTEGER AS import_line FROM part")
+@query("extract_imports", f"{_FILES} SELECT path, ['m' || k || '::part', 'm' || k, 'm' || k, 'm' || k || '.Part', 'm' || k, './m' || k, './m' || k][lang + 1] AS imported_module, 1::INTEGER AS import_line, lang >= 5 AS is_relative FROM files")
 def extract_imports(spark: SparkSession, d: str) -> DataFrame:
-    return C.extract(_files(spark, d), "imports").select("path", "imported_module", "import_line")
+    return C.extract(_files(spark, d), "imports").select("path", "imported_module", "import_line", "is_relative")
 
 
 @query("attribute_calls", f"{S.sql('symbols', 'call_edges')} SELECT call_file, call_line, callee_name, caller_symbol_id FROM (SELECT c.call_file, c.call_line, c.callee_name, s.symbol_id AS caller_symbol_id, row_number() OVER (PARTITION BY c.call_file, c.call_line, c.callee_name ORDER BY s.line_end - s.line_start, s.symbol_id) AS n FROM (SELECT DISTINCT call_file, call_line, callee_name FROM call_edges) c JOIN symbols s ON c.call_file = s.file AND c.call_line BETWEEN s.line_start AND s.line_end) WHERE n = 1")
