@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from re import Pattern
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from larkspur.functions.sentence import bounds
 from larkspur.functions.text import CODE_MARKERS, CODE_STARTS, chunk_type, content_hash, valid_episode, valid_tenant
 
 MAX_BYTES, OVERLAP_BYTES, MIN_BYTES = 1200, 200, 400
 SPLIT_FROM = 1000
-_ENDS = re.compile(r"(?<=[.!?…])[\"')\]»”’]*\s+(?=[^\s])")
-_ABBREVIATIONS = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|St|vs|etc|e\.g|i\.e|Inc|No)|\b[A-Z])\.$")
-
 
 def _is_code(line: str) -> bool:
     s = line.strip()
@@ -27,8 +25,8 @@ def _is_code(line: str) -> bool:
     return s[-1] in "{};)," and (" " not in s or "(" in s and ")" in s)
 
 
-def sentences(text: str) -> list[tuple[str, int, bool]]:
-    """(sentence, byte offset, is code): a run of code lines is one, prose lines are split at sentence ends."""
+def sentences(text: str, abbreviations: Pattern | None = None) -> list[tuple[str, int, bool]]:
+    """(sentence, byte offset, is code): a run of code lines is one, prose lines are split by ``functions.sentence``."""
     out: list[tuple[str, int, bool]] = []
     code: list[str] = []
     code_at = at = 0
@@ -48,14 +46,14 @@ def sentences(text: str) -> list[tuple[str, int, bool]]:
             code.append(line)
         else:
             close()
-            start = 0
-            cuts = [m.end() for m in _ENDS.finditer(line) if not _ABBREVIATIONS.search(line[: m.start()])] + [len(line)]
-            for end in cuts:
+            before, so_far = 0, at  # characters of the line behind us, and their place in bytes
+            for start, end in bounds(line, abbreviations):
                 piece = line[start:end]
-                if piece.strip():
-                    lead = len(piece) - len(piece.lstrip())
-                    out.append((piece.strip(), at + len(line[: start + lead].encode()), False))
-                start = end
+                if any(map(str.isalnum, piece)):  # marks alone are no sentence
+                    lead = start + len(piece) - len(piece.lstrip())
+                    so_far += len(line[before:lead].encode())
+                    before = lead
+                    out.append((piece.strip(), so_far, False))
         at += len(line.encode()) + 1
     close()
     return out

@@ -7,11 +7,13 @@ Extraction reads one file at a time in Arrow batches (``functions.source``).  Li
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.source import parse
+from larkspur.tables import written
 
 #: Languages by file extension, and kinds in order of preference for definitions.
 LANGUAGES = {"rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "go": "go", "java": "java", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "cpp"}
@@ -102,24 +104,47 @@ def find_references(symbols: DataFrame, edges: DataFrame, names: DataFrame) -> D
     return defs.unionByName(calls).groupBy("name", "file", "line").agg(F.max("role").alias("role"))  # 'definition' sorts after 'call'
 
 
+#: Numbers of 64 bits in a row of names.
+SLOTS = 16
+
+
 def find_callers(symbols: DataFrame, edges: DataFrame, names: DataFrame, depth: int = 1) -> DataFrame:
     """Functions that reach a name by at most ``depth`` (1 to 3) calls: (name, caller, depth), the least depth of each.
 
-    Breadth first through the resolved caller of each edge; what a level has seen is not entered again.
+    Breadth first for all names at once.  The names are numbered, and what a level has reached
+    is one row of bits for each caller and block of names (``SLOTS`` numbers of 64 bits): a
+    level joins these rows with the calls, unites them by bit and keeps the bits that no level
+    before had.  Rows of names and callers are made only from the finished levels.
     """
     if not 1 <= depth <= 3:
         raise ValueError("depth must be from 1 to 3")
-    calls = edges.join(symbols.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller")), "caller_symbol_id").select("callee_name", "caller").distinct()
-    frontier = names.select("name", F.col("name").alias("at"))
-    seen = None
+    calls = edges.join(symbols.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("name").alias("caller")), "caller_symbol_id").select("callee_name", "caller").where("caller is not null").distinct()
+    calls = written(calls, "calls") if depth > 1 else calls
+    asked = names.select("name").where("name is not null").distinct()
+    blocks, size = max(1, asked.count() * 5 // (4 * SLOTS * 64)), SLOTS * 64
+    place = F.row_number().over(Window.partitionBy("block").orderBy("name")) - 1
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks))).withColumn("n", place)
+    numbered = numbered.select("name", "block", F.expr(f"n div {size}").alias("part"), F.expr(f"cast(n % {size} div 64 as int)").alias("slot"), F.expr("cast(n % 64 as int)").alias("bit"))
+    key, bits = ["caller", "block", "part"], [f"b{i}" for i in range(SLOTS)]
+    frontier = numbered.select(F.col("name").alias("at"), "block", "part", *(F.when(F.col("slot") == i, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0)).alias(b) for i, b in enumerate(bits)))
+    levels: list[DataFrame] = []
     for level in range(1, depth + 1):
-        step = frontier.join(calls, F.col("at") == F.col("callee_name")).select("name", "caller").distinct()
-        if seen is not None:
-            step = step.join(seen.select("name", "caller"), ["name", "caller"], "left_anti")
-        found = step.withColumn("depth", F.lit(level))
-        seen = found if seen is None else seen.unionByName(found)
-        frontier = step.select("name", F.col("caller").alias("at"))
-    return seen
+        step = frontier.join(calls, F.col("at") == F.col("callee_name")).groupBy(*key).agg(*(F.bit_or(b).alias(b) for b in bits))
+        if levels:
+            seen = reduce(DataFrame.unionByName, levels).groupBy(*key).agg(*(F.bit_or(b).alias(f"seen_{b}") for b in bits))
+            step = step.join(seen, key, "left").select(*key, *(F.expr(f"{b} & ~coalesce(seen_{b}, 0L)").alias(b) for b in bits)).where(" or ".join(f"{b} <> 0" for b in bits))
+        levels.append(written(step, "callers") if level < depth else step)
+        frontier = levels[-1].withColumnRenamed("caller", "at")
+    rows = reduce(DataFrame.unionByName, [x.withColumn("depth", F.lit(i)) for i, x in enumerate(levels, 1)])
+    members = numbered.groupBy("block", "part").agg(F.collect_list(F.struct("slot", "bit", "name")).alias("members"))  # a block's names
+    held = rows.select("caller", "block", "part", "depth", F.array(*bits).alias("bits")).join(members, ["block", "part"])
+    return held.select(F.explode(F.expr("filter(members, m -> bit_get(bits[m.slot], m.bit) = 1)")).alias("m"), "caller", "depth").select("m.name", "caller", "depth")
+
+
+def callers_of_symbol(linked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls (callee_symbol_id, caller_symbol_id, call_file, call_line) of the given symbols (``symbol_id``), by the edges' resolved callee (see ``link_callees``)."""
+    wanted = symbols.select(F.col("symbol_id").alias("callee_symbol_id")).distinct()
+    return linked.join(wanted, "callee_symbol_id", "left_semi").select("callee_symbol_id", "caller_symbol_id", "call_file", "call_line")
 
 
 def callees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -131,6 +156,11 @@ def find_imports(imports: DataFrame, module: str) -> DataFrame:
     return imports.where(F.col("imported_module") == module).select("source_file")
 
 
+def imports_of_files(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(source_file, imported_module) of the given files (``file``)."""
+    return imports.join(files.select(F.col("file").alias("source_file")).distinct(), "source_file", "left_semi").select("source_file", "imported_module")
+
+
 def link_callees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with ``callee_symbol_id``: the symbol of the called name where only one bears it, else null."""
     one = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("symbol_id").alias("callee_symbol_id")).where("n = 1").select(F.col("name").alias("callee_name"), "callee_symbol_id")

@@ -174,6 +174,21 @@ def find_callees(spark: SparkSession, d: str) -> DataFrame:
     return C.callees(S.symbols(spark, d), S.call_edges(spark, d))
 
 
+@query("callers_of_symbol", f"""{S.sql('symbols', 'call_edges')},
+    own AS (SELECT name, min(symbol_id) AS id FROM symbols GROUP BY name HAVING count(*) = 1)
+    SELECT own.id AS callee_symbol_id, caller_symbol_id, call_file, call_line FROM call_edges JOIN own ON own.name = callee_name WHERE own.id IN (SELECT symbol_id FROM symbols WHERE kind IN ('function', 'method'))""")
+def callers_of_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of every function and method whose name is its own."""
+    symbols = S.symbols(spark, d)
+    return C.callers_of_symbol(C.link_callees(symbols, S.call_edges(spark, d)), symbols.where("kind in ('function', 'method')"))
+
+
+@query("imports_of_files", f"{S.sql('symbols', 'imports')} SELECT source_file, imported_module FROM imports WHERE source_file IN (SELECT file FROM symbols WHERE kind = 'class')")
+def imports_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of the files that define a class."""
+    return C.imports_of_files(S.imports(spark, d), S.symbols(spark, d).where("kind = 'class'").select("file"))
+
+
 @query("find_imports", f"{S.sql('imports')} SELECT source_file FROM imports WHERE imported_module = 'm3'")
 def find_imports(spark: SparkSession, d: str) -> DataFrame:
     return C.find_imports(S.imports(spark, d), "m3")

@@ -1,5 +1,7 @@
+import pytest
 from hypothesis import given, settings, strategies as st
 
+from larkspur.functions.sentence import ABBREVIATIONS, bounds
 from larkspur.operators import ingest
 
 
@@ -15,7 +17,9 @@ def test_sentences_keep_code_together():
 
 
 def test_abbreviations_end_no_sentence():
-    assert [s for s, _, _ in ingest.sentences("Dr. Smith met J. Doe. They left.")] == ["Dr. Smith met J. Doe.", "They left."]
+    text = "Dr. Smith met J. Doe. They left."
+    assert [s for s, _, _ in ingest.sentences(text, ABBREVIATIONS)] == ["Dr. Smith met J. Doe.", "They left."]
+    assert [s for s, _, _ in ingest.sentences(text)] == ["Dr.", "Smith met J.", "Doe.", "They left."]  # the default rules know none
 
 
 def test_long_sentence_is_cut_at_characters():
@@ -45,3 +49,60 @@ def test_prepare_splits_and_tags(spark):
     assert sorted(r.chunk_id for r in ingest.prepare(rows).collect()) == sorted(r.chunk_id for r in out)
     bad = spark.createDataFrame([("t 1", "doc", None), ("t", "nope", None), ("t", "doc", "a b"), ("t", "doc", "ok")], "tenant_id string, chunk_type string, episode_id string")
     assert sorted(r.reason for r in ingest.invalid(bad).collect()) == ["episode", "tenant", "type"]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Hello. World", ["Hello. ", "World"]), ("It cost 3.5 dollars.", ["It cost 3.5 dollars."]), ("etc. and so on", ["etc. and so on"]), ("the U.S.A is", ["the U.S.A is"]), ("Mr.Fox ran", ["Mr.Fox ran"]),
+        ('He said "Go." She left.', ['He said "Go." ', "She left."]), ("(Really?) Yes! \u201cNo.\u201d Then", ["(Really?) ", "Yes! ", "\u201cNo.\u201d ", "Then"]), ('"Stop!" he cried.', ['"Stop!" ', "he cried."]), ('"Stop." he cried.', ['"Stop." he cried.']),
+        ("\u4eca\u65e5\u306f\u3002\u660e\u65e5\uff01\u300c\u306f\u3044\u3002\u300d\u6b21", ["\u4eca\u65e5\u306f\u3002", "\u660e\u65e5\uff01\u300c", "\u306f\u3044\u3002\u300d", "\u6b21"]), ("\u0939\u093e\u0964 \u0928", ["\u0939\u093e\u0964 ", "\u0928"]),
+        ("Wait... what? No", ["Wait... what? ", "No"]), ("Wait... What", ["Wait... ", "What"]), ("Hm\u2026 Yes", ["Hm\u2026 Yes"]), ("One?! Two", ["One?! ", "Two"]), ("a.\u0301 B", ["a.\u0301 ", "B"]), ("x. (1) then", ["x. (1) then"]), ("x. 1 Then", ["x. ", "1 Then"]),
+        ("one\r\ntwo\u2028three\x85", ["one\r\n", "two\u2028", "three\x85"]), ("End. , more", ["End. , more"]), ("a. \u2029b", ["a. \u2029", "b"]), ("No break", ["No break"]), ("", []), ("...", ["..."]),
+    ],
+)
+def test_sentence_rules(text, want):
+    assert [text[a:b] for a, b in bounds(text)] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB1.?!,;:\"')( \n\r\u2028\u3002\u0301\u00ad\u201d\u6f22", max_size=60))
+def test_sentences_tile_the_text_by_the_rules(text):
+    """Against the rules read one by one over the classes of all characters."""
+    import regex
+
+    names = ["CR", "LF", "Sep", "Extend", "Format", "Sp", "Lower", "Upper", "OLetter", "Numeric", "ATerm", "SContinue", "STerm", "Close"]
+    of = [next((n for n in names if regex.match(rf"\p{{Sentence_Break={n}}}", c)), "Other") for c in text]
+    cuts = []
+    for i in range(1, len(text)):
+        if of[i - 1] == "CR" and of[i] == "LF":
+            continue
+        if of[i - 1] in ("Sep", "CR", "LF"):
+            cuts.append(i)
+            continue
+        if of[i] in ("Extend", "Format"):
+            continue
+        left = [c for j, c in enumerate(of[:i]) if c not in ("Extend", "Format") or j == 0 or of[j - 1] in ("Sep", "CR", "LF")]
+        right = [of[i], *(c for c in of[i + 1 :] if c not in ("Extend", "Format"))]
+        k = len(left) - 1
+        seps = left[k] in ("Sep", "CR", "LF")
+        while k >= 0 and left[k] == "Sp":
+            k -= 1
+        spaces = k < len(left) - 1
+        while k >= 0 and left[k] == "Close":
+            k -= 1
+        if seps or k < 0 or left[k] not in ("ATerm", "STerm"):
+            continue
+        near = k == len(left) - 1
+        if left[k] == "ATerm":
+            if near and (right[0] == "Numeric" or right[0] == "Upper" and k and left[k - 1] in ("Upper", "Lower")):
+                continue
+            ahead = next((c for c in right if c in ("OLetter", "Upper", "Lower", "Sep", "CR", "LF", "STerm", "ATerm")), None)
+            if ahead == "Lower":
+                continue
+        if right[0] in ("SContinue", "STerm", "ATerm") or right[0] in ("Sp", "Sep", "CR", "LF") or right[0] == "Close" and not spaces:
+            continue
+        cuts.append(i)
+    found = list(bounds(text))
+    assert [b for _, b in found[:-1]] == cuts
+    assert "".join(text[a:b] for a, b in found) == text

@@ -55,3 +55,30 @@ def test_queries_over_tables(spark):
     assert [r.symbol_id for r in C.children(sym, "1").collect()] == [2] and C.by_name(sym, "a").count() == 2
     linked = {r.callee_name: r.callee_symbol_id for r in C.link_callees(sym, calls).collect()}
     assert linked == {"b": 3, "c": 4, "a": None}
+
+
+def test_callers_of_many_names_at_once(spark):
+    """More names than one row of bits holds, in a random graph, against a walk of each name."""
+    import random
+
+    rng = random.Random(2)
+    sym = [(i, f"n{i}", "function", "f.py", 1, 2) for i in range(1500)]
+    edges = [(rng.randrange(1500), f"n{rng.randrange(1400)}", "f.py", 1) for _ in range(1700)] + [(3, "n3", "f.py", 1), (None, "n1", "f.py", 1), (5, None, "f.py", 1)]
+    s = spark.createDataFrame(sym, "symbol_id int, name string, kind string, file string, line_start int, line_end int")
+    e = spark.createDataFrame(edges, "caller_symbol_id int, callee_name string, call_file string, call_line int")
+    names = spark.createDataFrame([(f"n{i}",) for i in range(1450)] + [("n7",), ("nobody",), (None,)], "name string")
+    into: dict[str, set[str]] = {}
+    for caller, callee, *_ in edges:
+        if caller is not None:
+            into.setdefault(callee, set()).add(f"n{caller}")
+    want = set()
+    for name in {f"n{i}" for i in range(1450)}:
+        seen, at = {}, {name}
+        for depth in (1, 2, 3):
+            at = {c for x in at for c in into.get(x, ())} - set(seen)
+            seen |= dict.fromkeys(at, depth)
+        want |= {(name, c, d) for c, d in seen.items()}
+    for depth in (1, 2, 3):
+        got = [tuple(r) for r in C.find_callers(s, e, names, depth).select("name", "caller", "depth").collect()]
+        assert len(got) == len(set(got)) and set(got) == {x for x in want if x[2] <= depth}
+    assert C.find_callers(s, e, names.limit(0), 2).isEmpty()
