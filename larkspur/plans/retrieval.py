@@ -210,9 +210,9 @@ _ALL = f"{_BM25}, {_CHANNELS}, {_FUSED}"
 _ORDER = "row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY round(score, 12) DESC, chunk_id)"
 
 
-def _lists(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The dense and the sparse list of every query and tenant."""
-    asked = S.queries(spark, d)
+def _lists(spark: SparkSession, d: str, k: int = 20, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The dense and the sparse list of every query (those of ``benchmark`` unless given) and tenant."""
+    asked = S.queries(spark, d) if asked is None else asked
     vectors = S.table(spark, d, "embeddings").select("vec_id", "embedding")
     chunks = S.live(spark, d).select("tenant_id", "chunk_id").join(vectors.withColumn("vec_id", F.col("vec_id").cast("string")), F.col("chunk_id") == F.col("vec_id"))
     questions = asked.select("query_id").join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", F.lit(None).cast("string").alias("tenant_id"), "embedding")

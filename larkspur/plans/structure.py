@@ -323,20 +323,6 @@ def routing_flags(spark: SparkSession, d: str) -> DataFrame:
     return router.flags(route_query(spark, d)).select("query_id", "blend", "fallback")
 
 
-@query(
-    "search_with_routing",
-    f"{S.sql('symbols')}, {_ROUTE}, own AS (SELECT r.query_id, CAST(s.symbol_id AS VARCHAR) AS result_id, row_number() OVER (PARTITION BY r.query_id ORDER BY s.symbol_id) AS rank FROM routed r JOIN symbols s ON r.intent = 'definition' AND s.name = r.target), sem AS (SELECT r.query_id, 'n' || n_nationkey AS result_id, row_number() OVER (PARTITION BY r.query_id ORDER BY n_nationkey) AS rank FROM routed r, nation), want AS (SELECT r.query_id, CASE WHEN EXISTS (SELECT 1 FROM own o WHERE o.query_id = r.query_id) THEN CASE WHEN confidence < 1 THEN 5 ELSE 0 END ELSE 10 END AS take FROM routed r) SELECT query_id, result_id, rank, 'structural' AS source FROM own UNION ALL SELECT s.query_id, s.result_id, s.rank, 'semantic' FROM sem s JOIN want w USING (query_id) WHERE s.rank <= w.take",
-)
-def search_with_routing(spark: SparkSession, d: str) -> DataFrame:
-    """Definitions for structural questions, nations in order as the stand-in semantic list."""
-    routed = route_query(spark, d)
-    hits = routed.where("intent = 'definition'").join(S.symbols(spark, d).select(F.col("name").alias("target"), "symbol_id"), "target")
-    own = hits.select("query_id", F.col("symbol_id").cast("string").alias("result_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("symbol_id")).alias("rank"))
-    listed = S.table(spark, d, "nation").agg(F.sort_array(F.collect_list("n_nationkey")).alias("l"))  # 25 fixed rows
-    semantic = routed.select("query_id").join(F.broadcast(listed), F.lit(True)).select("query_id", F.posexplode("l").alias("rank", "k")).select("query_id", F.concat(F.lit("n"), "k").alias("result_id"), (F.col("rank") + 1).alias("rank"))
-    return router.blend(routed, own, semantic, 10)
-
-
 # --- evaluation ----------------------------------------------------------------------------------------
 # queries: vectors whose id is divisible by 50; relevant: vectors of the same label; results: by distance of ids
 
