@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from larkspur.tables import numbered
 
 
 def per_query(queries: DataFrame, qrels: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
@@ -27,17 +29,19 @@ def per_query(queries: DataFrame, qrels: DataFrame, results: DataFrame, k: int =
 def bootstrap(values: DataFrame, iterations: int = 1000, seed: int = 42) -> DataFrame:
     """(n, mean, std, lower, upper) of column ``value``: seeded resampled means, percentiles 2.5 and 97.5.
 
-    Each sample draws its rows by a hash of (seed, iteration, draw), so the result is the
-    same on any cluster; draws join rows by number.
+    Draw j of an iteration takes the row at place md5("seed:iteration:j") (its first 12 hex
+    digits, modulo n) in order of ``query_id``, so the result is the same on any cluster.
+    The draws are counted by iteration and row before they meet the values.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy("query_id")
-    rows = values.withColumn("i", F.row_number().over(w) - 1)  # one row a query of the evaluation set
+    rows = numbered(values.select("query_id", "value"), "query_id")
     n = rows.count()
     if not n:
         return values.sparkSession.createDataFrame([], "n bigint, mean double, std double, lower double, upper double")
-    draws = values.sparkSession.range(iterations * n).select((F.col("id") / n).cast("bigint").alias("it"), F.expr(f"pmod(xxhash64({seed}, id), {n})").alias("i"))
-    means = draws.join(F.broadcast(rows.select("i", "value")), "i").groupBy("it").agg(F.avg("value").alias("m"))
-    spread = means.agg(F.sort_array(F.collect_list("m")).alias("s"))
+    draws = values.sparkSession.range(iterations * n).select(F.expr(f"id div {n}").alias("it"), F.expr(f"id % {n}").alias("j"))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("it"), F.col("j")).cast("binary")), 1, 12)
+    taken = draws.select("it", (F.conv(digits, 16, 10).cast("bigint") % n).alias("i")).groupBy("it", "i").agg(F.count("*").alias("times"))
+    means = taken.join(rows.select("i", "value"), "i").groupBy("it").agg((F.sum(F.col("value") * F.col("times")) / n).alias("m"))
+    spread = means.agg(F.sort_array(F.collect_list("m")).alias("s"))  # one mean an iteration
     at = lambda p: F.element_at("s", F.lit(int(p * (iterations - 1) / 100) + 1))
     base = values.agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
     return base.join(spread, F.lit(True)).select("n", "mean", "std", at(2.5).alias("lower"), at(97.5).alias("upper"))  # one row each

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from larkspur.tables import written
+
 
 def wal_replay(log: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """State after a change log (seq, op, tenant_id, chunk_id, payload): the last add of each chunk not deleted since.
@@ -63,22 +65,28 @@ def latency_stats(metrics: DataFrame, last: int = 1000, by: str = "tool_name", v
     return kept.groupBy(by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), *(_exact(v, p).alias(f"p{p}") for p in (50, 90, 99)))
 
 
-def suite_percentiles(metrics: DataFrame, by: str, value: str) -> DataFrame:
+def suite_percentiles(metrics: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
     """p50/p90/p99 by the other rule: sorted[floor(n p)], the index at most the last.
 
-    Equal values are counted before the shuffle, and the places come from running counts.
+    A distributed selection.  Equal values are counted first; the counts are dealt by ranges of
+    group and value, and the sums of the ranges tell which range holds each wanted place.
+    Only those ranges are then counted through, each on its own, so no task sees all values
+    of a group.
     """
     counts = metrics.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(by).orderBy(value)
-    upto = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.groupBy(by).agg(F.sum("_c").alias("_n"))
-    rows = upto.join(total, by)
-
-    def at(p: float) -> Column:
-        place = F.least(F.floor(F.col("_n") * p), F.col("_n") - 1)
-        return F.min(F.when(F.col("_upto") > place, F.col(value)))
-
-    return rows.groupBy(by).agg(*(at(p / 100).alias(f"p{p}") for p in (50, 90, 99)))
+    n = max(1, int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = written(counts.repartitionByRange(n, by, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(by, "_part").agg(F.sum("_c").alias("_s"))  # one row a group and range
+    upto = sums.withColumn("_upto", F.sum("_s").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)))
+    whole = sums.groupBy(by).agg(F.sum("_s").alias("_n"))
+    places = F.explode(F.array(*(F.struct(F.lit(f"p{p}").alias("_p"), F.least(F.floor(F.col("_n") * (p / 100)), F.col("_n") - 1).alias("_place")) for p in percents)))
+    wanted = upto.join(whole.select(by, places.alias("_w")).select(by, "_w.*"), by).where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_s")))
+    wanted = wanted.select(by, "_part", "_p", (F.col("_place") - F.col("_upto") + F.col("_s")).alias("_place"))
+
+    w = Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = dealt.join(wanted.select(by, "_part").distinct(), [by, "_part"], "left_semi").withColumn("_upto", F.sum("_c").over(w))
+    found = ranges.join(wanted, [by, "_part"]).where(F.col("_upto") > F.col("_place")).groupBy(by, "_p").agg(F.min(value).alias("_v"))
+    return found.groupBy(by).agg(*(F.max(F.when(F.col("_p") == f"p{p}", F.col("_v"))).alias(f"p{p}") for p in percents))
 
 
 def recent(metrics: DataFrame, n: int = 10, by: str = "tool_name", order: tuple[str, ...] = ("timestamp_ms", "trace_id")) -> DataFrame:

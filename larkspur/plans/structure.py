@@ -359,9 +359,17 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return E.gate(_metrics(spark, d), {"mrr": 0.6, "precision": 0.1}).withColumn("mean", F.round("mean", 6))
 
 
-@query("bootstrap_ci")
+@query(
+    "bootstrap_ci",
+    f"""{S.sql('vectors')}, {_EVAL}, vals AS (SELECT precision AS value, row_number() OVER (ORDER BY query_id) - 1 AS i FROM m),
+    draws AS (SELECT it, CAST('0x' || substr(md5('42:' || it || ':' || j), 1, 12) AS BIGINT) % (SELECT count(*) FROM vals) AS i FROM range(1000) AS a(it), unnest(range((SELECT count(*) FROM vals))) AS b(j)),
+    means AS (SELECT it, avg(value) AS mean FROM draws JOIN vals USING (i) GROUP BY it)
+    SELECT count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std,
+        round((SELECT list_sort(list(mean))[25] FROM means), 6) AS lower, round((SELECT list_sort(list(mean))[975] FROM means), 6) AS upper FROM vals""",
+)
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return E.bootstrap(_metrics(spark, d).select("query_id", F.col("precision").alias("value")))
+    found = E.bootstrap(_metrics(spark, d).select("query_id", F.col("precision").alias("value")))
+    return found.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "lower", "upper")))
 
 
 @query(

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,3 +45,21 @@ def drop_written() -> None:
         except (Py4JError, OSError, AttributeError):  # the driver's JVM is gone at exit
             break
     _written.clear()
+
+
+def numbered(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
+    """``df`` with the dense place of each row in the order of the given columns, from 0.
+
+    Rows are dealt by ranges and counted by range; only these counts, one a partition, meet.
+    """
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    at = F.monotonically_increasing_id()  # the partition above 33 bits, the place in it below
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = written(dealt.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    before, total = [], 0
+    for r in sorted(dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        before.append((r["_part"], total))
+        total += r["n"]
+    starts = F.broadcast(spark.createDataFrame(before, "_part bigint, _before bigint"))
+    return dealt.join(starts, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
