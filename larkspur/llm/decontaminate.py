@@ -3,8 +3,10 @@
 Every shard of training text (a piece of a scan task) becomes an array of word numbers;
 its suffixes are sorted by their leading words and every benchmark suffix is looked up by
 binary search, which gives the places where a whole benchmark window stands verbatim.
-Hits on one diagonal (same distance between document and benchmark position) are joined
-into the longest verbatim match there.  Suffixes that cannot match, because their first
+Equal benchmark windows are looked up once, and what a window covers is counted by intervals
+of the sorted array, so texts of few distinct words cost no more than others.  The longest
+verbatim match of a document is found by halving its length: a hash of every stretch of that
+length in the document against those of the benchmark.  Suffixes that cannot match, because their first
 two words stand nowhere in the benchmark, are left out of the array before sorting.
 
 The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of text, one scan of
@@ -51,17 +53,22 @@ class Suffixes:
         lens = np.diff(first)
         size = np.minimum(lens, window)
         count = np.where(size > 0, lens - size + 1, 0)
-        self.item = np.repeat(np.arange(len(ids)), count)
-        self.at = np.arange(len(self.item)) - np.repeat(np.cumsum(count) - count, count)
-        self.length = size[self.item]
-        start = first[self.item] + self.at
-        two = start[self.length > 1]
-        self.pairs, self.single = np.unique((number[two] << 32) | number[two + 1]), np.unique(number[start[self.length == 1]])
+        item = np.repeat(np.arange(len(ids)), count)
+        length = size[item]
+        start = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        two = start[length > 1]
+        self.pairs, self.single = np.unique((number[two] << 32) | number[two + 1]), np.unique(number[start[length == 1]])
         low, high = np.zeros((len(start), window), ">u4"), np.full((len(start), window), 0xFFFFFFFF, ">u4")
         for j in range(window):
-            ok = self.length > j
+            ok = length > j
             low[ok, j] = high[ok, j] = number[start[ok] + j]
-        self.low, self.high = self._fixed(low), self._fixed(high)
+        # distinct windows, and the items of each: of[bounds[w]:bounds[w + 1]]
+        self.low, one, of = np.unique(self._fixed(low), return_index=True, return_inverse=True)
+        self.high, self.length = self._fixed(high)[one], length[one]
+        pairs = np.unique(of.astype(np.int64) * max(1, len(ids)) + item)
+        self.of, self.bounds = pairs % max(1, len(ids)), np.searchsorted(pairs // max(1, len(ids)), np.arange(len(one) + 1))
+        self.words, self.first, self.longest_item = words, first, int(lens.max(initial=0))
+        self.stretches: dict[int, np.ndarray] = {}
 
     def _fixed(self, rows: np.ndarray) -> np.ndarray:
         """Rows of big-endian word numbers as byte strings, which compare as the word sequences do."""
@@ -74,11 +81,37 @@ class Suffixes:
         at = np.minimum(np.searchsorted(table, values), len(table) - 1)
         return table[at] == values
 
-    def search(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(training word position, benchmark suffix) of every verbatim window."""
+    def _hashes(self, size: int) -> np.ndarray:
+        """Sorted hashes of all stretches of ``size`` words within one item."""
+        if size not in self.stretches:
+            if len(self.stretches) >= 32:
+                self.stretches.clear()
+            start = np.arange(max(0, len(self.words) - size + 1))
+            start = start[start + size <= self.first[np.searchsorted(self.first, start, "right")]]
+            self.stretches[size] = np.unique(stretch_hash(word_sums(self.words), start, size))
+        return self.stretches[size]
+
+    def longest(self, words: np.ndarray, places: np.ndarray) -> tuple[int, int]:
+        """Length and first place of the longest verbatim match in the words of one row whose whole windows stand at ``places`` (in order, not empty)."""
+        ahead = np.append(np.flatnonzero(np.diff(places) != 1), len(places) - 1)
+        ahead = places[ahead[np.searchsorted(ahead, np.arange(len(places)))]] - places + self.window  # no match from here is longer
+        sums = word_sums(words)
+        least, most, at = self.window, min(int(ahead.max()), self.longest_item), int(places[0])
+        while least < most:
+            size = (least + most + 1) // 2
+            able = places[ahead >= size]
+            found = able[self._among(stretch_hash(sums, able, size), self._hashes(size))]
+            if len(found):
+                least, at = size, int(found[0])
+            else:
+                most = size - 1
+        return least, at
+
+    def search(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, lo, hi): training word positions in suffix order, and where each distinct window stands in it."""
         none = np.zeros(0, np.int64)
         if not len(words) or not len(self.vocab):
-            return none, none
+            return none, none, none
         at = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
         number = np.where(self.vocab[at] == words, at + 1, 0)
         last = np.zeros(len(words), bool)
@@ -89,7 +122,7 @@ class Suffixes:
         can = (number > 0) & ((nxt > 0) & self._among((number << 32) | nxt, self.pairs) | self._among(number, self.single))
         places = np.flatnonzero(can)
         if not len(places):
-            return none, none
+            return none, none, none
         end_of = np.repeat(first[1:], np.diff(first))[places]
         rows = np.zeros((len(places), self.window), ">u4")
         for j in range(self.window):
@@ -99,10 +132,29 @@ class Suffixes:
         order = np.argsort(keys, kind="stable")  # the suffix array of this shard
         keys, places = keys[order], places[order]
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-        count = np.maximum(hi - lo, 0)
-        suffix = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(len(suffix)) - np.repeat(np.cumsum(count) - count, count)
-        return places[lo[suffix] + offset], suffix
+        return places, lo, np.maximum(hi, lo)
+
+
+def covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in some interval [lo, hi)."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def word_sums(words: np.ndarray) -> np.ndarray:
+    """Prefix sums of word * base**position, for ``stretch_hash``."""
+    p, _ = C.powers(len(words) + 1)
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * p[: len(words)], out=out[1:])
+    return out
+
+
+def stretch_hash(sums: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` words from each start."""
+    _, q = C.powers(len(sums))
+    return C.mix((sums[start + size] - sums[start]) * q[start])
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Suffixes]:
@@ -137,13 +189,22 @@ def _hits(rows: DataFrame, block: Suffixes, every: bool) -> DataFrame:
             for a, b, data, offs in C.chunks(batch, "text"):
                 words, first = _words(data, offs)
                 n[a:b] = np.diff(first)
-                place, suffix = find.search(words, first)
-                if not len(place):
+                places, lo, hi = find.search(words, first)
+                if not (hi > lo).any():
                     continue
-                row = np.searchsorted(first, place, "right") - 1
                 cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, place, 1)
-                np.add.at(cover, place + find.length[suffix], -1)
+                for size in np.unique(find.length[hi > lo]):
+                    own = find.length == size
+                    place = np.sort(places[covered(lo[own], hi[own], len(places))])
+                    np.add.at(cover, place, 1)
+                    np.add.at(cover, place + size, -1)
+                    row = np.searchsorted(first, place, "right") - 1
+                    begin = np.flatnonzero(np.diff(row, prepend=-1))
+                    for r, x, y in zip(row[begin], begin, np.append(begin[1:], len(row)), strict=True):  # longer windows come later
+                        if size < find.window:
+                            longest[a + r], longest_at[a + r] = size, place[x] - first[r]
+                        else:
+                            longest[a + r], longest_at[a + r] = find.longest(words[first[r] : first[r + 1]], place[x:y] - first[r])
                 hit = np.cumsum(cover)[:-1] > 0
                 edge = np.zeros(len(words) + 1, bool)
                 edge[first] = True
@@ -153,19 +214,16 @@ def _hits(rows: DataFrame, block: Suffixes, every: bool) -> DataFrame:
                     r = int(np.searchsorted(first, s, "right") - 1)
                     starts[a + r].append(int(s - first[r]))
                     ends[a + r].append(int(e - first[r]))
-                for r, i in sorted(set(zip(row.tolist(), find.item[suffix].tolist(), strict=True))):
-                    items[a + r].append(find.ids[i])
-                # windows on one diagonal of one item and one row that follow each other are one longer match
-                diagonal = place - find.at[suffix]
-                order = np.lexsort((place, diagonal, find.item[suffix], row))
-                p, dg, it, rw, ln = (x[order] for x in (place, diagonal, find.item[suffix], row, find.length[suffix]))
-                new = np.ones(len(p), bool)
-                new[1:] = (p[1:] != p[:-1] + 1) | (dg[1:] != dg[:-1]) | (it[1:] != it[:-1]) | (rw[1:] != rw[:-1])
-                group = np.flatnonzero(new)
-                size = np.diff(np.append(group, len(p))) - 1 + ln[group]
-                best = np.lexsort((p[group], -size, rw[group]))
-                best = best[np.flatnonzero(np.diff(rw[group][best], prepend=-1))]
-                longest[a + rw[group][best]], longest_at[a + rw[group][best]] = size[best], p[group][best] - first[rw[group][best]]
+                # intervals of distinct windows of one length are apart, so this is one entry a place and length
+                count = hi - lo
+                window = np.repeat(np.arange(len(lo)), count)
+                row = np.searchsorted(first, places[np.repeat(lo, count) + np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)], "right") - 1
+                both = np.unique(window * len(first) + row)
+                window, row = both // len(first), both % len(first)
+                many = find.bounds[window + 1] - find.bounds[window]
+                item = find.of[np.repeat(find.bounds[window], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                for pair in np.unique(np.repeat(row, many) * len(find.ids) + item).tolist():
+                    items[a + pair // len(find.ids)].append(find.ids[pair % len(find.ids)])
             out = pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("h"), pa.array(n), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(longest), pa.array(longest_at)],
                 ["id", "h", "n_words", "starts", "ends", "items", "longest", "longest_at"],
@@ -241,8 +299,8 @@ def _clean(docs: DataFrame, block: Suffixes, text_col: str) -> DataFrame:
             keep = np.ones(batch.num_rows, bool)
             for a, _, data, offs in C.chunks(batch, text_col):
                 words, first = _words(data, offs)
-                place, _ = find.search(words, first)
-                keep[a + np.searchsorted(first, place, "right") - 1] = False
+                places, lo, hi = find.search(words, first)
+                keep[a + np.searchsorted(first, places[covered(lo, hi, len(places))], "right") - 1] = False
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

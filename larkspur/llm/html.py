@@ -25,6 +25,7 @@ the empty text; unclosed and stray tags are tolerated; repeated rows are taken o
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -261,10 +262,47 @@ def select(lines: list[Line], marked: bool) -> list[str]:
     return [x.text for x, k in zip(lines, keep, strict=True) if k]
 
 
+_ATTRIBUTE = re.compile(r"=\s*(?P<quote>[\"'])|>")
+_OPENS = re.compile(r"<(?=[A-Za-z/!?])")
+_COMMENT_ENDS = re.compile(r"--!?\s*>")
+
+
+def settle(html: str) -> str:
+    """``html`` with the ``<`` of every tag or comment that never ends written as a reference, for such a one is text.
+
+    The parser would look for the end of each of them anew.  Here one pass from the right tells
+    for every quote and ``>`` whether a tag that reaches it outside quotes ends.
+    """
+    marks = [(m.start("quote") if m["quote"] else m.start(), m["quote"]) for m in _ATTRIBUTE.finditer(html)]
+    at = [place for place, _ in marks]
+    quotes = {q: [m.start() for m in re.finditer(q, html)] for q in ('"', "'")}
+    ends = [False] * (len(marks) + 1)
+    for i in range(len(marks) - 1, -1, -1):
+        place, quote = marks[i]
+        if quote is None:
+            ends[i] = True
+        else:
+            j = bisect_right(quotes[quote], place)
+            ends[i] = j < len(quotes[quote]) and ends[bisect_right(at, quotes[quote][j])]
+    last, comment = html.rfind(">"), html.rfind("<!--")
+    last_comment = max((m.start() for m in _COMMENT_ENDS.finditer(html)), default=-1) if comment >= 0 else -1
+    if all(ends[:-1]) and html.rfind("<") < last and comment <= last_comment:
+        return html
+    out, done = [], 0
+    for m in _OPENS.finditer(html):
+        place = m.start()
+        tag = html[place + 1].isalpha() and not ends[bisect_right(at, place)]
+        if place > last or tag or place > last_comment and html.startswith("<!--", place):
+            out += [html[done:place], "&lt;"]
+            done = place + 1
+    return "".join([*out, html[done:]])
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
+    html = settle(html)
     parser = Lines()
     parser.feed(html)
     parser.close()
