@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 MAX_QUERY_BYTES = 64 << 20
+#: Scores that a task computes at once.
+CELLS = 1 << 22
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -65,21 +67,25 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                     continue
                 if m.shape[1] != q.shape[1]:
                     raise ValueError(f"vectors have {m.shape[1]} dimensions, queries {q.shape[1]}")
-                score = q @ _unit(m).T
-                keys = batch.column(id_col).to_pylist()
+                unit, keys = _unit(m), batch.column(id_col).to_pylist()
                 tenant = np.array(batch.column("tenant_id").to_pylist(), dtype=object)
                 if same_tenant or each_tenant:
-                    rows_of = {t: np.flatnonzero(tenant == t) for t in set(tenant.tolist())}
-                    groups = [(i, t) for i in range(len(qid)) for t in ((qt[i],) if same_tenant else rows_of) if t in rows_of]
+                    groups = [(t, np.flatnonzero(tenant == t), np.flatnonzero(qt == t) if same_tenant else np.arange(len(qid))) for t in set(tenant.tolist())]
                 else:
-                    rows_of = {None: np.arange(len(keys))}
-                    groups = [(i, None) for i in range(len(qid))]
-                for i, t in groups:
-                    pick = rows_of[t]
-                    s = np.round(score[i, pick], 9)
-                    if len(pick) > k:  # everything as good as the k-th, so that ties are settled by id below
-                        pick, s = pick[s >= np.partition(s, -k)[-k]], s[s >= np.partition(s, -k)[-k]]
-                    best[i, t] = sorted(best.get((i, t), []) + [(-float(x), keys[j], tenant[j]) for x, j in zip(s, pick, strict=True)], key=lambda x: x[:2])[:k]
+                    groups = [(None, np.arange(len(keys)), np.arange(len(qid)))]
+                for t, pick, asks in groups:
+                    step = max(1, CELLS // len(pick))
+                    for a in range(0, len(asks), step):
+                        part = asks[a : a + step]
+                        s = np.round(q[part] @ unit[pick].T, 9)
+                        last = max(0, len(pick) - k)
+                        floor = np.partition(s, last, axis=1)[:, last]
+                        who, at = np.nonzero(s >= floor[:, None])  # everything as good as the k-th, so that ties are settled by id below
+                        cuts = np.flatnonzero(np.diff(who, prepend=-1))
+                        for x, y in zip(cuts, np.append(cuts[1:], len(who)), strict=True):
+                            i = int(part[who[x]])
+                            new = [(-float(s[who[x], j]), keys[pick[j]], tenant[pick[j]]) for j in at[x:y]]
+                            best[i, t] = sorted(best.get((i, t), []) + new, key=lambda r: r[:2])[:k]
             rows = [(qid[i], t, key, -s) for (i, _), found in best.items() for s, key, t in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["query_id", "tenant_id", id_col, "score"])

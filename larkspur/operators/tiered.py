@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from larkspur.functions.vectors import cosine
+from larkspur.operators import dense
 
 HIT = 0.85
 TTL_MS = 45 * 60 * 1000
@@ -17,17 +17,20 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, now_ms: int, versions:
     """The best live entry of each query with cosine >= 0.85 in the same tenant and project (null matches null).
 
     Entries past their TTL, or older than their tenant's version, are no hit.  Adds ``similarity``
-    and the raised ``confidence``.  Queries join entries of their tenant and project only.
+    and the raised ``confidence``.  Entries stay where they are: the queries go to every task in
+    bounded blocks and each task keeps the best entry of its own for each query, so no tenant
+    or project, however many entries it has, gathers in one task.
     """
     ready = entries.where(F.col("created_at") > now_ms - TTL_MS)
     if versions is not None:
         ready = ready.join(versions.select("tenant_id", "current_version"), "tenant_id").where("memory_version >= current_version").drop("current_version")
-    e = ready.select("entry_id", F.col("tenant_id").alias("et"), F.col("project_id").alias("ep"), F.col("query_embedding").alias("ev"), "confidence")
-    pairs = queries.join(e, (F.col("tenant_id") == F.col("et")) & F.col("project_id").eqNullSafe(F.col("ep")))
-    near = pairs.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("ev")), 9)).where(F.col("similarity") >= HIT)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id")
-    best = near.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return best.select("query_id", "entry_id", "similarity", F.least(F.col("confidence") + 0.1, F.lit(1.0)).alias("confidence"))
+    place = F.concat_ws("\x1f", "tenant_id", F.coalesce(F.concat(F.lit("="), "project_id"), F.lit("")))  # null is a project of its own
+    stored = ready.where("tenant_id is not null").select("entry_id", place.alias("tenant_id"), F.col("query_embedding").alias("embedding"))
+    asked = queries.where("tenant_id is not null and embedding is not null").select("query_id", place.alias("tenant_id"), "embedding")
+    near = dense.topk(stored, asked, 1, "entry_id", same_tenant=True).where(F.col("score") >= HIT)
+    best = near.select("query_id", "tenant_id", "entry_id", F.col("score").alias("similarity"))
+    raised = ready.select("entry_id", place.alias("tenant_id"), F.least(F.col("confidence") + 0.1, F.lit(1.0)).alias("confidence"))
+    return best.join(raised, ["tenant_id", "entry_id"]).select("query_id", "entry_id", "similarity", "confidence")
 
 
 def cache_insert(entries: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
