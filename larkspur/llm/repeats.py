@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -137,8 +136,8 @@ class Shard:
     """Fragments of whole keys: their places, and their bytes in a file."""
 
     def __init__(self, size: int):
-        self.size, self.folder = size, tempfile.mkdtemp(prefix="shard-")
-        self.file = open(os.path.join(self.folder, "text"), "wb")  # noqa: SIM115
+        self.size, self.folder = size, tempfile.TemporaryDirectory(prefix="shard-", ignore_cleanup_errors=True)  # goes with the shard, however its task ends
+        self.file = open(os.path.join(self.folder.name, "text"), "wb")  # noqa: SIM115
         self.members: list[tuple] = []  # id, h, first window, body
         self.bodies: dict[bytes, int] = {}
         self.times: list[int] = []
@@ -169,7 +168,7 @@ class Shard:
         out: list[tuple] = []
         if self.written > self.windows[0] + self.size:  # else one window, once
             out = self._found(np.asarray(np.memmap(self.file.name, np.uint16, "r")), memory)
-        shutil.rmtree(self.folder)
+        self.folder.cleanup()
         return out
 
     def _found(self, t: np.ndarray, memory: int) -> list[tuple]:
