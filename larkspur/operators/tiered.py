@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from larkspur.operators import dense
+from larkspur.tables import written
 
 HIT = 0.85
 TTL_MS = 45 * 60 * 1000
@@ -45,6 +49,46 @@ def cache_insert(entries: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
     return latest.orderBy(F.desc("created_at"), "tenant_id", "entry_id").limit(CAPACITY)
 
 
+@dataclass
+class Outcome:
+    """What a search through the cache gives: results, and the cache and access rows to keep."""
+
+    results: DataFrame
+    entries: DataFrame
+    accesses: DataFrame
+
+
+def search_through(queries: DataFrame, entries: DataFrame, search: Callable[[DataFrame], DataFrame], now_ms: int, versions: DataFrame | None = None) -> Outcome:
+    """Answer queries (query_id, tenant_id, project_id, embedding) from the cache where it has them, else by ``search``.
+
+    ``search(queries)`` gives (query_id, chunk_id, rank).  Results are (query_id, chunk_id, rank,
+    source).  What was searched becomes new entries, with the version of its tenant (0 without
+    ``versions``), and every shown chunk an access row (chunk_id, project_id, timestamp_ms,
+    query_id).  Both are keyed by what they say, so keeping them twice changes nothing
+    (``cache_insert``, ``keep_accesses``).
+    """
+    found = cache_lookup(queries, entries, now_ms, versions)
+    held = entries.select("entry_id", F.col("tenant_id").alias("_tenant"), "result_ids")
+    known = found.join(queries.select("query_id", F.col("tenant_id").alias("_tenant")), "query_id").join(held, ["entry_id", "_tenant"])
+    cached = known.select("query_id", F.posexplode("result_ids").alias("i", "chunk_id")).select("query_id", "chunk_id", (F.col("i") + 1).alias("rank"), F.lit("cache").alias("source"))
+    missed = queries.join(found.select("query_id"), "query_id", "left_anti")
+    fresh = written(search(missed).select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("rank").cast("int").alias("rank"), F.lit("search").alias("source")), "searched")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda r: r["chunk_id"]).alias("result_ids")  # as many as a search shows
+    new = missed.join(fresh.groupBy("query_id").agg(ids), "query_id")
+    if versions is not None:
+        new = new.join(versions.select("tenant_id", F.col("current_version").alias("memory_version")), "tenant_id", "left")
+    version = F.coalesce("memory_version", F.lit(0)) if versions is not None else F.lit(0)
+    made = new.select("tenant_id", "project_id", F.col("embedding").alias("query_embedding"), version.cast("bigint").alias("memory_version"), F.lit(now_ms).cast("bigint").alias("created_at"), F.lit(0.5).alias("confidence"), "result_ids")
+    results = cached.unionByName(fresh)
+    accesses = results.join(queries.select("query_id", "project_id"), "query_id").select("chunk_id", "project_id", F.lit(now_ms).cast("bigint").alias("timestamp_ms"), "query_id")
+    return Outcome(results, made, accesses)
+
+
+def keep_accesses(log: DataFrame, new: DataFrame) -> DataFrame:
+    """An access log with new rows; a row that it has already is not counted again."""
+    return log.unionByName(new).distinct()
+
+
 def cache_invalidate(entries: DataFrame, tenant: str | None = None, below_version: int | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """Entries that stay when a tenant, old versions, or entries that show given chunks are dropped."""
     if tenant is not None:

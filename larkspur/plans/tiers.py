@@ -226,3 +226,30 @@ def tiered_lookup(spark: SparkSession, d: str) -> DataFrame:
     cached = found.join(entries.select("entry_id", "result_ids"), "entry_id").select("query_id", F.explode("result_ids").alias("result_id"), F.lit("cache").alias("source_tier"))
     rest = T.merge(*_tiers(spark, d), k=10).join(found.select("query_id"), "query_id", "left_anti")
     return cached.unionByName(rest.select("query_id", F.col("chunk_id").cast("string").alias("result_id"), F.col("tier").alias("source_tier")))
+
+
+_ASKED_50 = "asked AS (SELECT vec_id AS query_id, tenant_id, CASE WHEN vec_id % 4 = 0 THEN 'p' END AS project_id, embedding FROM vectors WHERE vec_id % 50 = 0)"
+
+
+@query(
+    "search_write_back",
+    f"""{S.sql('vectors')}, {_ENTRIES}, {_ASKED_50}, {_LOOKUP},
+    one AS (SELECT query_id, EXISTS (SELECT 1 FROM hits h WHERE h.query_id = asked.query_id) AS cached, (SELECT least(count(*), 5) FROM vectors v WHERE v.tenant_id = asked.tenant_id) AS n FROM asked)
+    SELECT 1 AS run, CASE WHEN cached THEN 'cache' ELSE 'search' END AS source, count(*) AS n_queries, CAST(sum(CASE WHEN cached THEN 2 ELSE n END) AS BIGINT) AS n_results FROM one GROUP BY cached
+    UNION ALL SELECT 2, 'cache', count(*), CAST(sum(CASE WHEN cached THEN 2 ELSE n END) AS BIGINT) FROM one""",
+)
+def search_write_back(spark: SparkSession, d: str) -> DataFrame:
+    """Vector search through the cache, twice: what the first run writes back answers the second."""
+    from larkspur.operators import dense
+
+    vectors = S.vectors(spark, d)
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "tenant_id", F.when(F.col("vec_id") % 4 == 0, "p").alias("project_id"), "embedding")
+
+    def search(queries: DataFrame) -> DataFrame:
+        return dense.topk(vectors, queries, 5, same_tenant=True).select("query_id", F.col("vec_id").alias("chunk_id"), "rank")
+
+    first = T.search_through(asked, _entries(spark, d), search, NOW)
+    kept = T.cache_insert(_entries(spark, d), first.entries, NOW)
+    second = T.search_through(asked, kept, search, NOW + 1000)
+    rows = first.results.withColumn("run", F.lit(1)).unionByName(second.results.withColumn("run", F.lit(2)))
+    return rows.groupBy("run", "source").agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_results"))

@@ -135,3 +135,28 @@ def test_streams_equal_batch(spark, tmp_path):
     q = jobs.latest_state(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.chunk_id, r.op) for r in spark.table("latest").collect()) == [("a", "delete"), ("b", "add")]
+
+
+def test_search_through_the_cache_writes_back_once(spark):
+    from larkspur.operators import tiered as T
+
+    asked = spark.createDataFrame([(1, "t", None, [1.0, 0.0]), (2, "t", "p", [0.0, 1.0]), (3, "u", None, [1.0, 1.0])], "query_id int, tenant_id string, project_id string, embedding array<float>")
+    empty = spark.createDataFrame([], "entry_id string, tenant_id string, project_id string, query_embedding array<float>, memory_version bigint, created_at bigint, confidence double, result_ids array<string>")
+    versions = spark.createDataFrame([("t", 4)], "tenant_id string, current_version int")
+    searched = []
+
+    def search(queries):
+        searched.append(sorted(r.query_id for r in queries.collect()))
+        return queries.select("query_id", F.explode(F.expr("array(struct('b' as c, 2 as r), struct('a' as c, 1 as r))")).alias("x")).where("query_id <> 3").select("query_id", F.col("x.c").alias("chunk_id"), F.col("x.r").alias("rank"))
+
+    one = T.search_through(asked, empty, search, 1000)
+    assert searched == [[1, 2, 3]] and {(r.query_id, r.chunk_id, r["rank"], r.source) for r in one.results.collect()} == {(q, c, n, "search") for q in (1, 2) for c, n in (("a", 1), ("b", 2))}
+    kept = T.cache_insert(T.cache_insert(empty, one.entries, 1000), one.entries, 1000)
+    assert kept.count() == 2 and {tuple(r.result_ids) for r in kept.collect()} == {("a", "b")}
+    log = T.keep_accesses(T.keep_accesses(one.accesses.limit(0), one.accesses), one.accesses)
+    assert log.count() == 4
+    two = T.search_through(asked, kept, search, 2000)
+    assert searched[1] == [3] and {(r.query_id, r.chunk_id, r["rank"], r.source) for r in two.results.collect()} == {(q, c, n, "cache") for q in (1, 2) for c, n in (("a", 1), ("b", 2))}
+    assert {r.memory_version for r in T.search_through(asked, empty, search, 1000, versions).entries.collect()} == {4}
+    T.search_through(asked, kept, search, 3000, versions)  # entries of version 0 are too old for tenant t
+    assert searched[-1] == [1, 2, 3]
