@@ -61,11 +61,12 @@ class Memory:
         return self.store.stats(tenant)
 
     def memory_metrics(self, tenant: str, include_recent: bool = False) -> DataFrame:
-        """Latency percentiles of the tenant's recorded queries, or the ten newest of them."""
+        """Latency percentiles of the tenant's recorded queries; with ``include_recent`` a row for each of the ten newest of them beside these figures."""
         rows = self._table("query_metrics", QUERY_METRICS, tenant)
-        if include_recent:
-            return maintenance.recent(rows, 10, "tenant_id", ("timestamp_ms", "query_id"))
-        return maintenance.latency_stats(rows, 1000, "tenant_id", "total_ms", ("timestamp_ms", "query_id"))
+        figures = maintenance.latency_stats(rows, 1000, "tenant_id", "total_ms", ("timestamp_ms", "query_id"))
+        if not include_recent:
+            return figures
+        return maintenance.recent(rows, 10, "tenant_id", ("timestamp_ms", "query_id")).join(figures, "tenant_id")
 
     def record_query(self, rows: DataFrame) -> None:
         """Append rows of query metrics."""

@@ -45,12 +45,26 @@ def add_batch(spark: SparkSession, d: str) -> DataFrame:
     rows = docs.select(F.col("source").alias("tenant_id"), F.col("lang").alias("project_id"), F.lit("doc").alias("chunk_type"), F.lit(None).cast("string").alias("episode_id"), F.array().cast("array<string>").alias("tags"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("bigint").alias("timestamp_created"))
     rows = rows.dropDuplicates(["tenant_id", "text"])
     pieces = ingest.prepare(rows)
-    letters = lambda c: F.regexp_replace(c, r"\\s+", "")
-    made = pieces.groupBy("tenant_id").agg(F.max(F.octet_length("text") > ingest.MAX_BYTES + ingest.MIN_BYTES + ingest.OVERLAP_BYTES).alias("too_long"), F.sum(F.length(letters(F.col("text")))).alias("kept"))
+    made = pieces.groupBy("tenant_id").agg(F.max(F.octet_length("text") > ingest.MAX_BYTES + ingest.MIN_BYTES + ingest.OVERLAP_BYTES).alias("too_long"))
     short = rows.where(F.octet_length("text") <= ingest.MAX_BYTES).select("tenant_id", F.sha2("text", 256).alias("hash"))
     whole = short.join(pieces.select("tenant_id", "hash").distinct(), ["tenant_id", "hash"], "left_semi").groupBy("tenant_id").agg(F.count("*").alias("n_whole"))
-    given = rows.groupBy("tenant_id").agg(F.count("*").alias("n_texts"), F.sum(F.when(F.octet_length("text") > ingest.SPLIT_FROM, 1).otherwise(0)).alias("n_long"), F.sum(F.length(letters(F.col("text")))).alias("had"))
-    return given.join(made, "tenant_id").join(whole, "tenant_id", "left").select("tenant_id", "n_texts", F.coalesce("n_whole", F.lit(0)).alias("n_whole"), "n_long", "too_long", (F.col("kept") < F.col("had")).alias("lost_words"))
+    given = rows.groupBy("tenant_id").agg(F.count("*").alias("n_texts"), F.sum(F.when(F.octet_length("text") > ingest.SPLIT_FROM, 1).otherwise(0)).alias("n_long"))
+    lost = uncovered(rows).select("tenant_id").distinct().withColumn("lost", F.lit(True))
+    out = given.join(made, "tenant_id").join(whole, "tenant_id", "left").join(lost, "tenant_id", "left")
+    return out.select("tenant_id", "n_texts", F.coalesce("n_whole", F.lit(0)).alias("n_whole"), "n_long", "too_long", F.coalesce("lost", F.lit(False)).alias("lost_words"))
+
+
+def uncovered(rows: DataFrame, split=ingest.split_chunks) -> DataFrame:
+    """(tenant_id, gap): stretches with words of long texts (tenant_id, text) that no piece covers, by the pieces' places in bytes."""
+    long = rows.where(F.octet_length("text") > ingest.SPLIT_FROM).withColumn("key", F.sha2(F.concat_ws(":", "tenant_id", "text"), 256))
+    cut = split(long.select("key", "text"), "key")
+    before = F.max("end_char").over(Window.partitionBy("key").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1))
+    inner = cut.select("key", F.coalesce(before, F.lit(0)).alias("a"), F.col("start_char").alias("b"))
+    tail = cut.groupBy("key").agg(F.max("end_char").alias("a")).join(long.select("key", F.octet_length("text").alias("b")), "key")
+    none = long.join(cut.select("key").distinct(), "key", "left_anti").select("key", F.lit(0).alias("a"), F.octet_length("text").alias("b"))
+    gaps = inner.unionByName(tail).unionByName(none).where("b > a").join(long, "key")
+    text = F.decode(F.substring(F.col("text").cast("binary"), F.col("a") + 1, F.col("b") - F.col("a")), "UTF-8")
+    return gaps.select("tenant_id", text.alias("gap")).where(F.col("gap").rlike(r"[\p{L}\p{N}]"))
 
 
 # --- code structure ----------------------------------------------------------------------------

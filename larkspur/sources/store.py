@@ -8,6 +8,7 @@ partitioned by tenant, so every read of one tenant prunes the others.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,28 +43,43 @@ class ChunkStore:
     def _exists(self, name: str) -> bool:
         return self._fs().exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name)))
 
-    def _current(self) -> str:
-        """Name of the chunk folder that readers use: the newest whole one; compaction moves on to a new one."""
+    def _folders(self) -> list[str]:
+        """Names of the whole chunk folders, oldest first."""
         jvm = self.spark.sparkContext._jvm
         base = jvm.org.apache.hadoop.fs.Path(self.base)
         names = [f.getPath().getName() for f in self._fs().listStatus(base)] if self._fs().exists(base) else []
-        whole = [int(n.split("-")[1]) for n in names if n.startswith("chunks-") and self._exists(f"{n}/_SUCCESS")]
-        return f"chunks-{max(whole, default=0)}"
+        return sorted((n for n in names if n.startswith("chunks-") and self._exists(f"{n}/_SUCCESS")), key=lambda n: int(n.split("-")[1]))
+
+    def _current(self) -> str:
+        """Name of the folder that writers append to: the newest whole one; compaction moves on to a new one."""
+        return (self._folders() or ["chunks-0"])[-1]
+
+    def _files(self, folder: str) -> list[str]:
+        """Data files below a folder."""
+        jvm = self.spark.sparkContext._jvm
+        found, it = [], self._fs().listFiles(jvm.org.apache.hadoop.fs.Path(self._path(folder)), True)
+        while it.hasNext():
+            path = it.next().getPath()
+            if not path.getName().startswith(("_", ".")):
+                found.append(path.toString())
+        return found
+
+    def _read(self, folder: str, files: list[str] | None = None) -> DataFrame:
+        """All chunks of a folder, or those of some of its files."""
+        reader = self.spark.read.schema(CHUNKS)
+        return reader.parquet(self._path(folder)) if files is None else reader.option("basePath", self._path(folder)).parquet(*files)
 
     def chunks(self) -> DataFrame:
-        """All stored chunks, deleted ones included."""
-        name = self._current()
-        if not self._exists(name):
-            return self.spark.createDataFrame([], CHUNKS)
-        return self.spark.read.schema(CHUNKS).parquet(self._path(name))
+        """All stored chunks, deleted ones included; rows that were added to a folder while it was compacted stay there."""
+        return reduce(DataFrame.unionByName, [self._read(n) for n in self._folders()], self.spark.createDataFrame([], CHUNKS))
 
     def tombstones(self) -> DataFrame:
         if not self._exists("tombstones"):
             return self.spark.createDataFrame([], TOMBSTONES)
         return self.spark.read.schema(TOMBSTONES).parquet(self._path("tombstones")).dropDuplicates(["tenant_id", "chunk_id"])
 
-    def live(self, tenant: str | None = None) -> DataFrame:
-        rows = search.live(self.chunks(), self.tombstones()).dropDuplicates(["tenant_id", "chunk_id"])
+    def live(self, tenant: str | None = None, chunks: DataFrame | None = None) -> DataFrame:
+        rows = search.live(self.chunks() if chunks is None else chunks, self.tombstones()).dropDuplicates(["tenant_id", "chunk_id"])
         return rows if tenant is None else rows.where(F.col("tenant_id") == check_tenant(tenant))
 
     # --- writes ---
@@ -144,10 +160,9 @@ class ChunkStore:
 
     def disk_stats(self) -> DataFrame:
         """(tenant_id, bytes, files) of the chunk files."""
-        name = self._current()
-        if not self._exists(name):
-            return self.spark.createDataFrame([], "tenant_id string, bytes bigint, files bigint")
-        files = self.spark.read.schema(CHUNKS).parquet(self._path(name)).select("tenant_id", "_metadata.file_path", "_metadata.file_size").distinct()
+        files = self.spark.createDataFrame([], "tenant_id string, file_path string, file_size bigint")
+        for name in self._folders():
+            files = files.unionByName(self._read(name).select("tenant_id", "_metadata.file_path", "_metadata.file_size").distinct())
         return files.groupBy("tenant_id").agg(F.sum("file_size").alias("bytes"), F.count("*").alias("files"))
 
     # --- maintenance ---
@@ -155,17 +170,20 @@ class ChunkStore:
     def compact(self, files_a_tenant: int = 1) -> bool:
         """Rewrite without deleted rows and clear the tombstones; False where there is nothing to do.
 
-        The new folder is complete before readers see it; tombstones written meanwhile stay.
+        Only the files and tombstones that are there at the start are rewritten and then removed,
+        so what is added or deleted meanwhile stays.  The new folder is whole before readers see
+        it; until the old files are gone a row may be read twice, which ``live`` drops.
         """
-        old = self._current()
-        if not self._exists(old):
+        old = {name: files for name in self._folders() if (files := self._files(name))}
+        if not old:
             return False
         jvm = self.spark.sparkContext._jvm
         marks = jvm.org.apache.hadoop.fs.Path(self._path("tombstones"))
         seen = [f.getPath() for f in self._fs().listStatus(marks)] if self._exists("tombstones") else []
-        name = f"chunks-{int(old.split('-')[1]) + 1}"
-        self.live().repartition("tenant_id", (F.pmod(F.xxhash64("chunk_id"), F.lit(files_a_tenant)))).write.mode("overwrite").partitionBy("tenant_id").option("maxRecordsPerFile", MAX_RECORDS).parquet(self._path(name))
-        for path in (jvm.org.apache.hadoop.fs.Path(self._path(old)), *seen):
+        name = f"chunks-{int(self._current().split('-')[1]) + 1}"
+        rows = reduce(DataFrame.unionByName, [self._read(n, files) for n, files in old.items()])
+        self.live(None, rows).repartition("tenant_id", (F.pmod(F.xxhash64("chunk_id"), F.lit(files_a_tenant)))).write.mode("overwrite").partitionBy("tenant_id").option("maxRecordsPerFile", MAX_RECORDS).parquet(self._path(name))
+        for path in [*(jvm.org.apache.hadoop.fs.Path(f) for files in old.values() for f in files), *seen]:
             self._fs().delete(path, True)
         return True
 

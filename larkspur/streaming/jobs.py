@@ -6,6 +6,11 @@ give what the batch operators give on the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -70,3 +75,69 @@ def latencies(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -
 def live_entries(inserts: DataFrame, ttl: str = "45 minutes") -> DataFrame:
     """Cache inserts deduplicated by entry within the TTL (append mode)."""
     return inserts.withWatermark("created", ttl).dropDuplicatesWithinWatermark(["entry_id"])
+
+
+_RING = "times array<bigint>, ids array<string>, figures array<double>"
+
+
+def _newest_rows(times: np.ndarray, ids: np.ndarray, values: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``last`` newest rows by time, then id."""
+    order = np.lexsort((ids.astype(str), times))[::-1][:last]
+    return times[order], ids[order], values[order]
+
+
+def rolling_latencies(events: DataFrame, last: int = 1000, by: str = "tool_name", value: str = "duration_ms") -> DataFrame:
+    """(by, n, mean, p50, p90, p99) over the ``last`` newest rows of each group so far (update mode).
+
+    The state of a group is its ring of ``last`` rows (timestamp_ms, trace_id as text, value).
+    Every partition of a batch sends at most ``last`` rows of a group to it, so a group with
+    most of the rows makes no long task.  Rows without a value are left out.
+    """
+    rows = events.where(F.col(value).isNotNull()).select(F.col(by).alias("k"), F.col("timestamp_ms").cast("bigint").alias("at"), F.col("trace_id").cast("string").alias("id"), F.col(value).cast("double").alias("v"))
+
+    def newest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.sort_values(["at", "id"], ascending=False).groupby("k", dropna=False).head(last)
+
+    def ring(key: tuple[Any], parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        times, ids, values = (np.array(x, t) for x, t in zip(state.get, (np.int64, object, float), strict=True)) if state.exists else (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0))
+        for part in parts:
+            times, ids, values = _newest_rows(np.append(times, part["at"].to_numpy(np.int64)), np.append(ids, part["id"].to_numpy(object)), np.append(values, part["v"].to_numpy(float)), last)
+        state.update((times.tolist(), ids.tolist(), values.tolist()))
+        ordered = np.sort(values)
+        at = lambda p: float(ordered[p * (len(ordered) - 1) // 100])
+        yield pd.DataFrame({by: [key[0]], "n": [len(values)], "mean": [float(values.mean())], "p50": [at(50)], "p90": [at(90)], "p99": [at(99)]})
+
+    kind = dict(rows.dtypes)["k"]
+    few = rows.mapInPandas(newest, rows.schema)
+    return few.groupBy("k").applyInPandasWithState(ring, f"{by} {kind}, n bigint, mean double, p50 double, p90 double, p99 double", _RING, "update", "NoTimeout")
+
+
+#: Hours after the last access at which exp(-hours / 24) falls below 0.01.
+FORGOTTEN_HOURS = 24 * float(np.log(100))
+
+
+def access_decay(log: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(chunk_id, access_count, first_access, last_access, forgotten) of an access log (chunk_id, ts), in update mode.
+
+    A chunk is forgotten, and its state dropped, once the watermark is ``FORGOTTEN_HOURS``
+    behind its last access, where its decay falls below 0.01; a later access starts anew.
+    """
+
+    def step(key: tuple[Any], parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        count, first, last = state.get if state.exists else (0, None, None)
+        gone = state.hasTimedOut
+        if gone:
+            state.remove()
+        else:
+            for part in parts:
+                ms = part["ts"].astype("datetime64[ms]").astype("int64")
+                count += len(part)
+                first = int(ms.min()) if first is None else min(first, int(ms.min()))
+                last = int(ms.max()) if last is None else max(last, int(ms.max()))
+            state.update((count, first, last))
+            state.setTimeoutTimestamp(max(last + int(FORGOTTEN_HOURS * 3_600_000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"chunk_id": [key[0]], "access_count": [count], "first_access": [first], "last_access": [last], "forgotten": [gone]})
+
+    rows = log.select("chunk_id", "ts").withWatermark("ts", late)
+    return rows.groupBy("chunk_id").applyInPandasWithState(step, f"chunk_id {dict(log.dtypes)['chunk_id']}, access_count bigint, first_access bigint, last_access bigint, forgotten boolean", "n bigint, first bigint, last bigint", "update", "EventTimeTimeout")

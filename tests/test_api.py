@@ -18,6 +18,7 @@ def test_memory_calls(spark, tmp_path):
     m.record_query(spark.createDataFrame([("t", f"q{i}", i, float(i), False, False) for i in range(1, 12)], "tenant_id string, query_id string, timestamp_ms bigint, total_ms double, cache_hit boolean, hot_hit boolean"))
     r = m.memory_metrics("t").first()
     assert (r.n, r.p50, r.p99) == (11, 6.0, 10.0) and m.memory_metrics("t", include_recent=True).count() == 10
+    assert {(x.n, x.p50) for x in m.memory_metrics("t", include_recent=True).collect()} == {(11, 6.0)}
 
 
 def test_code_calls(spark, tmp_path):

@@ -106,3 +106,19 @@ def test_sentences_tile_the_text_by_the_rules(text):
     found = list(bounds(text))
     assert [b for _, b in found[:-1]] == cuts
     assert "".join(text[a:b] for a, b in found) == text
+
+
+def test_uncovered_words_are_found(spark):
+    from pyspark.sql import functions as F
+
+    from larkspur.plans.structure import uncovered
+
+    texts = ["One sentence here. " * 150, "Zwei S\u00e4tze! " * 200, "... " * 400, "short", "x" * 5000]
+    rows = spark.createDataFrame([("t", t) for t in texts], "tenant_id string, text string")
+    assert uncovered(rows).isEmpty()
+
+    def lossy(docs, key):
+        return ingest.split_chunks(docs, key).withColumn("end_char", F.col("end_char") - 40)
+
+    assert not uncovered(rows, lossy).isEmpty()
+    assert uncovered(rows, lambda docs, key: ingest.split_chunks(docs, key).limit(0)).count() == 3

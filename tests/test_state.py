@@ -160,3 +160,24 @@ def test_search_through_the_cache_writes_back_once(spark):
     assert {r.memory_version for r in T.search_through(asked, empty, search, 1000, versions).entries.collect()} == {4}
     T.search_through(asked, kept, search, 3000, versions)  # entries of version 0 are too old for tenant t
     assert searched[-1] == [1, 2, 3]
+
+
+def test_rows_added_while_compacting_stay(spark, tmp_path):
+    """An add and a delete between the reading of the old files and their removal."""
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    a, b = store.add("t", "first text"), store.add("t", "second text")
+    store.delete("t", b)
+    late = {}
+
+    class Slow(ChunkStore):
+        def tombstones(self):
+            found = spark.createDataFrame(super().tombstones().collect(), super().tombstones().schema)
+            if not late:
+                late["c"] = store.add("t", "third text")
+                store.delete_batch(spark.createDataFrame([("t", a)], "tenant_id string, chunk_id string"))
+            return found
+
+    assert Slow(spark, store.base).compact()
+    assert [r.chunk_id for r in store.live("t").collect()] == [late["c"]]
+    assert store.compact() and [r.chunk_id for r in store.live("t").collect()] == [late["c"]]
+    assert store.disk_stats().first().files == 1
