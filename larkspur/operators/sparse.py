@@ -30,26 +30,14 @@ def whole(chunks: DataFrame) -> DataFrame:
     return chunks.select("tenant_id", "chunk_id", F.lit(0).cast("bigint").alias("sentence_idx"), "text")
 
 
-def explode_runs(df: DataFrame, keep: list[str], values: str, key, row) -> DataFrame:
-    """``keep`` and a row for each run of equal ``key`` in the sorted array column ``values``: the fields of ``row(first, n)``, where the run begins (from 0) and how long it is.
-
-    The rows are made inside the array, so the array itself is not copied to each of them.
-    """
-    n, v = F.size(values), F.col(values)
-    change = lambda i: (i == 0) | (key(F.get(v, i)) != key(F.get(v, i - 1)))
-    begun = df.where(n > 0).withColumn("_first", F.filter(F.sequence(F.lit(0), n - 1), change))
-    ends = F.concat(F.slice("_first", 2, F.size("_first")), F.array(n))
-    return begun.select(*keep, F.explode(F.zip_with("_first", ends, lambda a, b: row(a, b - a))).alias("_run")).select(*keep, "_run.*")
-
-
 def index(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """Postings (tenant_id, chunk_id, sentence_idx, term, tf, dl) of sentence rows with ``text``.
 
-    The terms of a sentence are counted where it is read, as runs of its sorted tokens; nothing is shuffled.
+    The shuffle that counts the terms is also what statistics and scoring share: Spark reuses it.
     """
-    keyed = docs.select("tenant_id", "chunk_id", "sentence_idx", F.sort_array(words(F.col("text")) if tokens is None else tokens).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
-    row = lambda first, n: F.struct(F.get("tokens", first).alias("term"), n.cast("bigint").alias("tf"))
-    return explode_runs(keyed, ["tenant_id", "chunk_id", "sentence_idx", "dl"], "tokens", lambda x: x, row).select("tenant_id", "chunk_id", "sentence_idx", "term", "tf", "dl")
+    keyed = docs.select("tenant_id", "chunk_id", "sentence_idx", (words(F.col("text")) if tokens is None else tokens).alias("tokens"))
+    terms = keyed.withColumn("dl", F.size("tokens").cast("bigint")).select("tenant_id", "chunk_id", "sentence_idx", "dl", F.explode("tokens").alias("term"))
+    return terms.groupBy("tenant_id", "chunk_id", "sentence_idx", "term", "dl").agg(F.count("*").alias("tf")).select("tenant_id", "chunk_id", "sentence_idx", "term", "tf", "dl")
 
 
 def collection(postings: DataFrame, global_stats: bool = False) -> DataFrame:
