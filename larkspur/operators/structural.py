@@ -60,11 +60,23 @@ def extract(files: DataFrame, what: str) -> DataFrame:
 
 
 def attribute_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each call with the innermost symbol of its file that encloses its line; calls outside any are dropped."""
-    c, s = calls.alias("c"), symbols.select(F.col("symbol_id").alias("caller_symbol_id"), F.col("file").alias("sf"), "line_start", "line_end").alias("s")
-    inside = c.join(s, (F.col("call_file") == F.col("sf")) & F.col("call_line").between(F.col("line_start"), F.col("line_end")))
-    w = Window.partitionBy("call_file", "call_line", "callee_name").orderBy(F.col("line_end") - F.col("line_start"), "caller_symbol_id")
-    return inside.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("call_file", "call_line", "callee_name", "caller_symbol_id")
+    """Each call with the innermost symbol of its file that encloses its line; calls outside any are dropped.
+
+    Symbols are classed by length: 2**size lines or more, below twice that.  One spans at most
+    three blocks of 2**size lines, so a line meets, for each size there is (at most 32), only
+    the symbols of that size about its own block, however many its file has.
+    """
+    s = symbols.where("line_end >= line_start").select(F.col("symbol_id").alias("caller_symbol_id"), F.col("file").alias("call_file"), "line_start", "line_end")
+    s = s.withColumn("size", F.length(F.bin((F.col("line_end") - F.col("line_start") + 1).cast("bigint"))) - 1)
+    sizes = s.agg(F.collect_set("size").alias("sizes"))  # one row
+    spans = F.sequence(F.expr("shiftright(line_start, size)"), F.expr("shiftright(line_end, size)"))
+    blocks = s.withColumn("block", F.explode(spans))
+    lines = calls.select("call_file", "call_line").distinct().join(F.broadcast(sizes), F.lit(True)).select("call_file", "call_line", F.explode("sizes").alias("size"))
+    inside = lines.withColumn("block", F.expr("shiftright(call_line, size)")).join(blocks, ["call_file", "size", "block"]).where("call_line between line_start and line_end")
+    w = Window.partitionBy("call_file", "call_line").orderBy(F.col("line_end") - F.col("line_start"), "caller_symbol_id")
+    owner = inside.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("call_file", "call_line", "caller_symbol_id")
+    distinct = calls.select("call_file", "call_line", "callee_name").distinct()
+    return distinct.join(owner, ["call_file", "call_line"]).select("call_file", "call_line", "callee_name", "caller_symbol_id")
 
 
 def by_name(symbols: DataFrame, name: str) -> DataFrame:
