@@ -14,8 +14,25 @@ def per_query(queries: DataFrame, qrels: DataFrame, results: DataFrame, k: int =
     without relevant documents has recall 1; one without results has precision 0.
     """
     rel = qrels.distinct().groupBy("query_id").agg(F.count("*").alias("n_rel"))
+    return _scores(queries, rel, results.join(qrels.distinct(), ["query_id", "doc_id"]), results, k)
+
+
+def per_query_by_class(queries: DataFrame, docs: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
+    """``per_query`` where the relevant documents of a query (query_id, class) are those (doc_id, class) of its class.
+
+    Documents are counted by class and only the results look up theirs, so no pair of a query
+    and a relevant document is formed that the results do not show.
+    """
+    docs = docs.select("doc_id", "class").distinct()
+    asked = queries.select("query_id", "class").distinct()
+    sizes = docs.groupBy("class").agg(F.count("*").alias("n_rel"))
+    rel = asked.join(sizes, "class").select("query_id", "n_rel")
+    hit = results.join(asked, "query_id").join(docs, ["doc_id", "class"])
+    return _scores(queries, rel, hit, results, k)
+
+
+def _scores(queries: DataFrame, rel: DataFrame, hit: DataFrame, results: DataFrame, k: int) -> DataFrame:
     shown = results.where(F.col("rank") <= k).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_shown"))
-    hit = results.join(qrels.distinct(), ["query_id", "doc_id"])
     hits = hit.groupBy("query_id").agg(F.countDistinct(F.when(F.col("rank") <= k, F.col("doc_id"))).alias("n_hit"), F.min("rank").alias("first"))
     out = queries.select("query_id").join(rel, "query_id", "left").join(shown, "query_id", "left").join(hits, "query_id", "left").fillna(0, ["n_rel", "n_shown", "n_hit"])
     return out.select(
