@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from re import Pattern
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from larkspur.functions.sentence import bounds
@@ -117,11 +119,26 @@ def chunk_text(text: str | None, most: int = MAX_BYTES, overlap: int = OVERLAP_B
     return [(b"".join(b for b, _ in p).decode(), p[0][1], max(a + len(b) for b, a in p), i) for i, p in enumerate(pieces)]
 
 
+#: Bytes of text whose pieces are held at once; an Arrow batch of any size is cut to slices of about this.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``SLICE_BYTES`` of ``text`` (or one row), so that what a task holds does not grow with its input."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def split_sentences(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id_col, sentence_idx, text, offset, is_code) of every sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             at, rows = [], []
             for i, t in enumerate(batch.column("text")):
                 for j, s in enumerate(sentences(t.as_py() or "")):
@@ -138,7 +155,7 @@ def split_chunks(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFr
     """(id_col, chunk_index, text, start_char, end_char) of the pieces of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             at, rows = [], []
             for i, t in enumerate(batch.column("text")):
                 for text, start, end, index in chunk_text(t.as_py()):
