@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.text import words
+from larkspur.tables import written
 
 K1, B = 1.2, 0.75
 #: Scores are added up as whole numbers of this size, so they do not depend on the order of adding.
@@ -98,53 +100,88 @@ def _blocks(queries: DataFrame, cells: int) -> Iterator[tuple[list, dict[str, in
         yield ids, vocab, rows
 
 
+class _Kept:
+    """The ``k`` best rows of each query and tenant that a task has seen: score, then tie columns."""
+
+    def __init__(self, k: int, ids: list):
+        self.k, self.ids = k, ids
+        self.best: dict[tuple[int, int], list[tuple]] = {}
+        self.names: dict[str, int] = {}
+        self.floor = np.zeros((0, len(ids)))  # by tenant and query: the k-th best score so far
+
+    def tenants(self, names: list[str]) -> np.ndarray:
+        found = np.array([self.names.setdefault(t, len(self.names)) for t in names], np.int64)
+        self.floor = np.vstack([self.floor, np.zeros((len(self.names) - len(self.floor), len(self.ids)))])
+        return found
+
+    def add(self, score: np.ndarray, tenant: np.ndarray, keys: list[pa.Array], a: int) -> None:
+        """Scores (rows x queries) of the rows from ``a`` on; ``tenant`` has their numbers, ``keys`` the tie columns of all rows."""
+        k = self.k
+        at, q = np.nonzero((score > 0) & (score >= self.floor[tenant]))
+        group = tenant[at] * len(self.ids) + q
+        order = np.lexsort((-score[at, q], group))
+        at, q, group = at[order], q[order], group[order]
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        for x, y in zip(cuts, np.append(cuts[1:], len(group)), strict=True):
+            s = score[at[x:y], q[x]]
+            end = int(np.searchsorted(-s, -s[k - 1], "right")) if len(s) > k else len(s)  # ties of the k-th stay
+            place = (int(group[x]) // len(self.ids), int(q[x]))
+            new = [(-float(v), tuple(c[int(a + i)].as_py() for c in keys)) for v, i in zip(s[:end], at[x : x + end], strict=True)]
+            self.best[place] = sorted([*self.best.get(place, ()), *new])[:k]
+            if len(self.best[place]) == k:
+                self.floor[place] = -self.best[place][-1][0]
+
+    def rows(self, kind: list[pa.DataType], tie: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+        tenants = list(self.names)
+        rows = [(self.ids[q], tenants[t], -s / UNITS, *key) for (t, q), found in self.best.items() for s, key in found]
+        if rows:
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), *(pa.array(c, t) for c, t in zip(cols[3:], kind, strict=True))], ["query_id", "tenant_id", "score", *tie])
+
+
 def _best(k: int, shared, tie: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each task keeps ``k`` rows of each query and tenant, whatever it reads."""
         ids, matrix = shared.value
-        best: dict[tuple[int, int], list[tuple]] = {}
-        names: dict[str, int] = {}
-        floor = np.zeros((0, len(ids)))  # by tenant and query: the k-th best score so far
-        kind = [None] * len(tie)
+        kept, kind = _Kept(k, ids), [None] * len(tie)
         for batch in batches:
             kind = [batch.column(c).type for c in tie]
             parts = batch.column("parts")
-            n = len(parts)
-            if not n:
+            if not len(parts):
                 continue
             flat = parts.flatten()
-            row = np.repeat(np.arange(n), np.diff(parts.offsets.to_numpy()))
-            term, weight = flat.field("t").to_numpy(), flat.field("w").to_numpy()
-            tenant = np.array([names.setdefault(t, len(names)) for t in batch.column("tenant_id").to_pylist()])
-            floor = np.vstack([floor, np.zeros((len(names) - len(floor), len(ids)))])
-            keys = [batch.column(c) for c in tie]
-            for a in range(0, n, 1024):
-                lo, hi = np.searchsorted(row, (a, a + 1024))
-                dense = np.zeros((min(1024, n - a), matrix.shape[0]))
-                np.add.at(dense, (row[lo:hi] - a, term[lo:hi]), weight[lo:hi])
-                score = dense @ matrix  # whole numbers below 2**53: exact in any order
-                at, q = np.nonzero((score > 0) & (score >= floor[tenant[a : a + 1024]]))
-                group = tenant[a + at] * len(ids) + q
-                order = np.lexsort((-score[at, q], group))
-                at, q, group = at[order], q[order], group[order]
-                cuts = np.flatnonzero(np.diff(group, prepend=-1))
-                for x, y in zip(cuts, np.append(cuts[1:], len(group)), strict=True):
-                    s = score[at[x:y], q[x]]
-                    end = int(np.searchsorted(-s, -s[k - 1], "right")) if len(s) > k else len(s)  # ties of the k-th stay
-                    place = (int(group[x]) // len(ids), int(q[x]))
-                    new = [(-float(v), tuple(c[int(a + i)].as_py() for c in keys)) for v, i in zip(s[:end], at[x : x + end], strict=True)]
-                    best[place] = sorted([*best.get(place, ()), *new])[:k]
-                    if len(best[place]) == k:
-                        floor[place] = -best[place][-1][0]
-        tenants = list(names)
-        rows = [(ids[q], tenants[t], -s / UNITS, *key) for (t, q), found in best.items() for s, key in found]
-        cols = list(zip(*rows, strict=True)) or [()] * (3 + len(tie))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), *(pa.array(c, t) for c, t in zip(cols[3:], kind, strict=True))] if rows else [], ["query_id", "tenant_id", "score", *tie] if rows else [])
-
-    def steady(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (b for b in run(batches) if b.num_rows)
-
-    return steady
+            offs = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            term, weight = flat.field("t").to_numpy(), flat.field("w").to_numpy().astype(np.float64)
+            tenant, keys = kept.tenants(batch.column("tenant_id").to_pylist()), [batch.column(c) for c in tie]
+            for a, b in _pieces(offs, matrix.shape[1]):
+                kept.add(_sums(matrix, term, weight, offs[a : b + 1]), tenant[a:b], keys, a)
+        yield from kept.rows(kind, tie)
+
+    return run
+
+
+#: Products of a weight and a query's place that a task holds at once.
+CELLS = 1 << 21
+
+
+def _pieces(offs: np.ndarray, width: int, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of at most ``CELLS`` products (or one row) and ``rows`` rows."""
+    a, n, most = 0, len(offs) - 1, max(1, CELLS // max(1, width))
+    while a < n:
+        b = min(n, a + rows, max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1))
+        yield a, b
+        a = b
+
+
+def _sums(matrix: np.ndarray, term: np.ndarray, weight: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows x queries: the weights of each row's terms added up by query; only the terms that a row has are touched."""
+    lo, hi = int(offs[0]), int(offs[-1])
+    out = np.zeros((len(offs) - 1, matrix.shape[1]))
+    some = np.flatnonzero(np.diff(offs))
+    if len(some):
+        # whole numbers below 2**53: exact in any order
+        out[some] = np.add.reduceat(matrix[term[lo:hi]] * weight[lo:hi, None], offs[some] - lo, axis=0)
+    return out
 
 
 def _top_of(weighted: DataFrame, queries: DataFrame, k: int, tie: tuple[str, ...]) -> DataFrame:
@@ -172,6 +209,101 @@ def _top_of(weighted: DataFrame, queries: DataFrame, k: int, tie: tuple[str, ...
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Terms of a row with their counts, ``term number * 2**32 + count`` each.
+_COUNTED = "tenant_id string, chunk_id string, sentence_idx bigint, dl bigint, parts array<bigint>"
+#: Tokens that a task numbers at once, and weights (tenants x terms) that go to every task.
+TOKENS, WEIGHTS = 1 << 19, 1 << 23
+
+
+def _counted(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
+    """(tenant_id, chunk_id, sentence_idx, dl, parts) of every sentence with words: the counts of the terms of ``vocab`` in it."""
+    shared = docs.sparkSession.sparkContext.broadcast(list(vocab))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, size = pa.array(shared.value, pa.string()), max(1, len(shared.value))
+        for whole in batches:
+            every = whole.column("tokens").offsets.to_numpy()
+            for a, b in _pieces(every, max(1, CELLS // TOKENS), whole.num_rows):
+                batch = whole.slice(a, b - a)
+                lengths = np.diff(every[a : b + 1])
+                t = pc.fill_null(pc.index_in(batch.column("tokens").flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b - a), lengths)
+                code, tf = np.unique(row[t >= 0] * size + t[t >= 0], return_counts=True)
+                ends = np.searchsorted(code, np.arange(b - a + 1) * size).astype(np.int32)
+                parts = pa.ListArray.from_arrays(pa.array(ends), pa.array((code % size << 32) + tf))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lengths.astype(np.int64)), parts], ["tenant_id", "chunk_id", "sentence_idx", "dl", "parts"])
+
+    tokens = docs.where("tenant_id is not null").select("tenant_id", "chunk_id", F.col("sentence_idx").cast("bigint").alias("sentence_idx"), words(F.col("text")).alias("tokens"))
+    return tokens.where(F.size("tokens") > 0).mapInArrow(run, _COUNTED)
+
+
+def _best_counted(k: int, shared, tie: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As ``_best`` for rows of counted terms, with the statistics at hand."""
+        ids, matrix, place, idf, avgdl = shared.value
+        kept, kind = _Kept(k, ids), [None] * len(tie)
+        for batch in batches:
+            kind = [batch.column(c).type for c in tie]
+            parts = batch.column("parts")
+            if not len(parts):
+                continue
+            packed, offs = parts.flatten().to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            names, dl = batch.column("tenant_id").to_pylist(), batch.column("dl").to_numpy()
+            own, tenant, keys = np.array([place[t] for t in names], np.int64), kept.tenants(names), [batch.column(c) for c in tie]
+            for a, b in _pieces(offs, matrix.shape[1]):
+                lo, hi = offs[a], offs[b]
+                row = np.repeat(np.arange(a, b), np.diff(offs[a : b + 1]))
+                term, tf = packed[lo:hi] >> 32, (packed[lo:hi] & 0xFFFFFFFF).astype(np.float64)
+                # the operations of ``_units`` in their order
+                w = np.floor(idf[own[row], term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl[own[row]])) * UNITS + 0.5)
+                kept.add(_sums(matrix, term, w, offs[a : b + 1] - lo), tenant[a:b], keys, a)
+        yield from kept.rows(kind, tie)
+
+    return run
+
+
+def bm25_top_of(docs: DataFrame, queries: DataFrame, k: int, pool: DataFrame | None = None) -> DataFrame:
+    """``bm25_top(index(docs), queries, k)`` of sentence rows with ``text``, without postings of words that no query has.
+
+    The words of a block of queries are numbered and sent to every task.  A task counts them in
+    its sentences, which stay where they are and are written once, a row each; statistics are
+    groupings of these rows by tenant and term, and a second pass scores.  Only the chunks of
+    ``pool`` (tenant_id, chunk_id) are shown where it is given; statistics are of all.
+
+    Repeated sentence rows (their counts add up), and more than ``WEIGHTS`` tenants times terms,
+    take the postings instead, with the same results.
+    """
+    spark, tie = docs.sparkSession, ("chunk_id", "sentence_idx")
+    ddl = "query_id bigint, tenant_id string, score double, chunk_id string, sentence_idx bigint"
+    out = None
+    for ids, vocab, rows in _blocks(queries, MAX_QUERY_TERMS):
+        counted = written(_counted(docs, vocab), "counted")
+        whole = counted.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        repeated = counted.groupBy("tenant_id", *tie).agg(F.count("*").alias("n")).where("n > 1")
+        if whole.count() * len(vocab) > WEIGHTS or not repeated.isEmpty():
+            hits = weighted(index(docs))
+            return top_weighted(hits if pool is None else hits.join(pool.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_semi"), queries, k)
+        tenants = whole.collect()
+        place = {r.tenant_id: i for i, r in enumerate(tenants)}
+        df = counted.select("tenant_id", F.explode("parts").alias("p")).groupBy("tenant_id", F.shiftright("p", 32).cast("int").alias("t")).agg(F.count("*").alias("df"))
+        weights = np.zeros((len(tenants), max(1, len(vocab))))
+        for r in df.join(F.broadcast(whole), "tenant_id").select("tenant_id", "t", idf(F.col("n_docs"), F.col("df")).alias("idf")).toLocalIterator():
+            weights[place[r.tenant_id], r.t] = r.idf
+        matrix = np.zeros((max(1, len(vocab)), len(ids)))
+        for q, terms in enumerate(rows):
+            matrix[terms, q] = 1.0
+        shared = spark.sparkContext.broadcast((ids, matrix, place, weights, np.array([r.avgdl for r in tenants])))
+        shown = counted.where(F.size("parts") > 0)
+        if pool is not None:
+            shown = shown.join(pool.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_semi")
+        part = shown.mapInArrow(_best_counted(k, shared, tie), ddl)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], ddl)
+    w = Window.partitionBy("query_id", "tenant_id").orderBy(F.desc("score"), *tie)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def weighted(postings: DataFrame, global_stats: bool = False, whole: DataFrame | None = None) -> DataFrame:
     """(tenant_id, chunk_id, sentence_idx, term, w): each posting's units of a BM25 score, by the statistics of ``whole`` (the postings themselves)."""
     whole = postings if whole is None else whole

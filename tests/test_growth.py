@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from larkspur.operators import dense, evaluate as E, ingest, structural as C, tiered as T
+from larkspur.operators import dense, evaluate as E, ingest, sparse, structural as C, tiered as T
 
 
 def test_calls_meet_only_symbols_near_their_line(spark, capsys):
@@ -72,3 +72,31 @@ def test_texts_are_cut_in_slices_of_bounded_bytes(spark, monkeypatch):
     monkeypatch.setattr(ingest, "SLICE_BYTES", 100)
     assert [x.column("id").to_pylist() for x in ingest._slices([batch])] == [[0, 1], [2], [3, 4], [5]]
     assert [sorted(map(tuple, f(docs, "doc_id").collect())) for f in (ingest.split_chunks, ingest.split_sentences)] == whole
+
+
+def test_words_of_queries_counted_in_place(spark, monkeypatch, capsys):
+    """Equal to the scores from postings: in blocks and pieces, for a pool of chunks, and where rows repeat or weights are too many."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = [("abc"[i % 3], f"c{i % 90}", i // 90, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(270)] + [(None, "x", 0, "w1"), ("d", "y", 0, None), ("d", "z", 0, "nothing asked")]
+    docs = spark.createDataFrame(rows, "tenant_id string, chunk_id string, sentence_idx bigint, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices([*words, "absent"], k=4))) for i in range(12)] + [(50, ""), (51, None)], "query_id bigint, query string")
+    of = lambda df: sorted(tuple(r) for r in df.select("query_id", "tenant_id", "chunk_id", "sentence_idx", "score", "rank").collect())
+    want = of(sparse.bm25_top(sparse.index(docs), queries, 5))
+    found = sparse.bm25_top_of(docs, queries, 5)
+    assert of(found) == want
+    capsys.readouterr()
+    found.explain()
+    assert "term" not in capsys.readouterr().out  # no postings in it
+    pool = docs.where("chunk_id like 'c1%'").select("tenant_id", "chunk_id").distinct()
+    inside = sparse.weighted(sparse.index(docs)).join(pool, ["tenant_id", "chunk_id"], "left_semi")
+    assert of(sparse.bm25_top_of(docs, queries, 5, pool)) == of(sparse.top_weighted(inside, queries, 5))
+    twice = docs.unionByName(docs.limit(40))
+    assert of(sparse.bm25_top_of(twice, queries, 5)) == of(sparse.bm25_top(sparse.index(twice), queries, 5))
+    monkeypatch.setattr(sparse, "MAX_QUERY_TERMS", 30)
+    monkeypatch.setattr(sparse, "CELLS", 8)
+    monkeypatch.setattr(sparse, "TOKENS", 4)
+    assert of(sparse.bm25_top_of(docs, queries, 5)) == want
+    monkeypatch.setattr(sparse, "WEIGHTS", 1)
+    assert of(sparse.bm25_top_of(docs, queries, 5)) == want
+    assert sparse.bm25_top_of(docs, queries.limit(0), 5).isEmpty()
