@@ -100,3 +100,19 @@ def test_words_of_queries_counted_in_place(spark, monkeypatch, capsys):
     monkeypatch.setattr(sparse, "WEIGHTS", 1)
     assert of(sparse.bm25_top_of(docs, queries, 5)) == want
     assert sparse.bm25_top_of(docs, queries.limit(0), 5).isEmpty()
+
+
+def test_names_called_from_one_place_share_a_block(spark, monkeypatch):
+    """20 groups of 200 names with 50 callers each: about a row of bits a caller, not one a caller and block of all names."""
+    sym = spark.range(1000).select(F.col("id").alias("symbol_id"), F.concat(F.lit("caller"), "id").alias("name"))
+    edges = spark.range(4000).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("j")).select(((F.col("n") % 20) * 50 + F.col("j")).alias("caller_symbol_id"), F.concat(F.lit("name"), "n").alias("callee_name"))
+    rows, write = {}, C.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(C, "written", counted)
+    assert C.find_callers(sym, edges, edges.select(F.col("callee_name").alias("name")), 2).count() == 200_000
+    assert rows["callers"] <= 1400
