@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from larkspur.operators import dense, evaluate as E, ingest, sparse, structural as C, tiered as T
+from larkspur.operators import dense, evaluate as E, ingest, lexquery as L, sparse, structural as C, tiered as T
 
 
 def test_calls_meet_only_symbols_near_their_line(spark, capsys):
@@ -116,3 +116,26 @@ def test_names_called_from_one_place_share_a_block(spark, monkeypatch):
     monkeypatch.setattr(C, "written", counted)
     assert C.find_callers(sym, edges, edges.select(F.col("callee_name").alias("name")), 2).count() == 200_000
     assert rows["callers"] <= 1400
+
+
+ASKED = ["w0", "w0 w1^2 w2", '"w0 w1"^1.5 w2', "+w0 -w1 w2", "w0 AND w1 OR w2", "(w0 OR w1) AND w3", '"w0 w2"~3', "w0 AND NOT (w1 OR w2)", '(w1 OR "w2 w3")^2 w4', '-w2 +(w0 w1)^0.5 "w0 w1 w4"~9', '"w0 w0"', "w5^0", "absent", "-w0", None]
+
+
+def sentences_of(spark, seed):
+    rng = random.Random(seed)
+    rows = [("abc"[i % 3], f"c{i % 50}", i // 50, " ".join(f"W{rng.randrange(12)}" for _ in range(rng.randrange(0, 12)))) for i in range(240)] + [(None, "x", 0, "w0 w1"), ("d", "y", 0, None), ("d", "z", 0, "w9")]
+    return spark.createDataFrame(rows, "tenant_id string, chunk_id string, sentence_idx bigint, text string")
+
+
+def test_one_query_is_a_filter(spark, capsys):
+    """Rows by the query language without a shuffle, equal to those by postings."""
+    docs = sentences_of(spark, 3)
+    postings = L.positional(docs).cache()
+    for text in ASKED[:-2]:
+        found = L.matching(docs, text)
+        capsys.readouterr()
+        found.explain()
+        assert "Exchange" not in capsys.readouterr().out
+        asked = spark.createDataFrame([(0, text)], "query_id int, query string")
+        want = sorted(tuple(r) for r in L.score(postings, asked).select("tenant_id", "chunk_id", "sentence_idx").collect())
+        assert sorted(tuple(r)[:3] for r in found.where("tenant_id is not null").collect()) == want, text
