@@ -101,11 +101,17 @@ def _blocks(queries: DataFrame, cells: int) -> Iterator[tuple[list, dict[str, in
 
 
 class _Kept:
-    """The ``k`` best rows of each query and tenant that a task has seen: score, then tie columns."""
+    """The ``k`` best rows of each query and tenant that a task has seen: score, then tie columns.
 
-    def __init__(self, k: int, ids: list):
-        self.k, self.ids = k, ids
-        self.best: dict[tuple[int, int], list[tuple]] = {}
+    Candidates gather in columns and are cut to ``k`` a group whenever they have doubled, so no row is handled alone.
+    """
+
+    LEAST = 1 << 17
+
+    def __init__(self, k: int, ids: list, tie: tuple[str, ...]):
+        self.k, self.ids, self.tie = k, ids, tie
+        self.parts: list[pa.Table] = []
+        self.n, self.most = 0, self.LEAST
         self.names: dict[str, int] = {}
         self.floor = np.zeros((0, len(ids)))  # by tenant and query: the k-th best score so far
 
@@ -114,38 +120,53 @@ class _Kept:
         self.floor = np.vstack([self.floor, np.zeros((len(self.names) - len(self.floor), len(self.ids)))])
         return found
 
-    def add(self, score: np.ndarray, tenant: np.ndarray, keys: list[pa.Array], a: int) -> None:
-        """Scores (rows x queries) of the rows from ``a`` on; ``tenant`` has their numbers, ``keys`` the tie columns of all rows."""
-        k = self.k
-        at, q = np.nonzero((score > 0) & (score >= self.floor[tenant]))
-        group = tenant[at] * len(self.ids) + q
-        order = np.lexsort((-score[at, q], group))
-        at, q, group = at[order], q[order], group[order]
-        cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        for x, y in zip(cuts, np.append(cuts[1:], len(group)), strict=True):
-            s = score[at[x:y], q[x]]
-            end = int(np.searchsorted(-s, -s[k - 1], "right")) if len(s) > k else len(s)  # ties of the k-th stay
-            place = (int(group[x]) // len(self.ids), int(q[x]))
-            new = [(-float(v), tuple(c[int(a + i)].as_py() for c in keys)) for v, i in zip(s[:end], at[x : x + end], strict=True)]
-            self.best[place] = sorted([*self.best.get(place, ()), *new])[:k]
-            if len(self.best[place]) == k:
-                self.floor[place] = -self.best[place][-1][0]
-
-    def rows(self, kind: list[pa.DataType], tie: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-        tenants = list(self.names)
-        rows = [(self.ids[q], tenants[t], -s / UNITS, *key) for (t, q), found in self.best.items() for s, key in found]
-        if rows:
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), *(pa.array(c, t) for c, t in zip(cols[3:], kind, strict=True))], ["query_id", "tenant_id", "score", *tie])
+    def add(self, score: np.ndarray, tenant: np.ndarray, keys: list[pa.Array], a: int, held: np.ndarray | None = None) -> None:
+        """Scores (rows x queries) of the rows from ``a`` on; ``tenant`` has their numbers, ``keys`` the tie columns of all rows, ``held`` what counts (else: scores above 0)."""
+        at, q = np.nonzero((score > 0 if held is None else held) & (score >= self.floor[tenant]))
+        if not len(at):
+            return
+        pick = pa.array(at + a)
+        self.parts.append(pa.table([pa.array(tenant[at] * len(self.ids) + q), pa.array(score[at, q]), *(c.take(pick) for c in keys)], ["_group", "_score", *self.tie]))
+        self.n += len(at)
+        if self.n > self.most:
+            self._cut()
+
+    def _cut(self) -> None:
+        found = pa.concat_tables(self.parts)
+        group, score = found["_group"].to_numpy(), found["_score"].to_numpy()
+        order = np.lexsort((-score, group))
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        sizes = np.diff(np.append(starts, len(order)))
+        full = sizes >= self.k
+        floor = np.zeros(len(starts))
+        floor[full] = score[order[starts[full] + self.k - 1]]
+        self.floor.reshape(-1)[group[order[starts[full]]]] = floor[full]
+        good = order[score[order] >= np.repeat(floor, sizes)]  # ties of the k-th stay
+        found = found.take(pa.array(good))
+        sizes = np.unique(group[good], return_counts=True)[1]
+        if sizes.max() > self.k:
+            keys = [("_group", "ascending"), ("_score", "descending"), *((c, "ascending") for c in self.tie)]
+            rank = np.arange(len(good)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = found.take(pc.sort_indices(found, sort_keys=keys, null_placement="at_start").filter(pa.array(rank < self.k)))
+        self.parts, self.n = [found.combine_chunks()], found.num_rows
+        self.most = max(self.LEAST, 2 * self.n)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        self._cut()
+        found, n = self.parts[0], len(self.ids)
+        group = found["_group"].to_numpy()
+        query, tenant = pa.array(self.ids, pa.int64()).take(pa.array(group % n)), pa.array(list(self.names), pa.string()).take(pa.array(group // n))
+        yield from pa.table([query, tenant, pa.array(found["_score"].to_numpy() / UNITS), *(found[c] for c in self.tie)], ["query_id", "tenant_id", "score", *self.tie]).to_batches()
 
 
 def _best(k: int, shared, tie: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each task keeps ``k`` rows of each query and tenant, whatever it reads."""
         ids, matrix = shared.value
-        kept, kind = _Kept(k, ids), [None] * len(tie)
+        kept = _Kept(k, ids, tie)
         for batch in batches:
-            kind = [batch.column(c).type for c in tie]
             parts = batch.column("parts")
             if not len(parts):
                 continue
@@ -155,7 +176,7 @@ def _best(k: int, shared, tie: tuple[str, ...]):
             tenant, keys = kept.tenants(batch.column("tenant_id").to_pylist()), [batch.column(c) for c in tie]
             for a, b in _pieces(offs, matrix.shape[1]):
                 kept.add(_sums(matrix, term, weight, offs[a : b + 1]), tenant[a:b], keys, a)
-        yield from kept.rows(kind, tie)
+        yield from kept.rows()
 
     return run
 
@@ -209,14 +230,17 @@ def _top_of(weighted: DataFrame, queries: DataFrame, k: int, tie: tuple[str, ...
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Terms of a row with their counts, ``term number * 2**32 + count`` each.
+#: Terms of a row with their counts or places, ``term number * 2**32 + count`` each.
 _COUNTED = "tenant_id string, chunk_id string, sentence_idx bigint, dl bigint, parts array<bigint>"
 #: Tokens that a task numbers at once, and weights (tenants x terms) that go to every task.
 TOKENS, WEIGHTS = 1 << 19, 1 << 23
 
 
-def _counted(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
-    """(tenant_id, chunk_id, sentence_idx, dl, parts) of every sentence with words: the counts of the terms of ``vocab`` in it."""
+def _counted(docs: DataFrame, vocab: dict[str, int], places: bool = False) -> DataFrame:
+    """(tenant_id, chunk_id, sentence_idx, dl, parts) of every sentence with words: the counts of the terms of ``vocab`` in it.
+
+    With ``places`` parts hold the place of each occurrence (from 0) instead of the count, in the order of the sentence.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(list(vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +252,13 @@ def _counted(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
                 lengths = np.diff(every[a : b + 1])
                 t = pc.fill_null(pc.index_in(batch.column("tokens").flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(b - a), lengths)
-                code, tf = np.unique(row[t >= 0] * size + t[t >= 0], return_counts=True)
-                ends = np.searchsorted(code, np.arange(b - a + 1) * size).astype(np.int32)
-                parts = pa.ListArray.from_arrays(pa.array(ends), pa.array((code % size << 32) + tf))
+                if places:
+                    at = np.flatnonzero(t >= 0)
+                    ends, code = np.searchsorted(at, every[a : b + 1] - every[a]), (t[at].astype(np.int64) << 32) + at - (every[a:b] - every[a])[row[at]]
+                else:
+                    code, tf = np.unique(row[t >= 0] * size + t[t >= 0], return_counts=True)
+                    ends, code = np.searchsorted(code, np.arange(b - a + 1) * size), (code % size << 32) + tf
+                parts = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lengths.astype(np.int64)), parts], ["tenant_id", "chunk_id", "sentence_idx", "dl", "parts"])
 
     tokens = docs.where("tenant_id is not null").select("tenant_id", "chunk_id", F.col("sentence_idx").cast("bigint").alias("sentence_idx"), words(F.col("text")).alias("tokens"))
@@ -241,9 +269,8 @@ def _best_counted(k: int, shared, tie: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """As ``_best`` for rows of counted terms, with the statistics at hand."""
         ids, matrix, place, idf, avgdl = shared.value
-        kept, kind = _Kept(k, ids), [None] * len(tie)
+        kept = _Kept(k, ids, tie)
         for batch in batches:
-            kind = [batch.column(c).type for c in tie]
             parts = batch.column("parts")
             if not len(parts):
                 continue
@@ -257,11 +284,26 @@ def _best_counted(k: int, shared, tie: tuple[str, ...]):
                 # the operations of ``_units`` in their order
                 w = np.floor(idf[own[row], term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl[own[row]])) * UNITS + 0.5)
                 kept.add(_sums(matrix, term, w, offs[a : b + 1] - lo), tenant[a:b], keys, a)
-        yield from kept.rows(kind, tie)
+        yield from kept.rows()
 
     return run
 
 
+def statistics_of(counted: DataFrame, n_terms: int) -> tuple[dict[str, int], np.ndarray, np.ndarray] | None:
+    """Tenants' numbers, idf (tenants x terms) and mean lengths of counted rows; None where sentence rows repeat or the weights are more than ``WEIGHTS``."""
+    whole = counted.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    tenants = whole.limit(WEIGHTS // max(1, n_terms) + 1).collect()
+    if len(tenants) * n_terms > WEIGHTS or not counted.groupBy("tenant_id", "chunk_id", "sentence_idx").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return None
+    place = {r.tenant_id: i for i, r in enumerate(tenants)}
+    terms = F.explode(F.array_distinct(F.transform("parts", lambda p: F.shiftright(p, 32).cast("int"))))
+    df = counted.select("tenant_id", terms.alias("t")).groupBy("tenant_id", "t").agg(F.count("*").alias("df"))
+    weights = np.zeros((len(tenants), max(1, n_terms)))
+    for r in df.join(F.broadcast(whole), "tenant_id").select("tenant_id", "t", idf(F.col("n_docs"), F.col("df")).alias("idf")).toLocalIterator():
+        weights[place[r.tenant_id], r.t] = r.idf
+    return place, weights, np.array([r.avgdl for r in tenants])
+
+
 def bm25_top_of(docs: DataFrame, queries: DataFrame, k: int, pool: DataFrame | None = None) -> DataFrame:
     """``bm25_top(index(docs), queries, k)`` of sentence rows with ``text``, without postings of words that no query has.
 
@@ -278,21 +320,14 @@ def bm25_top_of(docs: DataFrame, queries: DataFrame, k: int, pool: DataFrame | N
     out = None
     for ids, vocab, rows in _blocks(queries, MAX_QUERY_TERMS):
         counted = written(_counted(docs, vocab), "counted")
-        whole = counted.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        repeated = counted.groupBy("tenant_id", *tie).agg(F.count("*").alias("n")).where("n > 1")
-        if whole.count() * len(vocab) > WEIGHTS or not repeated.isEmpty():
+        stats = statistics_of(counted, len(vocab))
+        if stats is None:
             hits = weighted(index(docs))
             return top_weighted(hits if pool is None else hits.join(pool.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_semi"), queries, k)
-        tenants = whole.collect()
-        place = {r.tenant_id: i for i, r in enumerate(tenants)}
-        df = counted.select("tenant_id", F.explode("parts").alias("p")).groupBy("tenant_id", F.shiftright("p", 32).cast("int").alias("t")).agg(F.count("*").alias("df"))
-        weights = np.zeros((len(tenants), max(1, len(vocab))))
-        for r in df.join(F.broadcast(whole), "tenant_id").select("tenant_id", "t", idf(F.col("n_docs"), F.col("df")).alias("idf")).toLocalIterator():
-            weights[place[r.tenant_id], r.t] = r.idf
         matrix = np.zeros((max(1, len(vocab)), len(ids)))
         for q, terms in enumerate(rows):
             matrix[terms, q] = 1.0
-        shared = spark.sparkContext.broadcast((ids, matrix, place, weights, np.array([r.avgdl for r in tenants])))
+        shared = spark.sparkContext.broadcast((ids, matrix, *stats))
         shown = counted.where(F.size("parts") > 0)
         if pool is not None:
             shown = shown.join(pool.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_semi")

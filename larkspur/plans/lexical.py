@@ -70,5 +70,5 @@ def parsed_search_scored(spark: SparkSession, d: str) -> DataFrame:
     text = F.element_at(F.array(*(F.lit(shape) for shape, *_ in SHAPES)), (F.col("query_id") % len(SHAPES) + 1).cast("int"))
     for x in "abce":
         text = F.replace(text, F.lit("{" + x + "}"), F.col(x))
-    found = lexquery.search(lexquery.positional(sparse.sentences(S.live(spark, d))), named.select("query_id", text.alias("query")), 10)
+    found = lexquery.search_of(sparse.sentences(S.live(spark, d)), named.select("query_id", text.alias("query")), 10)
     return found.select("query_id", "tenant_id", "chunk_id", "sentence_idx", R._score(), "rank")

@@ -139,3 +139,42 @@ def test_one_query_is_a_filter(spark, capsys):
         asked = spark.createDataFrame([(0, text)], "query_id int, query string")
         want = sorted(tuple(r) for r in L.score(postings, asked).select("tenant_id", "chunk_id", "sentence_idx").collect())
         assert sorted(tuple(r)[:3] for r in found.where("tenant_id is not null").collect()) == want, text
+
+
+def test_trees_evaluated_in_place(spark, monkeypatch, capsys):
+    """Equal to the scores from positional postings: in blocks and pieces, and where rows repeat or weights are too many."""
+    docs = sentences_of(spark, 5)
+    queries = spark.createDataFrame(list(enumerate(ASKED)), "query_id bigint, query string")
+    of = lambda df: sorted(tuple(r) for r in df.select("query_id", "tenant_id", "chunk_id", "sentence_idx", "score", "rank").collect())
+    want = of(L.search(L.positional(docs), queries, 6))
+    found = L.search_of(docs, queries, 6)
+    assert of(found) == want and any(r[4] == 0 for r in want)
+    capsys.readouterr()
+    found.explain()
+    assert "positions" not in capsys.readouterr().out  # no postings in it
+    twice = docs.unionByName(docs.limit(40))
+    assert of(L.search_of(twice, queries, 6)) == of(L.search(L.positional(twice), queries, 6))
+    monkeypatch.setattr(L, "MAX_NODES", 9)
+    monkeypatch.setattr(L, "CELLS", 40)
+    monkeypatch.setattr(sparse._Kept, "LEAST", 1)
+    assert of(L.search_of(docs, queries, 6)) == want
+    monkeypatch.setattr(sparse, "WEIGHTS", 1)
+    assert of(L.search_of(docs, queries, 6)) == want
+    assert L.search_of(docs, queries.limit(0), 6).isEmpty() and L.search_of(docs.limit(0), queries, 6).isEmpty()
+
+
+def test_best_rows_are_kept_in_columns(monkeypatch):
+    """The best of random scores with many ties, null keys among them, cut whenever candidates doubled; ties by key, nulls first."""
+    monkeypatch.setattr(sparse._Kept, "LEAST", 8)
+    rng = np.random.default_rng(2)
+    kept, rows = sparse._Kept(3, [7, 8], ("chunk_id", "sentence_idx")), []
+    for _ in range(20):
+        score, names = rng.integers(0, 4, (30, 2)).astype(float), rng.choice(["t", "u"], 30).tolist()
+        keys = [[None if x == 0 else str(x) for x in rng.integers(0, 40, 30)], rng.integers(0, 1 << 30, 30).tolist()]
+        kept.add(score, kept.tenants(names), [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64())], 0)
+        rows += [(q, names[i], score[i, j] / sparse.UNITS, keys[0][i], keys[1][i]) for i in range(30) for j, q in enumerate((7, 8)) if score[i, j] > 0]
+        assert kept.n <= 8 + 60 + 12
+    order = lambda r: (-r[2], r[3] is not None, r[3] or "", r[4])
+    want = {g: sorted((r for r in rows if r[:2] == g), key=order)[:3] for g in {r[:2] for r in rows}}
+    got = [tuple(r.values()) for b in kept.rows() for r in b.to_pylist()]
+    assert len(got) == 12 and {g: sorted((r for r in got if r[:2] == g), key=order) for g in want} == want
