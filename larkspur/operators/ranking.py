@@ -62,10 +62,11 @@ def hash_dedup(ranked: DataFrame) -> DataFrame:
 def budget(ranked: DataFrame, tokens: int = BUDGET_TOKENS) -> DataFrame:
     """The leading rows of each query whose bytes together fit the budget; adds ``used_tokens``.
 
-    Rows come by ``rank``; the first overflow ends the list.
+    Rows come by ``rank``; the first overflow ends the list.  Bytes are ``n_bytes`` where the rows have it, else those of ``text``.
     """
+    size = F.col("n_bytes") if "n_bytes" in ranked.columns else F.octet_length("text")
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = ranked.withColumn("_bytes", F.sum(F.octet_length("text")).over(w))
+    run = ranked.withColumn("_bytes", F.sum(size).over(w))
     return run.where(F.col("_bytes") <= tokens * BYTES_A_TOKEN).withColumn("used_tokens", F.ceil(F.col("_bytes") / BYTES_A_TOKEN).cast("bigint")).drop("_bytes")
 
 

@@ -6,7 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from larkspur.operators import dense, evaluate as E, ingest, lexquery as L, sparse, structural as C, tiered as T
+from conftest import SMALL
+from larkspur.functions import vectors as V
+from larkspur.operators import dense, evaluate as E, ingest, lexquery as L, ranking, sparse, structural as C, tiered as T
+from larkspur.plans import retrieval as R
+from larkspur.sources import bindings as S
 
 
 def test_calls_meet_only_symbols_near_their_line(spark, capsys):
@@ -178,3 +182,13 @@ def test_best_rows_are_kept_in_columns(monkeypatch):
     want = {g: sorted((r for r in rows if r[:2] == g), key=order)[:3] for g in {r[:2] for r in rows}}
     got = [tuple(r.values()) for b in kept.rows() for r in b.to_pylist()]
     assert len(got) == 12 and {g: sorted((r for r in got if r[:2] == g), key=order) for g in want} == want
+
+
+def test_ranked_rows_carry_no_texts(spark):
+    """Texts do not go through the joins and windows of the ranked lists; their bytes, hashes and vectors do, with the same budget."""
+    rows = R._embedded(spark, SMALL).cache()
+    assert "text" not in rows.columns and "text" not in R._ranked(spark, SMALL).columns
+    texts = rows.drop("n_bytes").join(S.live(spark, SMALL).select("tenant_id", "chunk_id", "text"), ["tenant_id", "chunk_id"])
+    of = lambda df: sorted(tuple(r) for r in df.select("query_id", "tenant_id", "chunk_id", "rank", "used_tokens").collect())
+    assert of(ranking.budget(rows)) == of(ranking.budget(texts)) != []
+    assert texts.where(F.array_distinct(F.zip_with("embedding", V.mock_embedding(F.col("text"), 16).cast("array<float>"), lambda a, b: a == b)) != F.array(F.lit(True))).isEmpty()
