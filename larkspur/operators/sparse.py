@@ -6,6 +6,7 @@ work is the postings of the query's terms, and no pair without a common term is
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,12 @@ def _blocks(queries: DataFrame, cells: int) -> Iterator[tuple[list, dict[str, in
         yield ids, vocab, rows
 
 
+def _asked(rows: list[np.ndarray], n_terms: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where the queries of each term begin, the queries term by term, and how many queries there are."""
+    term, query = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    return np.searchsorted(np.sort(term), np.arange(n_terms + 1)), query[np.argsort(term, kind="stable")], len(rows)
+
+
 class _Kept:
     """The ``k`` best rows of each query and tenant that a task has seen: score, then tie columns.
 
@@ -164,7 +171,7 @@ class _Kept:
 def _best(k: int, shared, tie: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each task keeps ``k`` rows of each query and tenant, whatever it reads."""
-        ids, matrix = shared.value
+        ids, asked = shared.value
         kept = _Kept(k, ids, tie)
         for batch in batches:
             parts = batch.column("parts")
@@ -174,8 +181,8 @@ def _best(k: int, shared, tie: tuple[str, ...]):
             offs = parts.offsets.to_numpy() - parts.offsets[0].as_py()
             term, weight = flat.field("t").to_numpy(), flat.field("w").to_numpy().astype(np.float64)
             tenant, keys = kept.tenants(batch.column("tenant_id").to_pylist()), [batch.column(c) for c in tie]
-            for a, b in _pieces(offs, matrix.shape[1]):
-                kept.add(_sums(matrix, term, weight, offs[a : b + 1]), tenant[a:b], keys, a)
+            for a, b in _pieces(offs, len(ids)):
+                kept.add(_sums(asked, term, weight, offs[a : b + 1]), tenant[a:b], keys, a)
         yield from kept.rows()
 
     return run
@@ -194,32 +201,31 @@ def _pieces(offs: np.ndarray, width: int, rows: int = 1024) -> Iterator[tuple[in
         a = b
 
 
-def _sums(matrix: np.ndarray, term: np.ndarray, weight: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Rows x queries: the weights of each row's terms added up by query; only the terms that a row has are touched."""
-    lo, hi = int(offs[0]), int(offs[-1])
-    out = np.zeros((len(offs) - 1, matrix.shape[1]))
-    some = np.flatnonzero(np.diff(offs))
-    if len(some):
-        # whole numbers below 2**53: exact in any order
-        out[some] = np.add.reduceat(matrix[term[lo:hi]] * weight[lo:hi, None], offs[some] - lo, axis=0)
-    return out
+def _sums(asked: tuple[np.ndarray, np.ndarray, int], term: np.ndarray, weight: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows x queries: the weights of each row's terms added up by query; a term meets only the queries that have it."""
+    begin, query, width = asked
+    lo, hi, n = int(offs[0]), int(offs[-1]), len(offs) - 1
+    first = begin[term[lo:hi]]
+    count = begin[term[lo:hi] + 1] - first
+    ends = np.cumsum(count)
+    at = np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+    cell = np.repeat(np.repeat(np.arange(n) * width, np.diff(offs)), count) + query[at]
+    # whole numbers below 2**53: exact in any order
+    return np.bincount(cell, np.repeat(weight[lo:hi], count), n * width).reshape(n, width)
 
 
 def _top_of(weighted: DataFrame, queries: DataFrame, k: int, tie: tuple[str, ...]) -> DataFrame:
     """The ``k`` best rows of each query and tenant of (tenant_id, tie…, term, w): score = sum of w (in units) over the query's terms.
 
-    A block of queries is one matrix of terms by queries, sent to every task; a task adds up
-    its rows and multiplies, so the work between machines is one row a sentence and k rows a
-    query, tenant and task, not one a query and sentence.
+    A block of queries goes to every task as the queries of each term; a task adds up its rows,
+    so the work between machines is one row a sentence and k rows a query, tenant and task, not
+    one a query and sentence.
     """
     spark = weighted.sparkSession
     ddl = f"query_id bigint, tenant_id string, score double, {', '.join(f'{c} {t}' for c, t in weighted.dtypes if c in tie)}"
     out = None
     for ids, vocab, rows in _blocks(queries, MAX_QUERY_TERMS):
-        matrix = np.zeros((max(1, len(vocab)), len(ids)))
-        for q, terms in enumerate(rows):
-            matrix[terms, q] = 1.0
-        shared = spark.sparkContext.broadcast((ids, matrix))
+        shared = spark.sparkContext.broadcast((ids, _asked(rows, max(1, len(vocab)))))
         numbered = spark.createDataFrame(list(vocab.items()) or [("", 0)], "term string, t int")
         docs = weighted.join(F.broadcast(numbered), "term").groupBy("tenant_id", *tie).agg(F.collect_list(F.struct("t", "w")).alias("parts"))
         part = docs.mapInArrow(_best(k, shared, tuple(c for c, _ in weighted.dtypes if c in tie)), ddl)
@@ -234,41 +240,91 @@ def _top_of(weighted: DataFrame, queries: DataFrame, k: int, tie: tuple[str, ...
 _COUNTED = "tenant_id string, chunk_id string, sentence_idx bigint, dl bigint, parts array<bigint>"
 #: Tokens that a task numbers at once, and weights (tenants x terms) that go to every task.
 TOKENS, WEIGHTS = 1 << 19, 1 << 23
+#: Bytes of text that a task cuts into words at once.
+TEXT_BYTES = 1 << 20
+
+
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Small letters and digits by byte (else 0; bytes of two-byte characters stand for themselves), and the two bytes of U+0080 to U+00FF."""
+    one = np.arange(256, dtype=np.uint8)
+    one[:128] = [ord(c.lower()) if c.isascii() and c.isalnum() else 0 for c in map(chr, range(128))]
+    two = [c.lower() if unicodedata.category(c)[0] in "LN" else "\0\0" for c in map(chr, range(128, 256))]
+    return one, np.frombuffer("".join(two).encode(), np.uint8).reshape(128, 2)
+
+
+_BYTE, _PAIR = _letters()
+#: A character beyond U+00FF; texts without one are cut into words by bytes, the others by ``words``.
+_WIDE = r"[^\x00-\xFF]"
+
+
+def _words_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The ``words`` of texts of characters up to U+00FF, and where those of each text begin and end."""
+    offs = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
+    offs = offs - offs[0]
+    low = _BYTE[raw]
+    lead = np.flatnonzero(raw >= 0xC2)
+    if len(lead):
+        pair = _PAIR[((raw[lead] & 1) << 6) | (raw[lead + 1] & 0x3F)]
+        low[lead], low[lead + 1] = pair[:, 0], pair[:, 1]
+    inside = low != 0
+    edge = np.zeros(len(low) + 1, bool)  # a text begins here
+    edge[offs] = True
+    starts = np.flatnonzero(inside & (edge[:-1] | ~np.append(False, inside[:-1])))
+    ends = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
+    at = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(low[inside])), np.searchsorted(starts, offs)
+
+
+def _numbered(found: pa.Array, offs: np.ndarray, terms: pa.Array, places: bool) -> tuple[np.ndarray, pa.ListArray]:
+    """Numbers of words and ``parts`` of rows whose words are ``found``, from place to place of ``offs``."""
+    lengths, size = np.diff(offs), max(1, len(terms))
+    t = pc.fill_null(pc.index_in(found, value_set=terms), -1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(t >= 0)
+    row, t = np.repeat(np.arange(len(lengths)), lengths)[at], t[at].astype(np.int64)
+    if places:
+        ends, code = np.searchsorted(at, offs), (t << 32) + at - offs[row]
+    else:
+        code, tf = np.unique(row * size + t, return_counts=True)
+        ends, code = np.searchsorted(code, np.arange(len(offs)) * size), (code % size << 32) + tf
+    return lengths, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code))
 
 
 def _counted(docs: DataFrame, vocab: dict[str, int], places: bool = False) -> DataFrame:
     """(tenant_id, chunk_id, sentence_idx, dl, parts) of every sentence with words: the counts of the terms of ``vocab`` in it.
 
     With ``places`` parts hold the place of each occurrence (from 0) instead of the count, in the order of the sentence.
+    Words go to Python only where a text has characters beyond U+00FF; other texts go as they are and are cut there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(list(vocab))
+    names = ["tenant_id", "chunk_id", "sentence_idx", "dl", "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, size = pa.array(shared.value, pa.string()), max(1, len(shared.value))
+        terms = pa.array(shared.value, pa.string())
         for whole in batches:
-            every = whole.column("tokens").offsets.to_numpy()
-            for a, b in _pieces(every, max(1, CELLS // TOKENS), whole.num_rows):
-                batch = whole.slice(a, b - a)
-                lengths = np.diff(every[a : b + 1])
-                t = pc.fill_null(pc.index_in(batch.column("tokens").flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(b - a), lengths)
-                if places:
-                    at = np.flatnonzero(t >= 0)
-                    ends, code = np.searchsorted(at, every[a : b + 1] - every[a]), (t[at].astype(np.int64) << 32) + at - (every[a:b] - every[a])[row[at]]
-                else:
-                    code, tf = np.unique(row[t >= 0] * size + t[t >= 0], return_counts=True)
-                    ends, code = np.searchsorted(code, np.arange(b - a + 1) * size), (code % size << 32) + tf
-                parts = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lengths.astype(np.int64)), parts], ["tenant_id", "chunk_id", "sentence_idx", "dl", "parts"])
-
-    tokens = docs.where("tenant_id is not null").select("tenant_id", "chunk_id", F.col("sentence_idx").cast("bigint").alias("sentence_idx"), words(F.col("text")).alias("tokens"))
-    return tokens.where(F.size("tokens") > 0).mapInArrow(run, _COUNTED)
+            plain = whole.column("tokens").is_null()
+            for rows, cut in ((whole.filter(plain), True), (whole.filter(pc.invert(plain)), False)):
+                if not rows.num_rows:
+                    continue
+                every = pc.binary_length(rows.column("text")) if cut else pc.list_value_length(rows.column("tokens"))
+                every = np.append(0, np.cumsum(every.to_numpy(zero_copy_only=False).astype(np.int64)))
+                for a, b in _pieces(every, max(1, CELLS // (TEXT_BYTES if cut else TOKENS)), rows.num_rows):
+                    batch = rows.slice(a, b - a)
+                    found, offs = _words_of(batch.column("text")) if cut else (batch.column("tokens").flatten(), every[a : b + 1] - every[a])
+                    lengths, parts = _numbered(found, offs, terms, places)
+                    out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths.astype(np.int64)), parts], names)
+                    yield out.filter(pa.array(lengths > 0))
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where("tenant_id is not null").select("tenant_id", "chunk_id", F.col("sentence_idx").cast("bigint").alias("sentence_idx"), text.alias("text"), text.rlike(_WIDE).alias("wide"))
+    sent = rows.select("tenant_id", "chunk_id", "sentence_idx", F.when(~F.col("wide"), F.col("text")).alias("text"), F.when(F.col("wide"), words(F.col("text"))).alias("tokens"))
+    return sent.mapInArrow(run, _COUNTED)
 
 
 def _best_counted(k: int, shared, tie: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """As ``_best`` for rows of counted terms, with the statistics at hand."""
-        ids, matrix, place, idf, avgdl = shared.value
+        ids, asked, place, idf, avgdl = shared.value
         kept = _Kept(k, ids, tie)
         for batch in batches:
             parts = batch.column("parts")
@@ -277,18 +333,36 @@ def _best_counted(k: int, shared, tie: tuple[str, ...]):
             packed, offs = parts.flatten().to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
             names, dl = batch.column("tenant_id").to_pylist(), batch.column("dl").to_numpy()
             own, tenant, keys = np.array([place[t] for t in names], np.int64), kept.tenants(names), [batch.column(c) for c in tie]
-            for a, b in _pieces(offs, matrix.shape[1]):
+            for a, b in _pieces(offs, len(ids)):
                 lo, hi = offs[a], offs[b]
                 row = np.repeat(np.arange(a, b), np.diff(offs[a : b + 1]))
                 term, tf = packed[lo:hi] >> 32, (packed[lo:hi] & 0xFFFFFFFF).astype(np.float64)
                 # the operations of ``_units`` in their order
                 w = np.floor(idf[own[row], term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl[own[row]])) * UNITS + 0.5)
-                kept.add(_sums(matrix, term, w, offs[a : b + 1] - lo), tenant[a:b], keys, a)
+                kept.add(_sums(asked, term, w, offs[a : b + 1] - lo), tenant[a:b], keys, a)
         yield from kept.rows()
 
     return run
 
 
+def _rows_with_terms(place: dict[str, int], size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(tenant_id, t, n): rows of a task that have the term, at most ``WEIGHTS`` counts."""
+        total = np.zeros(len(place) * size, np.int64)
+        for batch in batches:
+            parts = batch.column("parts")
+            row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+            once = row * size + (parts.flatten().to_numpy() >> 32)
+            if (np.diff(once) <= 0).any():  # a term with several places counts once
+                once = np.unique(once)
+            own = np.array([place[t] for t in batch.column("tenant_id").to_pylist()], np.int64)
+            total += np.bincount(own[once // size] * size + once % size, minlength=len(total))
+        cell = np.flatnonzero(total)
+        yield from pa.table([pa.array(list(place), pa.string()).take(pa.array(cell // size)), pa.array((cell % size).astype(np.int32)), pa.array(total[cell])], ["tenant_id", "t", "n"]).to_batches()
+
+    return run
+
+
 def statistics_of(counted: DataFrame, n_terms: int) -> tuple[dict[str, int], np.ndarray, np.ndarray] | None:
     """Tenants' numbers, idf (tenants x terms) and mean lengths of counted rows; None where sentence rows repeat or the weights are more than ``WEIGHTS``."""
     whole = counted.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -296,8 +370,8 @@ def statistics_of(counted: DataFrame, n_terms: int) -> tuple[dict[str, int], np.
     if len(tenants) * n_terms > WEIGHTS or not counted.groupBy("tenant_id", "chunk_id", "sentence_idx").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return None
     place = {r.tenant_id: i for i, r in enumerate(tenants)}
-    terms = F.explode(F.array_distinct(F.transform("parts", lambda p: F.shiftright(p, 32).cast("int"))))
-    df = counted.select("tenant_id", terms.alias("t")).groupBy("tenant_id", "t").agg(F.count("*").alias("df"))
+    part = counted.select("tenant_id", "parts").mapInArrow(_rows_with_terms(place, max(1, n_terms)), "tenant_id string, t int, n bigint")
+    df = part.groupBy("tenant_id", "t").agg(F.sum("n").alias("df"))
     weights = np.zeros((len(tenants), max(1, n_terms)))
     for r in df.join(F.broadcast(whole), "tenant_id").select("tenant_id", "t", idf(F.col("n_docs"), F.col("df")).alias("idf")).toLocalIterator():
         weights[place[r.tenant_id], r.t] = r.idf
@@ -324,10 +398,7 @@ def bm25_top_of(docs: DataFrame, queries: DataFrame, k: int, pool: DataFrame | N
         if stats is None:
             hits = weighted(index(docs))
             return top_weighted(hits if pool is None else hits.join(pool.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_semi"), queries, k)
-        matrix = np.zeros((max(1, len(vocab)), len(ids)))
-        for q, terms in enumerate(rows):
-            matrix[terms, q] = 1.0
-        shared = spark.sparkContext.broadcast((ids, matrix, *stats))
+        shared = spark.sparkContext.broadcast((ids, _asked(rows, max(1, len(vocab))), *stats))
         shown = counted.where(F.size("parts") > 0)
         if pool is not None:
             shown = shown.join(pool.select("tenant_id", "chunk_id"), ["tenant_id", "chunk_id"], "left_semi")

@@ -106,6 +106,46 @@ def test_words_of_queries_counted_in_place(spark, monkeypatch, capsys):
     assert sparse.bm25_top_of(docs, queries.limit(0), 5).isEmpty()
 
 
+def test_words_are_cut_from_bytes(spark, monkeypatch, capsys):
+    """Texts of characters up to U+00FF are cut in columns of bytes, the others by ``words``: the same counts and places."""
+    rng = random.Random(3)
+    every, wide = [chr(c) for c in range(256)], ["\u0130", "\u0152", "\u03a3", "\u2013", "\u4e2d", "\U0001d7d8"]
+    texts = ["".join(every), "".join(f"a{c}b {c} " for c in every), "", None, " ", "\u00e9", "Z"] + ["".join(rng.choices(every[48:] + wide * (i % 2), k=rng.randrange(60))) for i in range(200)]
+    texts = [x for t in texts for x in (t, t)]  # neighbours: no word goes on in the next text
+    docs = spark.createDataFrame([("t", f"c{i}", 0, t) for i, t in enumerate(texts)], "tenant_id string, chunk_id string, sentence_idx bigint, text string").cache()
+    cut = {r.chunk_id: r.w for r in docs.select("chunk_id", sparse.words(F.col("text")).alias("w")).collect()}
+    plain = pa.array(["x-"] + [t or "" for t in texts if max(t or "", default="") <= "\xff"], pa.string())[1:]
+    found, offs = sparse._words_of(plain)
+    assert [found[a:b].to_pylist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [cut[f"c{i}"] for i, t in enumerate(texts) if max(t or "", default="") <= "\xff"]
+    vocab = {w: i for i, w in enumerate(sorted({w for ws in cut.values() for w in ws})[::2])}
+    for size in (sparse.TEXT_BYTES, sparse.CELLS):
+        monkeypatch.setattr(sparse, "TEXT_BYTES", size)
+        for places in (False, True):
+            got = {r.chunk_id: (r.dl, sorted(divmod(p, 1 << 32) for p in r.parts)) for r in sparse._counted(docs, vocab, places).collect()}
+            held = {c: [(vocab[w], i if places else ws.count(w)) for i, w in enumerate(ws) if w in vocab] for c, ws in cut.items() if ws}
+            assert got == {c: (len(cut[c]), sorted(h if places else set(h))) for c, h in held.items()}
+    capsys.readouterr()
+    sparse._counted(docs, vocab).explain()
+    assert "U+00FF" in sparse._counted.__doc__ and "rlike" in capsys.readouterr().out.lower()
+
+
+def test_a_term_meets_only_queries_that_have_it():
+    """Scores by the queries of each term equal those by the whole matrix, rows without terms and terms without queries among them."""
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(30, n, replace=False)) for n in (4, 0, 9, 1, 30)]
+    asked = sparse._asked(rows, 32)
+    assert len(asked[1]) == sum(map(len, rows))  # nothing is kept for a term and a query without it
+    matrix = np.zeros((32, 5))
+    for q, terms in enumerate(rows):
+        matrix[terms, q] = 1
+    lengths = rng.integers(0, 6, 40)
+    offs = np.append(0, np.cumsum(lengths)) + 3
+    term, weight = rng.integers(0, 32, offs[-1] + 2), rng.integers(1, 1 << 40, offs[-1] + 2).astype(float)
+    want = np.vstack([(matrix[term[a:b]] * weight[a:b, None]).sum(0) for a, b in zip(offs[:-1], offs[1:], strict=True)])
+    assert (sparse._sums(asked, term, weight, offs) == want).all()
+    assert sparse._sums(asked, term, weight, offs[:1].repeat(3)).tolist() == [[0.0] * 5] * 2
+
+
 def test_names_called_from_one_place_share_a_block(spark, monkeypatch):
     """20 groups of 200 names with 50 callers each: about a row of bits a caller, not one a caller and block of all names."""
     sym = spark.range(1000).select(F.col("id").alias("symbol_id"), F.concat(F.lit("caller"), "id").alias("name"))
