@@ -363,11 +363,33 @@ def _rows_with_terms(place: dict[str, int], size: int):
     return run
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tenant_id, chunk_id, low, high): rows of a chunk that stand together with ascending sentences are one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, goes_on = batch.column("sentence_idx").to_numpy(), np.ones(batch.num_rows - 1, bool)
+        for key in batch.columns[:2]:
+            goes_on &= pc.fill_null(pc.equal(key[1:], key[:-1]), False).to_numpy(zero_copy_only=False)
+        low = np.flatnonzero(np.append(True, ~(goes_on & (at[1:] > at[:-1]))))
+        high = np.append(low[1:], batch.num_rows) - 1
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(low)) for c in batch.columns[:2]), pa.array(at[low]), pa.array(at[high])], ["tenant_id", "chunk_id", "low", "high"])
+
+
+def meeting(counted: DataFrame) -> bool:
+    """May sentence rows repeat: do stretches of rows of a chunk meet?  Never false where a row is there twice."""
+    rows = counted.select("tenant_id", "chunk_id", F.coalesce("sentence_idx", F.lit(-1)).alias("sentence_idx"))
+    found = rows.mapInArrow(_stretches, "tenant_id string, chunk_id string, low bigint, high bigint")
+    before = F.max("high").over(Window.partitionBy("tenant_id", "chunk_id").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
+    return not found.withColumn("before", before).where("low <= before").isEmpty()
+
+
 def statistics_of(counted: DataFrame, n_terms: int) -> tuple[dict[str, int], np.ndarray, np.ndarray] | None:
     """Tenants' numbers, idf (tenants x terms) and mean lengths of counted rows; None where sentence rows repeat or the weights are more than ``WEIGHTS``."""
     whole = counted.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     tenants = whole.limit(WEIGHTS // max(1, n_terms) + 1).collect()
-    if len(tenants) * n_terms > WEIGHTS or not counted.groupBy("tenant_id", "chunk_id", "sentence_idx").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    again = counted.groupBy("tenant_id", "chunk_id", "sentence_idx").agg(F.count("*").alias("n")).where("n > 1")
+    if len(tenants) * n_terms > WEIGHTS or (meeting(counted) and not again.isEmpty()):
         return None
     place = {r.tenant_id: i for i, r in enumerate(tenants)}
     part = counted.select("tenant_id", "parts").mapInArrow(_rows_with_terms(place, max(1, n_terms)), "tenant_id string, t int, n bigint")

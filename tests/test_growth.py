@@ -146,6 +146,19 @@ def test_a_term_meets_only_queries_that_have_it():
     assert sparse._sums(asked, term, weight, offs[:1].repeat(3)).tolist() == [[0.0] * 5] * 2
 
 
+def test_repeats_are_found_by_stretches_of_rows(spark):
+    """A chunk's rows that stand together are one row of the shuffle, not one a sentence; no repeated row is missed."""
+    docs = spark.createDataFrame([("a", "c", 0, "x"), ("b", None, 0, "x")], "tenant_id string, chunk_id string, sentence_idx bigint, text string").select("tenant_id", "chunk_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(499).cast("bigint"))).alias("sentence_idx"))
+    of = "tenant_id string, chunk_id string, low bigint, high bigint"
+    found = docs.coalesce(1).where("tenant_id = 'a'").mapInArrow(sparse._stretches, of).collect()
+    assert [tuple(r) for r in found] == [("a", "c", 0, 499)]
+    assert not sparse.meeting(docs) and not sparse.meeting(docs.orderBy(F.desc("sentence_idx")))
+    for more in ("chunk_id = 'c' and sentence_idx = 7", "chunk_id is null and sentence_idx = 0", "sentence_idx > 480"):
+        assert sparse.meeting(docs.unionByName(docs.where(more))), more
+    blank = docs.withColumn("sentence_idx", F.when(F.col("sentence_idx") > 0, F.col("sentence_idx")))
+    assert not sparse.meeting(blank) and sparse.meeting(blank.unionByName(blank.where("sentence_idx is null")))
+
+
 def test_names_called_from_one_place_share_a_block(spark, monkeypatch):
     """20 groups of 200 names with 50 callers each: about a row of bits a caller, not one a caller and block of all names."""
     sym = spark.range(1000).select(F.col("id").alias("symbol_id"), F.concat(F.lit("caller"), "id").alias("name"))
