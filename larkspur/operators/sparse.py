@@ -321,6 +321,17 @@ def _counted(docs: DataFrame, vocab: dict[str, int], places: bool = False) -> Da
     return sent.mapInArrow(run, _COUNTED)
 
 
+def counted_weights(batch: pa.RecordBatch, place: dict[str, int], idf: np.ndarray, avgdl: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and weights (in units) of rows of counted terms, and where each row begins."""
+    parts = batch.column("parts")
+    packed, offs = parts.flatten().to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    row = np.repeat(np.arange(len(parts)), np.diff(offs))
+    own, dl = np.array([place[t] for t in batch.column("tenant_id").to_pylist()], np.int64)[row], batch.column("dl").to_numpy()[row]
+    term, tf = packed >> 32, (packed & 0xFFFFFFFF).astype(np.float64)
+    # the operations of ``_units`` in their order
+    return term, np.floor(idf[own, term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl[own])) * UNITS + 0.5), offs
+
+
 def _best_counted(k: int, shared, tie: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """As ``_best`` for rows of counted terms, with the statistics at hand."""
