@@ -54,7 +54,7 @@ def _brute(spark, chunks, vectors, queries, questions, k):
     return out
 
 
-@pytest.mark.parametrize("case", ["plain", "repeated rows", "few cells"])
+@pytest.mark.parametrize("case", ["plain", "split", "repeated rows", "few cells"])
 def test_equals_brute_force(spark, monkeypatch, case):
     rng = random.Random(3)
     vocab = ["ab", "cd", "ef", "gh", "éa", "жук"]
@@ -64,6 +64,8 @@ def test_equals_brute_force(spark, monkeypatch, case):
         rows += rows[:5]
     if case == "few cells":
         monkeypatch.setattr(fusion, "CELLS", 40)
+    if case == "split":
+        monkeypatch.setattr(fusion, "SPLIT", 30)
     chunks = spark.createDataFrame(rows, "tenant_id string, chunk_id string, text string").repartition(5)
     vec = lambda: rng.choice([[float(rng.randint(-3, 3)) for _ in range(3)], [1.0, 0.0, 0.0], [0.0, 0.0, 0.0], None])
     vectors = [(t, c, vec()) for t, c, _ in rows[:70]]
@@ -91,3 +93,9 @@ def test_order_of_a_list(big):
     rng = np.random.default_rng(6)
     key, i = rng.integers(0, big, 500), rng.integers(1000, 1100, 500)
     assert fusion._in_order(key, i).tolist() == i[np.lexsort((i, -key))].tolist()
+
+
+def test_cells_follow_scores():
+    key = np.unique(np.concatenate([np.arange(3000), np.random.default_rng(7).integers(0, 1 << 50, 3000), [(1 << 62) - 1]]))
+    cell = fusion._cell(key)
+    assert (np.diff(cell) >= 0).all() and cell[0] == 0 and cell[-1] < 8192
