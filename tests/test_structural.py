@@ -82,3 +82,65 @@ def test_callers_of_many_names_at_once(spark):
         got = [tuple(r) for r in C.find_callers(s, e, names, depth).select("name", "caller", "depth").collect()]
         assert len(got) == len(set(got)) and set(got) == {x for x in want if x[2] <= depth}
     assert C.find_callers(s, e, names.limit(0), 2).isEmpty()
+
+
+def _graph(rng, n):
+    """Symbols of which some share a name, and calls among them."""
+    sym = [(i, f"n{i % (n * 2 // 3)}") for i in range(n)]
+    return sym, [(rng.randrange(n), f"n{rng.randrange(n)}") for _ in range(2 * n)]
+
+
+def test_only_called_callers_are_written_and_names_are_shared(spark, monkeypatch):
+    """A level is written for the callers that are called themselves, not for all; symbols of one name are one caller."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    sym, edges = _graph(random.Random(5), 300)
+    s, e = spark.createDataFrame(sym, "symbol_id int, name string"), spark.createDataFrame(edges + [(i, "n0") for i in range(300)], "caller_symbol_id int, callee_name string")
+    into: dict[str, set[str]] = {}
+    for caller, callee in edges + [(i, "n0") for i in range(300)]:
+        into.setdefault(callee, set()).add(f"n{caller % 200}")
+    rows, write = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, name: (out := write(df, name), rows.append((name, out)))[0])
+    got = C.find_callers(s, e, s.select("name").limit(300).unionByName(e.select(F.col("callee_name").alias("name"))), 3).collect()
+    want = set()
+    for name in into:
+        seen, at = {}, {name}
+        for depth in (1, 2, 3):
+            at = {c for x in at for c in into.get(x, ())} - set(seen)
+            seen |= dict.fromkeys(at, depth)
+        want |= {(name, c, d) for c, d in seen.items()}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    levels = [df for name, df in rows if name == "callers"]
+    assert len(levels) == 2 and all({r["at"] for r in df.select("at").collect()} <= set(into) for df in levels)
+
+
+def test_pieces_hold_whole_callers_and_slices_give_the_same_rows(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    lists = [(0, 0, "a", ["x", "y"]), (0, 0, "a", ["y", "z"]), (0, 1, "b", ["x"]), (0, 2, "c", ["z", "w", "v"]), (1, 9, "d", ["x"])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], ["run", "k", "caller", "callees"]) for part in (lists[:1], lists[1:3], lists[3:])]
+    monkeypatch.setattr(C, "PIECE_CALLS", 2)
+    pieces = [b.to_pylist() for b in C._deal(iter(batches))]
+    assert [[r["caller"] for r in p if r["caller"]] for p in pieces] == [["a"], ["b", "c"], ["d"]]
+    assert len({r["piece"] for p in pieces for r in p}) == 3
+    names = {r["local"]: r["callee"] for r in pieces[0] if r["callee"]}
+    assert sorted(names[i] for i in np.frombuffer(pieces[0][0]["calls"], "<i4")) == ["x", "y", "y", "z"]
+    assert [(r["callee"], r["first"]) for r in pieces[1] if r["callee"]] == [("x", 1), ("z", 2), ("w", 2), ("v", 2)]
+
+    rng = np.random.default_rng(1)
+    calls = [rng.integers(0, 20, rng.integers(0, 9)).astype("<i4") for _ in range(40)]
+    row = dict.fromkeys(("local", "num", "caller", "data", "names"))
+    made = [row | {"piece": 1, "block": -1, "kind": 0, "caller": f"c{i}", "data": x.tobytes()} for i, x in enumerate(calls)]
+    made += [row | {"piece": 1, "block": 0, "kind": 1, "local": i, "num": 1000 + i} for i in range(20)] + [row | {"piece": 1, "block": 0, "kind": 2, "names": [f"m{i}" for i in range(1024)]}]
+    stream = pa.Table.from_pylist(made, pa.schema([("piece", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("local", pa.int32()), ("num", pa.int32()), ("caller", pa.string()), ("data", pa.binary()), ("names", pa.list_(pa.string()))]))
+    want = {(f"m{1000 + x}", f"c{i}", 1) for i, at in enumerate(calls) for x in at.tolist()}
+    for size in (7, 64):
+        for most in (1, 3, 1 << 16):
+            monkeypatch.setattr(C, "SLICE", 3)
+            monkeypatch.setattr(C, "SLICE_CALLS", most)
+            got = [tuple(r.values()) for b in C._walk(1, True, iter(stream.to_batches(size))) for r in b.to_pylist()]
+            assert len(got) == len(want) and set(got) == want
