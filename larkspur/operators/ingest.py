@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from re import Pattern
 
 import numpy as np
@@ -153,19 +155,93 @@ def split_sentences(docs: DataFrame, id_col: str, text_col: str = "text") -> Dat
 
 def split_chunks(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id_col, chunk_index, text, start_char, end_char) of the pieces of every text."""
+    return _split(docs, id_col, text_col).drop("total")
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """The same with ``total``, the number of pieces of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             at, rows = [], []
             for i, t in enumerate(batch.column("text")):
-                for text, start, end, index in chunk_text(t.as_py()):
+                pieces = chunk_text(t.as_py())
+                for text, start, end, index in pieces:
                     at.append(i)
-                    rows.append((index, text, start, end))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True))], ["id", "chunk_index", "text", "start_char", "end_char"])
+                    rows.append((index, text, start, end, len(pieces)))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True))], ["id", "chunk_index", "text", "start_char", "end_char", "total"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, chunk_index int, text string, start_char int, end_char int, total int").withColumnRenamed("id", id_col)
+
+
+_WORD_BYTES = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+
+
+@cache
+def _is_word(char: str) -> bool:
+    return unicodedata.category(char)[0] in "LN"
+
+
+def word_bits(text: str) -> bytes:
+    """A bit for each byte of a text, the lowest first: set where the byte is one of a letter's or number's."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    bits = _WORD_BYTES[raw]
+    if len(raw) > len(text):
+        at = np.flatnonzero(raw >= 0xC0)  # first bytes of longer characters
+        word = np.fromiter(map(_is_word, (c for c in text if c > "\x7f")), bool, len(at))
+        size = 2 + (raw[at] >= 0xE0) + (raw[at] >= 0xF0).astype(int)
+        for k in range(4):
+            bits[at[word & (size > k)] + k] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def word_places(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id_col, bits): ``word_bits`` of every text, an eighth of its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([word_bits(t.as_py() or "") for t in batch.column("text")], pa.binary())], ["id", "bits"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, chunk_index int, text string, start_char int, end_char int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, bits binary").withColumnRenamed("id", id_col)
+
+
+def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, tenant_id, a, b): stretches of bytes with words that no piece covers.
+
+    Rows come in order of key: a text (kind 0: tenant_id, its size in ``b`` and ``bits``; equal
+    texts may come again), then its pieces (kind 1: bytes ``a`` to ``b``) in order of their index.
+    """
+    key = tenant = bits = None
+    end = size = 0
+    out: list[tuple] = []
+
+    def meet(a: int, b: int) -> None:
+        if b > a and np.unpackbits(bits[a // 8 : b // 8 + 1], bitorder="little")[a % 8 : a % 8 + b - a].any():
+            out.append((key, tenant, a, b))
+
+    def flush() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.string(), pa.int32(), pa.int32()))], ["key", "tenant_id", "a", "b"])
+        out.clear()
+        return done
+
+    for batch in batches:
+        kinds, a, b = (batch.column(c).to_pylist() for c in ("kind", "a", "b"))
+        for i, now in enumerate(batch.column("key").to_pylist()):
+            if now != key:
+                if key is not None:
+                    meet(end, size)
+                key, tenant, size, end = now, batch.column("tenant_id")[i].as_py(), b[i], 0
+                bits = np.frombuffer(batch.column("bits")[i].as_py(), np.uint8)
+            if kinds[i]:
+                meet(end, min(a[i], size))
+                end = max(end, b[i])
+        yield flush()
+    if key is not None:
+        meet(end, size)
+        yield flush()
 
 
 def invalid(rows: DataFrame) -> DataFrame:
@@ -179,15 +255,14 @@ def prepare(rows: DataFrame) -> DataFrame:
 
     Texts over 1,000 bytes are split; every piece has its own hash and id (a hash of tenant,
     content and index, so that a rerun makes the same rows) and, if the text was split, tags
-    with its place.  The episode tag comes first.  Callers check ``invalid`` before.
+    with its place.  The episode tag comes first.  Callers check ``invalid`` before.  A row
+    becomes its pieces where it stands; nothing is shuffled.
     """
-    keyed = rows.withColumn("row_key", F.sha2(F.concat_ws("\x1f", "tenant_id", F.coalesce("episode_id", F.lit("")), F.coalesce(F.col("timestamp_created").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
+    row_key = F.sha2(F.concat_ws("\x1f", "tenant_id", F.coalesce("episode_id", F.lit("")), F.coalesce(F.col("timestamp_created").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    keyed = rows.select(F.struct(row_key.alias("row_key"), "tenant_id", "project_id", "chunk_type", "episode_id", "tags", "timestamp_created").alias("row"), "text")
     long = F.octet_length("text") > SPLIT_FROM
-    whole = keyed.where(~long).select("row_key", F.lit(0).alias("chunk_index"), F.col("text").alias("piece"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
-    cut = split_chunks(keyed.where(long), "row_key").select("row_key", "chunk_index", F.col("text").alias("piece"), "start_char", "end_char")
-    pieces = whole.unionByName(cut).distinct()
-    total = cut.groupBy("row_key").agg(F.count("*").alias("total"))
-    out = keyed.drop("text").join(pieces, "row_key").join(total, "row_key", "left")
+    whole = keyed.where(~long).select("row", F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"), F.lit(1).alias("total"))
+    out = whole.unionByName(_split(keyed.where(long), "row")).select("row.*", F.col("text").alias("piece"), "chunk_index", "start_char", "end_char", "total")
     place = F.when(F.col("total") > 1, F.array(*(F.concat(F.lit(f"{n}:"), F.col(c).cast("string")) for n, c in (("chunk_index", "chunk_index"), ("total_chunks", "total"), ("char_start", "start_char"), ("char_end", "end_char"))))).otherwise(F.array().cast("array<string>"))
     episode = F.when(F.col("episode_id").isNotNull(), F.array(F.concat(F.lit("episode:"), "episode_id"))).otherwise(F.array().cast("array<string>"))
     return out.select(

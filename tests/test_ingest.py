@@ -122,3 +122,37 @@ def test_uncovered_words_are_found(spark):
 
     assert not uncovered(rows, lossy).isEmpty()
     assert uncovered(rows, lambda docs, key: ingest.split_chunks(docs, key).limit(0)).count() == 3
+
+
+def test_word_bits():
+    import re
+
+    import numpy as np
+
+    for text in ("", "a. b", "Sätze! 今日は。 \U0001d7d8x ́ ½_ ", "... " * 9, "é—\U0001f600z"):
+        raw = text.encode()
+        want = np.zeros((len(raw) + 7) // 8 * 8, bool)
+        for m in re.finditer(r"[^\W_]|½", text):
+            a = len(text[: m.start()].encode())
+            want[a : a + len(m[0].encode())] = True
+        assert np.unpackbits(np.frombuffer(ingest.word_bits(text), np.uint8), bitorder="little").astype(bool).tolist() == want.tolist()
+
+
+def test_prepare_and_uncovered_shuffle_no_text(spark, capsys):
+    """Rows become pieces where they stand, equal rows count their own pieces, and only bits and hashes are dealt."""
+    from larkspur.plans.structure import uncovered
+
+    long = "One sentence here. " * 150
+    row = ("t1", "p", "doc", None, [], long, 5)
+    rows = spark.createDataFrame([row, row, ("t1", "p", "doc", None, [], "y" * 1100, 6), (None, "p", "doc", None, [], None, 6)], "tenant_id string, project_id string, chunk_type string, episode_id string, tags array<string>, text string, timestamp_created bigint")
+    ready = ingest.prepare(rows)
+    ready.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    got = ready.collect()
+    n = len(ingest.chunk_text(long))
+    assert len(got) == 2 * n + 1 and {r.chunk_id for r in got if r.tags} == {r.chunk_id for r in got if r.text[0] == "O"}
+    assert all(f"total_chunks:{n}" in r.tags for r in got if r.text[0] == "O") and [r.tags for r in got if r.text[0] == "y"] == [[]]
+    uncovered(rows).select("tenant_id").distinct().explain()
+    assert "Join" not in capsys.readouterr().out
+    lost = uncovered(rows, lambda docs, key: ingest.split_chunks(docs, key).where("chunk_index <> 1")).collect()
+    assert len(lost) == 1 and lost[0].tenant_id == "t1" and lost[0].gap.strip() in long and len(lost[0].gap) > 400
